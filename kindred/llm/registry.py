@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, common, lang_id, packing, quality, token_counts, toxicity
+from . import audio, bpe, common, lang_id, near_dup, packing, quality, token_counts, toxicity
 from .common import fold, materialize, table
 
 THRESHOLD = 0.3
@@ -51,6 +51,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, model), 5, 0)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
 
@@ -74,7 +78,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_audio_features, op4_quality_classifier, op7_packing, op8_bpe, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_audio_features, op4_quality_classifier, op5_near_duplicates, op7_packing, op8_bpe, op9_toxicity, op10_language_id)}
 
 ORACLES = {
     "op1_token_counts": r"""
