@@ -1,8 +1,61 @@
-"""Corpus pipeline: quality, toxicity, near-duplicates, packing."""
+"""Corpus pipeline over ``documents``: quality, toxicity, near-duplicates, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read back
+as the next one's docs. The filters keep all columns of documents; the last stage returns pieces of
+packed sequences. No stage can be written in SQL, so there is no ORACLE_SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kindred.llm import near_dup, packing, quality, registry, toxicity
+from kindred.llm.common import keep_rows, materialize, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least the threshold for quality."""
+    shared = spark.sparkContext.broadcast(quality.fit(docs, registry.labelled(spark, sf_dir, 5, 0)))
+
+    def make():
+        model = shared.value
+        return lambda texts: (model.score_texts(texts) >= registry.THRESHOLD).tolist()
+
+    return keep_rows(docs, make)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold for toxicity."""
+    shared = spark.sparkContext.broadcast(toxicity.fit(docs, registry.labelled(spark, sf_dir, 4, 2)))
+
+    def make():
+        model = shared.value
+        return lambda texts: [s < registry.THRESHOLD for s in model.score(texts)]
+
+    return keep_rows(docs, make)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each near-duplicate class; a repeated row stays once."""
+    classes = near_dup.near_duplicates(docs)
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
+    kept = materialize(kept, "kept")
+    out = docs.join(kept.select("kept_id"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    return out if kept.filter("n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of 4096-token sequences."""
+    return packing.pack(docs, registry.tokenizer_file("word_bpe_49k.json")).drop("ids")
+
+
+STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", dedup_stage), ("packing", packing_stage)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

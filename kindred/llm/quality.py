@@ -91,6 +91,9 @@ class QualityModel:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         return np.hstack([np.cos(z @ self.omega + self.phase) * np.sqrt(2 / self.omega.shape[1]), np.ones((len(x), 1))])
 
+    def score_texts(self, texts: list) -> np.ndarray:
+        return self.score(np.stack([stats(t) for t in texts])) if texts else np.empty(0)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.features(x) @ self.weights, self.knots, self.values)
 
@@ -177,6 +180,6 @@ def score(df: DataFrame, model: QualityModel) -> DataFrame:
 
     def make():
         m = shared.value
-        return lambda ids, texts: {"doc_id": ids, "score": m.score(np.stack([stats(t) for t in texts]))}
+        return lambda ids, texts: {"doc_id": ids, "score": m.score_texts(texts)}
 
     return map_rows(documents(df), make, "doc_id long, score double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, common, lang_id, near_dup, packing, quality, token_counts, toxicity
+from . import ann, audio, bpe, common, html_extract, lang_id, near_dup, packing, quality, token_counts, toxicity
 from .common import fold, materialize, table
 
 THRESHOLD = 0.3
@@ -37,6 +37,10 @@ def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_digest(audio.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def labelled(spark: SparkSession, sf_dir: str, modulus: int, held: int) -> DataFrame:
     return table(spark, sf_dir, "labels").filter(fold("doc_id", modulus) != held)
 
@@ -55,6 +59,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
 
@@ -78,7 +86,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_audio_features, op4_quality_classifier, op5_near_duplicates, op7_packing, op8_bpe, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_audio_features, op3_html_extraction, op4_quality_classifier, op5_near_duplicates, op6_nearest_neighbours, op7_packing, op8_bpe, op9_toxicity, op10_language_id)}
 
 ORACLES = {
     "op1_token_counts": r"""
