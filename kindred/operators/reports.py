@@ -107,15 +107,25 @@ def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def csv_rows(materials: DataFrame, items: DataFrame, matches: DataFrame) -> DataFrame:
-    """The flat columns of the CSV export; missing texts become ''."""
-    m = materials.select(F.col("id").alias("material_id"), F.col("name").alias("material_name"), T.text(F.col("manufacturer")).alias("material_brand"), T.text(F.col("category")).alias("material_category"))
-    p = items.select(F.col("id").alias("price_id"), F.col("name").alias("price_name"), T.text(F.col("brand")).alias("price_brand"), T.text(F.col("category")).alias("price_category"), "price", T.text(F.col("currency")).alias("currency"), T.text(F.col("supplier")).alias("supplier"))
-    out = matches.join(m, "material_id").join(p, "price_id")
-    return out.select("material_id", "material_name", "material_brand", "material_category", "price_id", "price_name", "price_brand", "price_category", "price", "currency", "supplier", F.round("pct", 2).alias("similarity"), F.round("score", 4).alias("retrieval_score"))
+    """The 13 flat columns of the CSV export; missing texts become ''."""
+    col = lambda c: T.text(F.col(c))
+    m = materials.select(F.col("id").alias("material_id"), F.col("name").alias("material_name"), col("description").alias("material_description"), col("category").alias("material_category"), col("manufacturer").alias("material_brand"))
+    p = items.select(F.col("id").alias("price_id"), F.col("name").alias("price_item_name"), col("description").alias("price_item_description"), "price", col("currency").alias("currency"), col("supplier").alias("supplier"))
+    out = matches.select("material_id", "price_id", "pct", "score").join(m, "material_id").join(p, "price_id")
+    return out.select(*m.columns, F.col("price_id").alias("price_item_id"), *p.columns[1:], F.round("pct", 2).alias("similarity_percentage"), F.round("score", 4).alias("retrieval_score"))
+
+
+# The spreadsheet's headings, material side and price side.
+XLSX_MATERIAL = {"Наименования": "name", "Код обор.": "equipment_code", "Завод изг.": "manufacturer", "ID материала": "id", "Описание материала": "description", "Категория материала": "category", "Тип, марка": "type_mark", "Ед. изм. (материал)": "unit", "Кол-во": "quantity"}
+XLSX_PRICE = {"name": "name", "article": "article", "brand": "brand", "id": "id", "Цена": "price", "Описание в прайсе": "description", "Код бренда": "brand_code", "Класс": "material_class", "Код класса": "class_code", "Валюта": "currency"}
+XLSX_COLUMNS = ("Наименования", "Код обор.", "Завод изг.", "Релевантность", "name", "article", "brand", "id", "Цена", "ID материала", "Описание материала", "Категория материала", "Тип, марка", "Ед. изм. (материал)", "Кол-во", "Описание в прайсе", "Код бренда", "Класс", "Код класса", "Валюта", "Оценка поиска")
 
 
 def xlsx_rows(materials: DataFrame, items: DataFrame, matches: DataFrame) -> DataFrame:
-    """The wider spreadsheet export: the same with details, rank and a printed percentage."""
-    flat = csv_rows(materials, items, matches)
-    details = matches.select("material_id", "price_id", "match_rank", F.round("sim_name", 2).alias("name_similarity"), F.round("sim_description", 2).alias("description_similarity"), F.round("sim_article", 2).alias("article_similarity"), F.round("sim_brand", 2).alias("brand_similarity"), F.concat(F.format_string("%.1f", F.round("pct", 1)), F.lit("%")).alias("relevance"))
-    return flat.join(details, ["material_id", "price_id"])
+    """The 21 columns of the spreadsheet export, all text; the relevance is printed with one place."""
+    pick = lambda df, names: [T.text(F.col(c) if c in df.columns else F.lit("")).alias(n) for n, c in names.items()]
+    m = materials.select(F.col("id").alias("material_id"), *pick(materials, XLSX_MATERIAL))
+    p = items.select(F.col("id").alias("price_id"), *pick(items, XLSX_PRICE))
+    shown = F.concat(F.format_string("%.1f", F.round("pct", 1)), F.lit("%")).alias("Релевантность")
+    out = matches.select("material_id", "price_id", shown, F.round("score", 4).cast("string").alias("Оценка поиска")).join(m, "material_id").join(p, "price_id")
+    return out.select(*[f"`{c}`" for c in XLSX_COLUMNS])

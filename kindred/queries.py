@@ -630,18 +630,21 @@ def export_selected(spark, sf_dir):
     return reports.export_selected(f, f.filter("match_rank = 1 AND cast(material_id AS int) % 3 = 0")).select("material_id", "variant_id", "price_id", "match_rank")
 
 
-@query(f"WITH {MATCHES_SQL} SELECT material_id, m.name AS material_name, coalesce(m.manufacturer, '') AS material_brand, m.category AS material_category, price_id, p.name AS price_name, p.brand AS price_brand, p.category AS price_category, price, currency, supplier, round(pct, 2) AS similarity, round(score, 4) AS retrieval_score FROM matches JOIN mat m ON m.id = material_id JOIN pl p ON p.id = price_id")
+@query(f"WITH {MATCHES_SQL} SELECT material_id, m.name AS material_name, coalesce(m.description, '') AS material_description, m.category AS material_category, coalesce(m.manufacturer, '') AS material_brand, price_id AS price_item_id, p.name AS price_item_name, p.description AS price_item_description, price, currency, supplier, round(pct, 2) AS similarity_percentage, round(score, 4) AS retrieval_score FROM matches JOIN mat m ON m.id = material_id JOIN pl p ON p.id = price_id")
 def csv_projection(spark, sf_dir):
     return reports.csv_rows(materials(spark, sf_dir), price_list(spark, sf_dir), matches_of(spark, sf_dir))
 
 
-@query(
-    f"""WITH {MATCHES_SQL} SELECT material_id, m.name AS material_name, coalesce(m.manufacturer, '') AS material_brand, m.category AS material_category, price_id, p.name AS price_name, p.brand AS price_brand, p.category AS price_category, price, currency, supplier, round(pct, 2) AS similarity, round(score, 4) AS retrieval_score,
-    match_rank, round(sim_name, 2) AS name_similarity, round(sim_description, 2) AS description_similarity, round(sim_article, 2) AS article_similarity, round(sim_brand, 2) AS brand_similarity, format('{{:.1f}}%', round(pct, 1)) AS relevance FROM matches JOIN mat m ON m.id = material_id JOIN pl p ON p.id = price_id"""
-)
+def _xlsx_sql() -> str:
+    there = {"m": "id name description category manufacturer equipment_code quantity".split(), "p": "id name brand article category price description brand_code cli_code currency supplier".split()}
+    pick = lambda t, names: [(f"coalesce({t}.{c}::varchar, '')" if c in there[t] else "''") + f' AS "{n}"' for n, c in names.items()]
+    cols = pick("m", reports.XLSX_MATERIAL) + pick("p", reports.XLSX_PRICE)
+    return f"WITH {MATCHES_SQL} SELECT {', '.join(cols)}, format('{{:.1f}}%', round(pct, 1)) AS \"Релевантность\", round(score, 4)::varchar AS \"Оценка поиска\" FROM matches JOIN mat m ON m.id = material_id JOIN pl p ON p.id = price_id"
+
+
+@query(_xlsx_sql())
 def xlsx_projection(spark, sf_dir):
-    m = matches_of(spark, sf_dir)
-    return reports.xlsx_rows(materials(spark, sf_dir), price_list(spark, sf_dir), m)
+    return reports.xlsx_rows(materials(spark, sf_dir), price_list(spark, sf_dir), matches_of(spark, sf_dir))
 
 
 # Scalars and small operators -------------------------------------------------------------------------
