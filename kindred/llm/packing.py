@@ -11,7 +11,10 @@ separate documents; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,26 +32,62 @@ PIECE = ("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequenc
 
 class WordTokenizer:
     """ids of the tokenizer file. Its pattern drops blanks and never spans them, so the text's pieces
-    between spaces and line ends are encoded each by itself and memoized."""
+    between spaces and line ends stand alone and are memoized. A piece that was never seen is cut into
+    the pattern's matches, and the unseen ones of a batch are encoded as one blank-separated text, whose
+    ids fall apart at the tokens that end a word. Pieces that the tokenizer's normalizer might treat
+    otherwise (special tokens, not in NFC, letters with context-dependent lower case or outside the long-settled blocks of Unicode) are encoded alone."""
+
+    SPECIAL = re.compile("<\\||[\u03a3\u0130]|[^\0-\u024f\u0370-\u03ff\u0400-\u04ff]")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = "<u2" if size <= 65536 else "<u4"
         self.width = int(self.dtype[2])
-        self.known = Cache()
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        splits = [x for x in spec["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "Split"]
+        self.pattern = regex.compile(splits[0]["pattern"]["Regex"]) if suffix and len(splits) == 1 and splits[0]["invert"] else None
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix or "\0") for i in range(size)])
+        self.known, self.words = Cache(), Cache()
+
+    def _alone(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        for lo in range(0, len(words), 5000):
+            part = words[lo : lo + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != len(part):
+                self.words.update(zip(part, self._alone(part)))
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, to in zip(part, (stop * self.width).tolist()):
+                self.words[w] = raw[at:to]
+                at = to
+
+    def _learn(self, pieces: list[str]) -> None:
+        odd = [c for c in pieces if self.pattern is None or not (c.isascii() or unicodedata.is_normalized("NFC", c)) or self.SPECIAL.search(c)]
+        self.known.update(zip(odd, self._alone(odd)))
+        rest = [c for c in pieces if c not in self.known] if odd else pieces
+        split = [self.pattern.findall(c.lower()) for c in rest]
+        self._learn_words(list({w for ws in split for w in ws if w not in self.words}))
+        get = self.words.__getitem__
+        for c, ws in zip(rest, split):
+            self.known[c] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.known.room()
+        self.words.room()
         known = self.known
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
         missing = list({c for cs in cut for c in cs if c not in known})
-        for lo in range(0, len(missing), 20_000):
-            part = missing[lo : lo + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[c] = np.array(e.ids, self.dtype).tobytes()
+        self._learn(missing)
         get = known.__getitem__
         out = [b"".join(map(get, cs)) for cs in cut]
         for c in missing:
