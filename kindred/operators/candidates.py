@@ -53,7 +53,7 @@ def keyword_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
     q = queries.select("material_id", F.lower(F.col("query")).alias("q")).withColumn("words", T.words(F.col("q"))).filter(F.size("words") > 0)
     low = lambda c: F.lower(T.text(F.col(c)))
     p = items.select(F.col("id").alias("price_id"), low("name").alias("n"), low("brand").alias("b"), low("article").alias("a"), low("description").alias("d"))
-    asked = q.select("material_id", F.posexplode("words").alias("pos", "w")).filter(F.length("w") > 2)
+    asked = q.select("material_id", F.explode("words").alias("w")).filter(F.length("w") > 2).groupBy("material_id", "w").agg(F.count("*").alias("times"))
     fields = F.array(*[F.struct(F.lit(f).alias("field"), T.words(F.col(f)).alias("us")) for f in "nba"])
     posted = p.select("price_id", F.explode(fields).alias("f")).select("price_id", "f.field", F.explode(F.array_distinct("f.us")).alias("u"))
     pairs = _word_pairs(asked.select("w").distinct(), posted.select("u").distinct())
@@ -64,21 +64,19 @@ def keyword_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
         .when((F.col("field") == "n") & (w >= 4) & (u >= 4), 2)
     )
     in_article = (F.col("field") == "a") & F.contains("u", "w")
-    found = asked.join(pairs, "w").join(posted, "u").groupBy("material_id", "price_id", "pos").agg(F.coalesce(F.max(points), F.lit(0)).alias("points"), F.max(in_article.cast("int")).alias("article"))
-    sums = found.groupBy("material_id", "price_id").agg(
-        F.sum(F.col("points") + 4 * F.col("article")).alias("points"),
-        F.sum(F.when(F.col("points") >= 3, 1.0).when(F.col("points") == 2, 0.5).otherwise(0.0)).alias("matched"),
-    )
+    # once for each distinct word and item; materials only add these up
+    hits = pairs.join(posted, "u").groupBy("w", "price_id").agg(F.coalesce(F.max(points), F.lit(0)).alias("p"), F.max(in_article.cast("int")).alias("a"))
+    half = F.when(F.col("p") >= 3, 1.0).when(F.col("p") == 2, 0.5).otherwise(0.0)
+    parts = asked.join(hits, "w").select("material_id", "price_id", (F.col("times") * (F.col("p") + 4 * F.col("a"))).alias("points"), (F.col("times") * half).alias("matched"))
     # The whole query can also stand in a field no word of which scored: look it up by its longest word.
     longest = F.array_max(F.transform("words", lambda x: F.struct(F.length(x).alias("l"), x.alias("w"))))["w"]
     keyed = q.select("material_id", "q", longest.alias("w"))
-    everywhere = F.array_distinct(T.words(F.concat_ws(" ", "n", "d", "b", "a")))
-    words = p.select("price_id", F.explode(everywhere).alias("u"))
+    words = p.select("price_id", F.explode(F.array_distinct(T.words(F.concat_ws(" ", "n", "d", "b", "a")))).alias("u"))
     heads = keyed.select(F.col("w"), F.left("w", F.lit(3)).alias("g")).distinct()
     holds = words.select("u").distinct().select("u", F.explode(_grams(F.col("u"))).alias("g")).join(heads, "g").filter(F.contains("u", "w")).select("u", "w").distinct()
-    whole = keyed.join(holds, "w").join(words, "u").select("material_id", "price_id").distinct()
-    every = sums.unionByName(whole.select("material_id", "price_id", F.lit(0).cast("long").alias("points"), F.lit(0.0).alias("matched")))
-    every = every.groupBy("material_id", "price_id").agg(F.max("points").alias("points"), F.max("matched").alias("matched"))
+    stands = F.contains("n", "q") | F.contains("d", "q") | F.contains("b", "q") | F.contains("a", "q")
+    whole = keyed.join(holds, "w").join(words, "u").join(p, "price_id").filter(stands).select("material_id", "price_id", F.lit(0).cast("long").alias("points"), F.lit(0.0).alias("matched"))
+    every = parts.unionByName(whole).groupBy("material_id", "price_id").agg(F.sum("points").alias("points"), F.sum("matched").alias("matched"))
     phrase = F.when(F.contains("n", "q"), 10).when(F.contains("d", "q"), 9).when(F.contains("b", "q") | F.contains("a", "q"), 8).otherwise(0)
     many = F.when((F.size("words") > 1) & (F.col("matched") >= 0.7 * F.size("words")), 3).otherwise(0)
     scored = every.join(q, "material_id").join(p, "price_id").withColumn("score", (F.col("points") + phrase + many).cast("double"))
@@ -93,10 +91,11 @@ def top_candidates(scores: DataFrame, k: int, order: str = "score", key: str = "
 
 
 def shared_word_pairs(materials: DataFrame, items: DataFrame, norm: str = "norm") -> DataFrame:
-    """(material_id, price_id) that share a word of their normalized names, or where a name is blank."""
-    m = materials.select(F.col("id").alias("material_id"), F.explode(F.array_distinct(T.words(F.col(norm)))).alias("w"))
-    p = items.select(F.col("id").alias("price_id"), F.explode(F.array_distinct(T.words(F.col(norm)))).alias("w"))
-    return m.join(p, "w").select("material_id", "price_id").distinct()
+    """(material_id, price_id) that share a word of their normalized names."""
+    side = lambda df, id_, ws: df.select(F.col("id").alias(id_), F.array_distinct(T.words(F.col(norm))).alias(ws)).select(id_, ws, F.explode(ws).alias("w"))
+    both = side(materials, "material_id", "mw").join(side(items, "price_id", "pw"), "w")
+    # a pair meets at each shared word and is kept at the least one: no distinct, no second shuffle
+    return both.filter(F.col("w") == F.array_min(F.array_intersect("mw", "pw"))).select("material_id", "price_id")
 
 
 def postings(items: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
