@@ -10,8 +10,8 @@ Documents whose weighted Jaccard similarity over five-word shingles (weights: oc
    shingles themselves. So a bucket of n nodes costs n pairs a round.
 3. For the rest, buckets that still hold several components are dealt into bounded blocks; members
    outside a bucket's largest component are compared with all others by signature, and those that agree
-   in at least ``agree`` of the coordinates are checked on shingles. So no link of a shared bucket is
-   lost but by a deviation of 4.5 standard errors of the signature.
+   in at least ``agree`` of the coordinates are checked on shingles there; only links leave the block. So
+   no link of a shared bucket is lost but by a deviation of 4.5 standard errors of the signature.
 
 With 20 bands of 4 rows, a pair at similarity 0.8 shares a band with probability 1 - 2.6e-5.
 
@@ -34,7 +34,7 @@ from .components import components
 from .dart_minhash import U, mix, signatures
 from .shingles import jaccard, multiset, shingles
 
-BLOCK = 1000
+BLOCK = 500
 
 
 def _slices(texts: list, chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
@@ -113,28 +113,41 @@ def _led(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.distinct()
 
 
-def _rest(rows: DataFrame, agree: int, block: int = BLOCK) -> DataFrame:
-    """(a, b) of bucket mates in different components whose signatures agree in ``agree`` coordinates.
-    rows: bucket, node, component, signature."""
+def _rest(rows: DataFrame, features: DataFrame, width: int, agree: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Linked pairs (a, b) of bucket mates in different components. rows: bucket, band, node, component;
+    features: node, signature, shingles. A pair that shares several bands is looked at in the first of them only, its
+    signatures must agree in ``agree`` coordinates, and then its shingles decide. A member needs one link
+    to each other component, so it asks the likeliest first and stops at the first that holds."""
     parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
+    # both members of a bucket of two met in the first leader round
     buckets = buckets.filter("parts > 1 AND n > 2").select("bucket", F.col("top.component").alias("largest"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = rows.join(buckets, "bucket").withColumn("mine", F.expr("pmod(hash(node), blocks)").cast("int"))
+    rows = rows.join(buckets, "bucket").withColumn("mine", F.expr("pmod(hash(node), blocks)").cast("int")).join(features, "node")
     every = F.explode(F.expr("sequence(0, blocks - 1)"))
-    left = rows.filter("component <> largest").select("*", every.alias("other")).select("bucket", F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(True).alias("asks"), "node", "component", "signature")
-    right = rows.select("*", every.alias("other")).select("bucket", F.col("other").alias("i"), F.col("mine").alias("j"), F.lit(False).alias("asks"), "node", "component", "signature")
+    keep = ["band", "node", "component", "signature", "shingles"]
+    left = rows.filter("component <> largest").select("*", every.alias("other")).select("bucket", F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(True).alias("asks"), *keep)
+    right = rows.select("*", every.alias("other")).select("bucket", F.col("other").alias("i"), F.col("mine").alias("j"), F.lit(False).alias("asks"), *keep)
 
     def compare(table: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
         node, comp, asks = (table[c].to_numpy() for c in ("node", "component", "asks"))
         ask, rest = np.flatnonzero(asks), np.flatnonzero(~asks)
-        a, b = [], []
-        for k in ask:
-            hit = rest[((sig[rest] == sig[k]).sum(1) >= agree) & (comp[rest] != comp[k])]
-            a.append(np.full(len(hit), node[k]))
-            b.append(node[hit])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        found: list[tuple[int, int]] = []
+        if len(ask) and len(rest):
+            sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+            band, packed = table["band"][0].as_py(), table["shingles"]
+            for k in ask:
+                same = sig[rest] == sig[k]
+                first = np.argmax(same.reshape(len(rest), -1, width).all(2), 1)
+                score = same.sum(1)
+                done: set[int] = set()
+                hit = np.flatnonzero((score >= agree) & (first == band) & (comp[rest] != comp[k]))
+                mine = packed[int(k)].as_py() if len(hit) else b""
+                for at in hit[np.argsort(-score[hit], kind="stable")]:
+                    other = int(rest[at])
+                    if int(comp[other]) not in done and jaccard(mine, packed[other].as_py()) >= threshold:
+                        done.add(int(comp[other]))
+                        found.append((int(node[k]), int(node[other])))
+        return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
     return left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -146,25 +159,25 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, bands: int = 20, rows
         agree = int(k * threshold - 4.5 * np.sqrt(k * threshold * (1 - threshold)))
     table = materialize(sketch(df, bands, rows, size), "sketch")
     nodes = table.filter("worded").groupBy("node").agg(F.first("bands").alias("bands"))
-    exploded = nodes.select("node", F.explode("bands").alias("bucket"))
+    exploded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    bucketed = materialize(exploded.join(shared, "bucket").select("bucket", "node"), "buckets")
+    bucketed = materialize(exploded.join(shared, "bucket").select("bucket", "band", "node"), "buckets")
     wanted = bucketed.select("node").distinct()
     features = table.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
     features = materialize(features, "features")
     checked, comp = None, None
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            pairs = _led(_with_component(bucketed, comp), turn)
-        else:
-            pairs = _rest(_with_component(bucketed, comp).join(features.select("node", "signature"), "node"), agree)
+    for turn in range(rounds):
+        pairs = _led(_with_component(bucketed, comp), turn)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         fresh = materialize(_check(pairs, features, threshold), "checked")
         checked = fresh if checked is None else checked.unionByName(fresh)
-        if turn and fresh.filter("linked").isEmpty():
-            continue
-        comp = components(checked.filter("linked"))
+        if turn == 0 or not fresh.filter("linked").isEmpty():
+            comp = components(checked.filter("linked"))
+    rest = _rest(_with_component(bucketed, comp), features, rows, agree, threshold)
+    rest = materialize(rest, "rest")
+    if not rest.isEmpty():
+        comp = components(checked.filter("linked").select("a", "b").unionByName(rest))
     # table: one row a document; hot nodes are split by the skew join, the node side has one row each
     least = table.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(comp, "node", "left")
     least = least.withColumn("component", F.coalesce("component", "node"))
