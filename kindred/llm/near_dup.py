@@ -152,7 +152,7 @@ def _rest(rows: DataFrame, features: DataFrame, width: int, agree: int, threshol
     return left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4, size: int = 5, rounds: int = 3, agree: int | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4, size: int = 5, rounds: int = 1, agree: int | None = None) -> DataFrame:
     """doc_id, class_id for every row."""
     k = bands * rows
     if agree is None:
