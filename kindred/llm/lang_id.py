@@ -5,8 +5,9 @@ per-language log frequency; an unknown one backs off to its character n-grams of
 2 and 1 as long as none of the longer ones is known. A document's score is the mean over its words,
 and ``score`` the posterior of the best language.
 
-The model keeps the ``max_words`` most frequent words and ``max_grams`` most frequent n-grams (counts
-are over all documents; the bound only decides which words back off), so what is broadcast is bounded.
+All counted words and n-grams take part: the counts stay in tables. Only the ``max_words`` most frequent
+words and ``max_grams`` most frequent n-grams are broadcast, to score the bulk of the words in place; the
+others are joined with the tables, once a distinct word, so the bounds change speed and not results.
 
 Defined results: null text or text without a letter is ``und`` with score 0; rows with null language
 teach nothing; an empty training set gives ``und`` everywhere; languages tie to the smaller name.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -94,101 +96,113 @@ def count_grams(words: DataFrame) -> DataFrame:
     return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class LangModel:
-    """Log frequencies by language of the kept words and n-grams: an index and a matrix of each."""
-
-    def __init__(self, langs: list[str], totals: np.ndarray, words: tuple[list[str], np.ndarray], grams_: tuple[list[str], np.ndarray]):
-        self.langs = langs
-        self.prior = np.log(np.maximum(totals, 1) / max(totals.sum(), 1))
-        # add-half smoothing over all words of a language
-        self.word_names, self.word_logs = words[0], np.log((words[1] + 0.5) / (totals + 1)).astype(np.float32)
-        self.gram_names = grams_[0]
-        order = np.fromiter(map(len, grams_[0]), np.int64, len(grams_[0]))
-        mass = np.stack([grams_[1][order == n].sum(0) + 1 for n in range(max(ORDERS) + 1)]) if len(order) else np.ones((max(ORDERS) + 1, len(langs)))
-        self.gram_logs = np.log((grams_[1] + 0.5) / mass[order]).astype(np.float32)
+class Cached:
+    """Log frequencies by language of the most frequent words and n-grams: an index and a matrix of each.
+    What is not in it is asked of the count tables, so its size only affects speed."""
+
+    def __init__(self, words: tuple[list[str], np.ndarray], grams_: tuple[list[str], np.ndarray]):
+        self.word_names, self.word_logs = words
+        self.gram_names, self.gram_logs = grams_
         self._index()
 
     def _index(self) -> None:
         self.words = {w: k for k, w in enumerate(self.word_names)}
         self.grams = {g: k for k, g in enumerate(self.gram_names)}
         self.memo: Cache = Cache(300_000)
-        self.rows = np.zeros((1024, len(self.langs) + 2))
+        self.rows = np.zeros((1024, self.word_logs.shape[1] + 1))
+        self.left: dict[int, list[str]] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("words", "grams", "memo", "rows")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "grams", "memo", "rows", "left")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._index()
 
-    def words_logs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(log frequencies by language, whether it scored) of words: known ones by themselves, the others
-        by the mean of their known n-grams of the longest order that has any."""
-        out = np.zeros((len(words), len(self.langs)))
-        spot = np.fromiter((self.words.get(w[:64], -1) for w in words), np.int64, len(words))
-        known = spot >= 0
-        out[known] = self.word_logs[spot[known]]
-        left = np.flatnonzero(~known)
-        get = self.grams.get
-        for n in ORDERS:
-            if not len(left):
-                break
-            owner, found = [], []
-            for k in left.tolist():
-                w = words[k]
-                w = f"^{w[:64]}$" if n > 1 else w[:64]
-                for i in range(len(w) - n + 1):
-                    g = get(w[i : i + n])
-                    if g is not None:
-                        owner.append(k)
-                        found.append(g)
-            if not found:
-                continue
-            who = np.array(owner)
-            first = np.flatnonzero(np.diff(who, prepend=-1))
-            sums = np.add.reduceat(self.gram_logs[found].astype(float), first)
-            out[who[first]] = sums / np.diff(np.append(first, len(who)))[:, None]
-            known[who[first]] = True
-            left = left[~known[left]]
-        return out, known
-
     def learn(self, chunks: list[str]) -> None:
-        """Memo rows: each chunk's summed log frequencies, its words, and how many of them scored."""
+        """Memo rows: each chunk's summed log frequencies and its words; ``left`` has the words that are not cached."""
         split = [words_of(c) for c in chunks]
         flat = list({w for ws in split for w in ws})
         index = {w: k for k, w in enumerate(flat)}
-        logs, known = self.words_logs(flat)
-        table = np.hstack([logs, np.ones((len(flat), 1)), known[:, None]])
+        spot = np.fromiter((self.words.get(w[:64], -1) for w in flat), np.int64, len(flat))
+        table = np.zeros((len(flat), self.rows.shape[1]))
+        table[spot >= 0, :-1] = self.word_logs[spot[spot >= 0]]
+        table[:, -1] = 1
+        open_ = {flat[k] for k in np.flatnonzero(spot < 0)}
         size = np.fromiter(map(len, split), np.int64, len(split))
-        rows = np.zeros((len(chunks), len(self.langs) + 2))
+        rows = np.zeros((len(chunks), self.rows.shape[1]))
         if len(flat):
             at = np.fromiter((index[w] for ws in split for w in ws), np.int64, size.sum())
             some = np.flatnonzero(size)
             rows[some] = np.add.reduceat(table[at], (np.cumsum(size) - size)[some])
         base = len(self.memo)
+        if not base:
+            self.left.clear()
         while base + len(chunks) > len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
         self.rows[base : base + len(chunks)] = rows
         self.memo.update(zip(chunks, range(base, base + len(chunks))))
+        if open_:
+            for k, ws in enumerate(split):
+                if not open_.isdisjoint(ws):
+                    self.left[base + k] = [w[:64] for w in ws if w in open_]
 
-    def predict(self, texts: list) -> tuple[list[str], list[float]]:
+    def partial(self, texts: list) -> dict:
+        """Of each text: its words, the summed logs of the cached ones, and the others with their counts."""
         memo = self.memo
         memo.room()
-        names, scores = [], []
+        words, sums, left, times = [], [], [], []
         cut = [(t or "").lower().split() for t in texts]
         self.learn(list({c for cs in cut for c in cs if c not in memo}))
         for cs in cut:
-            total = self.rows[np.fromiter(map(memo.__getitem__, cs), np.int64, len(cs))].sum(0)
-            if not self.langs or not total[-2]:
-                names.append("und")
-                scores.append(0.0)
-                continue
-            s = total[:-2] + self.prior
-            p = np.exp(s - s.max())
-            best = int(np.argmax(s))
-            names.append(self.langs[best])
-            scores.append(float(p[best] / p.sum()))
-        return names, scores
+            at = np.fromiter(map(memo.__getitem__, cs), np.int64, len(cs))
+            total = self.rows[at].sum(0)
+            more = Counter(w for k in at.tolist() if k in self.left for w in self.left[k])
+            words.append(int(total[-1]))
+            sums.append(total[:-1].tolist())
+            left.append(list(more))
+            times.append(list(more.values()))
+        return {"words": words, "sums": sums, "left": left, "times": times}
+
+    def backoff(self, ids: list, words: list) -> dict:
+        """id, level, gram, n, sums: the n-grams by which words that training never saw are scored. Cached ones of a
+        level are one row without a gram; levels under the longest with a cached n-gram can't count."""
+        out: dict[str, list] = {k: [] for k in ("id", "level", "gram", "n", "sums")}
+
+        def add(*row):
+            for column, x in zip(out.values(), row):
+                column.append(x)
+
+        for k, w in zip(ids, words):
+            for n in ORDERS:
+                seen = Counter(grams(w, n))
+                known = [g for g in seen if g in self.grams]
+                for g in seen.keys() - set(known):
+                    add(k, n, g, seen[g], None)
+                if known:
+                    times = np.array([seen[g] for g in known])
+                    add(k, n, None, int(times.sum()), (times @ self.gram_logs[[self.grams[g] for g in known]]).tolist())
+                    break
+        return out
+
+
+@dataclass
+class LangModel:
+    """Log frequencies by language of every counted word and n-gram (``words``, ``grams``: key, v0, v1, ...)."""
+
+    langs: list[str]
+    prior: np.ndarray
+    words: DataFrame | None = None
+    grams: DataFrame | None = None
+    cached: Cached | None = None
+
+    def predict(self, texts: list) -> tuple[list[str], list[float]]:
+        """Of a few texts."""
+        if not self.langs:
+            return ["und"] * len(texts), [0.0] * len(texts)
+        df = self.words.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = sorted(predict(df, self).collect())
+        return [r["lang_pred"] for r in rows], [r["score"] for r in rows]
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 100_000, max_grams: int = 100_000) -> LangModel:
@@ -197,26 +211,78 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words
     # one row a language; a label set, not data
     totals = {r["lang"]: r["t"] for r in words.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
     langs = sorted(totals)
+    total = np.array([totals[x] for x in langs], float)
+    if not langs:
+        return LangModel(langs, total)
 
-    def top(counts: DataFrame, key: str, most: int) -> tuple[list[str], np.ndarray]:
+    def wide(counts: DataFrame, key: str) -> DataFrame:
         each = counts.groupBy(key).agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(langs)])
-        kept = each.orderBy(F.desc("total"), key).limit(most).drop("total").toArrow()
-        return kept[key].to_pylist(), np.stack([kept[f"n{k}"].to_numpy() for k in range(len(langs))], 1).astype(float) if langs else np.empty((0, 0))
+        return materialize(each, f"lang-{key}")
 
-    return LangModel(langs, np.array([totals[x] for x in langs], float), top(words, "word", max_words), top(count_grams(words), "gram", max_grams))
+    def logs(counts: DataFrame, key: str, mass: list) -> DataFrame:
+        # add-half smoothing
+        return counts.select(key, "total", *[F.log((F.col(f"n{k}") + 0.5) / m).alias(f"v{k}") for k, m in enumerate(mass)])
 
+    def top(table: DataFrame, key: str, most: int) -> tuple[list[str], np.ndarray]:
+        kept = table.orderBy(F.desc("total"), key).limit(most).drop("total").toArrow()
+        return kept[key].to_pylist(), np.stack([kept[f"v{k}"].to_numpy() for k in range(len(langs))], 1)
 
-def predict(df: DataFrame, model: LangModel) -> DataFrame:
-    """doc_id, lang_pred, score."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    by_word, by_gram = wide(words, "word"), wide(count_grams(words), "gram")
+    # one row an order of n-grams
+    sums = {r["level"]: r for r in by_gram.groupBy(F.length("gram").alias("level")).agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(langs))]).collect()}
+    mass = [F.element_at(F.create_map(*[F.lit(x) for n, r in sums.items() for x in (n, float(r[f"n{k}"] + 1))]), F.length("gram")) for k in range(len(langs))]
+    by_word, by_gram = logs(by_word, "word", [F.lit(t + 1) for t in total]), logs(by_gram, "gram", mass)
+    cached = Cached(top(by_word, "word", max_words), top(by_gram, "gram", max_grams))
+    return LangModel(langs, np.log(np.maximum(total, 1) / max(total.sum(), 1)), by_word.drop("total"), by_gram.drop("total"), cached)
 
-    def make():
-        m = shared.value  # one copy a worker process, its memo with it
 
-        def work(ids, texts):
-            names, scores = m.predict(texts)
-            return {"doc_id": ids, "lang_pred": names, "score": scores}
+def _unseen(asked: DataFrame, model: LangModel, shared) -> DataFrame:
+    """id, v0, v1, ... of words (id, word): means over their known n-grams of the longest order that has any."""
+    ks = range(len(model.langs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"id": pa.int64(), "level": pa.int32(), "gram": pa.string(), "n": pa.int64(), "sums": pa.list_(pa.float64())}
+        for batch in batches:
+            ids, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at in range(0, len(ids), 500):
+                cols = shared.value.backoff(ids[at : at + 500], words[at : at + 500])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[c], t) for c, t in types.items()], names=list(types))
+
+    pieces = materialize(asked.select("id", "word").mapInArrow(run, "id long, level int, gram string, n long, sums array<double>"), "lang-backoff")
+    direct = pieces.filter("gram IS NULL").select("id", "level", "n", *[F.col("sums")[k].alias(f"v{k}") for k in ks])
+    joined = pieces.filter("gram IS NOT NULL").select("id", "level", "gram", "n").join(model.grams, "gram")
+    joined = joined.select("id", "level", "n", *[(F.col("n") * F.col(f"v{k}")).alias(f"v{k}") for k in ks])
+    level = direct.unionByName(joined).groupBy("id", "level").agg(F.sum("n").alias("n"), *[F.sum(f"v{k}").alias(f"v{k}") for k in ks])
+    best = level.groupBy("id").agg(F.max(F.struct("level", "n", *[f"v{k}" for k in ks])).alias("b"))
+    return best.select("id", *[(F.col(f"b.v{k}") / F.col("b.n")).alias(f"v{k}") for k in ks])
 
-        return work
 
-    return map_rows(documents(df), make, "doc_id long, lang_pred string, score double")
+def predict(df: DataFrame, model: LangModel) -> DataFrame:
+    """doc_id, lang_pred, score. Cached words are summed in place; the others of all documents are asked of
+    the count tables once a distinct word."""
+    if not model.langs:
+        return documents(df).select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    ks = range(len(model.langs))
+    shared = df.sparkSession.sparkContext.broadcast(model.cached)
+
+    def make():
+        m = shared.value  # one copy a worker process, its memo with it
+        return lambda ids, texts: {"doc_id": ids} | m.partial(texts)
+
+    part = map_rows(documents(df), make, "doc_id long, words long, sums array<double>, left array<string>, times array<long>")
+    part = materialize(part.withColumn("row", F.monotonically_increasing_id()), "lang-partial")
+    left = part.filter(F.size("left") > 0).select("row", F.explode(F.arrays_zip("left", "times")).alias("x")).select("row", F.col("x.left").alias("word"), F.col("x.times").alias("n"))
+    asked = left.select("word").distinct().join(model.words, "word", "left").withColumn("id", F.monotonically_increasing_id())
+    asked = materialize(asked, "lang-asked")
+    unseen = asked.filter("v0 IS NULL").select("id", "word")
+    found = asked.filter("v0 IS NOT NULL").drop("id").unionByName(unseen.join(_unseen(unseen, model, shared), "id").drop("id"))
+    gained = left.join(found, "word").groupBy("row").agg(*[F.sum(F.col("n") * F.col(f"v{k}")).alias(f"v{k}") for k in ks])
+    scored = part.select("row", "doc_id", "words", "sums").join(gained, "row", "left")
+    scored = scored.select("doc_id", "words", F.array(*[F.col("sums")[k] + F.coalesce(f"v{k}", F.lit(0.0)) + float(model.prior[k]) for k in ks]).alias("s"))
+    scored = scored.withColumn("top", F.array_max("s"))
+    name = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("s", F.col("top")).cast("int"))
+    return scored.select(
+        "doc_id",
+        F.when(F.col("words") > 0, name).otherwise("und").alias("lang_pred"),
+        F.when(F.col("words") > 0, 1 / F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).otherwise(0.0).alias("score"),
+    )

@@ -102,3 +102,17 @@ def test_counts_cover_all_documents(spark):
     assert counts == {"one": 50, "two": 100}
     grams = lang_id.count_grams(spark.createDataFrame([("en", "ab", 3)], "lang string, word string, n long"))
     assert grams.filter(F.col("gram") == "^ab$").first()["n"] == 3
+
+
+def test_language_bounds_only_affect_speed(spark):
+    """A rare language and rare words count in full, whatever is broadcast."""
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(rng.choice(["river", "stone", "light", "garden"], 20)), "en") for k in range(60)]
+    rows += [(100 + k, f"kivi vala{k} puutarha{k} joki", "fi") for k in range(3)] + [(200 + k, f"sten ljus{k} tradgard{k}", "sv") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = ["kivi vala1", "puutarhassa joki", "ljus2 tradgarden", "sten", "river ljus", None, "", "12 !", "zzz", "kivi kivi sten zzz river"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(spark.createDataFrame([(1, texts[1])], "doc_id long, text string"))
+    whole, cut = (sorted(tuple(r) for r in lang_id.predict(asked, lang_id.fit(df, **kept)).collect()) for kept in ({}, {"max_words": 3, "max_grams": 4}))
+    assert [r[:2] for r in cut] == [r[:2] for r in whole] and np.allclose([r[2] for r in cut], [r[2] for r in whole])
+    names = dict(r[:2] for r in cut)
+    assert len(cut) == len(texts) + 1 and names[0] == names[1] == "fi" and names[2] == names[3] == "sv" and names[5] == names[6] == names[7] == "und"
