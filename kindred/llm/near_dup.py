@@ -49,7 +49,7 @@ def _slices(texts: list, chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
 
 
 def sketch(df: DataFrame, bands: int = 20, rows: int = 4, size: int = 5) -> DataFrame:
-    """doc_id, node, worded, bands array<long>, signature (one byte a coordinate), shingles (binary)."""
+    """doc_id, node, worded, bands array<long>, packed (the bands, 8 bytes each), signature (one byte a coordinate), shingles (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,12 +70,13 @@ def sketch(df: DataFrame, bands: int = 20, rows: int = 4, size: int = 5) -> Data
                         "node": pa.array(sequence.view(np.int64)),
                         "worded": pa.array(np.bincount(owner, minlength=len(part)) > 0),
                         "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * bands), pa.array(key.ravel().view(np.int64))),
+                        "packed": pa.array([r.tobytes() for r in key.astype("<u8")], pa.binary()),
                         "signature": pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary()),
                         "shingles": pa.array(multiset(owner, value, times, len(part)), pa.binary()),
                     }
                 )
 
-    return documents(df).mapInArrow(run, "doc_id long, node long, worded boolean, bands array<long>, signature binary, shingles binary")
+    return documents(df).mapInArrow(run, "doc_id long, node long, worded boolean, bands array<long>, packed binary, signature binary, shingles binary")
 
 
 def _blank(text: str | None) -> int:
@@ -113,10 +114,10 @@ def _led(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.distinct()
 
 
-def _rest(rows: DataFrame, features: DataFrame, width: int, agree: int, threshold: float, block: int = BLOCK) -> DataFrame:
+def _rest(rows: DataFrame, features: DataFrame, agree: int, threshold: float, block: int = BLOCK) -> DataFrame:
     """Linked pairs (a, b) of bucket mates in different components. rows: bucket, band, node, component;
-    features: node, signature, shingles. A pair that shares several bands is looked at in the first of them only, its
-    signatures must agree in ``agree`` coordinates, and then its shingles decide. A member needs one link
+    features: node, bands (8 bytes each), signature, shingles. A pair that shares several bands is looked at in the first
+    of them only, by the full band hashes that key the buckets; its signatures must agree in ``agree`` coordinates, and then its shingles decide. A member needs one link
     to each other component, so it asks the likeliest first and stops at the first that holds."""
     parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
@@ -124,7 +125,7 @@ def _rest(rows: DataFrame, features: DataFrame, width: int, agree: int, threshol
     buckets = buckets.filter("parts > 1 AND n > 2").select("bucket", F.col("top.component").alias("largest"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     rows = rows.join(buckets, "bucket").withColumn("mine", F.expr("pmod(hash(node), blocks)").cast("int")).join(features, "node")
     every = F.explode(F.expr("sequence(0, blocks - 1)"))
-    keep = ["band", "node", "component", "signature", "shingles"]
+    keep = ["band", "node", "component", "bands", "signature", "shingles"]
     left = rows.filter("component <> largest").select("*", every.alias("other")).select("bucket", F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(True).alias("asks"), *keep)
     right = rows.select("*", every.alias("other")).select("bucket", F.col("other").alias("i"), F.col("mine").alias("j"), F.lit(False).alias("asks"), *keep)
 
@@ -134,13 +135,13 @@ def _rest(rows: DataFrame, features: DataFrame, width: int, agree: int, threshol
         found: list[tuple[int, int]] = []
         if len(ask) and len(rest):
             sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+            full = np.frombuffer(b"".join(table["bands"].to_pylist()), "<i8").reshape(table.num_rows, -1)
             band, packed = table["band"][0].as_py(), table["shingles"]
             for k in ask:
-                same = sig[rest] == sig[k]
-                first = np.argmax(same.reshape(len(rest), -1, width).all(2), 1)
-                score = same.sum(1)
+                score = (sig[rest] == sig[k]).sum(1)
                 done: set[int] = set()
-                hit = np.flatnonzero((score >= agree) & (first == band) & (comp[rest] != comp[k]))
+                hit = np.flatnonzero((score >= agree) & (comp[rest] != comp[k]))
+                hit = hit[(full[rest[hit], :band] != full[k, :band]).all(1)]
                 mine = packed[int(k)].as_py() if len(hit) else b""
                 for at in hit[np.argsort(-score[hit], kind="stable")]:
                     other = int(rest[at])
@@ -152,7 +153,7 @@ def _rest(rows: DataFrame, features: DataFrame, width: int, agree: int, threshol
     return left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4, size: int = 5, rounds: int = 1, agree: int | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4, size: int = 5, rounds: int = 1, agree: int | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id for every row."""
     k = bands * rows
     if agree is None:
@@ -163,7 +164,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, bands: int = 20, rows
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     bucketed = materialize(exploded.join(shared, "bucket").select("bucket", "band", "node"), "buckets")
     wanted = bucketed.select("node").distinct()
-    features = table.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
+    features = table.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("bands"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
     features = materialize(features, "features")
     checked, comp = None, None
     for turn in range(rounds):
@@ -174,7 +175,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, bands: int = 20, rows
         checked = fresh if checked is None else checked.unionByName(fresh)
         if turn == 0 or not fresh.filter("linked").isEmpty():
             comp = components(checked.filter("linked"))
-    rest = _rest(_with_component(bucketed, comp), features, rows, agree, threshold)
+    rest = _rest(_with_component(bucketed, comp), features, agree, threshold, block)
     rest = materialize(rest, "rest")
     if not rest.isEmpty():
         comp = components(checked.filter("linked").select("a", "b").unionByName(rest))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.llm import dart_minhash, near_dup, shingles
 from kindred.llm.components import components
@@ -68,6 +69,33 @@ def test_small_blocks_equal_brute_force(spark, monkeypatch):
     assert sorted(tuple(r) for r in near_dup.near_duplicates(df, rounds=1).collect()) == brute(rows)
 
 
+def chains():
+    """Families of texts in which only neighbours are near duplicates, so leaders leave links to the blocks."""
+    rng = np.random.default_rng(9)
+    vocabulary, rows = [f"w{k}" for k in range(3000)], []
+    for family in range(12):
+        words = list(rng.choice(vocabulary, 120))
+        for k in range(12):
+            rows.append((family * 100 + k, " ".join(words)))
+            words[(k * 9) % 120] = "new" + str(family * 100 + k)
+            words[(k * 9 + 4) % 120] = "other" + str(family * 100 + k)
+    return rows
+
+
+def test_chance_agreement_of_signatures_loses_no_pair(spark, monkeypatch):
+    """All signatures agree in all bytes, so only the full band hashes say which bands a pair shares."""
+    rows, sketch = chains(), near_dup.sketch
+    monkeypatch.setattr(near_dup, "sketch", lambda *a: sketch(*a).withColumn("signature", F.lit(bytes(80))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_dup.near_duplicates(df).collect()) == brute(rows)
+
+
+def test_blocks_of_three_rows_equal_brute_force(spark):
+    rows = chains()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_dup.near_duplicates(df, block=3).collect()) == brute(rows)
+
+
 def test_empty_table(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
