@@ -30,6 +30,7 @@ from .common import Cache, documents, map_rows, materialize
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 FLUSH = 400_000
+LONG = 10_000
 
 
 def words_of(chunk: str) -> list[str]:
@@ -37,7 +38,11 @@ def words_of(chunk: str) -> list[str]:
 
 
 def grams(word: str, n: int) -> list[str]:
-    w = f"^{word[:64]}$" if n > 1 else word[:64]
+    w = f"^{word}$" if n > 1 else word
+    return grams_of(w, n)
+
+
+def grams_of(w: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
@@ -52,7 +57,7 @@ def count_words(df: DataFrame) -> DataFrame:
             for lang, c in chunks.items():
                 for chunk, n in c.items():
                     for w in words_of(chunk):
-                        out[lang, w[:64]] += n
+                        out[lang, w] += n
             chunks.clear()
             keys = list(out)
             return pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in keys], pa.string()), "word": pa.array([k[1] for k in keys], pa.string()), "n": pa.array(out.values(), pa.int64())})
@@ -83,10 +88,21 @@ def count_grams(words: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
                 mine = out.setdefault(lang, {})
-                w, get = f"^{word[:64]}$", mine.get
+                if len(word) > LONG:  # a run of letters as long as a text: in parts that overlap
+                    for k in ORDERS:
+                        for lo in range(0, len(word), LONG):
+                            # the marks stand at both ends of the word only
+                            head, tail = "^" if k > 1 and not lo else "", "$" if k > 1 and lo + LONG >= len(word) else ""
+                            for g in grams_of(head + word[lo - (k - 1 if lo else 0) : lo + LONG] + tail, k):
+                                mine[g] = mine.get(g, 0) + n
+                            if len(mine) > FLUSH:
+                                yield flush()
+                                mine = out.setdefault(lang, {})
+                    continue
+                w, get = f"^{word}$", mine.get
                 for g in [w[i : i + k] for k in ORDERS[:-1] for i in range(len(w) - k + 1)]:
                     mine[g] = get(g, 0) + n
-                for g in word[:64]:
+                for g in word:
                     mine[g] = get(g, 0) + n
                 if len(mine) > FLUSH:
                     yield flush()
@@ -124,7 +140,7 @@ class Cached:
         split = [words_of(c) for c in chunks]
         flat = list({w for ws in split for w in ws})
         index = {w: k for k, w in enumerate(flat)}
-        spot = np.fromiter((self.words.get(w[:64], -1) for w in flat), np.int64, len(flat))
+        spot = np.fromiter((self.words.get(w, -1) for w in flat), np.int64, len(flat))
         table = np.zeros((len(flat), self.rows.shape[1]))
         table[spot >= 0, :-1] = self.word_logs[spot[spot >= 0]]
         table[:, -1] = 1
@@ -145,7 +161,7 @@ class Cached:
         if open_:
             for k, ws in enumerate(split):
                 if not open_.isdisjoint(ws):
-                    self.left[base + k] = [w[:64] for w in ws if w in open_]
+                    self.left[base + k] = [w for w in ws if w in open_]
 
     def partial(self, texts: list) -> dict:
         """Of each text: its words, the summed logs of the cached ones, and the others with their counts."""
@@ -164,7 +180,7 @@ class Cached:
             times.append(list(more.values()))
         return {"words": words, "sums": sums, "left": left, "times": times}
 
-    def backoff(self, ids: list, words: list) -> dict:
+    def backoff(self, ids: list, words: list, most: int = 200_000) -> Iterator[dict]:
         """id, level, gram, n, sums: the n-grams by which words that training never saw are scored. Cached ones of a
         level are one row without a gram; levels under the longest with a cached n-gram can't count."""
         out: dict[str, list] = {k: [] for k in ("id", "level", "gram", "n", "sums")}
@@ -182,8 +198,13 @@ class Cached:
                 if known:
                     times = np.array([seen[g] for g in known])
                     add(k, n, None, int(times.sum()), (times @ self.gram_logs[[self.grams[g] for g in known]]).tolist())
+                if len(out["id"]) > most:
+                    yield {c: x.copy() for c, x in out.items()}
+                    for x in out.values():
+                        x.clear()
+                if known:
                     break
-        return out
+        yield out
 
 
 @dataclass
@@ -224,7 +245,8 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words
         return counts.select(key, "total", *[F.log((F.col(f"n{k}") + 0.5) / m).alias(f"v{k}") for k, m in enumerate(mass)])
 
     def top(table: DataFrame, key: str, most: int) -> tuple[list[str], np.ndarray]:
-        kept = table.orderBy(F.desc("total"), key).limit(most).drop("total").toArrow()
+        # long ones are left to the table, so that the cache is bounded in bytes
+        kept = table.filter(F.length(key) <= 64).orderBy(F.desc("total"), key).limit(most).drop("total").toArrow()
         return kept[key].to_pylist(), np.stack([kept[f"v{k}"].to_numpy() for k in range(len(langs))], 1)
 
     by_word, by_gram = wide(words, "word"), wide(count_grams(words), "gram")
@@ -243,9 +265,7 @@ def _unseen(asked: DataFrame, model: LangModel, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"id": pa.int64(), "level": pa.int32(), "gram": pa.string(), "n": pa.int64(), "sums": pa.list_(pa.float64())}
         for batch in batches:
-            ids, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 500):
-                cols = shared.value.backoff(ids[at : at + 500], words[at : at + 500])
+            for cols in shared.value.backoff(*(c.to_pylist() for c in batch.columns)):
                 yield pa.RecordBatch.from_arrays([pa.array(cols[c], t) for c, t in types.items()], names=list(types))
 
     pieces = materialize(asked.select("id", "word").mapInArrow(run, "id long, level int, gram string, n long, sums array<double>"), "lang-backoff")

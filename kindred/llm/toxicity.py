@@ -29,7 +29,7 @@ SIZES = (4, 5)
 
 
 def subwords(word: str, buckets: int) -> list[int]:
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     found = {w, *(w[i : i + n] for n in SIZES for i in range(len(w) - n + 1))}
     return sorted(zlib.crc32(g.encode()) % buckets for g in found)
 

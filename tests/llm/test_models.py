@@ -116,3 +116,30 @@ def test_language_bounds_only_affect_speed(spark):
     assert [r[:2] for r in cut] == [r[:2] for r in whole] and np.allclose([r[2] for r in cut], [r[2] for r in whole])
     names = dict(r[:2] for r in cut)
     assert len(cut) == len(texts) + 1 and names[0] == names[1] == "fi" and names[2] == names[3] == "sv" and names[5] == names[6] == names[7] == "und"
+
+
+def test_toxicity_reads_whole_runs(docs):
+    model = toxicity.fit(docs, docs, per_class=300)
+    clean, toxic = model.score(["river" * 40 + "window", "river" * 40 + "grubnak" * 6])
+    assert toxic > clean
+    assert set(toxicity.subwords("x" * 100 + "end", 1 << 17)) != set(toxicity.subwords("x" * 100 + "dne", 1 << 17))
+
+
+def test_language_reads_whole_runs(spark):
+    shared = "ab" * 32
+    rows = [(1, shared + "house", "en"), (2, shared + "maison", "fr")] * 3
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    # the words themselves, and words never seen that differ late
+    assert model.predict([shared + "house", shared + "maison", shared + "xhouse", shared + "xmaison"])[0] == ["en", "fr", "en", "fr"]
+
+
+def test_grams_of_long_runs_in_parts(spark):
+    """Parts of 10,000 letters give the same counts as the whole run."""
+    word = "".join(np.random.default_rng(3).choice(list("abcdefgh"), 30_000))
+    for w in (word, word[:20_000], word[:20_001]):
+        got = {r["gram"]: r["n"] for r in lang_id.count_grams(spark.createDataFrame([("en", w, 2)], "lang string, word string, n long")).collect()}
+        want = {}
+        for k in lang_id.ORDERS:
+            for g in lang_id.grams(w, k):
+                want[g] = want.get(g, 0) + 2
+        assert got == want
