@@ -17,7 +17,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Cache, documents, map_rows
+from .common import Cache, documents, map_rows, worker_state
 
 NONE = np.int64(2**62)
 #: Widest row of the numpy trees; longer pre-tokens take the scalar tree.
@@ -168,7 +168,7 @@ class Encoder:
 
         self.bpe = SegmentTreeBPE(read_ranks(ranks_path))
         self.pattern = regex.compile(pattern)
-        self.chunks, self.words = Cache(), Cache(400_000)
+        self.chunks, self.words = Cache(800_000, 32_000_000), Cache()
 
     def _fill(self, missing: list[str]) -> None:
         """A key that starts with a letter or sign stands for that chunk after one space."""
@@ -179,6 +179,7 @@ class Encoder:
         get = self.words.__getitem__
         for c, ws in zip(missing, split):
             self.chunks[c] = b"".join(map(get, ws))
+        self.words.forget(fresh)
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -202,24 +203,16 @@ class Encoder:
         self._fill(list(missing))
         get = known.__getitem__
         out = [b"".join(map(get, cs)) for cs in cut]
-        for c in missing:
-            if len(c) > 200:
-                del known[c]
+        known.forget(missing)
         return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bpe.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(ranks_path: str, pattern: str) -> Encoder:
     """One encoder a worker process, so its memo serves later tasks too."""
-    key = (ranks_path, pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks_path, pattern)
-    return _ENCODERS[key]
+    return worker_state(("bytes", ranks_path, pattern), lambda: Encoder(ranks_path, pattern))
 
 
 def encode_documents(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import ctypes
+import gc
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -11,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+_OWN: set[str] = set()
+SLICE_BYTES = 4 << 20
+SLICE_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,28 +23,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="kindred-"))
+    """This application's folder for tables between steps, under the folder named by spark.checkpoint.dir.
+    Where that is unset, under the session's warehouse, which the driver and the executors share too. It is
+    deleted when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_kindred"
+    path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), path)
+    return path
+
+
+def _delete(jvm, conf, path: str) -> None:
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # small row groups: a task buffers one of each column
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*frames: DataFrame) -> None:
     """Delete the files behind materialized frames once nothing reads them any more."""
     for df in frames:
-        jvm = df.sparkSession._jvm
+        spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark._jvm, spark._jsc.hadoopConfiguration(), folder)
 
 
 def fold(id_col: str, buckets: int) -> Column:
@@ -57,9 +70,44 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows and ``most`` bytes; a row of more bytes is a part of its own."""
+    todo = [batch]
+    while todo:
+        part = todo.pop()
+        if part.num_rows > 1 and (part.num_rows > rows or part.nbytes > most):
+            half = part.num_rows // 2
+            todo += [part.slice(half), part.slice(0, half)]
+        elif part.num_rows:
+            yield part
+
+
+_STATE: dict = {}
+
+
+def worker_state(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` returns, kept in this worker process for later tasks with the same key. Only one is
+    kept: the state of an earlier step (its model and memo) is given up, and its memory returned."""
+    if key not in _STATE:
+        release()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def release() -> None:
+    """Give up this worker's state and return free memory to the system where the C library can."""
+    _STATE.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: str) -> DataFrame:
     """mapInArrow over (doc_id, text): ``make()`` runs once a task and returns a function from
-    (ids, texts) to columns. Batches are cut to at most 2,000 rows so memory follows text size."""
+    (ids, texts) to columns, which gets the rows in slices bounded in rows and bytes."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -68,8 +116,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in slices(batch):
                 cols = work(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in out], schema=out)
 
@@ -77,14 +124,25 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], sc
 
 
 class Cache(dict):
-    """A bounded memo: emptied when full, so it only affects speed, never results."""
+    """A memo bounded in entries and in the characters of its keys: emptied when full, so it only affects
+    speed, never results. Long keys are not worth keeping: ``forget`` takes them out after their slice."""
 
-    def __init__(self, limit: int = 800_000):
-        self.limit = limit
+    def __init__(self, limit: int = 400_000, chars: int = 16_000_000, long: int = 200):
+        self.limit, self.chars, self.long = limit, chars, long
+        self.held = 0
 
     def room(self) -> None:
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.held > self.chars:
             self.clear()
+            self.held = 0
+
+    def forget(self, fresh) -> None:
+        """Account for the keys that were just learnt, without the long ones."""
+        for key in fresh:
+            if len(key) > self.long:
+                del self[key]
+            else:
+                self.held += len(key)
 
 
 def keep_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], text_col: str = "text") -> DataFrame:
@@ -94,8 +152,7 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for part in slices(batch):
                 yield part.filter(pa.array(work(part.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

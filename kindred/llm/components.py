@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is a grouped minimum (pre-aggregated) and a join back, so no component meets in one task;
-stars of a few rounds need a few steps. Each step's edges are written to the shared folder.
+Every step is a grouped minimum (pre-aggregated), written to the shared folder, and a join back to it, in
+which Spark can split the edges of a star's centre: no component meets in one task. Stars of a few
+rounds need a few steps.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     node links its smaller neighbours and itself to the least of them."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(least, "least")
         out = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = out.unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter(F.col("u") != F.col("v")).distinct()

@@ -8,13 +8,17 @@ Documents whose weighted Jaccard similarity over five-word shingles (weights: oc
 2. Nodes that share a band meet in a bucket. A bucket never emits its pairs: in each of ``rounds``
    rounds it names one leader, and only (leader, member of another component) pairs are checked, on the
    shingles themselves. So a bucket of n nodes costs n pairs a round.
-3. For the rest, buckets that still hold several components are dealt into bounded blocks; members
-   outside a bucket's largest component are compared with all others by signature, and those that agree
-   in at least ``agree`` of the coordinates are checked on shingles there; only links leave the block. So
-   no link of a shared bucket is lost but by a deviation of 4.5 standard errors of the signature.
+3. For the rest, buckets that still hold several components are dealt into blocks of at most about
+   ``block`` bytes; members outside a bucket's largest component are compared with all others by
+   signature, and those that agree in at least ``agree`` of the coordinates are checked on shingles there;
+   only links leave the block. A pair that shares a bucket is lost only if its signature lies 4.5 standard
+   errors under its similarity (3.4e-6 for a pair at the threshold).
 
 With 20 bands of 4 rows, a pair at similarity 0.8 shares a band with probability 1 - 2.6e-5.
 
+Every join of many rows to one by a bucket, node or component has a written table on its unique side, so
+that Spark can split the hot keys of the other.
+
 Defined results: null is the empty text; texts without words link only to equal texts; the class id is
 the smallest document id; repeated rows get the class of their text.
 """
@@ -26,62 +30,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import discard, documents, materialize, release, slices
 from .components import components
 from .dart_minhash import U, mix, signatures
 from .shingles import jaccard, multiset, shingles
 
-BLOCK = 500
-
-
-def _slices(texts: list, chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
-    lo = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size > chars or k - lo >= 20_000:
-            yield lo, k + 1
-            lo, size = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+#: Bytes of shingles and signatures that a block holds on either side, about.
+BLOCK = 8 << 20
 
 
 def sketch(df: DataFrame, bands: int = 20, rows: int = 4, size: int = 5) -> DataFrame:
-    """doc_id, node, worded, bands array<long>, packed (the bands, 8 bytes each), signature (one byte a coordinate), shingles (binary)."""
+    """row (unique), doc_id, node, worded, bands array<long>, signature (one byte a coordinate), shingles (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what earlier steps kept in this worker
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in _slices(texts):
-                part = texts[lo:hi]
-                owner, value, times, sequence = shingles(part, size)
-                sig = signatures(owner, value, times.astype(float), len(part), bands * rows)
+            for part in slices(batch, 2 << 20, 10_000):
+                texts, n = part.column(1).to_pylist(), part.num_rows
+                owner, value, times, sequence = shingles(texts, size)
+                sig = signatures(owner, value, times.astype(float), n, bands * rows)
                 with np.errstate(over="ignore"):
-                    key = np.tile(np.arange(bands, dtype=U), (len(part), 1))
+                    key = np.tile(np.arange(bands, dtype=U), (n, 1))
                     for r in range(rows):
                         key = mix(key * U(0x9E3779B97F4A7C15) + sig[:, r::rows])
                 for at in np.flatnonzero(sequence == 0):
-                    sequence[at] = _blank(part[at])
+                    sequence[at] = _blank(texts[at])
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": batch.column(0).slice(lo, hi - lo),
+                        "row": pa.array(np.arange(row, row + n)),
+                        "doc_id": part.column(0),
                         "node": pa.array(sequence.view(np.int64)),
-                        "worded": pa.array(np.bincount(owner, minlength=len(part)) > 0),
-                        "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * bands), pa.array(key.ravel().view(np.int64))),
-                        "packed": pa.array([r.tobytes() for r in key.astype("<u8")], pa.binary()),
+                        "worded": pa.array(np.bincount(owner, minlength=n) > 0),
+                        "bands": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.ravel().view(np.int64))),
                         "signature": pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary()),
-                        "shingles": pa.array(multiset(owner, value, times, len(part)), pa.binary()),
+                        "shingles": pa.array(multiset(owner, value, times, n), pa.binary()),
                     }
                 )
+                row += n
 
-    return documents(df).mapInArrow(run, "doc_id long, node long, worded boolean, bands array<long>, packed binary, signature binary, shingles binary")
+    return documents(df).mapInArrow(run, "row long, doc_id long, node long, worded boolean, bands array<long>, signature binary, shingles binary")
 
 
 def _blank(text: str | None) -> int:
     """The node of a text without words: a hash of the text itself."""
-    raw = (text or "").encode()
+    raw = (text or "").encode("utf-8", "replace")
     return zlib.crc32(raw) << 32 | zlib.adler32(raw)
 
 
@@ -92,8 +89,7 @@ def _check(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for part in slices(batch):
                 sure = [jaccard(x, y) >= threshold for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield pa.RecordBatch.from_pydict({"a": part.column(0), "b": part.column(1), "linked": pa.array(sure, pa.bool_())})
 
@@ -109,21 +105,25 @@ def _with_component(bucketed: DataFrame, comp: DataFrame | None) -> DataFrame:
 def _led(rows: DataFrame, turn: int) -> DataFrame:
     """(a, b) of each bucket's leader and its members of other components."""
     heads = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "component")).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    heads = heads.filter("lo < hi").select("bucket", F.col("head.node").alias("leader"), F.col("head.component").alias("own"))
+    heads = materialize(heads.filter("lo < hi").select("bucket", F.col("head.node").alias("leader"), F.col("head.component").alias("own")), "heads")
     pairs = rows.join(heads, "bucket").filter("component <> own").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
     return pairs.distinct()
 
 
-def _rest(rows: DataFrame, features: DataFrame, agree: int, threshold: float, block: int = BLOCK) -> DataFrame:
+def _rest(rows: DataFrame, features: DataFrame, agree: int, threshold: float, block: int = BLOCK, met: int = 2) -> DataFrame:
     """Linked pairs (a, b) of bucket mates in different components. rows: bucket, band, node, component;
-    features: node, bands (8 bytes each), signature, shingles. A pair that shares several bands is looked at in the first
-    of them only, by the full band hashes that key the buckets; its signatures must agree in ``agree`` coordinates, and then its shingles decide. A member needs one link
-    to each other component, so it asks the likeliest first and stops at the first that holds."""
+    features: node, bands, signature, shingles, bytes. Buckets of at most ``met`` rows are done (both members
+    of a bucket of two meet in the first leader round). A pair that shares several bands is looked at in the first
+    of them only, by the band hashes that key the buckets; its signatures must agree in ``agree``
+    coordinates, and then its shingles decide. A member needs one link to each other component, so it asks
+    the likeliest first and stops at the first that holds. A bucket's rows are copied once for each of its
+    blocks; at 8 MB a block and 2 kB a row that is n / 4000 copies."""
     parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
-    # both members of a bucket of two met in the first leader round
-    buckets = buckets.filter("parts > 1 AND n > 2").select("bucket", F.col("top.component").alias("largest"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = rows.join(buckets, "bucket").withColumn("mine", F.expr("pmod(hash(node), blocks)").cast("int")).join(features, "node")
+    buckets = materialize(buckets.filter((F.col("parts") > 1) & (F.col("n") > met)).select("bucket", F.col("top.component").alias("largest")), "open")
+    rows = rows.join(buckets, "bucket")
+    sizes = rows.join(features.select("node", "bytes"), "node").groupBy("bucket").agg(F.ceil(F.sum("bytes") / block).cast("int").alias("blocks"))
+    rows = rows.join(materialize(sizes, "blocks"), "bucket").withColumn("mine", F.expr("pmod(hash(node), blocks)").cast("int")).join(features, "node")
     every = F.explode(F.expr("sequence(0, blocks - 1)"))
     keep = ["band", "node", "component", "bands", "signature", "shingles"]
     left = rows.filter("component <> largest").select("*", every.alias("other")).select("bucket", F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(True).alias("asks"), *keep)
@@ -135,12 +135,13 @@ def _rest(rows: DataFrame, features: DataFrame, agree: int, threshold: float, bl
         found: list[tuple[int, int]] = []
         if len(ask) and len(rest):
             sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
-            full = np.frombuffer(b"".join(table["bands"].to_pylist()), "<i8").reshape(table.num_rows, -1)
+            full = np.asarray(table["bands"].combine_chunks().flatten()).reshape(table.num_rows, -1)
             band, packed = table["band"][0].as_py(), table["shingles"]
+            there, their = sig[rest], comp[rest]
             for k in ask:
-                score = (sig[rest] == sig[k]).sum(1)
+                score = (there == sig[k]).sum(1)
                 done: set[int] = set()
-                hit = np.flatnonzero((score >= agree) & (comp[rest] != comp[k]))
+                hit = np.flatnonzero((score >= agree) & (their != comp[k]))
                 hit = hit[(full[rest[hit], :band] != full[k, :band]).all(1)]
                 mine = packed[int(k)].as_py() if len(hit) else b""
                 for at in hit[np.argsort(-score[hit], kind="stable")]:
@@ -159,13 +160,14 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, bands: int = 20, rows
     if agree is None:
         agree = int(k * threshold - 4.5 * np.sqrt(k * threshold * (1 - threshold)))
     table = materialize(sketch(df, bands, rows, size), "sketch")
-    nodes = table.filter("worded").groupBy("node").agg(F.first("bands").alias("bands"))
-    exploded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    bucketed = materialize(exploded.join(shared, "bucket").select("bucket", "band", "node"), "buckets")
-    wanted = bucketed.select("node").distinct()
-    features = table.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("bands"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
-    features = materialize(features, "features")
+    # one row stands for the rows of its node
+    nodes = table.filter("worded").groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
+    exploded = nodes.select("node", "row", F.posexplode("bands").alias("band", "bucket"))
+    shared = materialize(exploded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared")
+    bucketed = materialize(exploded.join(shared, "bucket").select("bucket", "band", "node", "row"), "buckets")
+    wanted = bucketed.select("row").distinct()
+    features = materialize(table.join(wanted, "row", "left_semi").select("node", "bands", "signature", "shingles", (F.length("shingles") + F.length("signature") + 8 * F.size("bands")).alias("bytes")), "features")
+    bucketed = bucketed.drop("row")
     checked, comp = None, None
     for turn in range(rounds):
         pairs = _led(_with_component(bucketed, comp), turn)
@@ -175,14 +177,13 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, bands: int = 20, rows
         checked = fresh if checked is None else checked.unionByName(fresh)
         if turn == 0 or not fresh.filter("linked").isEmpty():
             comp = components(checked.filter("linked"))
-    rest = _rest(_with_component(bucketed, comp), features, agree, threshold, block)
-    rest = materialize(rest, "rest")
-    if not rest.isEmpty():
-        comp = components(checked.filter("linked").select("a", "b").unionByName(rest))
-    # table: one row a document; hot nodes are split by the skew join, the node side has one row each
+    rest = materialize(_rest(_with_component(bucketed, comp), features, agree, threshold, block, 2 if rounds else 1), "rest")
+    discard(features, bucketed, shared)
+    links = rest if checked is None else checked.filter("linked").select("a", "b").unionByName(rest)
+    if comp is None or not rest.isEmpty():
+        comp = components(links)
     least = table.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(comp, "node", "left")
-    least = least.withColumn("component", F.coalesce("component", "node"))
-    least = materialize(least, "nodes")
-    class_of = least.groupBy("component").agg(F.min("first_id").alias("class_id"))
+    least = materialize(least.withColumn("component", F.coalesce("component", "node")), "nodes")
+    class_of = materialize(least.groupBy("component").agg(F.min("first_id").alias("class_id")), "classes")
     named = least.join(class_of, "component").select("node", "class_id")
     return table.select("doc_id", "node").join(named, "node").select("doc_id", "class_id")

@@ -13,35 +13,71 @@ from __future__ import annotations
 
 import json
 import os
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, documents, materialize
+from .common import documents, materialize, slices, worker_state
 
 WINDOW = 4096
 PIECE = ("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-class WordTokenizer:
-    """ids of the tokenizer file. Its pattern drops blanks and never spans them, so the text's pieces
-    between spaces and line ends stand alone and are memoized. A piece that was never seen is cut into
-    the pattern's matches, and the unseen ones of a batch are encoded as one blank-separated text, whose
-    ids fall apart at the tokens that end a word. Pieces that the tokenizer's normalizer might treat
-    otherwise (special tokens, not in NFC, letters with context-dependent lower case or outside the long-settled blocks of Unicode) are encoded alone."""
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of the runs [start, start + size) one after another."""
+    size = size.astype(np.int64)
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+class WordTable:
+    """Ids of words that were seen, in one pool. When it is full, the more frequent half stays."""
+
+    def __init__(self, dtype: str, limit: int = 500_000):
+        self.dtype, self.limit = dtype, limit
+        self._set({"": 0}, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, dtype), np.ones(1, np.int64))
+
+    def _set(self, index: dict, start: np.ndarray, size: np.ndarray, pool: np.ndarray, hits: np.ndarray) -> None:
+        self.index, self.start, self.size, self.pool, self.hits = index, start, size, pool, hits
+
+    def room(self) -> None:
+        if len(self.index) <= self.limit:
+            return
+        keep = np.sort(np.argsort(-self.hits, kind="stable")[: self.limit // 2])
+        keep = np.union1d(keep, [0])
+        place = np.full(len(self.hits), -1)
+        place[keep] = np.arange(len(keep))
+        place = place.tolist()
+        index = {w: place[k] for w, k in self.index.items() if place[k] >= 0 and len(w) <= 200}
+        size = self.size[keep]
+        self._set(index, np.cumsum(size) - size, size, self.pool[ragged(self.start[keep], size)], self.hits[keep] // 2)
 
-    SPECIAL = re.compile("<\\||[\u03a3\u0130]|[^\0-\u024f\u0370-\u03ff\u0400-\u04ff]")
+    def add(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        self._set(self.index, np.concatenate((self.start, len(self.pool) + np.cumsum(size) - size)), np.concatenate((self.size, size)), np.concatenate((self.pool, ids)), np.concatenate((self.hits, np.zeros(len(words), np.int64))))
+
+
+class WordTokenizer:
+    """ids of the tokenizer file, a column at once. Its pattern drops blanks and never spans them, so the
+    column is cut at blanks and only its distinct pieces are looked at; these are cut into the pattern's
+    matches, and the distinct ones that were never seen are encoded as one blank-separated text, whose ids
+    fall apart at the tokens that end a word. Pieces that the tokenizer's normalizer might treat otherwise
+    (special tokens, control characters, not in NFC, letters with context-dependent lower case or outside
+    the long-settled blocks of Unicode) are encoded alone."""
+
+    #: In what is left every text is in NFC.
+    ODD = r"<\||[\x{3a3}\x{130}\x{374}\x{37e}\x{387}\x00-\x1f\x7f-\x{a0}]|[^\x00-\x{24f}\x{370}-\x{3ff}\x{400}-\x{4ff}]"
+    #: The one pattern whose matches the expression below finds in pieces without odd characters.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,59 +86,76 @@ class WordTokenizer:
         self.width = int(self.dtype[2])
         spec = json.loads(self.tokenizer.to_str())
         suffix = spec["model"].get("end_of_word_suffix")
-        splits = [x for x in spec["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "Split"]
-        self.pattern = regex.compile(splits[0]["pattern"]["Regex"]) if suffix and len(splits) == 1 and splits[0]["invert"] else None
+        splits = [x for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        self.by_word = bool(suffix) and len(splits) == 1 and splits[0]["invert"] and splits[0]["pattern"].get("Regex") == self.PATTERN
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix or "\0") for i in range(size)])
-        self.known, self.words = Cache(), Cache()
+        self.table = WordTable(self.dtype)
 
-    def _alone(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.fromiter(map(len, coded), np.int64, len(coded)), np.array([i for c in coded for i in c], self.dtype)
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
+        sizes, coded = [], []
         for lo in range(0, len(words), 5000):
             part = words[lo : lo + 5000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) != len(part):
-                self.words.update(zip(part, self._alone(part)))
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, to in zip(part, (stop * self.width).tolist()):
-                self.words[w] = raw[at:to]
-                at = to
-
-    def _learn(self, pieces: list[str]) -> None:
-        odd = [c for c in pieces if self.pattern is None or not (c.isascii() or unicodedata.is_normalized("NFC", c)) or self.SPECIAL.search(c)]
-        self.known.update(zip(odd, self._alone(odd)))
-        rest = [c for c in pieces if c not in self.known] if odd else pieces
-        split = [self.pattern.findall(c.lower()) for c in rest]
-        self._learn_words(list({w for ws in split for w in ws if w not in self.words}))
-        get = self.words.__getitem__
-        for c, ws in zip(rest, split):
-            self.known[c] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        self.known.room()
-        self.words.room()
-        known = self.known
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        missing = list({c for cs in cut for c in cs if c not in known})
-        self._learn(missing)
-        get = known.__getitem__
-        out = [b"".join(map(get, cs)) for cs in cut]
-        for c in missing:
-            if len(c) > 200:
-                del known[c]
-        return out
-
-
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+            size = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+            if len(size) != len(part):
+                size, ids = self._alone(part)
+            sizes.append(size)
+            coded.append(ids)
+        if words:
+            self.table.add(words, np.concatenate(sizes), np.concatenate(coded))
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, size, ids) of each distinct piece."""
+        odd = np.asarray(pc.match_substring_regex(pieces, self.ODD))
+        split = pc.utf8_lower(pc.if_else(pa.array(odd), "", pieces) if odd.any() else pieces).dictionary_encode()
+        # "don't..." to "don 't ...": the matches with a blank after each
+        words = pc.replace_substring_regex(split.dictionary, pattern="(" + self.PATTERN + ")", replacement=r"\1 ")
+        words = pc.split_pattern(pc.utf8_rtrim(words, " "), " ")
+        distinct = words.values.dictionary_encode()
+        table, names = self.table, distinct.dictionary.to_pylist()
+        self._learn([w for w in names if w not in table.index])
+        spot = np.fromiter(map(table.index.__getitem__, names), np.int64, len(names))
+        table.hits[spot] += np.bincount(distinct.indices, minlength=len(names))
+        spot = spot[np.asarray(distinct.indices)]
+        ids = table.pool[ragged(table.start[spot], table.size[spot])]
+        ends = np.append(0, np.cumsum(table.size[spot]))[np.asarray(words.offsets)]
+        which = np.asarray(split.indices)
+        first, size = ends[:-1][which], np.diff(ends)[which]
+        if odd.any():
+            at = np.flatnonzero(odd)
+            size[at], more = self._alone(pieces.take(pa.array(at)).to_pylist())
+            first[at] = len(ids) + np.cumsum(size[at]) - size[at]
+            ids = np.concatenate((ids, more))
+        return first, size, ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids); null is the empty text."""
+        if not self.by_word:
+            return self._alone([t or "" for t in texts.to_pylist()])
+        self.table.room()
+        for blank in "\t\r\n":
+            texts = pc.replace_substring(texts, blank, " ")
+        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        pieces = cut.values.dictionary_encode()
+        first, size, ids = self._pieces(pieces.dictionary)
+        which = np.asarray(pieces.indices)
+        size = size[which]
+        ends = np.append(0, np.cumsum(size))[np.asarray(cut.offsets)]
+        return np.diff(ends), ids[ragged(first[which], size)]
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    return worker_state(("words", path), lambda: WordTokenizer(path))
+
+
+def binary(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Runs of ``sizes`` values each as a binary column."""
+    ends = np.append(0, np.cumsum(sizes)) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
 
 
 def tokenize(df: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -110,19 +163,18 @@ def tokenize(df: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, before = tokenizer(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], tok.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
-                coded = [c + end for c in tok.encode(rows.column(1).to_pylist())]
-                n = np.fromiter(map(len, coded), np.int64, len(coded)) // tok.width
+            for rows in slices(batch, 6 << 20, 10_000):
+                n, ids = tok.encode(rows.column(1))
+                ids = np.insert(ids, np.cumsum(n), end_id)
+                n = n + 1
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array(np.full(len(n), part, np.int32)),
                         "before": pa.array(before + np.cumsum(n) - n),
                         "doc_id": rows.column(0),
                         "n": pa.array(n),
-                        "ids": pa.array(coded, pa.binary()),
+                        "ids": binary(n, ids),
                     }
                 )
                 before += int(n.sum())
@@ -155,13 +207,11 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WIND
     placed = placed.select("doc_id", "n", (F.col("base") + F.col("before")).alias("base"), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = np.dtype(tokenizer(tokenizer_path).dtype)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                rows = batch.slice(lo, 1000)
+            for rows in slices(batch):
                 out: list[tuple] = []
                 for doc, n, base, ids in zip(*(c.to_pylist() for c in rows.columns)):
-                    wide = np.frombuffer(ids, dtype).astype("<u4").tobytes()
+                    wide = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
                     for start, length, seq, off in cut(base, n, window):
                         piece = wide[4 * start : 4 * (start + length)]
                         out.append((doc, start, length, piece, zlib.crc32(piece), n, seq, off))

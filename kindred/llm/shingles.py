@@ -7,6 +7,8 @@ without words has none.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from .dart_minhash import U, mix
@@ -17,15 +19,14 @@ _P = 0x5851F42D4C957F2D
 _P_INV = pow(_P, -1, 1 << 64)
 
 
+#: Bytes hashed at once; the tables of powers have as many entries, whatever the text.
+CHUNK = 1 << 18
+
+
+@lru_cache(2)
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    step = min(n, 4096)
-    head, acc = [], 1
-    for _ in range(step):
-        head.append(acc)
-        acc = acc * base % (1 << 64)
-    out[:step] = head
-    done = step
+    out = np.empty(n, U)
+    out[0], done = 1, 1
     with np.errstate(over="ignore"):
         while done < n:
             take = min(done, n - done)
@@ -34,27 +35,40 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_POW = {"up": _powers(_P, 1), "down": _powers(_P_INV, 1)}
-
-
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, hash) of every word, in order. A word's hash is its bytes' polynomial,
-    from a running sum over the batch, and its length, mixed."""
-    raw = [(t or "").lower().encode() for t in texts]
+    """(number of the text, hash) of every word, in order. A word's hash is its bytes' polynomial, from a
+    running sum over a chunk of bytes, and its length, mixed; a word that a chunk's end cuts is put together."""
+    raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
     flat = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    n = len(flat)
-    if len(_POW["up"]) < n + 1:
-        _POW["up"], _POW["down"] = _powers(_P, n + 1), _powers(_P_INV, n + 1)
-    is_word = _WORD[flat]
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], is_word.view(np.int8), [0]))))
-    start, end = edge[::2], edge[1::2]
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    del raw
+    up, down = _powers(_P, CHUNK), _powers(_P_INV, CHUNK)
+    starts, ends, sums = [], [], []
+    for lo in range(0, len(flat), CHUNK):
+        part = flat[lo : lo + CHUNK]
+        edge = np.flatnonzero(np.diff(_WORD[part].view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        start, end = edge[::2], edge[1::2]
+        if not len(start):
+            continue
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(part) + 1, U)
+            np.cumsum((part.astype(U) + U(1)) * up[: len(part)], out=total[1:])
+            value = (total[end] - total[start]) * down[start]
+            start, end = start + lo, end + lo
+            if starts and ends[-1][-1] == start[0]:
+                sums[-1][-1] += value[0] * U(pow(_P, int(ends[-1][-1] - starts[-1][-1]), 1 << 64))
+                ends[-1][-1] = end[0]
+                start, end, value = start[1:], end[1:], value[1:]
+        if len(start):
+            starts.append(start)
+            ends.append(end)
+            sums.append(value)
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    start, end, value = (np.concatenate(x) for x in (starts, ends, sums))
     with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, U), np.cumsum((flat.astype(U) + U(1)) * _POW["up"][:n])))
-        value = (total[end] - total[start]) * _POW["down"][start]
         value = mix(value + mix((end - start).astype(U)))
-    size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-    text = np.searchsorted(np.cumsum(size), start, side="right")
-    return text, value
+    return np.searchsorted(np.cumsum(size), start, side="right"), value
 
 
 def shingles(texts: list[str | None], size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +86,7 @@ def shingles(texts: list[str | None], size: int = 5) -> tuple[np.ndarray, np.nda
         value = word.copy()
         for k in range(1, size):
             later = np.zeros_like(word)
-            later[: len(word) - k] = word[k:]
+            later[: max(len(word) - k, 0)] = word[k:]
             value = np.where(spot + k < count[text], value * U(0x2545F4914F6CDD1D) + later, value)
         starts = np.flatnonzero(spot <= np.maximum(count[text] - size, 0))
         owner = text[starts].astype(U)

@@ -39,7 +39,7 @@ class ToxicityModel:
     table: np.ndarray
     softmax: np.ndarray
     bias: np.ndarray
-    memo: Cache = field(default_factory=lambda: Cache(600_000))
+    memo: Cache = field(default_factory=Cache)
 
     def __post_init__(self):
         #: each bucket's share of the difference of the two logits
@@ -56,15 +56,16 @@ class ToxicityModel:
 
     def score(self, texts: list) -> list[float]:
         memo = self.memo
-        memo.room()
         out = []
         for t in texts:
+            memo.room()
             chunks = (t or "").lower().split()
-            for c in chunks:
-                if c not in memo:
-                    ws = LETTERS.findall(c)
-                    memo[c] = complex(sum(map(self.word, ws)), len(ws))
+            fresh = {c for c in chunks if c not in memo}
+            for c in fresh:
+                ws = LETTERS.findall(c)
+                memo[c] = complex(sum(map(self.word, ws)), len(ws))
             total = sum(map(memo.__getitem__, chunks), 0j)
+            memo.forget(fresh)
             logit = self.bias[1] - self.bias[0] + (total.real / total.imag if total.imag else 0.0)
             out.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
         return out

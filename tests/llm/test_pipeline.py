@@ -1,25 +1,24 @@
 """The pipeline over the smallest tables, and stages over rows with nulls and repeats."""
 
 import corpus_pipeline
-from conftest import DATA
 
 from kindred.llm.common import table
 
 
-def test_stages_keep_columns_and_take_effect(spark, tmp_path):
-    docs = table(spark, DATA, "documents")
+def test_stages_keep_columns_and_take_effect(spark, sf_dir, tmp_path):
+    docs = table(spark, sf_dir, "documents")
     columns = docs.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
-        stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
         after = spark.read.parquet(str(tmp_path / name))
         assert after.columns == columns and after.exceptAll(docs).isEmpty() and 0 < after.count() <= docs.count()
         docs = after
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
-def test_dedup_stage_keeps_one_of_a_group(spark):
+def test_dedup_stage_keeps_one_of_a_group(spark, sf_dir):
     rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (2, "A b c d e f g.", None), (3, None, None), (4, "other words", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
-    kept = [r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, DATA).collect()]
+    kept = [r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, sf_dir).collect()]
     assert sorted(kept) == [1, 3, 4]

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -56,11 +57,23 @@ def test_round_trip(docs, reference):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.text(max_size=150))
-def test_word_tokenizer_equals_library(text):
+@given(st.lists(st.text(max_size=150), max_size=4))
+def test_word_tokenizer_equals_library(texts):
     tok = packing.tokenizer(WORDS)
-    want = tok.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(tok.encode([text])[0], tok.dtype).tolist() == want
+    n, ids = tok.encode(pa.array(texts, pa.string()))
+    want = [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_word_tokenizer_odd_pieces_and_a_full_table():
+    tok = packing.WordTokenizer(WORDS)
+    tok.table.limit = 20
+    texts = ["Don't it's 'Sabc ''s I'VE 12 3x\t4\n\ny", "<|endoftext|> ab<|endoftext|>", "\u0130stanbul \u03a3\u0391\u03a3 \u00bd \u2461", "e\u0301 \u00e9 x\xa0y x\u3000y \u6f22\u5b57", None, "", " ", "a\rb '", "'ll ab'll's", "x\x85y\x1cz", "\u037e ok", "word " * 40 + "y" * 3000]
+    for _ in range(3):
+        n, ids = tok.encode(pa.array(texts))
+        want = [tok.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        texts = texts[3:] + [" ".join(f"word{k}" for k in range(40))]
 
 
 def test_packing_is_gapless(docs):
