@@ -13,11 +13,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Cache, documents, map_rows, worker_state
+from .common import documents, slices, worker_state
+from .runs import RunTable, binary, bounds, ragged
 
 NONE = np.int64(2**62)
 #: Widest row of the numpy trees; longer pre-tokens take the scalar tree.
@@ -49,8 +53,8 @@ class SegmentTreeBPE:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.merged[at], NONE)
 
-    def _batch(self, words: list[bytes], width: int) -> list[np.ndarray]:
-        """All words have at most ``width`` bytes; entries are rank * width + position."""
+    def _batch(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids). All words have at most ``width`` bytes; entries are rank * width + position."""
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n)
         flat = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
@@ -94,9 +98,11 @@ class SegmentTreeBPE:
                 put(r, b, np.where(pair < NONE, pair * width + b, NONE))
             rows = rows[tree[rows, 1] < NONE]
         keep = ids >= 0
-        return np.split(ids[keep].astype("<u4"), np.cumsum(keep.sum(1))[:-1])
+        return keep.sum(1), ids[keep].astype("<u4")
 
     def _long(self, word: bytes) -> np.ndarray:
+        if not word:
+            return np.zeros(0, "<u4")
         n, none = len(word), (1 << 62, 0)
         width = 1 << (n - 1).bit_length()
         ids = self.first[np.frombuffer(word, np.uint8)].tolist()
@@ -138,76 +144,97 @@ class SegmentTreeBPE:
                 put(b, none if r is None else (r, b))
         return np.array([i for i in ids if i >= 0], "<u4")
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        out: list = [None] * len(words)
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids)."""
         groups: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            whole = self.ranks.get(w)
-            if whole is not None:
-                out[k] = np.array([whole], "<u4")
-            elif len(w) > WIDE:
-                out[k] = self._long(w)
-            elif not w:
-                out[k] = np.array([], "<u4")
-            else:
-                groups.setdefault(max(4, 1 << (len(w) - 1).bit_length()), []).append(k)
+            # 0: one id; 1: the scalar tree; else the width of a numpy tree
+            width = 0 if w in self.ranks else 1 if len(w) > WIDE or not w else max(4, 1 << (len(w) - 1).bit_length())
+            groups.setdefault(width, []).append(k)
+        place, sizes, ids = [], [], []
         for width, at in groups.items():
             for lo in range(0, len(at), 20_000):
                 part = at[lo : lo + 20_000]
-                for k, ids in zip(part, self._batch([words[k] for k in part], width)):
-                    out[k] = ids
-        return out
+                if width > 1:
+                    size, coded = self._batch([words[k] for k in part], width)
+                elif width:
+                    runs = [self._long(words[k]) for k in part]
+                    size, coded = np.fromiter(map(len, runs), np.int64, len(runs)), np.concatenate(runs)
+                else:
+                    size, coded = np.ones(len(part), np.int64), np.array([self.ranks[words[k]] for k in part], "<u4")
+                place.append(part)
+                sizes.append(size)
+                ids.append(coded)
+        if not place:
+            return np.zeros(0, np.int64), np.zeros(0, "<u4")
+        order, size = np.argsort(np.concatenate(place)), np.concatenate(sizes)
+        return size[order], np.concatenate(ids)[ragged((np.cumsum(size) - size)[order], size[order])]
 
 
 class Encoder:
-    """Whole texts to little-endian 32-bit ids. Blank-separated chunks are memoized: no match of the
-    pattern crosses from a non-blank to a blank, so each chunk with the blanks before it stands alone."""
+    """Columns of whole texts to 32-bit ids and back. A text is cut at blanks, and only the column's distinct
+    chunks are looked at: no match of the pattern crosses from a non-blank to a blank, so each chunk with
+    the blanks before it stands alone."""
+
+    #: Texts that are not words with single blanks or line ends between them.
+    UNEVEN = r"^$|^[ \n]|[ \n][ \n]|[ \n]\z|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
     def __init__(self, ranks_path: str, pattern: str):
         import regex
 
         self.bpe = SegmentTreeBPE(read_ranks(ranks_path))
         self.pattern = regex.compile(pattern)
-        self.chunks, self.words = Cache(800_000, 32_000_000), Cache()
+        self.chunks, self.words = RunTable("<u4"), RunTable("<u4", 300_000)
+        top = max(self.bpe.vocab) + 1
+        self.bytes = np.frombuffer(b"".join(self.bpe.vocab.get(i, b"") for i in range(top)), np.uint8)
+        self.byte_count = np.array([len(self.bpe.vocab.get(i, b"")) for i in range(top)], np.int64)
+        self.byte_start = np.cumsum(self.byte_count) - self.byte_count
 
-    def _fill(self, missing: list[str]) -> None:
+    def _learn(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A key that starts with a letter or sign stands for that chunk after one space."""
-        split = [[m.encode() for m in self.pattern.findall(c[1:] if c[:1] == "\0" else c if c[:1] == "\n" else " " + c)] for c in missing]
-        fresh = list({w for ws in split for w in ws if w not in self.words})
-        for w, ids in zip(fresh, self.bpe.encode_words(fresh)):
-            self.words[w] = ids.tobytes()
-        get = self.words.__getitem__
-        for c, ws in zip(missing, split):
-            self.chunks[c] = b"".join(map(get, ws))
-        self.words.forget(fresh)
+        split = [self.pattern.findall(c[1:] if c[:1] == "\0" else c if c[:1] == "\n" else " " + c) for c in keys]
+        index: dict[str, int] = {}
+        which = np.array([index.setdefault(w, len(index)) for ws in split for w in ws], np.int64)
+        self.words.room()
+        spot = self.words.find(list(index), np.bincount(which, minlength=len(index)), lambda ws: self.bpe.encode_words([w.encode("utf-8", "replace") for w in ws]))
+        size, ids = self.words.gather(spot[which])
+        return np.diff(bounds(size)[bounds(np.fromiter(map(len, split), np.int64, len(split)))]), ids
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """Memo keys of a text's chunks; a leading NUL marks one that is taken literally."""
+        """Keys of an uneven text's chunks; a leading NUL marks one that is taken literally."""
         if not text:
             return []
         if ODD_SPACE.search(text) or "\0" in text:
             return ["\0" + text]
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-            return ["\0" + c for c in CHUNK.findall(text)]
-        out = text.replace("\n", " \n").split(" ")
-        out[0] = "\0" + out[0]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        self.words.room()
+        return ["\0" + c for c in CHUNK.findall(text)]
+
+    def _keys(self, texts: pa.Array) -> pa.ListArray:
+        uneven = np.asarray(pc.match_substring_regex(texts, self.UNEVEN))
+        at = np.flatnonzero(uneven)
+        even = texts.filter(pa.array(~uneven)) if len(at) else texts
+        keys = pc.split_pattern(pc.binary_join_element_wise("\0", pc.replace_substring(even, "\n", " \n"), ""), " ")
+        if not len(at):
+            return keys
+        rest = pa.array([self.cut(t) for t in texts.take(pa.array(at)).to_pylist()], pa.list_(pa.string()))
+        place = np.argsort(np.concatenate((np.flatnonzero(~uneven), at)), kind="stable")
+        return pa.concat_arrays([keys, rest]).take(pa.array(place))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids); null is the empty text."""
         self.chunks.room()
-        cut = [self.cut(t or "") for t in texts]
-        known = self.chunks
-        missing = {c for cs in cut for c in cs if c not in known}
-        self._fill(list(missing))
-        get = known.__getitem__
-        out = [b"".join(map(get, cs)) for cs in cut]
-        known.forget(missing)
-        return out
+        keys = self._keys(pc.fill_null(texts, ""))
+        chunks = keys.flatten().dictionary_encode()
+        which = np.asarray(chunks.indices)
+        spot = self.chunks.find(chunks.dictionary.to_pylist(), np.bincount(which, minlength=len(chunks.dictionary)), self._learn)
+        sizes, ids = self.chunks.gather(spot[which])
+        many = np.asarray(pc.list_value_length(keys))
+        return np.diff(bounds(sizes)[bounds(many)]), ids
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bpe.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of each id, all bytes)."""
+        size = self.byte_count[ids]
+        return size, self.bytes[ragged(self.byte_start[ids], size)]
 
 
 def encoder(ranks_path: str, pattern: str) -> Encoder:
@@ -215,31 +242,30 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
     return worker_state(("bytes", ranks_path, pattern), lambda: Encoder(ranks_path, pattern))
 
 
-def encode_documents(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit) for every row."""
+def _map(df: DataFrame, ranks_path: str, pattern: str, columns: Callable[[Encoder, np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
+    """doc_id and the columns made from (number of ids, all ids) of a slice of rows."""
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
-        return lambda ids, texts: {"doc_id": ids, "ids": enc.encode(texts)}
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0)} | columns(enc, *enc.encode(part.column(1))))
 
-    return map_rows(documents(df), make, "doc_id long, ids binary")
+    return documents(df).mapInArrow(run, "doc_id long, " + schema)
 
 
-def round_trip(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encode, decode the ids, and digest both."""
+def encode_documents(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, ids (binary, little-endian unsigned 32-bit) for every row."""
+    return _map(df, ranks_path, pattern, lambda enc, n, ids: {"ids": binary(n, ids)}, "ids binary")
 
-    def make():
-        enc = encoder(ranks_path, pattern)
 
-        def work(ids, texts):
-            coded = enc.encode(texts)
-            return {
-                "doc_id": ids,
-                "n_tokens": [len(c) // 4 for c in coded],
-                "ids_sha256": [hashlib.sha256(c).hexdigest() for c in coded],
-                "decoded_sha256": [hashlib.sha256(enc.decode(c)).hexdigest() for c in coded],
-            }
+def round_trip(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Encode, decode the ids, and digest both."""
 
-        return work
+    def digests(enc: Encoder, n: np.ndarray, ids: np.ndarray) -> dict:
+        ends = bounds(n)
+        size, text = enc.decode(ids)
+        parts = lambda data, at: pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])], pa.string())
+        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": parts(ids, ends), "decoded_sha256": parts(text, bounds(size)[ends])}
 
-    return map_rows(documents(df), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _map(df, ranks_path, pattern, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")

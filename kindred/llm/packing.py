@@ -24,45 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, slices, worker_state
+from .runs import RunTable, binary, bounds, ragged
 
 WINDOW = 4096
 PIECE = ("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Positions of the runs [start, start + size) one after another."""
-    size = size.astype(np.int64)
-    end = np.cumsum(size)
-    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
-
-
-class WordTable:
-    """Ids of words that were seen, in one pool. When it is full, the more frequent half stays."""
-
-    def __init__(self, dtype: str, limit: int = 500_000):
-        self.dtype, self.limit = dtype, limit
-        self._set({"": 0}, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, dtype), np.ones(1, np.int64))
-
-    def _set(self, index: dict, start: np.ndarray, size: np.ndarray, pool: np.ndarray, hits: np.ndarray) -> None:
-        self.index, self.start, self.size, self.pool, self.hits = index, start, size, pool, hits
-
-    def room(self) -> None:
-        if len(self.index) <= self.limit:
-            return
-        keep = np.sort(np.argsort(-self.hits, kind="stable")[: self.limit // 2])
-        keep = np.union1d(keep, [0])
-        place = np.full(len(self.hits), -1)
-        place[keep] = np.arange(len(keep))
-        place = place.tolist()
-        index = {w: place[k] for w, k in self.index.items() if place[k] >= 0 and len(w) <= 200}
-        size = self.size[keep]
-        self._set(index, np.cumsum(size) - size, size, self.pool[ragged(self.start[keep], size)], self.hits[keep] // 2)
-
-    def add(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> None:
-        self.index.update(zip(words, range(len(self.size), len(self.size) + len(words))))
-        self._set(self.index, np.concatenate((self.start, len(self.pool) + np.cumsum(size) - size)), np.concatenate((self.size, size)), np.concatenate((self.pool, ids)), np.concatenate((self.hits, np.zeros(len(words), np.int64))))
-
-
 class WordTokenizer:
     """ids of the tokenizer file, a column at once. Its pattern drops blanks and never spans them, so the
     column is cut at blanks and only its distinct pieces are looked at; these are cut into the pattern's
@@ -89,13 +56,13 @@ class WordTokenizer:
         splits = [x for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
         self.by_word = bool(suffix) and len(splits) == 1 and splits[0]["invert"] and splits[0]["pattern"].get("Regex") == self.PATTERN
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix or "\0") for i in range(size)])
-        self.table = WordTable(self.dtype)
+        self.table = RunTable(self.dtype)
 
     def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         coded = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         return np.fromiter(map(len, coded), np.int64, len(coded)), np.array([i for c in coded for i in c], self.dtype)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes, coded = [], []
         for lo in range(0, len(words), 5000):
             part = words[lo : lo + 5000]
@@ -105,8 +72,7 @@ class WordTokenizer:
                 size, ids = self._alone(part)
             sizes.append(size)
             coded.append(ids)
-        if words:
-            self.table.add(words, np.concatenate(sizes), np.concatenate(coded))
+        return np.concatenate(sizes), np.concatenate(coded)
 
     def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, size, ids) of each distinct piece."""
@@ -116,13 +82,10 @@ class WordTokenizer:
         words = pc.replace_substring_regex(split.dictionary, pattern="(" + self.PATTERN + ")", replacement=r"\1 ")
         words = pc.split_pattern(pc.utf8_rtrim(words, " "), " ")
         distinct = words.values.dictionary_encode()
-        table, names = self.table, distinct.dictionary.to_pylist()
-        self._learn([w for w in names if w not in table.index])
-        spot = np.fromiter(map(table.index.__getitem__, names), np.int64, len(names))
-        table.hits[spot] += np.bincount(distinct.indices, minlength=len(names))
-        spot = spot[np.asarray(distinct.indices)]
-        ids = table.pool[ragged(table.start[spot], table.size[spot])]
-        ends = np.append(0, np.cumsum(table.size[spot]))[np.asarray(words.offsets)]
+        which = np.asarray(distinct.indices)
+        spot = self.table.find(distinct.dictionary.to_pylist(), np.bincount(which, minlength=len(distinct.dictionary)), self._learn)
+        sizes, ids = self.table.gather(spot[which])
+        ends = bounds(sizes)[np.asarray(words.offsets)]
         which = np.asarray(split.indices)
         first, size = ends[:-1][which], np.diff(ends)[which]
         if odd.any():
@@ -144,7 +107,7 @@ class WordTokenizer:
         first, size, ids = self._pieces(pieces.dictionary)
         which = np.asarray(pieces.indices)
         size = size[which]
-        ends = np.append(0, np.cumsum(size))[np.asarray(cut.offsets)]
+        ends = bounds(size)[np.asarray(cut.offsets)]
         return np.diff(ends), ids[ragged(first[which], size)]
 
 
@@ -152,6 +115,10 @@ def tokenizer(path: str) -> WordTokenizer:
     return worker_state(("words", path), lambda: WordTokenizer(path))
 
 
+def tokenizer(path: str) -> WordTokenizer:
+    return worker_state(("words", path), lambda: WordTokenizer(path))
+
+
 def binary(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
     """Runs of ``sizes`` values each as a binary column."""
     ends = np.append(0, np.cumsum(sizes)) * values.itemsize

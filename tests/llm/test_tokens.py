@@ -37,14 +37,15 @@ ENCODER = bpe.Encoder(RANKS, P.PATTERN)
 @given(st.text(max_size=200))
 def test_encoder_equals_library(text):
     want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ENCODER.bpe.ranks, special_tokens={}).encode_ordinary(text)
-    got = ENCODER.encode([text])[0]
-    assert np.frombuffer(got, "<u4").tolist() == want and ENCODER.decode(got) == text.encode()
+    n, ids = ENCODER.encode(pa.array(["a b", text, None]))
+    assert ids[n[0] : n[0] + n[1]].tolist() == want and n[2] == 0 and ENCODER.decode(ids)[1].tobytes() == b"a b" + text.encode()
 
 
 def test_long_words_take_the_scalar_tree(reference):
-    words = [("abc" * n)[: 65 + n].encode() for n in (30, 700)]
-    for w, ids in zip(words, ENCODER.bpe.encode_words(words)):
-        assert ids.tolist() == reference.encode_ordinary(w.decode())
+    words = [("abc" * n)[: 65 + n].encode() for n in (30, 700)] + [b"", b"the", b"unthinkably"]
+    n, ids = ENCODER.bpe.encode_words(words)
+    for w, a, b in zip(words, np.cumsum(n) - n, np.cumsum(n)):
+        assert ids[a:b].tolist() == reference.encode_ordinary(w.decode())
 
 
 def test_round_trip(docs, reference):
