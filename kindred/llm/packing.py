@@ -64,8 +64,8 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes, coded = [], []
-        for lo in range(0, len(words), 5000):
-            part = words[lo : lo + 5000]
+        for lo in range(0, len(words), 500):
+            part = words[lo : lo + 500]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
             size = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
             if len(size) != len(part):
@@ -79,7 +79,7 @@ class WordTokenizer:
         odd = np.asarray(pc.match_substring_regex(pieces, self.ODD))
         split = pc.utf8_lower(pc.if_else(pa.array(odd), "", pieces) if odd.any() else pieces).dictionary_encode()
         # "don't..." to "don 't ...": the matches with a blank after each
-        words = pc.replace_substring_regex(split.dictionary, pattern="(" + self.PATTERN + ")", replacement=r"\1 ")
+        words = pc.replace_substring_regex(split.dictionary, pattern=self.PATTERN, replacement=r"\0 ")
         words = pc.split_pattern(pc.utf8_rtrim(words, " "), " ")
         distinct = words.values.dictionary_encode()
         which = np.asarray(distinct.indices)
