@@ -71,20 +71,83 @@ def pages(spark):
 def test_extraction(pages):
     out = {r["page_id"]: r for r in html_extract.extract_pages(pages).collect()}
     for k in range(6):
-        assert out[k]["text"] == f"Title {k}\nBody & text {k}\nSecond part {k} line\none {k}", k  # the same item on all pages is template
-    assert out[10]["text"] == "A\nB b" and out[11]["text"] == out[12]["text"] == "" and out[13]["text"] == "plain <text>"
+        assert out[k]["text"] == f"Title {k}\n\nBody & text {k}\n\nSecond part {k} line\n\none {k}", k  # the same item on all pages is template
+    assert out[10]["text"] == "A\n\nB b" and out[11]["text"] == out[12]["text"] == "" and out[13]["text"] == "plain <text>"
     assert out[14]["text"] == "deep" and all(r["n_chars"] == len(r["text"]) for r in out.values())
 
 
+def test_only_induction_removes_plain_blocks(spark, monkeypatch):
+    """Constant blocks without a telling tag, class or place; joined by host and by broadcast."""
+    rows = [(k, "http://h/", f"<div class=a{k}><div>Join our letter</div><p>Story {k}</p><div>All rights kept</div><p>More {k}</p></div>") for k in range(5)]
+    rows += [(9, "http://alone/", "<div>Join our letter</div><p>x</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (html_extract.BROADCAST, 0):
+        monkeypatch.setattr(html_extract, "BROADCAST", most)
+        for zones in (True, False):
+            got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(df, zones=zones).collect()}
+            assert got == {k: f"Story {k}\n\nMore {k}" for k in range(5)} | {9: "Join our letter\n\nx"}
+
+
+def test_zones_and_regions():
+    text = lambda x: html_extract.extract(x).split("\n\n")
+    assert text("<div class='search-results'><p>my only text</p></div>") == ["my only text"]
+    assert text("<h1>Head</h1><article><p>a</p></article><div>ad</div><article><p>b</p></article>") == ["Head", "a", "b"]
+    assert text("<article><h2 id=discussion>D</h2><section id=related-work>r</section><div class=ad>x</div><div id=comments>y</div>z</article>") == ["D", "r", "z"]
+    assert text("<nav>n</nav><p>a &lt;b&gt; <i>c</i>d<br>e</p><ul><li><a>l</a><li><a>m</a></ul>") == ["a <b> cd e"]
+
+
+def test_deep_and_wide_pages_of_one_host(spark):
+    deep = lambda k: "<div>" * 3000 + f"<p>deep {k}</p><i>{k}</i>" + "<b>x</b>" * k + "</div>" * 3000
+    wide = lambda k: "".join(f"<p>{k} {i}</p>" if (i + k) % 7 else f"<p><i>{i}</i></p>" for i in range(3000 + k))
+    rows = [(k, "http://d/", deep(k)) for k in range(3)] + [(10 + k, "http://w/", wide(k)) for k in range(2)] + [(20, "http://v/", "<p>a" * 100_000), (21, "http://v/", "<p>b" * 90_000 + "<i>" * 50_000)]
+    out = {r["page_id"]: r for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[2]["text"] == "deep 2\n\n2xx" and out[20]["n_chars"] == 100_000 * 3 - 2 and out[10]["text"].count("\n\n") == 2999
+
+
 def test_extraction_of_nothing(pages):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def brute_weight(a, b):
+    """Simple tree matching as it is defined, by recursion over all pairs of children."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_weight(x, y))
+    return 1 + best[-1][-1]
+
+
 def test_tree_matching_is_the_best_mapping():
-    a, b = html_extract.parse("<ul><li>1</li><li><b>2</b></li><p>x</p></ul>"), html_extract.parse("<ul><li><b>9</b></li><p>y</p><li>3</li></ul>")
-    html_extract.number(a), html_extract.number(b)
-    assert html_extract.weight(a, b, {}) == 5
-    assert [(p.tag, r.tag) for p, r in html_extract.align(a, b)][0] == ("html", "html")
+    rng = np.random.default_rng(0)
+
+    def tree(depth):
+        return (str(rng.choice(list("uvw"))), [tree(depth - 1) for _ in range(rng.integers(0, 5))] if depth else [])
+
+    source = lambda t: f"<{t[0]}>{''.join(map(source, t[1]))}</{t[0]}>"
+    for _ in range(60):
+        a, b = ("html", [tree(3)]), ("html", [tree(3)])
+        m = html_extract.Matcher()
+        x, y = (m.number(html_extract.parse(source(t[1][0]))) for t in (a, b))
+        pairs = m.align(x[0], y[0])
+        assert len(pairs) == brute_weight(a, b) and all(p.tag == r.tag for p, r in pairs)
+        assert len({p.index for p, _ in pairs}) == len({r.index for _, r in pairs}) == len(pairs)
+        by_page = sorted((p.index, r.index) for p, r in pairs)
+        assert [r for _, r in by_page] == sorted(r for _, r in by_page)  # keeps the order
+
+
+def test_long_alignments_read_off_in_parts():
+    rng = np.random.default_rng(1)
+    m = html_extract.Matcher()
+    for n, k in ((500, 300), (40, 700), (1, 50)):
+        x, y = (tuple(m.number(html_extract.parse("".join(f"<{t}>" + f"</{t}>" for t in rng.choice(list("uvwxyz"), size))))[0].kids()) for size in (n, k))
+        pairs = m._mid(tuple(c.shape for c in x), tuple(c.shape for c in y))
+        best = [[0] * (k + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(k):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (x[i].tag == y[j].tag))
+        assert len(pairs) == best[n][k] and all(x[i].tag == y[j].tag for i, j in pairs)
 
 
 def exact(ids, x, k):
