@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, documents, materialize, release, slices
+from .common import discard, documents, materialize, release, slices, unused
 from .components import components
 from .dart_minhash import U, mix, signatures
 from .shingles import jaccard, multiset, shingles
@@ -44,7 +44,7 @@ BLOCK = 8 << 20
 
 
 def sketch(df: DataFrame, bands: int = 20, rows: int = 4, size: int = 5) -> DataFrame:
-    """row (unique), doc_id, node, worded, bands array<long>, signature (one byte a coordinate), shingles (binary)."""
+    """row (unique), doc_id, text_hash, node, worded, bands array<long>, signature (one byte a coordinate), shingles (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()  # what earlier steps kept in this worker
@@ -64,6 +64,7 @@ def sketch(df: DataFrame, bands: int = 20, rows: int = 4, size: int = 5) -> Data
                     {
                         "row": pa.array(np.arange(row, row + n)),
                         "doc_id": part.column(0),
+                        "text_hash": part.column(2),
                         "node": pa.array(sequence.view(np.int64)),
                         "worded": pa.array(np.bincount(owner, minlength=n) > 0),
                         "bands": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.ravel().view(np.int64))),
@@ -73,7 +74,8 @@ def sketch(df: DataFrame, bands: int = 20, rows: int = 4, size: int = 5) -> Data
                 )
                 row += n
 
-    return documents(df).mapInArrow(run, "row long, doc_id long, node long, worded boolean, bands array<long>, signature binary, shingles binary")
+    rows_ = documents(df).withColumn("text_hash", F.xxhash64("text"))
+    return rows_.mapInArrow(run, "row long, doc_id long, text_hash long, node long, worded boolean, bands array<long>, signature binary, shingles binary")
 
 
 def _blank(text: str | None) -> int:
@@ -154,8 +156,9 @@ def _rest(rows: DataFrame, features: DataFrame, agree: int, threshold: float, bl
     return left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4, size: int = 5, rounds: int = 1, agree: int | None = None, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id for every row."""
+def classes(df: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4, size: int = 5, rounds: int = 1, agree: int | None = None, block: int = BLOCK) -> DataFrame:
+    """doc_id, text_hash, component, class_id for every row. ``component`` tells classes apart that have the
+    same class id, when rows of different texts share an id."""
     k = bands * rows
     if agree is None:
         agree = int(k * threshold - 4.5 * np.sqrt(k * threshold * (1 - threshold)))
@@ -185,5 +188,28 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, bands: int = 20, rows
     least = table.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(comp, "node", "left")
     least = materialize(least.withColumn("component", F.coalesce("component", "node")), "nodes")
     class_of = materialize(least.groupBy("component").agg(F.min("first_id").alias("class_id")), "classes")
-    named = least.join(class_of, "component").select("node", "class_id")
-    return table.select("doc_id", "node").join(named, "node").select("doc_id", "class_id")
+    named = least.join(class_of, "component").select("node", "component", "class_id")
+    return table.select("doc_id", "text_hash", "node").join(named, "node").drop("node")
+
+
+def near_duplicates(df: DataFrame, **params) -> DataFrame:
+    """doc_id, class_id for every row; ``params`` are those of ``classes``."""
+    return classes(df, **params).select("doc_id", "class_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The rows of ``df``, all columns, that stand for their class: the one of smallest id (of those, of the
+    smallest hash of the text). Rows of equal id and text are copies, whatever their other columns hold; of
+    them the one with the smallest hash of all columns stays."""
+    found = classes(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), **params)
+    found = materialize(found.select("doc_id", "text_hash", "component"), "found")
+    # a struct's null id is its smallest
+    best = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
+    id_, hash_, all_ = (unused(df, x) for x in ("kept_id", "kept_hash", "row_hash"))
+    kept = materialize(best.select(F.col("best.doc_id").alias(id_), F.col("best.text_hash").alias(hash_)), "kept")
+    keys = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))]
+    out = df.join(kept, keys[0].eqNullSafe(F.col(id_)) & (keys[1] == F.col(hash_)), "left_semi")
+    if found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return out
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(all_))
+    return out.withColumn(all_, F.xxhash64(*df.columns)).withColumn(id_, first).filter(F.col(id_) == 1).drop(all_, id_)

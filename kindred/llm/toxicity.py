@@ -14,15 +14,17 @@ training rows of both labels every score is the base rate; of several labels for
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, documents, map_rows
+from .common import Cache, documents, map_rows, worker_state
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SIZES = (4, 5)
@@ -39,17 +41,19 @@ class ToxicityModel:
     table: np.ndarray
     softmax: np.ndarray
     bias: np.ndarray
-    memo: Cache = field(default_factory=Cache)
 
-    def __post_init__(self):
-        #: each bucket's share of the difference of the two logits
-        self.pull = (self.table @ (self.softmax[:, 1] - self.softmax[:, 0])).astype(float)
+    def score(self, texts: list) -> list[float]:
+        return Scorer(self).score(texts)
+
 
-    def __getstate__(self):
-        return {"table": self.table, "softmax": self.softmax, "bias": self.bias}
+class Scorer:
+    """A model folded into one number a bucket, with a memo of chunks between blanks."""
 
-    def __setstate__(self, state):
-        self.__init__(**state)
+    def __init__(self, model: ToxicityModel):
+        #: each bucket's share of the difference of the two logits
+        self.pull = (model.table @ (model.softmax[:, 1] - model.softmax[:, 0])).astype(float)
+        self.bias = float(model.bias[1] - model.bias[0])
+        self.memo = Cache()
 
     def word(self, w: str) -> float:
         return float(self.pull[subwords(w, len(self.pull))].mean())
@@ -66,7 +70,7 @@ class ToxicityModel:
                 memo[c] = complex(sum(map(self.word, ws)), len(ws))
             total = sum(map(memo.__getitem__, chunks), 0j)
             memo.forget(fresh)
-            logit = self.bias[1] - self.bias[0] + (total.real / total.imag if total.imag else 0.0)
+            logit = self.bias + (total.real / total.imag if total.imag else 0.0)
             out.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
         return out
 
@@ -145,12 +149,18 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: i
     return train([r["text"] or "" for r in rows], y, weight, **params)
 
 
+def scorer(model: ToxicityModel, spark: SparkSession) -> Callable[[], Scorer]:
+    """Broadcasts the model; what it returns gives a worker its scorer."""
+    shared, key = spark.sparkContext.broadcast(model), ("toxicity", uuid.uuid4().hex)
+    return lambda: worker_state(key, lambda: Scorer(shared.value))
+
+
 def score(df: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    get = scorer(model, df.sparkSession)
 
     def make():
-        m = shared.value
-        return lambda ids, texts: {"doc_id": ids, "score": m.score(texts)}
+        s = get()
+        return lambda ids, texts: {"doc_id": ids, "score": s.score(texts)}
 
     return map_rows(documents(df), make, "doc_id long, score double")

@@ -1,5 +1,7 @@
 """The pipeline over the smallest tables, and stages over rows with nulls and repeats."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 from kindred.llm.common import table
@@ -18,7 +20,14 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir, tmp_path):
 
 
 def test_dedup_stage_keeps_one_of_a_group(spark, sf_dir):
-    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (2, "A b c d e f g.", None), (3, None, None), (4, "other words", "y")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
-    kept = [r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, sf_dir).collect()]
-    assert sorted(kept) == [1, 3, 4]
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (1, "a text of its own", "x"), (2, "A b c d e f g.", None), (3, None, None), (4, "other words", "y"), (None, "no id", None), (None, "no id", None), (5, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id string").withColumns({"KEPT_HASH": F.lit(1), "node": F.lit(2)})
+    out = corpus_pipeline.dedup_stage(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in out.collect()), key=str) == sorted([(1, "a b c d e f g"), (1, "a text of its own"), (3, None), (4, "other words"), (0, "no id")], key=str)
+
+
+def test_stages_of_an_empty_table(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
