@@ -8,7 +8,6 @@ packed sequences. No stage can be written in SQL, so there is no ORACLE_SQL.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kindred.llm import near_dup, packing, quality, registry, toxicity
 from kindred.llm.common import keep_rows, materialize, table
@@ -27,22 +26,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the threshold for toxicity."""
-    shared = spark.sparkContext.broadcast(toxicity.fit(docs, registry.labelled(spark, sf_dir, 4, 2)))
+    get = toxicity.scorer(toxicity.fit(docs, registry.labelled(spark, sf_dir, 4, 2)), spark)
 
     def make():
-        model = shared.value
-        return lambda texts: [s < registry.THRESHOLD for s in model.score(texts)]
+        scorer = get()
+        return lambda texts: [s < registry.THRESHOLD for s in scorer.score(texts)]
 
     return keep_rows(docs, make)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate class; a repeated row stays once."""
-    classes = near_dup.near_duplicates(docs)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
-    kept = materialize(kept, "kept")
-    out = docs.join(kept.select("kept_id"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    return out if kept.filter("n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    """One document of each near-duplicate class: that of the smallest id."""
+    return near_dup.one_of_each(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
