@@ -10,9 +10,12 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Runs of letters with the marks that belong to them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _OWN: set[str] = set()
 SLICE_BYTES = 4 << 20
 SLICE_ROWS = 2000

@@ -15,7 +15,6 @@ teach nothing; an empty training set gives ``und`` everywhere; languages tie to
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, documents, map_rows, materialize
+from .common import LETTERS, documents, map_rows, materialize
 
-LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 FLUSH = 400_000
 LONG = 10_000
@@ -124,12 +122,16 @@ class Cached:
     def _index(self) -> None:
         self.words = {w: k for k, w in enumerate(self.word_names)}
         self.grams = {g: k for k, g in enumerate(self.gram_names)}
-        self.memo: Cache = Cache(300_000)
         self.rows = np.zeros((1024, self.word_logs.shape[1] + 1))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}
         self.left: dict[int, list[str]] = {}
+        self.used = self.held = 0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("words", "grams", "memo", "rows", "left")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "grams", "memo", "rows", "left", "used", "held")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -151,13 +153,13 @@ class Cached:
             at = np.fromiter((index[w] for ws in split for w in ws), np.int64, size.sum())
             some = np.flatnonzero(size)
             rows[some] = np.add.reduceat(table[at], (np.cumsum(size) - size)[some])
-        base = len(self.memo)
-        if not base:
-            self.left.clear()
+        base = self.used
         while base + len(chunks) > len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
         self.rows[base : base + len(chunks)] = rows
         self.memo.update(zip(chunks, range(base, base + len(chunks))))
+        self.used += len(chunks)
+        self.held += sum(map(len, chunks))
         if open_:
             for k, ws in enumerate(split):
                 if not open_.isdisjoint(ws):
@@ -165,8 +167,9 @@ class Cached:
 
     def partial(self, texts: list) -> dict:
         """Of each text: its words, the summed logs of the cached ones, and the others with their counts."""
+        if self.used > 300_000 or self.held > 16_000_000:
+            self._forget()
         memo = self.memo
-        memo.room()
         words, sums, left, times = [], [], [], []
         cut = [(t or "").lower().split() for t in texts]
         self.learn(list({c for cs in cut for c in cs if c not in memo}))

@@ -40,7 +40,7 @@ from .dart_minhash import U, mix, signatures
 from .shingles import jaccard, multiset, shingles
 
 #: Bytes of shingles and signatures that a block holds on either side, about.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 
 
 def sketch(df: DataFrame, bands: int = 20, rows: int = 4, size: int = 5) -> DataFrame:
@@ -119,7 +119,7 @@ def _rest(rows: DataFrame, features: DataFrame, agree: int, threshold: float, bl
     of them only, by the band hashes that key the buckets; its signatures must agree in ``agree``
     coordinates, and then its shingles decide. A member needs one link to each other component, so it asks
     the likeliest first and stops at the first that holds. A bucket's rows are copied once for each of its
-    blocks; at 8 MB a block and 2 kB a row that is n / 4000 copies."""
+    blocks; at 2 MB a block and 2 kB a row that is n / 1000 copies."""
     parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
     buckets = materialize(buckets.filter((F.col("parts") > 1) & (F.col("n") > met)).select("bucket", F.col("top.component").alias("largest")), "open")
@@ -208,7 +208,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     id_, hash_, all_ = (unused(df, x) for x in ("kept_id", "kept_hash", "row_hash"))
     kept = materialize(best.select(F.col("best.doc_id").alias(id_), F.col("best.text_hash").alias(hash_)), "kept")
     keys = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))]
-    out = df.join(kept, keys[0].eqNullSafe(F.col(id_)) & (keys[1] == F.col(hash_)), "left_semi")
+    # about a row a document: never broadcast, at whatever size
+    out = df.join(kept.hint("merge"), keys[0].eqNullSafe(F.col(id_)) & (keys[1] == F.col(hash_)), "left_semi")
     if found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return out
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(all_))

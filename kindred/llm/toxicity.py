@@ -4,8 +4,9 @@ A word's vector is the mean of the vectors of the word itself and of its charact
 fixed table), so a misspelling that was never seen shares most of them. A document is the mean of its
 words. Scoring folds table and softmax into one number a word, memoized.
 
-``fit`` takes at most ``per_class`` rows of each label (the smallest by hash of the id), weighted back
-to the labels' shares over all training rows; that bound and the table size bound the driver's memory.
+``fit`` takes at most ``per_class`` different texts of each label (the smallest by hash of the id), and
+of those, in that order, as many as have ``max_bytes`` together, weighted back to the labels' shares over
+all training rows; these bounds and the table size bound the driver's memory, whatever the documents.
 
 Defined results: text that is null or has no letters scores the training rows' base rate; without
 training rows of both labels every score is the base rate; of several labels for an id the largest counts.
@@ -13,7 +14,6 @@ training rows of both labels every score is the base rate; of several labels for
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections import Counter
@@ -24,9 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, documents, map_rows, worker_state
+from .common import LETTERS, Cache, documents, map_rows, worker_state
 
-LETTERS = re.compile(r"[^\W\d_]+")
 SIZES = (4, 5)
 
 
@@ -135,18 +134,32 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, buckets: int = 1
     return ToxicityModel(table, (softmax * scale).astype(np.float32), bias)
 
 
-def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 3000, **params) -> ToxicityModel:
+def sample(df: DataFrame, marks: DataFrame, per_class: int, max_bytes: int) -> list[tuple[int, int, str]]:
+    """(doc_id, y, text) of the training sample. Only keys and sizes are ranked; texts are read for the chosen."""
+    rows = documents(df).filter("doc_id IS NOT NULL").withColumns({"text": F.coalesce("text", F.lit("")), "h": F.xxhash64("text")})
+    keys = rows.select("doc_id", "h", F.octet_length("text").alias("size")).join(marks, "doc_id").distinct()
+    chosen, left = [], max_bytes
+    for k in (0, 1):  # at most per_class rows each
+        room = left // (2 - k)
+        for r in keys.filter(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(per_class).collect():
+            if r["size"] <= room:
+                room, left = room - r["size"], left - r["size"]
+                chosen.append((r["doc_id"], r["h"], k))
+    spark = df.sparkSession
+    # at most 2 * per_class rows are broadcast, and as many texts of max_bytes come back
+    picked = rows.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, h long, y int")), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    return sorted((r["doc_id"], r["y"], r["text"]) for r in picked.select("doc_id", "y", "text").collect())
+
+
+def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 3000, max_bytes: int = 64 << 20, **params) -> ToxicityModel:
     """``labels``: (doc_id, label_col), training rows only."""
     marks = labels.filter(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
     shares = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = [marks.filter(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    # at most 2 * per_class ids are broadcast
-    rows = documents(df).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "y", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    y = np.array([r["y"] for r in rows], int)
+    rows = sample(df, marks, per_class, max_bytes)
+    y = np.array([k for _, k, _ in rows], int)
     had = np.bincount(y, minlength=2)
     weight = np.array([shares.get(k, 0) / max(had[k], 1) for k in y], float)
-    return train([r["text"] or "" for r in rows], y, weight, **params)
+    return train([t for _, _, t in rows], y, weight, **params)
 
 
 def scorer(model: ToxicityModel, spark: SparkSession) -> Callable[[], Scorer]:

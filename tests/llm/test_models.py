@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.llm import lang_id, quality, toxicity
-from kindred.llm.common import fold
+from kindred.llm.common import LETTERS, fold
 
 ODD = [(1, None, "x"), (2, "", "x"), (3, "   \n\t ", "x"), (4, "!!! ??? 123", "x"), (5, "word " * 30_000, "x"), (5, "word " * 30_000, "x"), (6, "ä𝄞 \u0000 ﬁ", None)]
 
@@ -50,6 +50,30 @@ def test_quality_without_labels(docs):
     assert {r["score"] for r in quality.score(docs.limit(5), model).collect()} == {0.5}
 
 
+def test_quality_equals_a_direct_solution(docs):
+    """Partition sums against one least-squares problem over all training rows; the score against the formula."""
+    model = quality.fit(docs.repartition(7), docs, features=32, ridge=1e-3)
+    rows = docs.select("text", "quality").collect()
+    x, y = np.stack([quality.stats(r["text"]) for r in rows]), np.array([r["quality"] for r in rows], float)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-3))
+    z = np.hstack([np.cos(np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-3), -6, 6) @ model.omega + model.phase) * np.sqrt(2 / 32), np.ones((len(x), 1))])
+    penalty = np.sqrt(1e-3 * len(x) * 0.1) * np.eye(33)
+    direct = np.linalg.lstsq(np.vstack([z, penalty]), np.append(y, np.zeros(33)), rcond=None)[0]
+    assert np.allclose(z @ model.weights, z @ direct, atol=1e-6)
+    assert np.allclose(model.score_texts([r["text"] for r in rows]), np.interp(z @ direct, model.knots, model.values), atol=1e-6)
+
+
+def test_isotonic_equals_the_min_max_formula():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        n = int(rng.integers(1, 12))
+        y, w = rng.random(n), rng.integers(1, 5, n).astype(float)
+        x, v = quality.isotonic(np.arange(n, dtype=float), y, w)
+        mean = lambda a, b: (y[a : b + 1] * w[a : b + 1]).sum() / w[a : b + 1].sum()
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose(sorted(set(np.round(want, 9))), np.round(v, 9))
+
+
 def test_isotonic_is_monotone():
     x, y = quality.isotonic(np.arange(6.0), np.array([0, 0.5, 0.2, 0.9, 0.8, 1.0]), np.ones(6))
     assert (np.diff(x) > 0).all() and (np.diff(y) > 0).all() and np.isclose(y[1], 0.35)
@@ -77,6 +101,30 @@ def test_toxicity(docs, odd):
     assert len(out) == 6 and out[1] == out[2] == out[3] == out[4]
 
 
+def test_toxicity_equals_a_plain_forward_pass(docs):
+    model = toxicity.fit(docs, docs, per_class=50)
+    texts = ["river grubnak\tLight!light", "stone", "12 ?", None, "\u00e4ther " * 300, "a-b c'd"]
+
+    def plain(t):
+        words = LETTERS.findall((t or "").lower())
+        bag = [model.table[toxicity.subwords(w, len(model.table))].mean(0) for w in words]
+        logit = (np.mean(bag, 0) @ model.softmax if bag else 0) + model.bias
+        return (np.exp(logit) / np.exp(logit).sum())[1]
+
+    assert np.allclose(model.score(texts + texts), [plain(t) for t in texts + texts], atol=1e-5)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """A hot id gives one text; texts are taken in one order until their bytes are spent."""
+    rows = [(1, "same")] * 500 + [(k, f"text {k}") for k in range(2, 30)] + [(40, "x" * 5000), (41, None), (None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, y int")
+    taken = toxicity.sample(docs, marks, 10, 1000)
+    assert len(taken) <= 20 and len(set(taken)) == len(taken) and sum(len(t) for _, _, t in taken) <= 1000
+    whole = toxicity.sample(docs, marks, 1000, 1 << 20)
+    assert len(whole) == 31 and all(y == d % 2 for d, y, _ in whole) and whole == toxicity.sample(docs.repartition(5), marks, 1000, 1 << 20)
+
+
 def test_toxicity_without_labels(docs):
     model = toxicity.fit(docs, docs.limit(0))
     assert all(0 <= s <= 1 for s in model.score(["anything", ""]))
@@ -96,6 +144,45 @@ def test_language_odd_rows(spark, odd):
     assert lang_id.predict(odd.limit(0), model).count() == 0
 
 
+def test_language_equals_a_plain_backoff(spark):
+    """Word log frequencies, then the longest known n-grams' mean, from plain dictionaries."""
+    rng = np.random.default_rng(8)
+    syllables = {"en": ["the", "ing", "er", "wh"], "de": ["sch", "ung", "er", "ein"], "fi": ["kk", "aa", "in", "la"]}
+    made = lambda lang: " ".join("".join(rng.choice(syllables[lang], rng.integers(1, 4))) for _ in range(12))
+    rows = [(k, made(lang), lang) for k, lang in enumerate(["en", "de", "fi"] * 10)]
+    asked = [made("en"), made("fi") + " \u00bd 12", "zzz einkk", "\u2461 \u00bd", None, "\u0436", "x" * 40]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_words=4, max_grams=9)
+    words, grams, langs = {}, {}, sorted(syllables)
+    for _, t, lang in rows:
+        for w in t.split():
+            words.setdefault(w, dict.fromkeys(langs, 0))[lang] += 1
+    for w, n in words.items():
+        for k in lang_id.ORDERS:
+            for g in lang_id.grams(w, k):
+                for lang in langs:
+                    grams.setdefault(g, dict.fromkeys(langs, 0))[lang] += n[lang]
+    mass = {k: {lang: 1 + sum(n[lang] for g, n in grams.items() if len(g) == k) for lang in langs} for k in lang_id.ORDERS}
+    total = {lang: sum(n[lang] for n in words.values()) for lang in langs}
+
+    def one(w, lang):
+        if w in words:
+            return np.log((words[w][lang] + 0.5) / (total[lang] + 1))
+        for k in lang_id.ORDERS:
+            known = [g for g in lang_id.grams(w, k) if g in grams]
+            if known:
+                return np.mean([np.log((grams[g][lang] + 0.5) / mass[k][lang]) for g in known])
+        return 0.0
+
+    names, scores = model.predict(asked)
+    for text, name, score in zip(asked, names, scores):
+        found = LETTERS.findall((text or "").lower())
+        logs = np.array([sum(one(w, lang) for w in found) + np.log(total[lang] / sum(total.values())) for lang in langs])
+        if not found:
+            assert (name, score) == ("und", 0.0)
+        else:
+            assert name == langs[int(np.argmax(logs))] and np.isclose(score, 1 / np.exp(logs - logs.max()).sum())
+
+
 def test_counts_cover_all_documents(spark):
     rows = [(k, "one two two", "en") for k in range(50)]
     counts = {r["word"]: r["n"] for r in lang_id.count_words(spark.createDataFrame(rows, "i int, text string, lang string").select("lang", "text")).collect()}
