@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, map_rows
 
-RATE = 16_000
+#: Rate of stored texts: two thirds of it is what features are computed at, so resampling has two phases.
+RATE = 12_000
 
 
 @dataclass(frozen=True)
@@ -72,22 +73,29 @@ def _phases(up: int, down: int, taps: int) -> np.ndarray:
     return (phases / phases.sum(1, keepdims=True)).astype(np.float32)
 
 
+@lru_cache(32)
+def _period(up: int, down: int, taps: int) -> np.ndarray:
+    """The phases as one matrix: a period of ``down`` inputs and its surroundings to ``up`` outputs."""
+    out = np.zeros((down + 2 * taps, up), np.float32)
+    for r, h in enumerate(_phases(up, down, taps)[(np.arange(up) * down) % up]):
+        first = (r * down) // up + 1
+        out[first : first + 2 * taps, r] = h
+    return out
+
+
 def resample(x: np.ndarray, source: int, target: int, taps: int = 16) -> np.ndarray:
-    """Polyphase resampling: output i*up + r is phase r's dot product with the inputs around its time."""
+    """Polyphase resampling: output p*up + r is phase (r*down mod up) times the inputs around its time; all
+    outputs of a period are one row of a matrix product."""
     g = int(np.gcd(source, target))
     up, down = target // g, source // g
     if up == down or not len(x):
         return x.astype(np.float32)
     n_out = -(-len(x) * up // down)
-    padded = np.pad(x.astype(np.float32), (taps, taps + down))
-    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * taps)
-    out = np.empty(n_out, np.float32)
-    for r, h in enumerate(_phases(up, down, taps)[[(k * down) % up for k in range(up)]]):
-        count = len(out[r::up])
-        if count:
-            first = (r * down) // up + 1
-            out[r::up] = windows[first :: down][:count] @ h
-    return out
+    periods = -(-n_out // up)
+    padded = np.zeros(periods * down + 2 * taps, np.float32)
+    padded[taps : taps + len(x)] = x
+    rows = np.lib.stride_tricks.sliding_window_view(padded, down + 2 * taps)[::down]
+    return (rows[:periods] @ _period(up, down, taps)).ravel()[:n_out]
 
 
 @lru_cache(8)
@@ -130,27 +138,67 @@ def segments(energy: np.ndarray, cfg: AudioConfig) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def tensors(mel: np.ndarray, spans: list[tuple[int, int]], cfg: AudioConfig) -> bytes:
-    """Arrow stream of blocks: start_us, end_us, segment and a fixed-shape [block, mels] tensor."""
-    rows, starts, ends, owner = [], [], [], []
-    us = 1_000_000 // cfg.rate if 1_000_000 % cfg.rate == 0 else 1_000_000 / cfg.rate
-    for k, (a, b) in enumerate(spans):
-        for lo in range(a, b, cfg.block):
-            part = mel[lo : min(b, lo + cfg.block)]
-            rows.append(np.pad(part, ((0, cfg.block - len(part)), (0, 0)), constant_values=np.float32(np.log(1e-6))))
-            starts.append(int(lo * cfg.hop * us))
-            ends.append(int(((min(b, lo + cfg.block) - 1) * cfg.hop + cfg.frame) * us))
-            owner.append(k)
-    kind = pa.fixed_shape_tensor(pa.float32(), [cfg.block, cfg.mels])
-    flat = np.stack(rows).astype(np.float32).ravel() if rows else np.empty(0, np.float32)
+def tensor_table(media: list[tuple[np.ndarray, list[tuple[int, int]]]], cfg: AudioConfig) -> pa.Table:
+    """Blocks of all (log-mel, spans): number of the medium, start_us, end_us, segment and a fixed-shape
+    [block, mels] tensor; a segment's last block is filled up with silence."""
+    owner, segment, first, last, rows = [], [], [], [], []
+    silence = np.full((cfg.block, cfg.mels), np.log(1e-6), np.float32)
+    for m, (mel, spans) in enumerate(media):
+        for k, (a, b) in enumerate(spans):
+            lo = np.arange(a, b, cfg.block)
+            owner += [m] * len(lo)
+            segment += [k] * len(lo)
+            first.append(lo)
+            last.append(np.minimum(lo + cfg.block, b) - 1)
+            rows += [mel[a:b], silence[: len(lo) * cfg.block - (b - a)]]
+    first, last = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (first, last))
+    flat = np.concatenate(rows or [silence[:0]]).astype(np.float32, copy=False).ravel()
     storage = pa.FixedSizeListArray.from_arrays(pa.array(flat), cfg.block * cfg.mels)
-    table = pa.table({"start_us": pa.array(starts, pa.int64()), "end_us": pa.array(ends, pa.int64()), "segment": pa.array(owner, pa.int32()), "logmel": pa.ExtensionArray.from_storage(kind, storage)})
+    kind = pa.fixed_shape_tensor(pa.float32(), [cfg.block, cfg.mels])
+    us = lambda samples: pa.array((samples * 1_000_000 // cfg.rate).astype(np.int64))
+    return pa.table(
+        {
+            "medium": pa.array(owner, pa.int32()),
+            "start_us": us(first * cfg.hop),
+            "end_us": us(last * cfg.hop + cfg.frame),
+            "segment": pa.array(segment, pa.int32()),
+            "logmel": pa.ExtensionArray.from_storage(kind, storage),
+        }
+    )
+
+
+def to_stream(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as w:
         w.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
+def tensors(mel: np.ndarray, spans: list[tuple[int, int]], cfg: AudioConfig) -> bytes:
+    """Arrow stream of one medium's blocks."""
+    return to_stream(tensor_table([(mel, spans)], cfg).drop_columns("medium"))
+
+
+def features(stream: bytes, n_media: int, cfg: AudioConfig) -> list[str]:
+    """Of each medium, from its stored tensors and time spans: segments, active frames, and means of four mel
+    bands over them."""
+    table = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    medium, start, end = (np.asarray(table[c]).astype(np.int64) for c in ("medium", "start_us", "end_us"))
+    frames = ((end - start) * cfg.rate // 1_000_000 - cfg.frame + cfg.hop // 2) // cfg.hop + 1
+    column = table["logmel"].combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    tensor = column.to_numpy_ndarray() if len(table) else np.zeros((0, cfg.block, cfg.mels), np.float32)
+    live = np.arange(cfg.block) < frames[:, None]
+    sums = np.einsum("bfkm,bf->bk", tensor.reshape(len(tensor), cfg.block, 4, cfg.mels // 4), live.astype(np.float32), dtype=np.float64)
+    total = np.zeros((n_media, 4))
+    np.add.at(total, medium, sums)
+    active = np.bincount(medium, frames, n_media).astype(np.int64)
+    fresh = (np.diff(medium, prepend=-1) != 0) | (np.diff(np.asarray(table["segment"]), prepend=-1) != 0)
+    count = np.bincount(medium, fresh, n_media).astype(np.int64)
+    mean = total / np.maximum(active * (cfg.mels // 4), 1)[:, None]
+    return [f"segments={n};active={a};bands=" + ",".join(f"{b:.2f}" for b in m) for n, a, m in zip(count.tolist(), active.tolist(), mean)]
+
+
 def analyse(media: bytes, cfg: AudioConfig) -> tuple[np.ndarray, list[tuple[int, int]]]:
     rate, samples = read_wave(media)
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
@@ -203,23 +251,21 @@ def media_digest(stored: DataFrame, cfg: AudioConfig = AudioConfig()) -> DataFra
 
     def make():
         def work(ids, stored_rows):
-            out = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensor_bytes")}
-            for row in stored_rows:
-                media = row["media"]
-                samples = read_wave(media)[1]
-                mel, spans = analyse(media, cfg)
-                packed = tensors(mel, spans, cfg)
-                bands = mel.reshape(len(mel), 4, -1).mean((0, 2))
-                out["n_bytes"].append(row["n_bytes"])
-                out["payload_bytes"].append(len(samples))
-                out["payload_sha256"].append(hashlib.sha256(samples).hexdigest())
-                out["tail_crc32"].append(zlib.crc32(samples[-16:]))
-                out["media_bytes"].append(len(media))
-                out["media_sha256"].append(hashlib.sha256(media).hexdigest())
-                out["feature"].append(f"frames={len(mel)};segments={len(spans)};active={sum(b - a for a, b in spans)};bands=" + ",".join(f"{b:.2f}" for b in bands))
-                out["tensor_bytes"].append(len(packed))
-            return {"doc_id": ids} | out
+            media = [row["media"] for row in stored_rows]
+            samples = [read_wave(m)[1] for m in media]
+            analysed = [analyse(m, cfg) for m in media]
+            stored_tensors = to_stream(tensor_table(analysed, cfg))
+            return {
+                "doc_id": ids,
+                "n_bytes": [row["n_bytes"] for row in stored_rows],
+                "payload_bytes": list(map(len, samples)),
+                "payload_sha256": [hashlib.sha256(x).hexdigest() for x in samples],
+                "tail_crc32": [zlib.crc32(x[-16:]) for x in samples],
+                "media_bytes": list(map(len, media)),
+                "media_sha256": [hashlib.sha256(m).hexdigest() for m in media],
+                "feature": [f"frames={len(mel)};{f}" for (mel, _), f in zip(analysed, features(stored_tensors, len(media), cfg))],
+            }
 
         return work
 
-    return map_rows(rows, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor_bytes long")
+    return map_rows(rows, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
