@@ -179,12 +179,12 @@ class Encoder:
     #: Texts that are not words with single blanks or line ends between them.
     UNEVEN = r"^$|^[ \n]|[ \n][ \n]|[ \n]\z|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, limit: int = 500_000):
         import regex
 
         self.bpe = SegmentTreeBPE(read_ranks(ranks_path))
         self.pattern = regex.compile(pattern)
-        self.chunks, self.words = RunTable("<u4"), RunTable("<u4", 300_000)
+        self.chunks, self.words = RunTable("<u4", limit), RunTable("<u4", limit * 3 // 5)
         top = max(self.bpe.vocab) + 1
         self.bytes = np.frombuffer(b"".join(self.bpe.vocab.get(i, b"") for i in range(top)), np.uint8)
         self.byte_count = np.array([len(self.bpe.vocab.get(i, b"")) for i in range(top)], np.int64)
@@ -220,16 +220,25 @@ class Encoder:
         place = np.argsort(np.concatenate((np.flatnonzero(~uneven), at)), kind="stable")
         return pa.concat_arrays([keys, rest]).take(pa.array(place))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each text, all ids); null is the empty text."""
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(places of all chunks, where each text's chunks start and end)."""
         self.chunks.room()
         keys = self._keys(pc.fill_null(texts, ""))
         chunks = keys.flatten().dictionary_encode()
         which = np.asarray(chunks.indices)
         spot = self.chunks.find(chunks.dictionary.to_pylist(), np.bincount(which, minlength=len(chunks.dictionary)), self._learn)
-        sizes, ids = self.chunks.gather(spot[which])
-        many = np.asarray(pc.list_value_length(keys))
-        return np.diff(bounds(sizes)[bounds(many)]), ids
+        return spot[which], bounds(np.asarray(pc.list_value_length(keys)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids); null is the empty text."""
+        spot, ends = self._cut(texts)
+        sizes, ids = self.chunks.gather(spot)
+        return np.diff(bounds(sizes)[ends]), ids
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text."""
+        spot, ends = self._cut(texts)
+        return np.diff(bounds(self.chunks.size[spot])[ends])
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of each id, all bytes)."""

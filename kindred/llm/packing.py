@@ -43,7 +43,7 @@ class WordTokenizer:
     #: The one pattern whose matches the expression below finds in pieces without odd characters.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,7 +56,7 @@ class WordTokenizer:
         splits = [x for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
         self.by_word = bool(suffix) and len(splits) == 1 and splits[0]["invert"] and splits[0]["pattern"].get("Regex") == self.PATTERN
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix or "\0") for i in range(size)])
-        self.table = RunTable(self.dtype)
+        self.table = RunTable(self.dtype, limit)
 
     def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         coded = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -95,10 +95,8 @@ class WordTokenizer:
             ids = np.concatenate((ids, more))
         return first, size, ids
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each text, all ids); null is the empty text."""
-        if not self.by_word:
-            return self._alone([t or "" for t in texts.to_pylist()])
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first id and number of ids of each piece, where each text's pieces start and end, ids)."""
         self.table.room()
         for blank in "\t\r\n":
             texts = pc.replace_substring(texts, blank, " ")
@@ -106,9 +104,21 @@ class WordTokenizer:
         pieces = cut.values.dictionary_encode()
         first, size, ids = self._pieces(pieces.dictionary)
         which = np.asarray(pieces.indices)
-        size = size[which]
-        ends = bounds(size)[np.asarray(cut.offsets)]
-        return np.diff(ends), ids[ragged(first[which], size)]
+        return first[which], size[which], np.asarray(cut.offsets), ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids); null is the empty text."""
+        if not self.by_word:
+            return self._alone([t or "" for t in texts.to_pylist()])
+        first, size, ends, ids = self._cut(texts)
+        return np.diff(bounds(size)[ends]), ids[ragged(first, size)]
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text."""
+        if not self.by_word:
+            return self.encode(texts)[0]
+        _, size, ends, _ = self._cut(texts)
+        return np.diff(bounds(size)[ends])
 
 
 def tokenizer(path: str) -> WordTokenizer:

@@ -4,7 +4,7 @@ A change feed of signed rows (+ for an insert, - for a delete, the pair -old +ne
 is added up by source, language and tokenizer version. Each batch is pre-aggregated (map-side, so a hot
 source costs one row a task) and committed as one folder whose _SUCCESS file is the commit: a batch
 that is applied again, after a retry or by mistake, changes nothing. Totals are sums over batches, so
-they never need the documents again.
+they never need the documents again. Compaction folds batches into a base that keeps their ids.
 
 Defined results: null text counts 0 tokens; null source or language is a group of its own; repeated
 rows count each; groups whose documents all went are left out of ``totals``.
@@ -12,23 +12,50 @@ rows count each; groups whose documents all went are left out of ``totals``.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import Encoder
+from .common import slices, worker_state
+from .packing import WordTokenizer
+
 KEYS = ["source", "lang", "tokenizer_version"]
 SCHEMA = "source string, lang string, tokenizer_version string, docs long, tokens long"
 
-#: Rule tokenizers by version: runs of non-blanks, and runs of word characters or single signs.
-TOKENIZERS = {
-    "blank-1": r"[^ \t\n\r]+",
-    "word-2": r"[0-9A-Za-z_\x{80}-\x{10FFFF}]+|[^ \t\n\r0-9A-Za-z_\x{80}-\x{10FFFF}]",
-}
 
+def word_counter(path: str) -> Callable[[pa.Array], np.ndarray]:
+    """Tokens of each text by a tokenizer file of the tokenizers library."""
+    return lambda: WordTokenizer(path, limit=250_000).count
+
+
+def byte_counter(path: str, pattern: str) -> Callable[[pa.Array], np.ndarray]:
+    """Tokens of each text by a file of byte-pair ranks."""
+    return lambda: Encoder(path, pattern, limit=250_000).count
+
+
+def counted(docs: DataFrame, counters: dict[str, Callable], text_col: str = "text") -> DataFrame:
+    """``docs`` without its text, with ``tokens``, a map from tokenizer version to the text's tokens.
+    ``counters``: version to a function that makes a counter in a worker."""
+    at, names = docs.columns.index(text_col), list(counters)
+    rest = [c for c in docs.columns if c != text_col]
 
-def count_tokens(text: Column, version: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(TOKENIZERS[version])), F.lit(0)).cast("long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = worker_state(("counters", *names), lambda: [make() for make in counters.values()])
+        for batch in batches:
+            for part in slices(batch, 4 << 20, 10_000):
+                n = np.stack([count(part.column(at)) for count in made], 1)
+                ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(names))
+                maps = pa.MapArray.from_arrays(ends, pa.array(names * part.num_rows, pa.string()), pa.array(n.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(batch.schema.names.index(c)) for c in rest] + [maps], names=[*rest, "tokens"])
+
+    kept = docs.select(*rest, F.lit(None).cast("map<string,long>").alias("tokens")).schema
+    return docs.mapInArrow(run, kept)
 
 
 def signed(docs: DataFrame, version: str, tokens: Column, sign: int, docs_sign: int | None = None) -> DataFrame:
@@ -56,7 +83,9 @@ def revised(docs: DataFrame, version: str, old: Column, new: Column) -> DataFram
 
 
 class Rollup:
-    """Additive totals in ``path``; one folder a committed batch."""
+    """Additive totals in ``path``: one folder a committed batch, and bases into which batches were folded. A base
+    names its batches in ``_batches``; it comes into being by one rename, and what it replaced stays for one
+    more compaction, so readers and a crash in between see either the old folders or the new one."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -66,11 +95,28 @@ class Rollup:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def committed(self) -> list[str]:
+    def _folders(self, kind: str) -> list[str]:
         if not self.fs.exists(self.root):
             return []
         names = [s.getPath().getName() for s in self.fs.listStatus(self.root)]
-        return sorted(n for n in names if n.startswith("batch=") and self.fs.exists(self._path(f"{n}/_SUCCESS")))
+        return sorted(n for n in names if n.startswith(kind) and self.fs.exists(self._path(f"{n}/_SUCCESS")))
+
+    def _folded(self, base: str) -> list[str]:
+        file = self.fs.open(self._path(f"{base}/_batches"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
+        finally:
+            file.close()
+
+    def _state(self) -> tuple[list[str], list[str], list[str]]:
+        """(folders that count, committed batches, folders that a base replaced)."""
+        bases, batches = self._folders("base="), self._folders("batch=")
+        folded = self._folded(bases[-1]) if bases else []
+        live = [b for b in batches if b not in folded]
+        return bases[-1:] + live, sorted(folded + live), bases[:-1] + [b for b in batches if b in folded]
+
+    def committed(self) -> list[str]:
+        return self._state()[1]
 
     def apply(self, batch_id: str, *deltas: DataFrame) -> bool:
         """Commit a batch; False if that batch was committed before."""
@@ -83,17 +129,25 @@ class Rollup:
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return True
 
-    def compact(self, batch_id: str) -> None:
-        """Fold all committed batches into one; readers see either the old ones or the new one."""
-        old = self.committed()
-        temporary = f"{self.path}/_compact-{batch_id}"
-        self.totals(keep_empty=True).write.mode("overwrite").parquet(temporary)
-        for n in old:
-            self.fs.delete(self._path(n), True)
-        self.fs.rename(self._path(f"_compact-{batch_id}"), self._path(f"batch={batch_id}"))
-
-    def totals(self, keep_empty: bool = False) -> DataFrame:
-        paths = [f"{self.path}/{n}" for n in self.committed()]
+    def compact(self) -> None:
+        """Fold all committed batches into a new base. What the base before replaced is deleted."""
+        live, batches, replaced = self._state()
+        bases = self._folders("base=")
+        number = int(bases[-1].removeprefix("base=")) + 1 if bases else 1
+        temporary = f"_base-{number}"
+        self._sums(live, True).write.mode("overwrite").parquet(f"{self.path}/{temporary}")
+        out = self.fs.create(self._path(f"{temporary}/_batches"), True)
+        out.write(bytearray(json.dumps(batches).encode()))
+        out.close()
+        self.fs.rename(self._path(temporary), self._path(f"base={number:010d}"))
+        for name in replaced:
+            self.fs.delete(self._path(name), True)
+
+    def _sums(self, folders: list[str], keep_empty: bool) -> DataFrame:
+        paths = [f"{self.path}/{n}" for n in folders]
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
         out = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return out if keep_empty else out.filter((F.col("docs") != 0) | (F.col("tokens") != 0))
+
+    def totals(self) -> DataFrame:
+        return self._sums(self._state()[0], False)

@@ -10,9 +10,10 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kindred.llm import bpe, packing, token_counts
+from kindred.llm import bpe, packing, registry, token_counts
 from kindred.llm.registry import tokenizer_file
 
 RANKS = tokenizer_file("byte_bpe_multi_50k.tiktoken")
@@ -99,17 +100,77 @@ def test_packing_is_gapless(docs):
 
 
 def test_rollup(spark, tmp_path):
-    rows = [("s", "en", "one two", 2), ("s", "en", None, 5), (None, None, "a b c", 3)]
-    docs = spark.createDataFrame(rows, "source string, lang string, text string, n_chars long")
-    n = token_counts.count_tokens(docs["text"], "blank-1")
+    rows = [("s", "en", 2, 3), ("s", "en", 5, 0), (None, None, 3, 4)]
+    docs = spark.createDataFrame(rows, "source string, lang string, old long, new long")
+    old, new = F.col("old"), F.col("new")
     up = token_counts.Rollup(spark, str(tmp_path / "r"))
     assert up.totals().count() == 0
-    assert up.apply("1", token_counts.inserted(docs, "blank-1", docs["n_chars"]))
-    assert up.apply("2", token_counts.revised(docs, "blank-1", docs["n_chars"], n))
-    assert not up.apply("2", token_counts.revised(docs, "blank-1", docs["n_chars"], n))
+    assert up.apply("1", token_counts.inserted(docs, "v", old))
+    assert up.apply("2", token_counts.revised(docs, "v", old, new))
+    assert not up.apply("2", token_counts.revised(docs, "v", old, new))
     total = lambda: {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in up.totals().collect()}
-    assert total() == {("s", "en"): (2, 2), (None, None): (1, 3)}
-    up.compact("3")
-    assert up.committed() == ["batch=3"] and total()["s", "en"] == (2, 2)
-    up.apply("4", token_counts.deleted(docs.filter("source IS NULL"), "blank-1", n))
-    assert total() == {("s", "en"): (2, 2)}
+    want = {("s", "en"): (2, 3), (None, None): (1, 4)}
+    assert total() == want
+    up.compact()
+    assert total() == want and up.committed() == ["batch=1", "batch=2"]
+    # a folded batch is still committed
+    assert not up.apply("1", token_counts.inserted(docs, "v", old)) and total() == want
+    assert up.apply("3", token_counts.deleted(docs.filter("source IS NULL"), "v", new))
+    want.pop((None, None))
+    assert total() == want
+    up.compact()
+    up.compact()
+    assert total() == want and up.committed() == ["batch=1", "batch=2", "batch=3"]
+    assert not up.apply("2", token_counts.revised(docs, "v", old, new))
+
+
+def test_rollup_survives_a_crash_in_compaction(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([("s", "en", 2)], "source string, lang string, n long")
+    path = str(tmp_path / "r")
+    up = token_counts.Rollup(spark, path)
+    for k in "12":
+        up.apply(k, token_counts.inserted(docs, "v", F.col("n")))
+
+    class Crash(Exception):
+        pass
+
+    class Fs:
+        """The file system, which fails at one call."""
+
+        def __init__(self, fs, call):
+            self.fs, self.call = fs, call
+
+        def __getattr__(self, name):
+            def fail(*_):
+                raise Crash
+
+            return fail if name == self.call else getattr(self.fs, name)
+
+    for call in ("create", "rename", "delete"):
+        broken = token_counts.Rollup(spark, path)
+        broken.fs = Fs(broken.fs, call)
+        try:
+            broken.compact()
+            broken.compact()
+        except Crash:
+            pass
+        again = token_counts.Rollup(spark, path)
+        assert [tuple(r)[3:] for r in again.totals().collect()] == [(2, 4)] and again.committed() == ["batch=1", "batch=2"]
+
+
+def test_token_counts_equal_the_libraries(spark, sf_dir, reference):
+    """The whole query, and the counting of odd rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    words = Tokenizer.from_file(WORDS)
+    words.encode_special_tokens = False
+    counters = {"byte_bpe_multi_50k": lambda t: len(reference.encode_ordinary(t)), "word_bpe_49k": lambda t: len(words.encode(t, add_special_tokens=False).ids)}
+    want = {}
+    for r in docs:
+        for version, count in counters.items() if r["text"] else ():
+            n, tokens = want.get((r["source"], r["lang"], version), (0, 0))
+            want[r["source"], r["lang"], version] = (n + 1, tokens + count(r["text"]))
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in registry.op1_token_counts(spark, sf_dir).collect()}
+    assert got == want
+    odd = spark.createDataFrame([(t, "x") for t in TEXTS], "text string, tokens string")
+    made = token_counts.counted(odd.select("text"), {"w": token_counts.word_counter(WORDS), "b": token_counts.byte_counter(RANKS, P.PATTERN)})
+    assert sorted((r["tokens"]["w"], r["tokens"]["b"]) for r in made.collect()) == sorted((counters["word_bpe_49k"](t or ""), counters["byte_bpe_multi_50k"](t or "")) for t in TEXTS)
