@@ -3,9 +3,13 @@
 A bounded sample is bisected into equal halves again and again; the leaves' means, refined a few rounds,
 are the lists' centroids. They are searched by a best-first walk over a neighbour graph kept in memory
 (its size is bounded by ``max_lists``). A vector goes to its nearest list and, if it lies near a boundary,
-to further ones within a distance ratio; a query reads the lists within a wider ratio. Lists are cut into
-parts of bounded size, so a long list is many groups. Equal vectors are one entry with their smallest
-ids, so copies of one vector cost nothing.
+to further ones within a distance ratio; a query reads the lists within a wider ratio. The vectors and the
+queries of a list are both cut into parts of bounded size, so a long list is many groups. Equal vectors
+are one entry with their smallest ids, so copies of one vector cost nothing. A query whose lists hold
+fewer than k vectors is asked of all lists.
+
+The number of lists grows with the vectors up to ``max_lists`` (6.5 million vectors at 400 a list); beyond,
+lists grow, and a query reads about probes / max_lists (0.15 %) of all vectors.
 
 Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm, which
 is 0 for queries: nearest then means largest inner product.
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize
+from .common import materialize, slices
 
 
 @dataclass(frozen=True)
@@ -39,6 +43,7 @@ class AnnConfig:
     probe_ratio: float = 1.6
     min_probes: int = 8
     part: int = 2_000
+    sample_bytes: int = 64 << 20
     degree: int = 16
     beam: int = 48
 
@@ -179,9 +184,10 @@ def search(df: DataFrame, is_query, k: int = 20, cfg: AnnConfig = AnnConfig(), i
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    # at most cfg.sample vectors reach the driver
-    taken = entries.select("v", "g1", "g2").orderBy("g1", "g2").limit(cfg.sample).collect()
-    x = np.array([r["v"] for r in taken])
+    # at most cfg.sample vectors and cfg.sample_bytes reach the driver
+    most_taken = max(1, min(cfg.sample, cfg.sample_bytes // (8 * dim)))
+    taken = entries.select("v", "g1", "g2").orderBy("g1", "g2").limit(most_taken).toArrow()
+    x = _vectors(taken["v"].combine_chunks())
     x = np.hstack([x, np.sqrt(np.maximum(most - (x**2).sum(1), 0))[:, None]])
     lists = 1
     while lists * 2 * cfg.list_size <= n and lists * 2 <= cfg.max_lists:
@@ -194,8 +200,7 @@ def search(df: DataFrame, is_query, k: int = 20, cfg: AnnConfig = AnnConfig(), i
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = graph.value
             for batch in batches:
-                for lo in range(0, batch.num_rows, 1000):
-                    part = batch.slice(lo, 1000)
+                for part in slices(batch, rows=1000):
                     v = _vectors(part.column("v"))
                     last = np.zeros(len(v)) if query else np.sqrt(np.maximum(most - (v**2).sum(1), 0))
                     ids, dist = index.search(np.hstack([v, last[:, None]]), most_lists, cfg.beam)
@@ -208,12 +213,9 @@ def search(df: DataFrame, is_query, k: int = 20, cfg: AnnConfig = AnnConfig(), i
 
     posted = materialize(entries.select("g1", "g2", "v", "ids").mapInArrow(assigner(False), "list int, g1 long, g2 long, v array<double>, ids array<long>"), "postings")
     # one row a list, at most max_lists
-    parts = posted.groupBy("list").agg(F.ceil(F.count("*") / cfg.part).cast("int").alias("parts"))
+    parts = materialize(posted.groupBy("list").agg(F.ceil(F.count("*") / cfg.part).cast("int").alias("parts")), "parts")
     queries = rows.filter(is_query).select("g1", "g2", F.col("vec_id").alias("query_id")).distinct()
-    asked = entries.join(queries.select("g1", "g2").distinct(), ["g1", "g2"], "left_semi").select("g1", "g2", "v")
-    asked = asked.mapInArrow(assigner(True), "list int, g1 long, g2 long, v array<double>")
-    asked = asked.join(parts, "list").select("list", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "g1", "g2", "v", F.lit(None).cast("array<long>").alias("ids"))
-    held = posted.join(parts, "list").select("list", F.expr("cast(pmod(g1, parts) as int)").alias("part"), "g1", "g2", "v", "ids")
+    vectors = entries.join(queries.select("g1", "g2").distinct(), ["g1", "g2"], "left_semi").select("g1", "g2", "v")
 
     def score(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -238,11 +240,25 @@ def search(df: DataFrame, is_query, k: int = 20, cfg: AnnConfig = AnnConfig(), i
                     out["score"] += [-e for e, _ in pairs]
         return pa.table({"g1": pa.array(out["g1"], pa.int64()), "g2": pa.array(out["g2"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    found = asked.unionByName(held).groupBy("list", "part").applyInArrow(score, "g1 long, g2 long, vec_id long, score double")
-    # at most probes * parts * (k + 1) rows a distinct query vector; k + 1 of them go on
-    found = found.groupBy("g1", "g2", "vec_id").agg(F.max("score").alias("score"))
-    nearest = Window.partitionBy("g1", "g2").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k + 1).drop("r")
+    def ask(asked: DataFrame) -> DataFrame:
+        """g1, g2, vec_id, score: at most k + 1 of each asked (list, g1, g2, v)."""
+        cut = asked.groupBy("list").agg(F.ceil(F.count("*") / cfg.part).cast("int").alias("cuts")).join(parts, "list")
+        cut = materialize(cut, "cuts")
+        a = asked.join(cut, "list").select("list", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.expr("cast(pmod(g1, cuts) as int)").alias("cut"), "g1", "g2", "v", F.lit(None).cast("array<long>").alias("ids"))
+        h = posted.join(cut, "list").select("list", F.expr("cast(pmod(g1, parts) as int)").alias("part"), F.explode(F.expr("sequence(0, cuts - 1)")).alias("cut"), "g1", "g2", "v", "ids")
+        found = a.unionByName(h).groupBy("list", "part", "cut").applyInArrow(score, "g1 long, g2 long, vec_id long, score double")
+        # at most probes * parts * (k + 1) rows a distinct query vector; k + 1 of them go on
+        found = found.groupBy("g1", "g2", "vec_id").agg(F.max("score").alias("score"))
+        nearest = Window.partitionBy("g1", "g2").orderBy(F.desc("score"), "vec_id")
+        return materialize(found.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k + 1).drop("r"), "found")
+
+    found = ask(materialize(vectors.mapInArrow(assigner(True), "list int, g1 long, g2 long, v array<double>"), "asked"))
+    enough = min(k + 1, rows.select("vec_id").distinct().count())
+    counts = found.groupBy("g1", "g2").agg(F.count("*").alias("n"))
+    short = vectors.join(counts, ["g1", "g2"], "left").filter(F.coalesce("n", F.lit(0)) < enough).select("g1", "g2", "v")
+    short = materialize(short.select(F.explode(F.expr(f"sequence(0, {lists - 1})")).alias("list"), "g1", "g2", "v"), "short")
+    if not short.isEmpty():
+        found = found.join(short.select("g1", "g2").distinct(), ["g1", "g2"], "left_anti").unionByName(ask(short))
     named = queries.join(found, ["g1", "g2"]).filter("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return named.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

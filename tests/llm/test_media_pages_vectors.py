@@ -233,6 +233,19 @@ def test_neighbours(spark):
     assert got[500] == [i for i in range(501, 521)] and got[520] == list(range(500, 520))
 
 
+def test_uneven_lists_still_give_k(spark):
+    """A dense cloud takes nearly all lists; outliers' lists hold next to nothing. Parts are of a few rows."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(0, 0.01, (600, 4)), rng.normal(0, 50, (40, 4))]) + 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    cfg = ann.AnnConfig(list_size=8, part=7, probes=2, min_probes=1, probe_ratio=1.01, copies=1)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, cfg=cfg).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 640, 20)) and all(len({i for i, _ in v}) == 20 for v in got.values())
+    assert all(np.isclose(s, x[q] @ x[i]) for q, v in got.items() for i, s in v)
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (20, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
