@@ -39,13 +39,13 @@ class AnnConfig:
     sample: int = 32_768
     copies: int = 4
     copy_ratio: float = 1.12
-    probes: int = 24
-    probe_ratio: float = 1.6
-    min_probes: int = 8
+    probes: int = 40
+    probe_ratio: float = 1.8
+    min_probes: int = 16
     part: int = 2_000
     sample_bytes: int = 64 << 20
     degree: int = 16
-    beam: int = 48
+    beam: int = 64
 
 
 class Centroids:
