@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import materialize, slices
 
@@ -134,9 +135,10 @@ def balanced(x: np.ndarray, lists: int, rounds: int = 4, seed: int = 5) -> np.nd
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, v (array<double>), g1, g2 (a 128-bit hash of v) of the rows that take part."""
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    ok = F.expr("v IS NOT NULL AND vec_id IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)")
+    """vec_id, v (floats stay floats, others are doubles), g1, g2 (a 128-bit hash of v) of the rows that take part."""
+    kind = "float" if df.schema[vec_col].dataType == ArrayType(FloatType(), df.schema[vec_col].dataType.containsNull) else "double"
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{kind}>").alias("v"))
+    ok = F.expr("v IS NOT NULL AND vec_id IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < float('infinity')) AND exists(v, x -> x <> 0)")
     return rows.filter(ok).withColumns({"g1": F.xxhash64("v"), "g2": F.xxhash64(F.lit(17), "v")})
 
 
@@ -161,7 +163,7 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
                 }
             )
 
-    part = rows.select("vec_id", "v", "g1", "g2").mapInArrow(run, "g1 long, g2 long, v array<double>, ids array<long>")
+    part = rows.select("vec_id", "v", "g1", "g2").mapInArrow(run, f"g1 long, g2 long, v {dict(rows.dtypes)['v']}, ids array<long>")
     least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids")
     part = part.groupBy("g1", "g2", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(32)).alias("salt")).agg(F.first("v").alias("v"), least)
     return part.groupBy("g1", "g2").agg(F.first("v").alias("v"), least)
@@ -176,10 +178,10 @@ def search(df: DataFrame, is_query, k: int = 20, cfg: AnnConfig = AnnConfig(), i
     spark = df.sparkSession
     rows = usable(df, id_col, vec_col)
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = sizes["d"] if sizes else 0
+    dim, kind = sizes["d"] if sizes else 0, dict(rows.dtypes)["v"]
     rows = rows.filter(F.size("v") == dim)
     entries = materialize(distinct_vectors(rows, k + 1), "vectors")
-    about = entries.agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0D, (s, x) -> s + x * x)")).alias("most")).first()
+    about = entries.agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0D, (s, x) -> s + double(x) * double(x))")).alias("most")).first()
     n, most = about["n"], about["most"] or 0.0
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
@@ -211,7 +213,7 @@ def search(df: DataFrame, is_query, k: int = 20, cfg: AnnConfig = AnnConfig(), i
 
         return run
 
-    posted = materialize(entries.select("g1", "g2", "v", "ids").mapInArrow(assigner(False), "list int, g1 long, g2 long, v array<double>, ids array<long>"), "postings")
+    posted = materialize(entries.select("g1", "g2", "v", "ids").mapInArrow(assigner(False), f"list int, g1 long, g2 long, v {kind}, ids array<long>"), "postings")
     # one row a list, at most max_lists
     parts = materialize(posted.groupBy("list").agg(F.ceil(F.count("*") / cfg.part).cast("int").alias("parts")), "parts")
     queries = rows.filter(is_query).select("g1", "g2", F.col("vec_id").alias("query_id")).distinct()
@@ -252,7 +254,7 @@ def search(df: DataFrame, is_query, k: int = 20, cfg: AnnConfig = AnnConfig(), i
         nearest = Window.partitionBy("g1", "g2").orderBy(F.desc("score"), "vec_id")
         return materialize(found.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k + 1).drop("r"), "found")
 
-    found = ask(materialize(vectors.mapInArrow(assigner(True), "list int, g1 long, g2 long, v array<double>"), "asked"))
+    found = ask(materialize(vectors.mapInArrow(assigner(True), f"list int, g1 long, g2 long, v {kind}"), "asked"))
     enough = min(k + 1, rows.select("vec_id").distinct().count())
     counts = found.groupBy("g1", "g2").agg(F.count("*").alias("n"))
     short = vectors.join(counts, ["g1", "g2"], "left").filter(F.coalesce("n", F.lit(0)) < enough).select("g1", "g2", "v")
