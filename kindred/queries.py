@@ -41,9 +41,11 @@ def values_sql(rows, names: str) -> str:
 
 
 TEXT_ROWS = tuple(enumerate(TEXTS, 1))
-TEXT_PAIRS = tuple((i * 100 + j, a, b) for i, a in TEXT_ROWS for j, b in TEXT_ROWS if i < j and (i + j) % 3 == 0)
-TEXTS_SQL = values_sql(TEXT_ROWS, "id, s")
-PAIRS_SQL = values_sql(TEXT_PAIRS, "id, a, b")
+TEXT_PAIRS = tuple((i * 100 + j, a, b) for i, a in TEXT_ROWS for j, b in TEXT_ROWS if i < j)
+# The literal texts and all names of the price list; the literal pairs, and materials with the items of their category and brand.
+TEXTS_SQL = f"(WITH {PL_SQL} SELECT concat('t', id) AS id, s FROM {values_sql(TEXT_ROWS, 'id, s')} UNION ALL SELECT concat('p', id), name FROM pl) tx"
+PAIRS_SQL = f"""(WITH {PL_SQL}, {MAT_SQL} SELECT concat('t', id) AS id, a, b FROM {values_sql(TEXT_PAIRS, 'id, a, b')}
+    UNION ALL SELECT concat(mat.id, '-', pl.id), mat.name, pl.name FROM mat JOIN pl ON mat.category = pl.category AND mat.manufacturer = lower(pl.brand)) px"""
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,12 +67,16 @@ def materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, MAT_SQL, "mat")
 
 
-def texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEXT_ROWS, "id int, s string")
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    literal = spark.createDataFrame(TEXT_ROWS, "id int, s string").select(F.concat(F.lit("t"), "id").alias("id"), "s")
+    return literal.unionByName(price_list(spark, sf_dir).select(F.concat(F.lit("p"), "id").alias("id"), F.col("name").alias("s")))
 
 
-def text_pairs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEXT_PAIRS, "id int, a string, b string")
+def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    literal = spark.createDataFrame(TEXT_PAIRS, "id int, a string, b string").select(F.concat(F.lit("t"), "id").alias("id"), "a", "b")
+    m = materials(spark, sf_dir).select(F.col("id").alias("mi"), F.col("name").alias("a"), "category", F.col("manufacturer").alias("brand"))
+    p = price_list(spark, sf_dir).select(F.col("id").alias("pi"), F.col("name").alias("b"), "category", F.lower("brand").alias("brand"))
+    return literal.unionByName(m.join(p, ["category", "brand"]).select(F.concat("mi", F.lit("-"), "pi").alias("id"), "a", "b"))
 
 
 QUERIES: dict = {}
@@ -167,29 +173,28 @@ def map_sql(table: dict, key: str, default: str) -> str:
 
 @query(f"SELECT id, {_squeeze(r'regexp_replace(lower(s), ' + chr(39) + r'[^\p{L}\p{N}_\s]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS out FROM {TEXTS_SQL}")
 def base_normalize(spark, sf_dir):
-    return texts(spark).select("id", T.base_normalize(F.col("s")).alias("out"))
+    return texts(spark, sf_dir).select("id", T.base_normalize(F.col("s")).alias("out"))
 
 
 @query(f"SELECT id, trim(lower(regexp_replace(s, '[^a-zA-Zа-яА-Я0-9\\s]', ' ', 'g'))) AS out FROM {TEXTS_SQL}")
 def index_normalize(spark, sf_dir):
-    return texts(spark).select("id", T.index_normalize(F.col("s")).alias("out"))
+    return texts(spark, sf_dir).select("id", T.index_normalize(F.col("s")).alias("out"))
 
 
-@query(f"WITH {PL_SQL} SELECT id, {fast_sql('name')} AS out FROM pl UNION ALL SELECT concat('t', id), {fast_sql('s')} FROM {TEXTS_SQL}")
+@query(f"SELECT id, {fast_sql('s')} AS out FROM {TEXTS_SQL}")
 def fast_normalize(spark, sf_dir):
-    rows = price_list(spark, sf_dir).select("id", "name").unionByName(texts(spark).select(F.concat(F.lit("t"), "id").alias("id"), F.col("s").alias("name")))
-    return rows.select("id", T.fast_normalize(F.col("name")).alias("out"))
+    return texts(spark, sf_dir).select("id", T.fast_normalize(F.col("s")).alias("out"))
 
 
 @query(f"SELECT id, {fold_sql('s')} AS out, {fold_sql('s', T.HOMOGLYPHS_WITH_X)} AS out_x FROM {TEXTS_SQL}")
 def homoglyph_fold(spark, sf_dir):
     s = F.col("s")
-    return texts(spark).select("id", T.fold_homoglyphs(s).alias("out"), T.fold_homoglyphs(s, T.HOMOGLYPHS_WITH_X).alias("out_x"))
+    return texts(spark, sf_dir).select("id", T.fold_homoglyphs(s).alias("out"), T.fold_homoglyphs(s, T.HOMOGLYPHS_WITH_X).alias("out_x"))
 
 
 @query(f"SELECT id, {units_sql('lower(s)')} AS out FROM {TEXTS_SQL}")
 def unit_normalize(spark, sf_dir):
-    return texts(spark).select("id", T.normalize_units(F.lower("s")).alias("out"))
+    return texts(spark, sf_dir).select("id", T.normalize_units(F.lower("s")).alias("out"))
 
 
 @query(
@@ -200,12 +205,12 @@ def unit_normalize(spark, sf_dir):
     SELECT w.id, CASE WHEN f.i IS NULL THEN w.s ELSE array_to_string(list_concat(w.w[1:f.i - 1], [f.joined], w.w[f.i + 2:]), ' ') END AS out FROM w LEFT JOIN f USING (id)"""
 )
 def word_order(spark, sf_dir):
-    return texts(spark).select("id", T.canonical_order(F.lower("s")).alias("out"))
+    return texts(spark, sf_dir).select("id", T.canonical_order(F.lower("s")).alias("out"))
 
 
 @query(f"SELECT id, array_to_string(list_transform(string_split(lower(s), ' '), lambda w: {map_sql(T.SYNONYMS, 'w', 'w')}), ' ') AS out FROM {TEXTS_SQL}")
 def synonym_map(spark, sf_dir):
-    return texts(spark).select("id", T.replace_synonyms(F.lower("s")).alias("out"))
+    return texts(spark, sf_dir).select("id", T.replace_synonyms(F.lower("s")).alias("out"))
 
 
 @query(
@@ -213,12 +218,12 @@ def synonym_map(spark, sf_dir):
     lambda w: {map_sql(T.SYNONYMS_MULTI, 'w', 'w')}), ' ') AS out FROM {TEXTS_SQL}"""
 )
 def multi_normalize(spark, sf_dir):
-    return texts(spark).select("id", T.multi_normalize(F.col("s")).alias("out"))
+    return texts(spark, sf_dir).select("id", T.multi_normalize(F.col("s")).alias("out"))
 
 
 @query()
 def legacy_normalize(spark, sf_dir):
-    composed = texts(spark).select("id", metrics.nfc("s").alias("s"))
+    composed = texts(spark, sf_dir).select("id", metrics.nfc("s").alias("s"))
     return composed.select("id", T.legacy_normalize(F.col("s")).alias("out"))
 
 
@@ -236,21 +241,20 @@ def ngrams(spark, sf_dir):
 
 @query()
 def russian_analyzer(spark, sf_dir):
-    return texts(spark).select("id", F.array_join(T.analyze_russian(F.col("s")), " ").alias("terms"), F.array_join(T.analyze_russian(F.col("s"), unique=False), " ").alias("live_terms"))
+    return texts(spark, sf_dir).select("id", F.array_join(T.analyze_russian(F.col("s")), " ").alias("terms"), F.array_join(T.analyze_russian(F.col("s"), unique=False), " ").alias("live_terms"))
 
 
 # Extraction ----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {PL_SQL} SELECT id, array_to_string({models_sql('name')}, '|') AS models FROM pl UNION ALL SELECT concat('t', id), array_to_string({models_sql('s')}, '|') FROM {TEXTS_SQL}")
+@query(f"SELECT id, array_to_string({models_sql('s')}, '|') AS models FROM {TEXTS_SQL}")
 def model_extract(spark, sf_dir):
-    rows = price_list(spark, sf_dir).select("id", "name").unionByName(texts(spark).select(F.concat(F.lit("t"), "id").alias("id"), F.col("s").alias("name")))
-    return rows.select("id", F.array_join(extract.model_codes(F.col("name")), "|").alias("models"))
+    return texts(spark, sf_dir).select("id", F.array_join(extract.model_codes(F.col("s")), "|").alias("models"))
 
 
 @query(f"SELECT id, array_to_string({keys_sql('s')}, '|') AS keys FROM {TEXTS_SQL}")
 def numeric_keys(spark, sf_dir):
-    return texts(spark).select("id", F.array_join(extract.numeric_keys(F.col("s")), "|").alias("keys"))
+    return texts(spark, sf_dir).select("id", F.array_join(extract.numeric_keys(F.col("s")), "|").alias("keys"))
 
 
 @query(
@@ -259,17 +263,17 @@ def numeric_keys(spark, sf_dir):
 )
 def numeric_compat(spark, sf_dir):
     x, y = extract.numeric_keys(F.col("a")), extract.numeric_keys(F.col("b"))
-    return text_pairs(spark).withColumns({"x": x, "y": y}).select("id", extract.numeric_compatible(F.col("x"), F.col("y")).alias("ok"))
+    return text_pairs(spark, sf_dir).withColumns({"x": x, "y": y}).select("id", extract.numeric_compatible(F.col("x"), F.col("y")).alias("ok"))
 
 
 @query(rf"SELECT id, list_filter(regexp_extract_all(s, '{extract.EQUIPMENT_CODE}'), lambda c: length(c) > 3)[1] AS code FROM {TEXTS_SQL}")
 def equipment_code_extract(spark, sf_dir):
-    return texts(spark).select("id", extract.equipment_code(F.col("s")).alias("code"))
+    return texts(spark, sf_dir).select("id", extract.equipment_code(F.col("s")).alias("code"))
 
 
 @query(rf"WITH c AS (SELECT id, list_filter(regexp_extract_all(s, '{extract.ARTICLE_CODE}'), lambda c: length(c) > 3 AND regexp_matches(c, '\d')) AS c FROM {TEXTS_SQL}) SELECT id, list_filter(c, lambda v: length(v) = list_max(list_transform(c, lambda u: length(u))))[1] AS code FROM c")
 def article_extract(spark, sf_dir):
-    return texts(spark).select("id", extract.article_code(F.col("s")).alias("code"))
+    return texts(spark, sf_dir).select("id", extract.article_code(F.col("s")).alias("code"))
 
 
 # Metrics -------------------------------------------------------------------------------------------
@@ -277,12 +281,12 @@ def article_extract(spark, sf_dir):
 
 @query(f"SELECT id, {ratio_sql('a', 'b')} AS r FROM {PAIRS_SQL}")
 def lcs_ratio(spark, sf_dir):
-    return text_pairs(spark).select("id", metrics.ratio(F.col("a"), F.col("b")).alias("r"))
+    return text_pairs(spark, sf_dir).select("id", metrics.ratio(F.col("a"), F.col("b")).alias("r"))
 
 
 @query(f"WITH p AS (SELECT id, {sorted_sql('a')} AS a, {sorted_sql('b')} AS b FROM {PAIRS_SQL}) SELECT id, {ratio_sql('a', 'b')} AS r FROM p")
 def token_sort_ratio(spark, sf_dir):
-    return text_pairs(spark).select("id", metrics.token_sort_ratio(F.col("a"), F.col("b")).alias("r"))
+    return text_pairs(spark, sf_dir).select("id", metrics.token_sort_ratio(F.col("a"), F.col("b")).alias("r"))
 
 
 @query(
@@ -292,12 +296,12 @@ def token_sort_ratio(spark, sf_dir):
     SELECT id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE greatest({ratio_sql('ii', 'l')}, {ratio_sql('ii', 'r')}, {ratio_sql('l', 'r')}) END AS r FROM t"""
 )
 def token_set_ratio(spark, sf_dir):
-    return text_pairs(spark).select("id", metrics.token_set_ratio(F.col("a"), F.col("b")).alias("r"))
+    return text_pairs(spark, sf_dir).select("id", metrics.token_set_ratio(F.col("a"), F.col("b")).alias("r"))
 
 
 @query(f"WITH p AS (SELECT id, {_words('lower(a)')} AS x, {_words('lower(b)')} AS y FROM {PAIRS_SQL}) SELECT id, {jaccard_sql('x', 'y')} AS j FROM p")
 def token_jaccard(spark, sf_dir):
-    return text_pairs(spark).select("id", metrics.token_jaccard(F.lower("a"), F.lower("b")).alias("j"))
+    return text_pairs(spark, sf_dir).select("id", metrics.token_jaccard(F.lower("a"), F.lower("b")).alias("j"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_SEMANTIC) + "]"
@@ -309,17 +313,17 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_SEMANTIC) + "]"
     SELECT id, CASE WHEN a = b THEN 1.0 WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN j >= 0.8 THEN 0.95 WHEN j >= 0.6 THEN 0.85 ELSE j END::double AS s FROM j"""
 )
 def semantic_jaccard(spark, sf_dir):
-    return text_pairs(spark).select("id", metrics.semantic_similarity(F.lower("a"), F.lower("b")).alias("s"))
+    return text_pairs(spark, sf_dir).select("id", metrics.semantic_similarity(F.lower("a"), F.lower("b")).alias("s"))
 
 
 @query()
 def partial_ratio(spark, sf_dir):
-    return text_pairs(spark).select("id", metrics.partial_ratio("a", "b").alias("r"))
+    return text_pairs(spark, sf_dir).select("id", metrics.partial_ratio("a", "b").alias("r"))
 
 
 @query()
 def sequence_ratio(spark, sf_dir):
-    return text_pairs(spark).select("id", metrics.sequence_ratio("a", "b").alias("r"))
+    return text_pairs(spark, sf_dir).select("id", metrics.sequence_ratio("a", "b").alias("r"))
 
 
 def _code_sql(x: str, y: str) -> str:
@@ -329,7 +333,7 @@ def _code_sql(x: str, y: str) -> str:
 @query(f"WITH p AS (SELECT id, regexp_replace(upper(a), '\\s+', '', 'g') AS x, regexp_replace(upper(b), '\\s+', '', 'g') AS y, replace(upper(a), ' ', '') AS u, replace(upper(b), ' ', '') AS v FROM {PAIRS_SQL}) SELECT id, {_code_sql('x', 'y')} AS code, {_code_sql('u', 'v')} AS fast_code FROM p")
 def code_sim(spark, sf_dir):
     a, b = F.col("a"), F.col("b")
-    return text_pairs(spark).select("id", scores.code_similarity(a, b).alias("code"), scores.fast_code(a, b).alias("fast_code"))
+    return text_pairs(spark, sf_dir).select("id", scores.code_similarity(a, b).alias("code"), scores.fast_code(a, b).alias("fast_code"))
 
 
 @query(
@@ -339,7 +343,7 @@ def code_sim(spark, sf_dir):
 )
 def brand_sim(spark, sf_dir):
     a, b = F.col("a"), F.col("b")
-    return text_pairs(spark).select("id", scores.brand_similarity(a, b).alias("brand"), scores.fast_brand(a, b).alias("fast_brand"))
+    return text_pairs(spark, sf_dir).select("id", scores.brand_similarity(a, b).alias("brand"), scores.fast_brand(a, b).alias("fast_brand"))
 
 
 SPECS = ((1, "v", "10", "v", "10"), (2, "v", "10", "v", "10.5"), (3, "v", "10", "v", "12"), (4, "v", "10", "v", "30"), (5, "v", "10", "w", "10"), (6, "v", "0", "v", "-3"), (7, "v", " A ", "v", "a"))
@@ -416,9 +420,9 @@ def keyword_scores(spark, sf_dir):
     return kw.groupBy("material_id").agg(F.count("*").alias("pairs"), F.sum("score").alias("total"), F.max("score").alias("best"))
 
 
-@query(f"WITH {KW_SQL} SELECT * FROM {_ranked(5)}")
+@query(f"WITH {KW_SQL} SELECT * FROM {_ranked(50)}")
 def keyword_candidates(spark, sf_dir):
-    return candidates.top_candidates(candidates.keyword_scores(live_queries(materials(spark, sf_dir)), price_list(spark, sf_dir)), 5)
+    return candidates.top_candidates(candidates.keyword_scores(live_queries(materials(spark, sf_dir)), price_list(spark, sf_dir)), 50)
 
 
 @query(
@@ -431,15 +435,15 @@ def token_block_join(spark, sf_dir):
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE lang = 'en'), tf AS (SELECT doc, term, count(*) AS tf FROM d GROUP BY ALL),
+    r"""WITH d AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents), tf AS (SELECT doc, term, count(*) AS tf FROM d GROUP BY ALL),
     size AS (SELECT doc, sum(tf) AS size FROM tf GROUP BY doc), about AS (SELECT count(*) AS n, avg(size) AS mean FROM size), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    q AS (SELECT DISTINCT item_id AS material_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark),
+    q AS (SELECT DISTINCT item_id AS material_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark),
     s AS (SELECT material_id, doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)))) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN size USING (doc), about GROUP BY ALL)
     SELECT material_id, doc, round(score, 6) AS score, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY round(score, 6) DESC, doc) AS rank FROM s) WHERE rank <= 5"""
 )
 def bm25_topk(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").filter("lang = 'en'")
-    terms = lambda c: F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z]+"), F.lit(0))
+    docs = read(spark, sf_dir, "documents")
+    terms = lambda c: F.regexp_extract_all(F.lower(F.col(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     posted = candidates.postings(docs, "doc_id", {"text": terms("text")})
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("material_id"), F.lit("text").alias("field"), F.explode(F.array_distinct(terms("text"))).alias("term")).distinct()
     hits = candidates.bm25(posted, asked).select("material_id", "doc", F.round("score", 6).alias("score"))
@@ -481,7 +485,7 @@ scored AS (
   UNION ALL SELECT material_id, price_id, score, rank, CASE kind WHEN 's' THEN 100.0 ELSE 95.0 END, CASE kind WHEN 's' THEN 100.0 ELSE 0.0 END, 0.0, CASE kind WHEN 's' THEN 100.0 ELSE 90.0 END, CASE kind WHEN 's' THEN 100.0 ELSE 95.0 END FROM fk WHERE kind <> 'x')"""
 
 
-CFG = matching.MatchConfig(candidates=8, top_n=4)
+CFG = matching.MatchConfig()
 SCORED_SQL = f"{KW_SQL}, {fast_ctes(_ranked(CFG.candidates))}"
 MATCHES_SQL = f"""{SCORED_SQL},
 combined AS (SELECT *, 0.7 * pct + 30.0 * least(score / 10, 1.0) AS combined FROM scored WHERE pct >= {CFG.threshold}),
@@ -742,7 +746,7 @@ def nested_order(spark, sf_dir):
 
 @query()
 def legacy_score(spark, sf_dir):
-    p = text_pairs(spark).withColumns({"x": T.legacy_normalize(F.col("a")), "y": T.legacy_normalize(F.col("b")), "ok": extract.numeric_compatible(extract.numeric_keys(F.col("a")), extract.numeric_keys(F.col("b")))})
+    p = text_pairs(spark, sf_dir).withColumns({"x": T.legacy_normalize(F.col("a")), "y": T.legacy_normalize(F.col("b")), "ok": extract.numeric_compatible(extract.numeric_keys(F.col("a")), extract.numeric_keys(F.col("b")))})
     p = p.withColumn("name", scores.legacy_text(F.col("x"), F.col("y"), F.col("ok")))
     yes, no = F.lit(True), F.lit(False)
     total = scores.legacy_total(F.col("name"), F.col("name"), F.lit(100.0), F.lit(0.0), F.lit(0.0), yes, yes, no, no, F.col("ok"), F.col("x") == F.col("y"))
@@ -751,14 +755,14 @@ def legacy_score(spark, sf_dir):
 
 @query()
 def priority_score(spark, sf_dir):
-    p = text_pairs(spark).withColumns({"x": T.legacy_normalize(F.col("a")), "y": T.legacy_normalize(F.col("b")), "ok": extract.numeric_compatible(extract.numeric_keys(F.col("a")), extract.numeric_keys(F.col("b")))})
+    p = text_pairs(spark, sf_dir).withColumns({"x": T.legacy_normalize(F.col("a")), "y": T.legacy_normalize(F.col("b")), "ok": extract.numeric_compatible(extract.numeric_keys(F.col("a")), extract.numeric_keys(F.col("b")))})
     total = scores.priority_total(scores.legacy_text(F.col("x"), F.col("y"), F.col("ok")), scores.code_similarity(F.col("a"), F.col("b")), F.lit(0.0), F.lit(True), F.lit(False), F.col("ok"))
     return p.select("id", F.round(total, 6).alias("total"))
 
 
 @query()
 def multi_score(spark, sf_dir):
-    p = text_pairs(spark).withColumns({"x": T.multi_normalize(F.col("a")), "y": T.multi_normalize(F.col("b")), "ok": scores.multi_numeric_compatible(F.col("a"), F.col("b"))})
+    p = text_pairs(spark, sf_dir).withColumns({"x": T.multi_normalize(F.col("a")), "y": T.multi_normalize(F.col("b")), "ok": scores.multi_numeric_compatible(F.col("a"), F.col("b"))})
     p = p.withColumn("name", scores.multi_text(F.col("x"), F.col("y")))
     total = scores.multi_total(F.col("name"), F.col("name"), F.lit(1.0), F.lit(0.8), F.lit(0.8), F.col("ok"))
     return p.select("id", F.round("name", 6).alias("name"), F.round(total, 6).alias("total"))
