@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import extract, metrics
@@ -136,20 +136,43 @@ def _number(c: Column) -> Column:
     return F.when(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), c.try_cast("double"))
 
 
-def specs_similarity(a: Column, b: Column, steps: tuple = ((0.1, 90.0), (0.2, 70.0)), top: float = 100.0, text_score: Callable[[Column, Column], Column] | None = None) -> Column:
+def spec_value(x: Column, y: Column, steps: tuple, top: float, words: Column) -> Column:
+    """Of two values in lower case: equal, numbers by their difference, else ``words``."""
+    u, v = _number(x), _number(y)
+    most = F.greatest(u, v)
+    d = F.when(most > 0, F.abs(u - v) / most).otherwise(0.0)
+    out = F.when(x == y, top)
+    for limit, value in steps:
+        out = out.when(d <= limit, value)
+    return F.when(x == y, top).when(u.isNull() | v.isNull(), words).otherwise(out.otherwise(F.greatest(F.lit(0.0), top * (1 - d))))
+
+
+SPEC_STEPS = ((0.1, 90.0), (0.2, 70.0))
+
+
+def specs_scores(rows: DataFrame, key: str, a: str, b: str, text_score: Callable[[DataFrame], DataFrame], steps: tuple = SPEC_STEPS, top: float = 100.0) -> DataFrame:
+    """key, specs: ``specs_similarity`` of the map columns a and b, the common keys as rows; ``text_score`` adds a
+    column ``words`` to rows with two values x and y, by whatever metric."""
+    common = F.array_intersect(F.map_keys(a), F.map_keys(b))
+    each = rows.select(key, F.explode(common).alias("k"), a, b).select(key, F.trim(F.lower(F.col(a)[F.col("k")])).alias("x"), F.trim(F.lower(F.col(b)[F.col("k")])).alias("y"))
+    mean = text_score(each).select(key, spec_value(F.col("x"), F.col("y"), steps, top, F.col("words")).alias("v")).groupBy(key).agg(F.avg("v").alias("specs"))
+    return rows.select(key).join(mean, key, "left").withColumn("specs", F.coalesce("specs", F.lit(0.0)))
+
+
+def legacy_words(rows: DataFrame) -> DataFrame:
+    """The older text score of the values x and y, which are expected in NFC."""
+    compatible = extract.numeric_compatible(extract.numeric_keys(F.col("x")), extract.numeric_keys(F.col("y")))
+    normal = rows.withColumns({"nx": T.legacy_normalize(F.col("x")), "ny": T.legacy_normalize(F.col("y")), "ok": compatible})
+    return normal.withColumn("words", legacy_text(F.col("nx"), F.col("ny"), F.col("ok")))
+
+
+def specs_similarity(a: Column, b: Column, steps: tuple = SPEC_STEPS, top: float = 100.0, text_score: Callable[[Column, Column], Column] | None = None) -> Column:
     """Mean over the common keys of two map<string,string> columns; 0 without common keys. Values that are
-    not both numbers get ``text_score`` (0 without one: it can't be a Python function inside a lambda)."""
+    not both numbers get ``text_score`` (0 without one; for one that runs Python, see ``specs_scores``)."""
 
     def one(k: Column) -> Column:
         x, y = F.trim(F.lower(a[k])), F.trim(F.lower(b[k]))
-        u, v = _number(x), _number(y)
-        most = F.greatest(u, v)
-        d = F.when(most > 0, F.abs(u - v) / most).otherwise(0.0)
-        out = F.when(x == y, top)
-        for limit, value in steps:
-            out = out.when(d <= limit, value)
-        words = F.lit(0.0) if text_score is None else text_score(x, y)
-        return F.when(x == y, top).when(u.isNull() | v.isNull(), words).otherwise(out.otherwise(F.greatest(F.lit(0.0), top * (1 - d))))
+        return spec_value(x, y, steps, top, F.lit(0.0) if text_score is None else text_score(x, y))
 
     common = F.array_sort(F.array_intersect(F.map_keys(a), F.map_keys(b)))
     total = F.aggregate(F.transform(common, one), F.lit(0.0), lambda s, x: s + x)
@@ -206,20 +229,34 @@ def multi_brand(a: Column, b: Column, score: Column) -> Column:
 MULTI_STEPS = ((0.05, 0.95), (0.1, 0.8), (0.2, 0.6))
 
 
-def multi_specs(a: Column, b: Column) -> Column:
+def multi_words(rows: DataFrame) -> DataFrame:
+    """The multi-algorithm text score of the values x and y."""
+    normal = rows.withColumns({"nx": T.multi_normalize(F.col("x")), "ny": T.multi_normalize(F.col("y"))})
+    return normal.withColumn("words", multi_text(F.col("nx"), F.col("ny")))
+
+
+def multi_specs(a: Column, b: Column, common: Column | None = None) -> Column:
+    """``common``: the score over common keys, from ``specs_scores`` if texts are to be compared."""
     none_a, none_b = F.size(F.map_keys(a)) == 0, F.size(F.map_keys(b)) == 0
-    return F.when(none_a & none_b, 0.8).when(none_a | none_b, 0.6).otherwise(specs_similarity(a, b, MULTI_STEPS, 1.0))
+    return F.when(none_a & none_b, 0.8).when(none_a | none_b, 0.6).otherwise(specs_similarity(a, b, MULTI_STEPS, 1.0) if common is None else common)
 
 
-def multi_numeric_compatible(a: Column, b: Column) -> Column:
-    """Ranges and sizes of the raw texts intersect, or one side has none."""
+def multi_numeric_keys(c: Column) -> Column:
+    """Ranges and sizes of a raw text."""
+    span = r"(\d+(?:[.,]\d+)?)\s*[-–—]\s*(\d+(?:[.,]\d+)?)\s*[а-яА-Яa-zA-Z]*"
+    both = lambda p, name, sep: F.zip_with(F.regexp_extract_all(T.text(c), F.lit(p), F.lit(1)), F.regexp_extract_all(T.text(c), F.lit(p), F.lit(2)), lambda x, y: F.concat(F.lit(name), x, F.lit(sep), y))
+    return F.array_distinct(F.concat(both(span, "range_", "_"), both(extract.SIZE, "size_", "x")))
 
-    def keys(c: Column) -> Column:
-        span = r"(\d+(?:[.,]\d+)?)\s*[-–—]\s*(\d+(?:[.,]\d+)?)\s*[а-яА-Яa-zA-Z]*"
-        both = lambda p, name, sep: F.zip_with(F.regexp_extract_all(T.text(c), F.lit(p), F.lit(1)), F.regexp_extract_all(T.text(c), F.lit(p), F.lit(2)), lambda x, y: F.concat(F.lit(name), x, F.lit(sep), y))
-        return F.array_distinct(F.concat(both(span, "range_", "_"), both(extract.SIZE, "size_", "x")))
 
-    x, y = keys(a), keys(b)
+def multi_features(c: Column) -> Column:
+    """A text's features: content words of its normal form, ranges and sizes."""
+    tokens = F.array_distinct(T.semantic_tokens(T.multi_normalize(c), T.STOP_MULTI))
+    return F.concat(F.transform(tokens, lambda t: F.concat(F.lit("token_"), t)), multi_numeric_keys(c))
+
+
+def multi_numeric_compatible(a: Column, b: Column) -> Column:
+    """Ranges and sizes of the raw texts intersect, or one side has none."""
+    x, y = multi_numeric_keys(a), multi_numeric_keys(b)
     return F.arrays_overlap(x, y) | (F.size(x) == 0) | (F.size(y) == 0)
 
 
@@ -230,9 +267,16 @@ def multi_total(name: Column, description: Column, category: Column, brand: Colu
     return 100 * F.when((name >= 0.95) & (description >= 0.8) & compatible, 1.0).otherwise(F.least(total, F.lit(1.0)))
 
 
-def backup_weights(article: Column, brand: Column) -> Column:
-    """(name, code, brand) weights of the oldest rule: what is missing goes to the name."""
-    wa, wb = F.when(_has(article), 0.2).otherwise(0.0), F.when(_has(brand), 0.1).otherwise(0.0)
-    return F.array(1 - wa - wb, wa, wb)
+def backup_total(name: Column, code: Column, brand: Column, has_article: Column, has_brand: Column) -> Column:
+    """Name, code and brand by the oldest weights; what is not on both sides leaves its weight to the name."""
+    wa, wb = F.when(has_article, 0.2).otherwise(0.0), F.when(has_brand, 0.1).otherwise(0.0)
+    return name * (1 - wa - wb) + code * wa + brand * wb
 
 
+def backup_fields_total(name: Column, description: Column, category: Column, brand: Column, specs: Column, brand_sides: Column, specs_sides: Column, compatible: Column, w: FieldWeights = FieldWeights()) -> Column:
+    """Percentage from similarities of 0 to 1. A brand, or specifications, on one side only (``..._sides`` is the
+    number of sides that have one) count 0.8, on none they are left out."""
+    wb, ws = F.when(brand_sides > 0, w.brand).otherwise(0.0), F.when(specs_sides > 0, w.specifications).otherwise(0.0)
+    b, s = F.when(brand_sides == 1, 0.8).otherwise(brand), F.when(specs_sides == 1, 0.8).otherwise(specs)
+    total = (w.name * name + w.description * description + w.category * category + wb * b + ws * s) / (w.name + w.description + w.category + wb + ws)
+    return 100 * F.when(compatible, total).otherwise(0.6 * total)

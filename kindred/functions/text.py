@@ -21,6 +21,8 @@ UNIT_RULES = (
 )
 # Synonyms after both directions were entered and later entries replaced earlier ones.
 SYNONYMS = {"led": "светодиодный", "светодиодный": "led", "автомат": "выключатель", "выключатель": "автомат", "мм2": "мм²", "кв.мм": "мм²", "квадратных": "мм²", "мм²": "квадратных", "вт": "w", "ватт": "w", "w": "ватт"}
+# Unit spellings of the oldest normalizer.
+UNIT_RULES_OLD = UNIT_RULES[:1] + ((r"(\d+(?:[.,]\d+)?)\s*(?:мм2?|мм²|кв\.?мм)", "$1мм²"),) + UNIT_RULES[2:] + ((r"с(\d+)", "c$1"),)
 SYNONYMS_MULTI = {"led": "светодиодный", "светодиодный": "led", "автомат": "выключатель", "выключатель": "автомат", "мм2": "мм²", "кв.мм": "мм²", "мм²": "кв.мм", "вт": "w", "ватт": "w", "w": "ватт"}
 # Word pairs whose order is made canonical.
 WORD_ORDER = ("кабельный канал", "автоматический выключатель", "светодиодная лампа")
@@ -49,7 +51,7 @@ def base_normalize(c: Column) -> Column:
 
 
 def index_normalize(c: Column) -> Column:
-    """Letters of two alphabets, digits and blanks; lower case; accents folded to ASCII."""
+    """Letters of two alphabets, digits and blanks; lower case; other letters become blanks."""
     kept = F.lower(F.regexp_replace(text(c), r"[^a-zA-Zа-яА-Я0-9\s]", " "))
     return F.trim(kept)
 
@@ -64,9 +66,8 @@ def fold_homoglyphs(c: Column, table: tuple[str, str] = HOMOGLYPHS) -> Column:
     return F.translate(text(c), *table)
 
 
-def normalize_units(c: Column) -> Column:
-    out = reduce(lambda x, rule: F.regexp_replace(x, "(?iu)" + rule[0], rule[1]), UNIT_RULES, text(c))
-    return out
+def normalize_units(c: Column, rules: tuple[tuple[str, str], ...] = UNIT_RULES) -> Column:
+    return reduce(lambda x, rule: F.regexp_replace(x, "(?iu)" + rule[0], rule[1]), rules, text(c))
 
 
 def canonical_order(c: Column) -> Column:
@@ -102,6 +103,14 @@ def legacy_normalize(c: Column) -> Column:
     return replace_synonyms(canonical_order(out))
 
 
+def backup_normalize(c: Column) -> Column:
+    """The oldest normalizer: x is folded too, and a Cyrillic s before digits becomes Latin."""
+    out = normalize_units(F.lower(fold_homoglyphs(c, HOMOGLYPHS_WITH_X)), UNIT_RULES_OLD)
+    out = squeeze(F.regexp_replace(out, r"(\d+),(\d+)", "$1.$2"))
+    out = F.regexp_replace(out, r"[^\p{L}\p{N}_\s\-.,()×x²]", "")
+    return replace_synonyms(canonical_order(out))
+
+
 def multi_normalize(c: Column) -> Column:
     out = F.regexp_replace(F.lower(fold_homoglyphs(c, HOMOGLYPHS_WITH_X)), r"(\d+),(\d+)", "$1.$2")
     out = squeeze(F.regexp_replace(out, r"[^\p{L}\p{N}_\s\-.,()×x²]", ""))

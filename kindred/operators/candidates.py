@@ -6,6 +6,9 @@ a scan over all pairs. Token blocking and BM25 join postings."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,16 +122,90 @@ def bm25(posted: DataFrame, asked: DataFrame, k1: float = 1.2, b: float = 0.75)
     return hits.groupBy("material_id", "doc", "field").agg(F.sum(F.col("idf") * tf).alias("score"))
 
 
+def _deletions(word: Column, most: Column) -> Column:
+    """The word without any one or two of its letters, and itself, up to ``most`` letters fewer."""
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.left(w, i - 1), F.substring(w, i + 1, F.length(w))))
+    none = F.array().cast("array<string>")
+    one = F.when((most > 0) & (F.length(word) > 1), without(word)).otherwise(none)
+    two = F.when((most > 1) & (F.length(word) > 2), F.flatten(F.transform(one, without))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(word), one, two))
+
+
 def fuzzy_terms(asked: DataFrame, vocabulary: DataFrame, prefix: int = 2) -> DataFrame:
     """(w, term, edits): terms within 0, 1 or 2 edits of a word of up to 2, up to 5 or more letters, with
-    the same ``prefix`` letters. The join is on that prefix."""
+    the same ``prefix`` letters. The join is on that prefix; without one, on what is left of both when as
+    many letters are taken out as edits are allowed, which finds all of them."""
     allowed = F.when(F.length("w") <= 2, 0).when(F.length("w") <= 5, 1).otherwise(2)
-    head = lambda c: F.left(c, F.lit(prefix))
-    pairs = asked.select("w", head(F.col("w")).alias("h")).distinct().join(vocabulary.select("term", head(F.col("term")).alias("h")).distinct(), "h")
+    asked, vocabulary = asked.select("w").distinct(), vocabulary.select("term").distinct()
+    if prefix:
+        head = lambda c: F.left(c, F.lit(prefix))
+        pairs = asked.select("w", head(F.col("w")).alias("h")).join(vocabulary.select("term", head(F.col("term")).alias("h")), "h")
+    else:
+        left = asked.select("w", F.explode(_deletions(F.col("w"), allowed)).alias("h"))
+        pairs = left.join(vocabulary.select("term", F.explode(_deletions(F.col("term"), F.lit(2))).alias("h")), "h").select("w", "term").distinct()
     pairs = pairs.filter(F.abs(F.length("w") - F.length("term")) <= allowed)
     return pairs.withColumn("edits", F.levenshtein("w", "term")).filter(F.col("edits") <= allowed).select("w", "term", "edits")
 
 
+@dataclass(frozen=True)
+class Clause:
+    """A should-clause: ``boost`` times the best of ``fields`` (name to boost). A phrase counts where the whole
+    query stands in the field; a fuzzy clause also takes near terms, less one part in their length an edit."""
+
+    fields: dict[str, float]
+    boost: float = 1.0
+    phrase: bool = False
+    fuzzy: bool = False
+
+
+# The clauses of the older searches, and how many hits they give.
+PRICE_SEARCH = (Clause({"name": 4.0, "raw": 3.0, "article": 3.0, "description": 2.0, "full_text": 1.0}, 2.0, fuzzy=True), Clause({"brand": 2.0, "article": 2.0, "category": 1.0, "supplier": 1.0}, 1.5, phrase=True))
+MATERIAL_SEARCH = (Clause({"name": 4.0, "raw": 3.0, "description": 2.0, "full_text": 1.0}, 2.0, fuzzy=True), Clause({"brand": 2.0, "category": 1.0}, 1.5, phrase=True))
+NAME_SEARCH = (Clause({"name": 1.0}, 3.0, phrase=True), Clause({"name": 1.0}, 2.0, fuzzy=True), Clause({"name": 2.0, "description": 1.0, "full_text": 1.0}, fuzzy=True))
+PRICE_HITS, MATERIAL_HITS = 50, 10
+FULL_TEXT = ("name", "description", "category", "brand", "article")
+
+
+def clause_search(items: DataFrame, queries: DataFrame, clauses: tuple[Clause, ...], k: int) -> DataFrame:
+    """material_id, price_id, score, rank: the sum of the clauses, over 0, best first. ``raw`` is the whole name
+    as one term, without near terms; ``full_text`` all of a row's texts. Fields that ``items`` lacks are blank."""
+    analyzed = lambda c: T.analyze_russian(c, unique=False)
+    there = lambda f: T.text(F.col(f)) if f in items.columns else F.lit("")
+    everything = F.concat_ws(" ", *[F.nullif(there(f), F.lit("")) for f in FULL_TEXT])
+    wanted = list(dict.fromkeys(f for c in clauses for f in c.fields))
+    special = {"raw": F.array(F.trim(F.lower(there("name")))), "full_text": analyzed(everything)}
+    fields = {f: special[f] if f in special else analyzed(there(f)) for f in wanted}
+    posted = postings(items, "id", fields)
+    q = queries.filter(F.trim(T.text(F.col("query"))) != "").select("material_id", "query").withColumn("terms", analyzed(F.col("query")))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (F.array(F.trim(F.lower("query"))) if f == "raw" else F.array_distinct("terms")).alias("ts")) for f in wanted]))
+    asked = q.select("material_id", each.alias("f")).select("material_id", "f.field", F.explode("f.ts").alias("term")).withColumn("boost", F.lit(1.0))
+    words = lambda df: df.filter(F.col("field") != "raw")
+    near = fuzzy_terms(words(asked).select(F.col("term").alias("w")), words(posted).select("term"), 0).filter("edits > 0")
+    more = words(asked).withColumnRenamed("term", "w").join(near, "w").select("material_id", "field", "term", (1 - F.col("edits") / F.least(F.length("w"), F.length("term"))).alias("boost"))
+    loose = asked.unionByName(more).groupBy("material_id", "field", "term").agg(F.max("boost").alias("boost"))
+    named = lambda df, mark: df.select("material_id", "doc", F.concat(F.lit(mark), "field").alias("f"), "score")
+    by = named(bm25(posted, asked), "e_").unionByName(named(bm25(posted, loose), "l_"))
+    by = by.groupBy("material_id", "doc").pivot("f", [m + f for f in wanted for m in ("e_", "l_")]).agg(F.first("score")).na.fill(0.0)
+    phrased = list(dict.fromkeys(f for c in clauses if c.phrase for f in c.fields))
+    spaced = lambda ts: F.concat(F.lit(" "), F.array_join(ts, " "), F.lit(" "))
+    hits = by.join(q, "material_id").join(items.select(F.col("id").alias("doc"), *[spaced(fields[f]).alias(f"t_{f}") for f in phrased]), "doc")
+
+    def value(c: Clause) -> Column:
+        of = lambda f: F.when(F.contains(f"t_{f}", spaced(F.col("terms"))), F.col(f"e_{f}")).otherwise(0.0) if c.phrase else F.col(("l_" if c.fuzzy else "e_") + f)
+        parts = [b * of(f) for f, b in c.fields.items()]
+        return c.boost * (F.greatest(*parts) if len(parts) > 1 else parts[0])
+
+    total = sum((value(c) for c in clauses), F.lit(0.0))
+    return top_candidates(hits.select("material_id", F.col("doc").alias("price_id"), F.round(total, 6).alias("score")).filter("score > 0"), k)
+
+
+def once_a_query(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` over the distinct queries only; every material with that query gets the hits."""
+    keyed = queries.withColumn("key", F.md5(T.text(F.col("query"))))
+    hits = run(keyed.groupBy("key").agg(F.first("query").alias("query")).withColumnRenamed("key", "material_id"))
+    return keyed.select("material_id", "key").join(hits.withColumnRenamed("material_id", "key"), "key").drop("key")
+
+
 def search(items: DataFrame, queries: DataFrame, k: int = 20, fuzzy: bool = True) -> DataFrame:
     """Live retrieval: material_id, price_id, score, rank. Should-clauses over the name's phrase (5), its
     exact words (4), the best of five fields with fuzzy terms (2), name grams (1) and all text (0.5)."""

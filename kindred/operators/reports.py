@@ -39,24 +39,28 @@ def best_overall(matches: DataFrame, n: int) -> DataFrame:
 
 
 def format_rows(materials: DataFrame, items: DataFrame, matches: DataFrame, most: int = 7) -> DataFrame:
-    """Flat form of the formatted result: up to ``most`` variants a material with relevance from 0 to 1."""
+    """Flat form of the formatted result: up to ``most`` variants a material with relevance from 0 to 1, and one
+    row without a variant for a material that has none."""
     kept = matches.filter(F.col("match_rank") <= most)
     p = items.select(F.col("id").alias("price_id"), F.col("name").alias("variant_name"), "article", "brand_code", "cli_code", "price", "brand")
-    out = kept.join(p, "price_id").join(materials.select(F.col("id").alias("material_id"), F.col("name").alias("material_name")), "material_id")
-    variant = catalog.variant_id(F.col("article"), F.col("brand_code"), F.col("cli_code"), F.col("price_id"), F.col("variant_name"))
+    m = materials.select(F.col("id").alias("material_id"), F.coalesce("name", F.lit("Unknown")).alias("material_name"))
+    out = m.join(kept.join(p, "price_id"), "material_id", "left")
+    variant = F.when(F.col("price_id").isNotNull(), catalog.variant_id(F.col("article"), F.col("brand_code"), F.col("cli_code"), F.col("price_id"), F.col("variant_name")))
     return out.select("material_id", "material_name", "price_id", "match_rank", variant.alias("variant_id"), "variant_name", F.round(F.col("pct") / 100, 4).alias("relevance"), "price")
 
 
 def nest(formatted: DataFrame, order: DataFrame | None = None) -> DataFrame:
-    """One row a material with its variants by rank; ``order`` (material_id, position) fixes the order."""
-    variants = F.transform(F.array_sort(F.collect_list(F.struct("match_rank", "price_id", "variant_id", "variant_name", "relevance", "price"))), lambda v: v)
+    """One row a material with its variants by rank, none for one without matches; ``order`` (material_id,
+    position) fixes the order."""
+    variant = F.struct("match_rank", "price_id", "variant_id", "variant_name", "relevance", "price")
+    variants = F.array_sort(F.collect_list(F.when(F.col("price_id").isNotNull(), variant)))
     out = formatted.groupBy("material_id").agg(F.first("material_name").alias("material_name"), variants.alias("matches"))
     return out if order is None else out.join(order, "material_id").orderBy("position").drop("position")
 
 
 def format_statistics(formatted: DataFrame, selections: DataFrame) -> DataFrame:
     chosen = formatted.join(selections.select("material_id", "variant_id").distinct().withColumn("chosen", F.lit(1)), ["material_id", "variant_id"], "left")
-    out = chosen.agg(F.countDistinct("material_id").alias("materials"), F.count("*").alias("variants"), F.coalesce(F.round(F.avg("relevance"), 4), F.lit(0.0)).alias("avg_relevance"), F.countDistinct(F.when(F.col("chosen") == 1, F.col("material_id"))).alias("selected"))
+    out = chosen.agg(F.countDistinct("material_id").alias("materials"), F.count("price_id").alias("variants"), F.coalesce(F.round(F.avg("relevance"), 4), F.lit(0.0)).alias("avg_relevance"), F.countDistinct(F.when(F.col("chosen") == 1, F.col("material_id"))).alias("selected"))
     return out.withColumn("selection_rate", F.coalesce(F.round(F.try_divide(100.0 * F.col("selected"), F.col("materials")), 2), F.lit(0.0)))
 
 

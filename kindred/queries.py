@@ -134,8 +134,8 @@ def fold_sql(x: str, table=T.HOMOGLYPHS) -> str:
     return f"translate({x}, '{table[0]}', '{table[1]}')"
 
 
-def units_sql(x: str) -> str:
-    for pattern, to in T.UNIT_RULES:
+def units_sql(x: str, rules=T.UNIT_RULES) -> str:
+    for pattern, to in rules:
         x = f"regexp_replace({x}, '(?i){pattern}', '{to.replace('$', chr(92))}', 'g')"
     return x
 
@@ -168,6 +168,31 @@ def map_sql(table: dict, key: str, default: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {default} END"
 
 
+def multi_sql(x: str) -> str:
+    out = rf"regexp_replace(lower({fold_sql(x, T.HOMOGLYPHS_WITH_X)}), '(\d+),(\d+)', '\1.\2', 'g')"
+    out = _squeeze(rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}_\s\-.,()×x²]', '', 'g')")
+    return f"array_to_string(list_transform(string_split({out}, ' '), lambda w: {map_sql(T.SYNONYMS_MULTI, 'w', 'w')}), ' ')"
+
+
+def multi_text_sql(x: str, y: str) -> str:
+    """Of columns in that normal form, with their sorted tokens in {x}_s, {y}_s."""
+    total = sum(scores.ALGORITHMS[k][0] for k in ("ratio", "token_sort", "semantic"))
+    stop = "[" + ", ".join(f"'{w}'" for w in T.STOP_MULTI) + "]"
+    content = lambda c: f"list_filter(list_distinct({_words(c)}), lambda w: NOT list_contains({stop}, w))"
+    j = jaccard_sql(content(x), content(y))
+    semantic = f"CASE WHEN len({content(x)}) = 0 OR len({content(y)}) = 0 THEN 0.0 WHEN {j} >= 0.8 THEN 0.95 WHEN {j} >= 0.6 THEN 0.85 ELSE {j} END::double"
+    mixed = f"{ratio_sql(x, y)} / 100.0::double * {0.25 / total!r}::double + {ratio_sql(x + '_s', y + '_s')} / 100.0::double * {0.25 / total!r}::double + {semantic} * {0.15 / total!r}::double"
+    return f"CASE WHEN {x} = '' OR {y} = '' THEN 0.0 WHEN {x} = {y} THEN 1.0 ELSE {mixed} END::double"
+
+
+_SPAN = r"(\d+(?:[.,]\d+)?)\s*[-–—]\s*(\d+(?:[.,]\d+)?)\s*[а-яА-Яa-zA-Z]*"
+
+
+def multi_keys_sql(x: str) -> str:
+    both = lambda p, name, sep: f"list_transform(list_zip(regexp_extract_all({x}, '{p}', 1), regexp_extract_all({x}, '{p}', 2)), lambda z: '{name}' || z[1] || '{sep}' || z[2])"
+    return f"list_distinct(list_concat({both(_SPAN, 'range_', '_')}, {both(extract.SIZE, 'size_', 'x')}))"
+
+
 # Text ----------------------------------------------------------------------------------------------
 
 
@@ -221,12 +246,29 @@ def multi_normalize(spark, sf_dir):
     return texts(spark, sf_dir).select("id", T.multi_normalize(F.col("s")).alias("out"))
 
 
-@query()
+def _old_normalize_sql(x: str, letters, rules, signs: str) -> str:
+    """Homoglyphs to synonyms, with the word order by joins; columns id, out."""
+    first = rf"regexp_replace(regexp_replace({_squeeze('regexp_replace(' + units_sql('lower(' + fold_sql(f'nfc_normalize({x})', letters) + ')', rules) + ', ' + chr(39) + '([0-9]+),([0-9]+)' + chr(39) + ', ' + chr(39) + chr(92) + '1.' + chr(92) + '2' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, '[^\p{{L}}\p{{N}}_\s\-.,(){signs}²]', '', 'g'), '^$', '')"
+    return f"""WITH w AS (SELECT id, {first} AS s FROM {TEXTS_SQL}), v AS (SELECT id, s, string_split(s, ' ') AS w FROM w),
+    p AS (SELECT id, s, w, i, list_sort([w[i], w[i + 1]]) AS two FROM v, range(1, 40) r(i) WHERE i < len(w)),
+    k(two, joined) AS (VALUES {', '.join(f"(list_sort(['{p.split(' ')[0]}', '{p.split(' ')[1]}']), '{p}')" for p in T.WORD_ORDER)}),
+    f AS (SELECT id, min(i) AS i, arg_min(joined, i) AS joined FROM p JOIN k USING (two) GROUP BY id),
+    o AS (SELECT v.id, CASE WHEN f.i IS NULL THEN v.s ELSE array_to_string(list_concat(v.w[1:f.i - 1], [f.joined], v.w[f.i + 2:]), ' ') END AS s FROM v LEFT JOIN f USING (id))
+    SELECT id, array_to_string(list_transform(string_split(s, ' '), lambda w: {map_sql(T.SYNONYMS, 'w', 'w')}), ' ') AS out FROM o"""
+
+
+@query(_old_normalize_sql("s", T.HOMOGLYPHS, T.UNIT_RULES, "×xх"))
 def legacy_normalize(spark, sf_dir):
     composed = texts(spark, sf_dir).select("id", metrics.nfc("s").alias("s"))
     return composed.select("id", T.legacy_normalize(F.col("s")).alias("out"))
 
 
+@query(_old_normalize_sql("s", T.HOMOGLYPHS_WITH_X, T.UNIT_RULES_OLD, "×x"))
+def backup_normalize(spark, sf_dir):
+    composed = texts(spark, sf_dir).select("id", metrics.nfc("s").alias("s"))
+    return composed.select("id", T.backup_normalize(F.col("s")).alias("out"))
+
+
 @query(f"WITH {PL_SQL} SELECT id, n, left(w, n::int) AS gram FROM (SELECT DISTINCT id, unnest({_words('lower(name)')}) AS w FROM pl), range(2, 16) r(n) WHERE n <= length(w)")
 def edge_ngrams(spark, sf_dir):
     w = price_list(spark, sf_dir).select("id", F.explode(F.array_distinct(T.words(F.lower("name")))).alias("w"))
@@ -239,6 +281,12 @@ def ngrams(spark, sf_dir):
     return w.select("id", F.explode(T.ngrams(F.col("w"))).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH n AS (SELECT id, s, list_filter(list_distinct({_words(multi_sql('s'))}), lambda w: NOT list_contains([{', '.join(f"'{w}'" for w in T.STOP_MULTI)}], w)) AS ts FROM {TEXTS_SQL})
+    SELECT id, array_to_string(list_sort(list_concat(list_transform(ts, lambda t: 'token_' || t), {multi_keys_sql('s')})), '|') AS features FROM n""")
+def multi_features(spark, sf_dir):
+    return texts(spark, sf_dir).select("id", F.array_join(F.array_sort(scores.multi_features(F.col("s"))), "|").alias("features"))
+
+
 @query()
 def russian_analyzer(spark, sf_dir):
     return texts(spark, sf_dir).select("id", F.array_join(T.analyze_russian(F.col("s")), " ").alias("terms"), F.array_join(T.analyze_russian(F.col("s"), unique=False), " ").alias("live_terms"))
@@ -316,7 +364,11 @@ def semantic_jaccard(spark, sf_dir):
     return text_pairs(spark, sf_dir).select("id", metrics.semantic_similarity(F.lower("a"), F.lower("b")).alias("s"))
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT id, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS x, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS y FROM {PAIRS_SQL}),
+    l AS (SELECT id, x, y, list_max(list_transform(range(1, length(y) - length(x) + 2), lambda k: {lcs_sql('x', "substr(y, k::int, length(x)::int)")})) AS best FROM p)
+    SELECT id, CAST(CASE WHEN x = '' THEN CASE WHEN y = '' THEN 100 ELSE 0 END WHEN best / length(x)::double > 0.995 THEN 100 ELSE round_even(100.0::double * best / length(x), 0) END AS INTEGER) AS r FROM l"""
+)
 def partial_ratio(spark, sf_dir):
     return text_pairs(spark, sf_dir).select("id", metrics.partial_ratio("a", "b").alias("r"))
 
@@ -346,21 +398,44 @@ def brand_sim(spark, sf_dir):
     return text_pairs(spark, sf_dir).select("id", scores.brand_similarity(a, b).alias("brand"), scores.fast_brand(a, b).alias("fast_brand"))
 
 
-SPECS = ((1, "v", "10", "v", "10"), (2, "v", "10", "v", "10.5"), (3, "v", "10", "v", "12"), (4, "v", "10", "v", "30"), (5, "v", "10", "w", "10"), (6, "v", "0", "v", "-3"), (7, "v", " A ", "v", "a"))
+SPECS = (
+    (1, "v", "10", "v", "10"), (2, "v", "10", "v", "10.5"), (3, "v", "10", "v", "12"), (4, "v", "10", "v", "30"), (5, "v", "10", "w", "10"), (6, "v", "0", "v", "-3"), (7, "v", " A ", "v", "a"),
+    (8, "v", "Медный кабель", "v", "кабель медь"), (9, "v", "IP54 Box", "v", "ip 44"), (10, "v", "220В", "v", "220 в"), (11, "v", "", "v", "x"),
+)
 _N = r"'^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$'"
+# Literal pairs, and part's sizes and types against those of the next part.
+SPECS_SQL = f"""(SELECT concat('t', id) AS id, k1 = k2 AS common, v1, v2 FROM {values_sql(SPECS, 'id, k1, v1, k2, v2')}
+    UNION ALL SELECT concat('n', p.p_partkey), true, concat(p.p_size, ''), concat(q.p_size, '') FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1
+    UNION ALL SELECT concat('x', p.p_partkey), true, concat(p.p_type, ' ', p.p_name), concat(q.p_type, ' ', q.p_name) FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1) sx"""
+
+
+def spec_pairs(spark, sf_dir):
+    rows = spark.createDataFrame(SPECS, "id int, k1 string, v1 string, k2 string, v2 string").withColumn("id", F.concat(F.lit("t"), "id"))
+    part = read(spark, sf_dir, "part")
+    both = part.join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_size").alias("s"), F.concat_ws(" ", "p_type", "p_name").alias("t")), "p_partkey")
+    one = lambda mark, x, y: both.select(F.concat(F.lit(mark), "p_partkey").alias("id"), F.lit("v").alias("k1"), x.cast("string").alias("v1"), F.lit("v").alias("k2"), y.cast("string").alias("v2"))
+    rows = rows.unionByName(one("n", F.col("p_size"), F.col("s"))).unionByName(one("x", F.concat_ws(" ", "p_type", "p_name"), F.col("t")))
+    return rows.select("id", F.create_map("k1", "v1").alias("a"), F.create_map("k2", "v2").alias("b"))
 
 
 @query(
-    f"""WITH p AS (SELECT id, k1 = k2 AS common, trim(lower(v1)) AS x, trim(lower(v2)) AS y FROM {values_sql(SPECS, 'id, k1, v1, k2, v2')}),
-    n AS (SELECT *, CASE WHEN regexp_matches(x, {_N}) THEN try_cast(x AS double) END AS u, CASE WHEN regexp_matches(y, {_N}) THEN try_cast(y AS double) END AS v FROM p),
-    d AS (SELECT *, CASE WHEN greatest(u, v) > 0 THEN abs(u - v) / greatest(u, v) ELSE 0.0 END AS d FROM n)
-    SELECT id, CASE WHEN NOT common THEN 0.0 WHEN x = y THEN 100.0 WHEN u IS NULL OR v IS NULL THEN 0.0 WHEN d <= 0.1 THEN 90.0 WHEN d <= 0.2 THEN 70.0 ELSE greatest(0.0, 100.0 * (1 - d)) END::double AS specs,
-           CASE WHEN NOT common THEN 0.0 WHEN x = y THEN 1.0 WHEN u IS NULL OR v IS NULL THEN 0.0 WHEN d <= 0.05 THEN 0.95 WHEN d <= 0.1 THEN 0.8 WHEN d <= 0.2 THEN 0.6 ELSE greatest(0.0, 1.0 - d) END::double AS multi FROM d"""
+    f"""WITH p AS (SELECT id, common, trim(lower(v1)) AS x, trim(lower(v2)) AS y FROM {SPECS_SQL}),
+    n AS (SELECT *, CASE WHEN regexp_matches(x, {_N}) THEN try_cast(x AS double) END AS u, CASE WHEN regexp_matches(y, {_N}) THEN try_cast(y AS double) END AS v, {multi_sql('x')} AS mx, {multi_sql('y')} AS my FROM p),
+    d AS (SELECT *, CASE WHEN greatest(u, v) > 0 THEN abs(u - v) / greatest(u, v) ELSE 0.0 END AS d, {sorted_sql('mx')} AS mx_s, {sorted_sql('my')} AS my_s FROM n)
+    SELECT id, CASE WHEN NOT common THEN 0.0 WHEN x = y THEN 100.0 WHEN u IS NULL OR v IS NULL THEN 0.0 WHEN d <= 0.1 THEN 90.0 WHEN d <= 0.2 THEN 70.0 ELSE greatest(0.0, 100.0 * (1 - d)) END::double AS numbers,
+           round(CASE WHEN NOT common THEN 0.0 WHEN x = y THEN 1.0 WHEN u IS NULL OR v IS NULL THEN {multi_text_sql('mx', 'my')} WHEN d <= 0.05 THEN 0.95 WHEN d <= 0.1 THEN 0.8 WHEN d <= 0.2 THEN 0.6 ELSE greatest(0.0, 1.0 - d) END::double, 6) AS multi FROM d"""
 )
 def specs_sim(spark, sf_dir):
-    rows = spark.createDataFrame(SPECS, "id int, k1 string, v1 string, k2 string, v2 string")
-    rows = rows.select("id", F.create_map("k1", "v1").alias("a"), F.create_map("k2", "v2").alias("b"))
-    return rows.select("id", scores.specs_similarity(F.col("a"), F.col("b")).alias("specs"), scores.multi_specs(F.col("a"), F.col("b")).alias("multi"))
+    rows = spec_pairs(spark, sf_dir)
+    common = scores.specs_scores(rows, "id", "a", "b", scores.multi_words, scores.MULTI_STEPS, 1.0)
+    multi = F.round(scores.multi_specs(F.col("a"), F.col("b"), F.col("specs")), 6)
+    return rows.join(common, "id").select("id", scores.specs_similarity(F.col("a"), F.col("b")).alias("numbers"), multi.alias("multi"))
+
+
+@query()
+def legacy_specs(spark, sf_dir):
+    """With the older text score, which SQL can't express, for values that are no numbers."""
+    return scores.specs_scores(spec_pairs(spark, sf_dir), "id", "a", "b", scores.legacy_words)
 
 
 _FLAGS = "SELECT a = 1 AS art, n = 1 AS n, d = 1 AS d, b = 1 AS b FROM range(0, 2) w(a), range(0, 2) x(n), range(0, 2) y(d), range(0, 2) z(b)"
@@ -396,8 +471,7 @@ def live_query_string(spark, sf_dir):
 
 @query(f"WITH {MAT_SQL} SELECT id AS material_id, {LEGACY_QUERY} AS query FROM mat")
 def legacy_query_string(spark, sf_dir):
-    m = materials(spark, sf_dir)
-    return m.select(F.col("id").alias("material_id"), candidates.query_text(F.col("name"), F.col("manufacturer"), F.col("category"), general="Общая").alias("query"))
+    return legacy_queries(spark, sf_dir)
 
 
 _POINTS = "CASE WHEN list_contains(nw, w) THEN 5 WHEN list_contains(bw, w) THEN 3 WHEN length(w) >= 4 AND len(list_filter(nw, lambda u: length(u) >= 4 AND (contains(u, w) OR contains(w, u)))) > 0 THEN 2 ELSE 0 END"
@@ -465,10 +539,73 @@ def search_topk(spark, sf_dir):
     return candidates.search(price_list(spark, sf_dir), live_queries(materials(spark, sf_dir)), 20)
 
 
+def clause_sql(items: str, names: dict[str, str], queries: str, clauses, k: int) -> str:
+    """CTEs of a clause search; ``names``: field to its text in ``items``. Ends in a SELECT."""
+    wanted = list(dict.fromkeys(f for c in clauses for f in c.fields))
+    tokens = lambda x: rf"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}_]+')"
+    everything = "concat_ws(' ', " + ", ".join(f"nullif({names[f]}, '')" for f in candidates.FULL_TEXT if f in names) + ")"
+    of = lambda f: f"[trim(lower({names['name']}))]" if f == "raw" else tokens(everything if f == "full_text" else names.get(f, "''"))
+    docs = " UNION ALL ".join(f"SELECT id AS doc, '{f}' AS field, {of(f)} AS ts FROM {items}" for f in wanted)
+    asked = " UNION ALL ".join(f"SELECT material_id, '{f}' AS field, {'[trim(lower(query))]' if f == 'raw' else tokens('query')} AS ts FROM cq" for f in wanted)
+
+    def value(c) -> str:
+        one = lambda f: f"CASE WHEN contains(' ' || array_to_string(t_{f}, ' ') || ' ', ' ' || array_to_string({tokens('query')}, ' ') || ' ') THEN e_{f} ELSE 0.0 END" if c.phrase else ("l_" if c.fuzzy else "e_") + f
+        return f"{c.boost} * greatest(" + ", ".join(f"{b} * {one(f)}" for f, b in c.fields.items()) + ")"
+
+    phrased = list(dict.fromkeys(f for c in clauses if c.phrase for f in c.fields))
+    bm25 = "sum(boost * ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))))"
+    return f"""cq AS ({queries}), cd AS ({docs}), ct AS (SELECT doc, field, term, count(*) AS tf FROM (SELECT doc, field, unnest(ts) AS term FROM cd) GROUP BY ALL),
+    cz AS (SELECT doc, field, sum(tf) AS size FROM ct GROUP BY ALL), ca AS (SELECT field, count(*) AS docs, avg(size) AS mean FROM cz GROUP BY ALL), cf AS (SELECT field, term, count(*) AS df FROM ct GROUP BY ALL),
+    ce AS (SELECT DISTINCT material_id, field, unnest(ts) AS term, 1.0::double AS boost FROM ({asked})),
+    cw AS (SELECT DISTINCT term AS w FROM ce WHERE field <> 'raw'), cv AS (SELECT DISTINCT term FROM ct WHERE field <> 'raw'),
+    cn AS (SELECT w, term, 1 - levenshtein(w, term)::double / least(length(w), length(term)) AS boost FROM cw, cv WHERE levenshtein(w, term) BETWEEN 1 AND CASE WHEN length(w) <= 2 THEN 0 WHEN length(w) <= 5 THEN 1 ELSE 2 END),
+    cl AS (SELECT material_id, field, term, max(boost) AS boost FROM (SELECT * FROM ce UNION ALL SELECT material_id, field, cn.term, cn.boost FROM ce JOIN cn ON ce.term = cn.w WHERE field <> 'raw') GROUP BY ALL),
+    cs AS (SELECT material_id, doc, kind || field AS f, {bm25} AS score FROM (SELECT 'e_' AS kind, * FROM ce UNION ALL SELECT 'l_', * FROM cl) JOIN cf USING (field, term) JOIN ca USING (field) JOIN ct USING (field, term) JOIN cz USING (doc, field) GROUP BY ALL),
+    cp AS (SELECT material_id, doc, {', '.join(f"coalesce(max(CASE WHEN f = '{m}{f}' THEN score END), 0.0) AS {m}{f}" for f in wanted for m in ('e_', 'l_'))} FROM cs GROUP BY ALL),
+    ch AS (SELECT material_id, doc AS price_id, round({' + '.join(map(value, clauses))}, 6) AS score FROM cp JOIN cq USING (material_id) JOIN (SELECT id AS doc, {', '.join(f'{of(f)} AS t_{f}' for f in phrased)} FROM {items}) USING (doc))
+    SELECT material_id, price_id, score, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY score DESC, price_id) AS rank FROM ch WHERE score > 0) WHERE rank <= {k}"""
+
+
+PL_NAMES = {c: c for c in ("name", "description", "category", "brand", "article", "supplier")}
+ASKED_SQL = f"SELECT id AS material_id, {LEGACY_QUERY} AS query FROM mat"
+# Items ask the materials here: one in twenty, as many as there are materials.
+BACK_SQL = "SELECT id AS material_id, name AS query FROM pl WHERE id::int % 20 = 3"
+
+
+def legacy_queries(spark, sf_dir):
+    m = materials(spark, sf_dir)
+    return m.select(F.col("id").alias("material_id"), candidates.query_text(F.col("name"), F.col("manufacturer"), F.col("category"), general="Общая").alias("query"))
+
+
+def back_queries(spark, sf_dir):
+    return price_list(spark, sf_dir).filter(F.col("id").cast("int") % 20 == 3).select(F.col("id").alias("material_id"), F.col("name").alias("query"))
+
+
+@query(f"WITH {PL_SQL}, {MAT_SQL}, " + clause_sql("pl", PL_NAMES, ASKED_SQL, candidates.PRICE_SEARCH, candidates.PRICE_HITS))
+def legacy_price_search(spark, sf_dir):
+    return candidates.clause_search(price_list(spark, sf_dir), legacy_queries(spark, sf_dir), candidates.PRICE_SEARCH, candidates.PRICE_HITS)
+
+
+_MAT_NAMES = {"name": "name", "description": "description", "category": "category", "brand": "manufacturer"}
+
+
+@query(f"WITH {PL_SQL}, {MAT_SQL}, " + clause_sql("mat", _MAT_NAMES, BACK_SQL, candidates.MATERIAL_SEARCH, candidates.MATERIAL_HITS))
+def legacy_material_search(spark, sf_dir):
+    m = materials(spark, sf_dir).withColumnRenamed("manufacturer", "brand").drop("equipment_code")
+    return candidates.clause_search(m, back_queries(spark, sf_dir), candidates.MATERIAL_SEARCH, candidates.MATERIAL_HITS)
+
+
+@query(f"WITH {PL_SQL}, {MAT_SQL}, " + clause_sql("mat", _MAT_NAMES, BACK_SQL, candidates.NAME_SEARCH, candidates.MATERIAL_HITS))
+def material_name_search(spark, sf_dir):
+    """Repeated queries are searched once."""
+    m = materials(spark, sf_dir).withColumnRenamed("manufacturer", "brand").drop("equipment_code")
+    return candidates.once_a_query(back_queries(spark, sf_dir), lambda q: candidates.clause_search(m, q, candidates.NAME_SEARCH, candidates.MATERIAL_HITS))
+
+
 # Matching ------------------------------------------------------------------------------------------
 
 
-def fast_ctes(pairs: str) -> str:
+def fast_ctes(pairs: str, shortcut: bool = True) -> str:
     """CTE ``scored``: the live scores of the pairs (material_id, price_id, score, rank) in ``pairs``."""
     text_sim = lambda a, b, x, y: f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {a} = {b} THEN 100.0 ELSE 0.6 * {ratio_sql(a, b)}::double + 0.4 * {ratio_sql(x, y)}::double END::double"
     w = lambda k: _weights_sql(k)
@@ -476,7 +613,7 @@ def fast_ctes(pairs: str) -> str:
 fm AS (SELECT id AS material_id, {fast_sql('name')} AS mn, CASE WHEN coalesce(description, '') <> '' THEN {fast_sql('description')} ELSE {fast_sql('name')} END AS mt, {models_sql('name')} AS mm, coalesce(equipment_code, '') AS mc, coalesce(manufacturer, '') AS mb FROM mat),
 fp AS (SELECT id AS price_id, {fast_sql('name')} AS pn, {fast_sql('description')} AS pd, list_distinct(list_concat({models_sql('name')}, {models_sql('article')})) AS pm, coalesce(article, '') AS pa, coalesce(brand, '') AS pb FROM pl),
 fj AS (SELECT *, {sorted_sql('mn')} AS ms, {sorted_sql('pn')} AS ps, {sorted_sql('mt')} AS mts, {sorted_sql('pd')} AS pds, replace(upper(mc), ' ', '') AS u, replace(upper(pa), ' ', '') AS v, trim(lower(mb)) AS x, trim(lower(pb)) AS y FROM {pairs} JOIN fm USING (material_id) JOIN fp USING (price_id)),
-fk AS (SELECT *, CASE WHEN mn = pn AND mn <> '' THEN 's' WHEN len(list_intersect(mm, pm)) > 0 THEN 'm' ELSE 'x' END AS kind FROM fj),
+fk AS (SELECT *, CASE WHEN mn = pn AND mn <> '' THEN 's' WHEN {str(shortcut).lower()} AND len(list_intersect(mm, pm)) > 0 THEN 'm' ELSE 'x' END AS kind FROM fj),
 fs AS (SELECT *, {text_sim('mn', 'pn', 'ms', 'ps')} AS s_name, {text_sim('mt', 'pd', 'mts', 'pds')} AS s_desc, {_code_sql('u', 'v')} AS s_code, CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 100.0 WHEN contains(x, y) OR contains(y, x) THEN 75.0 ELSE {ratio_sql('x', 'y')} END::double AS s_brand FROM fk WHERE kind = 'x'),
 ft AS (SELECT *, CASE WHEN pa = '' THEN 0.0 WHEN len(list_filter(mm, lambda z: contains(upper(pa), upper(z)))) > 0 THEN greatest(s_code, 90.0) ELSE s_code END::double AS s_art FROM fs),
 fw AS (SELECT *, s_art > 0 AS art, mn <> '' AND pn <> '' AS n, mt <> '' AND pd <> '' AS d, mb <> '' AND pb <> '' AS b FROM ft),
@@ -537,11 +674,17 @@ def exact_union_anti(spark, sf_dir):
     return one.unionByName(rest.select(F.col("id").alias("material_id"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("best"), F.lit("none").alias("kind")))
 
 
-@query()
+@query(
+    f"""WITH {PL_SQL}, {MAT_SQL}, hm AS (SELECT id, {fast_sql('name')} AS n FROM mat), hp AS (SELECT id, {fast_sql('name')} AS n FROM pl),
+    he AS (SELECT hm.id AS material_id, count(*) AS n FROM hm JOIN hp USING (n) WHERE n <> '' GROUP BY 1),
+    hw AS (SELECT DISTINCT hm.id, unnest({_words('n')}) AS w FROM hm WHERE id NOT IN (SELECT material_id FROM he)), hv AS (SELECT DISTINCT id, unnest({_words('n')}) AS w FROM hp),
+    pairs AS (SELECT DISTINCT hw.id AS material_id, hv.id AS price_id, 0.0::double AS score, 1::int AS rank FROM hw JOIN hv USING (w)), {fast_ctes('pairs', False)}
+    SELECT material_id, n, 100.0::double AS best FROM he UNION ALL SELECT material_id, count(*), round(max(pct), 6) FROM scored WHERE pct >= 70 GROUP BY material_id"""
+)
 def hybrid_strategy(spark, sf_dir):
     cfg = matching.MatchConfig(threshold=70.0, model_shortcut=False)
     out = matching.STRATEGIES["hybrid"](materials(spark, sf_dir), price_list(spark, sf_dir), cfg)
-    return out.groupBy("material_id").agg(F.count("*").alias("n"), F.max("pct").alias("best"))
+    return out.groupBy("material_id").agg(F.count("*").alias("n"), F.round(F.max("pct"), 6).alias("best"))
 
 
 @query(f"WITH {MATCHES_SQL} SELECT * FROM (SELECT material_id, price_id, pct FROM matches ORDER BY pct DESC, material_id, price_id LIMIT 100)")
@@ -567,8 +710,8 @@ def results_summary(spark, sf_dir):
 
 
 FORMAT_SQL = f"""{MATCHES_SQL},
-formatted AS (SELECT material_id, m.name AS material_name, price_id, match_rank, coalesce(nullif(trim(p.article), ''), nullif(trim(p.brand_code), ''), nullif(trim(p.cli_code), '')) AS variant_id, p.name AS variant_name, round(pct / 100, 4) AS relevance, p.price
-              FROM matches JOIN pl p ON p.id = price_id JOIN mat m ON m.id = material_id WHERE match_rank <= 7)"""
+formatted AS (SELECT m.id AS material_id, coalesce(m.name, 'Unknown') AS material_name, price_id, match_rank, coalesce(nullif(trim(p.article), ''), nullif(trim(p.brand_code), ''), nullif(trim(p.cli_code), '')) AS variant_id, p.name AS variant_name, round(pct / 100, 4) AS relevance, p.price
+              FROM mat m LEFT JOIN (SELECT * FROM matches WHERE match_rank <= 7) ON m.id = material_id LEFT JOIN pl p ON p.id = price_id)"""
 
 
 def formatted_of(spark, sf_dir):
@@ -580,7 +723,7 @@ def format_flat(spark, sf_dir):
     return formatted_of(spark, sf_dir)
 
 
-@query(f"WITH {FORMAT_SQL} SELECT material_id, max(material_name) AS material_name, count(*) AS variants, string_agg(variant_id, ',' ORDER BY match_rank) AS variant_ids FROM formatted GROUP BY material_id")
+@query(f"WITH {FORMAT_SQL} SELECT material_id, max(material_name) AS material_name, count(price_id) AS variants, coalesce(string_agg(variant_id, ',' ORDER BY match_rank), '') AS variant_ids FROM formatted GROUP BY material_id")
 def format_nested(spark, sf_dir):
     n = reports.nest(formatted_of(spark, sf_dir))
     return n.select("material_id", "material_name", F.size("matches").cast("long").alias("variants"), F.array_join(F.col("matches")["variant_id"], ",").alias("variant_ids"))
@@ -622,7 +765,7 @@ def price_refresh(spark, sf_dir):
     return reports.refresh_prices(matches_of(spark, sf_dir).select("material_id", "price_id"), F.col("price_id"), quotes)
 
 
-@query(f"WITH {FORMAT_SQL}, s AS (SELECT DISTINCT material_id, variant_id FROM formatted WHERE match_rank = 1 AND material_id::int % 3 = 0) SELECT count(DISTINCT f.material_id) AS materials, count(*) AS variants, round(avg(relevance), 4) AS avg_relevance, count(DISTINCT s.material_id) AS selected, round(100.0::double * count(DISTINCT s.material_id) / count(DISTINCT f.material_id), 2) AS selection_rate FROM formatted f LEFT JOIN s USING (material_id, variant_id)")
+@query(f"WITH {FORMAT_SQL}, s AS (SELECT DISTINCT material_id, variant_id FROM formatted WHERE match_rank = 1 AND material_id::int % 3 = 0) SELECT count(DISTINCT f.material_id) AS materials, count(price_id) AS variants, round(avg(relevance), 4) AS avg_relevance, count(DISTINCT s.material_id) AS selected, round(100.0::double * count(DISTINCT s.material_id) / count(DISTINCT f.material_id), 2) AS selection_rate FROM formatted f LEFT JOIN s USING (material_id, variant_id)")
 def format_statistics(spark, sf_dir):
     f = formatted_of(spark, sf_dir)
     return reports.format_statistics(f, f.filter("match_rank = 1 AND cast(material_id AS int) % 3 = 0"))
@@ -737,32 +880,121 @@ def truncate_fast_json(spark, sf_dir):
 
 
 @query(
-    f"""WITH w AS (SELECT conv_id, turn, role, text FROM conversations) SELECT conv_id, count(*) AS turns, string_agg(role, ',' ORDER BY turn, role, text) AS roles FROM w GROUP BY conv_id"""
+    f"""WITH {FORMAT_SQL}, o AS (SELECT id AS material_id, row_number() OVER (ORDER BY md5(id)) AS position FROM mat)
+    SELECT row_number() OVER (ORDER BY position) AS place, material_id, variants FROM (SELECT position, material_id, count(price_id)::int AS variants FROM formatted JOIN o USING (material_id) GROUP BY ALL)"""
 )
 def nested_order(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return c.select("conv_id", "turns", F.array_join(F.col("t")["role"], ",").alias("roles"))
+    """Results in the order asked for; their place in the output is read back."""
+    order = materials(spark, sf_dir).select(F.col("id").alias("material_id"), F.row_number().over(Window.orderBy(F.md5("id"))).alias("position"))
+    nested = reports.nest(formatted_of(spark, sf_dir), order).select("material_id", F.size("matches").alias("variants"))
+    return nested.select(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("place"), "material_id", "variants")
+
+
+def _legacy_names(spark, sf_dir):
+    p = record_pairs(spark, sf_dir).withColumns({"x": T.legacy_normalize(F.col("mn")), "y": T.legacy_normalize(F.col("pn")), "dx": T.legacy_normalize(F.col("md")), "dy": T.legacy_normalize(F.col("pd")), "ok": extract.numeric_compatible(extract.numeric_keys(F.col("mn")), extract.numeric_keys(F.col("pn")))})
+    return p.withColumn("name", scores.legacy_text(F.col("x"), F.col("y"), F.col("ok")))
 
 
 @query()
 def legacy_score(spark, sf_dir):
-    p = text_pairs(spark, sf_dir).withColumns({"x": T.legacy_normalize(F.col("a")), "y": T.legacy_normalize(F.col("b")), "ok": extract.numeric_compatible(extract.numeric_keys(F.col("a")), extract.numeric_keys(F.col("b")))})
-    p = p.withColumn("name", scores.legacy_text(F.col("x"), F.col("y"), F.col("ok")))
-    yes, no = F.lit(True), F.lit(False)
-    total = scores.legacy_total(F.col("name"), F.col("name"), F.lit(100.0), F.lit(0.0), F.lit(0.0), yes, yes, no, no, F.col("ok"), F.col("x") == F.col("y"))
+    """All fields of records; their category is the same, and they have no specifications."""
+    col, has = F.col, lambda c: F.trim(T.text(F.col(c))) != ""
+    p = _legacy_names(spark, sf_dir).withColumn("description", scores.legacy_text(col("dx"), col("dy"), F.lit(True)))
+    category = scores.category_similarity(col("category"), col("category"), F.lit(0.0))
+    total = scores.legacy_total(col("name"), col("description"), category, scores.brand_similarity(col("mb"), col("pb")), F.lit(0.0), has("md") & has("pd"), has("category"), has("mb") | has("pb"), F.lit(False), col("ok"), col("x") == col("y"))
     return p.select("id", F.round("name", 6).alias("name"), F.round(total, 6).alias("total"))
 
 
 @query()
 def priority_score(spark, sf_dir):
-    p = text_pairs(spark, sf_dir).withColumns({"x": T.legacy_normalize(F.col("a")), "y": T.legacy_normalize(F.col("b")), "ok": extract.numeric_compatible(extract.numeric_keys(F.col("a")), extract.numeric_keys(F.col("b")))})
-    total = scores.priority_total(scores.legacy_text(F.col("x"), F.col("y"), F.col("ok")), scores.code_similarity(F.col("a"), F.col("b")), F.lit(0.0), F.lit(True), F.lit(False), F.col("ok"))
+    col, has = F.col, lambda c: F.trim(T.text(F.col(c))) != ""
+    p = _legacy_names(spark, sf_dir)
+    total = scores.priority_total(col("name"), scores.code_similarity(col("mc"), col("pa")), scores.brand_similarity(col("mb"), col("pb")), has("mc") & has("pa"), has("mb") & has("pb"), col("ok"))
     return p.select("id", F.round(total, 6).alias("total"))
 
 
+@query(
+    f"""WITH p AS (SELECT id, a, b, {multi_sql('a')} AS x, {multi_sql('b')} AS y, {multi_keys_sql('a')} AS ka, {multi_keys_sql('b')} AS kb FROM {PAIRS_SQL}), q AS (SELECT *, {sorted_sql('x')} AS x_s, {sorted_sql('y')} AS y_s FROM p),
+    n AS (SELECT id, {multi_text_sql('x', 'y')} AS name, len(ka) = 0 OR len(kb) = 0 OR len(list_intersect(ka, kb)) > 0 AS ok FROM q), t AS (SELECT *, (0.4 * name + 0.2 * name + 0.15 * 1.0 + 0.15 * 0.8 + 0.1 * 0.8)::double AS t FROM n)
+    SELECT id, round(name, 6) AS name, round(100 * CASE WHEN name >= 0.95 AND ok THEN 1.0 ELSE least(CASE WHEN NOT ok AND t > 0.5 THEN 0.7 * t ELSE t END, 1.0) END::double, 6) AS total FROM t"""
+)
+def multi_score(spark, sf_dir):
+    p = text_pairs(spark, sf_dir).withColumns({"x": T.multi_normalize(F.col("a")), "y": T.multi_normalize(F.col("b")), "ok": scores.multi_numeric_compatible(F.col("a"), F.col("b"))})
+    p = p.withColumn("name", scores.multi_text(F.col("x"), F.col("y")))
+    total = scores.multi_total(F.col("name"), F.col("name"), F.lit(1.0), F.lit(0.8), F.lit(0.8), F.col("ok"))
+    return p.select("id", F.round("name", 6).alias("name"), F.round(total, 6).alias("total"))
+
+
+def record_pairs(spark, sf_dir):
+    """Materials with the items of their category: the columns of both sides."""
+    m = materials(spark, sf_dir).select(F.col("id").alias("mi"), F.col("name").alias("mn"), "category", F.col("manufacturer").alias("mb"), F.col("equipment_code").alias("mc"), F.col("description").alias("md"))
+    p = price_list(spark, sf_dir).filter("seq % 10 = 1").select(F.col("id").alias("pi"), F.col("name").alias("pn"), "category", F.when(F.col("seq") % 30 != 1, F.col("brand")).alias("pb"), F.col("article").alias("pa"), F.col("description").alias("pd"))
+    return m.join(p, "category").withColumn("id", F.concat("mi", F.lit("-"), "pi"))
+
+
+def _legacy_names(spark, sf_dir):
+    p = record_pairs(spark, sf_dir).withColumns({"x": T.legacy_normalize(F.col("mn")), "y": T.legacy_normalize(F.col("pn")), "dx": T.legacy_normalize(F.col("md")), "dy": T.legacy_normalize(F.col("pd")), "ok": extract.numeric_compatible(extract.numeric_keys(F.col("mn")), extract.numeric_keys(F.col("pn")))})
+    return p.withColumn("name", scores.legacy_text(F.col("x"), F.col("y"), F.col("ok")))
+
+
+@query()
+def legacy_score(spark, sf_dir):
+    """All fields of records; their category is the same, and they have no specifications."""
+    col, has = F.col, lambda c: F.trim(T.text(F.col(c))) != ""
+    p = _legacy_names(spark, sf_dir).withColumn("description", scores.legacy_text(col("dx"), col("dy"), F.lit(True)))
+    category = scores.category_similarity(col("category"), col("category"), F.lit(0.0))
+    total = scores.legacy_total(col("name"), col("description"), category, scores.brand_similarity(col("mb"), col("pb")), F.lit(0.0), has("md") & has("pd"), has("category"), has("mb") | has("pb"), F.lit(False), col("ok"), col("x") == col("y"))
+    return p.select("id", F.round("name", 6).alias("name"), F.round(total, 6).alias("total"))
+
+
 @query()
+def priority_score(spark, sf_dir):
+    col, has = F.col, lambda c: F.trim(T.text(F.col(c))) != ""
+    p = _legacy_names(spark, sf_dir)
+    total = scores.priority_total(col("name"), scores.code_similarity(col("mc"), col("pa")), scores.brand_similarity(col("mb"), col("pb")), has("mc") & has("pa"), has("mb") & has("pb"), col("ok"))
+    return p.select("id", F.round(total, 6).alias("total"))
+
+
+@query(
+    f"""WITH p AS (SELECT id, a, b, {multi_sql('a')} AS x, {multi_sql('b')} AS y, {multi_keys_sql('a')} AS ka, {multi_keys_sql('b')} AS kb FROM {PAIRS_SQL}), q AS (SELECT *, {sorted_sql('x')} AS x_s, {sorted_sql('y')} AS y_s FROM p),
+    n AS (SELECT id, {multi_text_sql('x', 'y')} AS name, len(ka) = 0 OR len(kb) = 0 OR len(list_intersect(ka, kb)) > 0 AS ok FROM q), t AS (SELECT *, (0.4 * name + 0.2 * name + 0.15 * 1.0 + 0.15 * 0.8 + 0.1 * 0.8)::double AS t FROM n)
+    SELECT id, round(name, 6) AS name, round(100 * CASE WHEN name >= 0.95 AND ok THEN 1.0 ELSE least(CASE WHEN NOT ok AND t > 0.5 THEN 0.7 * t ELSE t END, 1.0) END::double, 6) AS total FROM t"""
+)
 def multi_score(spark, sf_dir):
     p = text_pairs(spark, sf_dir).withColumns({"x": T.multi_normalize(F.col("a")), "y": T.multi_normalize(F.col("b")), "ok": scores.multi_numeric_compatible(F.col("a"), F.col("b"))})
     p = p.withColumn("name", scores.multi_text(F.col("x"), F.col("y")))
     total = scores.multi_total(F.col("name"), F.col("name"), F.lit(1.0), F.lit(0.8), F.lit(0.8), F.col("ok"))
     return p.select("id", F.round("name", 6).alias("name"), F.round(total, 6).alias("total"))
+
+
+def record_pairs(spark, sf_dir):
+    """Materials with the items of their category: the columns of both sides."""
+    m = materials(spark, sf_dir).select(F.col("id").alias("mi"), F.col("name").alias("mn"), "category", F.col("manufacturer").alias("mb"), F.col("equipment_code").alias("mc"), F.col("description").alias("md"))
+    p = price_list(spark, sf_dir).filter("seq % 10 = 1").select(F.col("id").alias("pi"), F.col("name").alias("pn"), "category", F.when(F.col("seq") % 30 != 1, F.col("brand")).alias("pb"), F.col("article").alias("pa"), F.col("description").alias("pd"))
+    return m.join(p, "category").withColumn("id", F.concat("mi", F.lit("-"), "pi"))
+
+
+RECORDS_SQL = """SELECT concat(m.id, '-', p.id) AS id, lower(m.name) AS x, lower(p.name) AS y, trim(lower(coalesce(m.manufacturer, ''))) AS u, trim(lower(CASE WHEN p.seq % 30 <> 1 THEN p.brand ELSE '' END)) AS v, regexp_replace(upper(coalesce(m.equipment_code, '')), '\\s+', '', 'g') AS cm, regexp_replace(upper(p.article), '\\s+', '', 'g') AS ap
+    FROM mat m JOIN pl p ON p.category = m.category AND p.seq % 10 = 1"""
+_BRAND_SQL = f"CASE WHEN u = '' OR v = '' THEN 0.0 WHEN u = v THEN 100.0 WHEN contains(u, v) OR contains(v, u) THEN greatest({ratio_sql('u', 'v')}, 75) ELSE {ratio_sql('u', 'v')} END::double"
+
+
+@query(
+    f"""WITH {PL_SQL}, {MAT_SQL}, r AS ({RECORDS_SQL}), s AS (SELECT id, {ratio_sql('x', 'y')}::double AS name, {_code_sql('cm', 'ap')} AS code, {_BRAND_SQL} AS brand, cm <> '' AND ap <> '' AS ha, (u <> '')::int + (v <> '')::int AS sides FROM r)
+    SELECT id, round(name * (1 - CASE WHEN ha THEN 0.2 ELSE 0.0 END - CASE WHEN sides = 2 THEN 0.1 ELSE 0.0 END) + code * CASE WHEN ha THEN 0.2 ELSE 0.0 END + brand * CASE WHEN sides = 2 THEN 0.1 ELSE 0.0 END, 6)::double AS by_priority,
+           round(100 * (0.4 * name / 100 + 0.2 * name / 100 + 0.15 * 1.0 + CASE WHEN sides > 0 THEN 0.15 ELSE 0.0 END * CASE WHEN sides = 1 THEN 0.8 ELSE brand / 100 END) / (0.75 + CASE WHEN sides > 0 THEN 0.15 ELSE 0.0 END), 6)::double AS by_fields FROM s"""
+)
+def backup_score(spark, sf_dir):
+    col, has = F.col, lambda c: F.trim(T.text(F.col(c))) != ""
+    r = record_pairs(spark, sf_dir).withColumns({"name": metrics.ratio(F.lower("mn"), F.lower("pn")).cast("double"), "code": scores.code_similarity(col("mc"), col("pa")), "brand": scores.brand_similarity(col("mb"), col("pb"))})
+    sides = has("mb").cast("int") + has("pb").cast("int")
+    by_fields = scores.backup_fields_total(col("name") / 100, col("name") / 100, F.lit(1.0), col("brand") / 100, F.lit(0.0), sides, F.lit(0), F.lit(True))
+    return r.select("id", F.round(scores.backup_total(col("name"), col("code"), col("brand"), has("mc") & has("pa"), sides == 2), 6).alias("by_priority"), F.round(by_fields, 6).alias("by_fields"))
+
+
+@query(f"WITH {PL_SQL}, {MAT_SQL}, r AS ({RECORDS_SQL}) SELECT id, (cm <> '')::int + 0 AS code_there, {_code_sql('cm', 'ap')} AS code, {_BRAND_SQL} AS brand, CASE WHEN cm <> '' AND ap <> '' AND u <> '' AND v <> '' THEN 0.3 WHEN cm <> '' AND ap <> '' THEN 0.6 WHEN u <> '' AND v <> '' THEN 0.7 ELSE 1.0 END::double AS w_name FROM r")
+def record_scores(spark, sf_dir):
+    """Code and brand similarity of records, and the three-field weight of the name."""
+    has = lambda c: F.trim(T.text(F.col(c))) != ""
+    w = scores.three_field_weights(F.lit(True), has("mc") & has("pa"), has("mb") & has("pb"))
+    return record_pairs(spark, sf_dir).select("id", has("mc").cast("int").alias("code_there"), scores.code_similarity(F.col("mc"), F.col("pa")).alias("code"), scores.brand_similarity(F.col("mb"), F.col("pb")).alias("brand"), w[0].alias("w_name"))
