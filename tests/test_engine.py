@@ -128,3 +128,48 @@ def test_stream(spark, small, tmp_path):
     match_stream(stream, p, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {r["price_id"] for r in got.filter("match_rank = 1").collect()} == {"a", "c"}
+
+
+def test_folder_leaves_out_bad_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name,price\n1,x,2\n")
+    (tmp_path / "b.xlsx").write_bytes(b"no spreadsheet")
+    rows = files.load_folder(spark, str(tmp_path)).collect()
+    assert [r["id"] for r in rows] == ["1"]
+    (tmp_path / "a.csv").unlink()
+    with pytest.raises(ValueError):
+        files.load_folder(spark, str(tmp_path))
+
+
+def test_json_lines_are_numbered_over_partitions(spark, tmp_path):
+    (tmp_path / "p.jsonl").write_text("".join(json.dumps({"name": f"n{k}"}) + "\n" for k in range(3000)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = files.price_list_from_json(spark, str(tmp_path / "p.jsonl"), lines=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert sorted(int(r["id"]) for r in rows) == list(range(1, 3001)) and all(r["name"] == f"n{int(r['id']) - 1}" for r in rows)
+
+
+def test_upsert_survives_an_end_between_renames(spark, tmp_path):
+    items = spark.createDataFrame([("1", "a", 1.0), ("2", "b", 2.0)], "id string, name string, price double")
+    index = TableIndex(spark, "crash_items")
+    index.create(items)
+    index._rename("crash_items", "crash_items_before")
+    again = TableIndex(spark, "crash_items")
+    assert again.stats()["documents"] == 2
+    again.upsert(spark.createDataFrame([("2", "c", 3.0), ("3", "d", 4.0), ("3", "e", 5.0)], "id string, name string, price double"))
+    assert sorted((r["id"], r["name"]) for r in again.table().collect()) == [("1", "a"), ("2", "c"), ("3", "e")]
+    again.export_stats(str(tmp_path / "stats.json"))
+    said = json.loads((tmp_path / "stats.json").read_text())
+    assert said["documents"] == 3 and said["indexed"] == 3 and said["rows_a_second"] > 0
+    again.delete()
+
+
+def test_materials_without_matches_stay(spark):
+    materials = spark.createDataFrame([("1", "one"), ("2", None)], "id string, name string")
+    items = spark.createDataFrame([("9", "n", "a", "", "", 1.0, "b")], "id string, name string, article string, brand_code string, cli_code string, price double, brand string")
+    matches = spark.createDataFrame([("1", "9", 80.0, 1)], "material_id string, price_id string, pct double, match_rank int")
+    flat = reports.format_rows(materials, items, matches)
+    nested = {r["material_id"]: (r["material_name"], len(r["matches"])) for r in reports.nest(flat).collect()}
+    assert nested == {"1": ("one", 1), "2": ("Unknown", 0)}
