@@ -167,9 +167,10 @@ def classes(df: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int =
     nodes = table.filter("worded").groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
     exploded = nodes.select("node", "row", F.posexplode("bands").alias("band", "bucket"))
     shared = materialize(exploded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared")
-    bucketed = materialize(exploded.join(shared, "bucket").select("bucket", "band", "node", "row"), "buckets")
+    # these, like ``kept`` below, grow with the documents: never broadcast, so the plan is the same at every size
+    bucketed = materialize(exploded.join(shared.hint("merge"), "bucket").select("bucket", "band", "node", "row"), "buckets")
     wanted = bucketed.select("row").distinct()
-    features = materialize(table.join(wanted, "row", "left_semi").select("node", "bands", "signature", "shingles", (F.length("shingles") + F.length("signature") + 8 * F.size("bands")).alias("bytes")), "features")
+    features = materialize(table.join(wanted.hint("merge"), "row", "left_semi").select("node", "bands", "signature", "shingles", (F.length("shingles") + F.length("signature") + 8 * F.size("bands")).alias("bytes")), "features")
     bucketed = bucketed.drop("row")
     checked, comp = None, None
     for turn in range(rounds):
