@@ -24,7 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, Cache, documents, map_rows, worker_state
+from .common import LETTERS, Cache, documents, map_rows, release, worker_state
+from .runs import ragged
 
 SIZES = (4, 5)
 
@@ -82,26 +83,27 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, buckets: int = 1
     softmax = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     share = np.array([weight[y == 0].sum(), weight[y == 1].sum()]) / max(weight.sum(), 1e-9)
     bias = np.log(np.clip(share, 1e-3, 1))
-    memo: dict[str, list[int]] = {}
-    bags: list[tuple[np.ndarray, np.ndarray]] = []
-    marks, weights = [], []
+    # words by number: their buckets in one array; documents: numbers and shares of their words
+    index: dict[str, int] = {}
+    buckets_of, bags, marks, weights = [], [], [], []
     for t, label, w in zip(texts, y, weight):
         words = Counter(LETTERS.findall(t.lower()))
         if not words:
             continue
         for x in words:
-            if x not in memo:
-                memo[x] = subwords(x, buckets)
-        total = sum(words.values())
-        lists = [memo[x] for x in words]
-        ids = np.fromiter((i for x in lists for i in x), np.int64)
-        part = np.repeat([n / total / len(x) for n, x in zip(words.values(), lists)], [len(x) for x in lists])
-        ids, at = np.unique(ids, return_inverse=True)
-        bags.append((ids, np.bincount(at, part).astype(np.float32) * np.float32(scale)))
+            if x not in index:
+                index[x] = len(index)
+                buckets_of.append(np.array(subwords(x, buckets), np.int32))
+        share_of = np.fromiter(words.values(), np.float32, len(words)) * np.float32(scale / words.total())
+        bags.append((np.fromiter(map(index.__getitem__, words), np.int32, len(words)), share_of))
         marks.append(int(label))
         weights.append(float(w))
     if not bags or min(share) == 0:
         return ToxicityModel(table * 0, softmax, bias)
+    del index
+    count = np.fromiter(map(len, buckets_of), np.int64, len(buckets_of))
+    start, flat = np.cumsum(count) - count, np.concatenate(buckets_of)
+    del buckets_of
     one_hot = np.eye(2, dtype=np.float32)[marks]
     each = np.array(weights, np.float32)
     each /= each.mean()
@@ -111,10 +113,12 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, buckets: int = 1
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), batch):
             docs = order[lo : lo + batch]
-            size = [len(bags[d][0]) for d in docs]
-            ids = np.concatenate([bags[d][0] for d in docs])
-            part = np.concatenate([bags[d][1] for d in docs])[:, None]
-            at = np.concatenate(([0], np.cumsum(size)[:-1]))
+            word = np.concatenate([bags[d][0] for d in docs])
+            ids = flat[ragged(start[word], count[word])]
+            part = np.repeat(np.concatenate([bags[d][1] for d in docs]) / count[word].astype(np.float32), count[word])[:, None]
+            ends = np.cumsum(count[word])[np.cumsum([len(bags[d][0]) for d in docs]) - 1]
+            size = np.diff(ends, prepend=0)
+            at = ends - size
             mean = np.add.reduceat(table[ids] * part, at)
             logit = mean @ softmax + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
@@ -159,7 +163,10 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: i
     y = np.array([k for _, k, _ in rows], int)
     had = np.bincount(y, minlength=2)
     weight = np.array([shares.get(k, 0) / max(had[k], 1) for k in y], float)
-    return train([t for _, _, t in rows], y, weight, **params)
+    model = train([t for _, _, t in rows], y, weight, **params)
+    del rows
+    release()
+    return model
 
 
 def scorer(model: ToxicityModel, spark: SparkSession) -> Callable[[], Scorer]:
