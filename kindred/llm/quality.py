@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold, map_rows, materialize
+from .common import documents, fold, map_rows, materialize, release
 
 N_STATS = 16
 FOLDS = 4
@@ -112,6 +112,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 def stats_table(df: DataFrame) -> DataFrame:
     def make():
+        release()  # what earlier steps kept in this worker
         return lambda ids, texts: {"doc_id": ids, "x": [stats(t) for t in texts]}
 
     return map_rows(documents(df), make, "doc_id long, x array<double>")
