@@ -31,12 +31,12 @@ SCHEMA = "source string, lang string, tokenizer_version string, docs long, token
 
 def word_counter(path: str) -> Callable[[pa.Array], np.ndarray]:
     """Tokens of each text by a tokenizer file of the tokenizers library."""
-    return lambda: WordTokenizer(path, limit=250_000).count
+    return lambda: WordTokenizer(path).count
 
 
 def byte_counter(path: str, pattern: str) -> Callable[[pa.Array], np.ndarray]:
     """Tokens of each text by a file of byte-pair ranks."""
-    return lambda: Encoder(path, pattern, limit=250_000).count
+    return lambda: Encoder(path, pattern).count
 
 
 def counted(docs: DataFrame, counters: dict[str, Callable], text_col: str = "text") -> DataFrame:
