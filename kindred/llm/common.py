@@ -16,6 +16,17 @@ from pyspark.sql import functions as F
 
 #: Runs of letters with the marks that belong to them.
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_SIGNS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
+
+
+def letter_runs(chunk: str) -> list[str]:
+    """The matches of LETTERS; most chunks are one run with or without signs around it."""
+    if chunk.isalpha():
+        return [chunk]
+    bare = chunk.strip(_SIGNS)
+    return [bare] if bare.isalpha() else LETTERS.findall(bare)
+
+
 _OWN: set[str] = set()
 SLICE_BYTES = 4 << 20
 SLICE_ROWS = 2000

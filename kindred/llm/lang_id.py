@@ -24,17 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, documents, map_rows, materialize
+from .common import documents, letter_runs, map_rows, materialize
 
 ORDERS = (5, 4, 3, 2, 1)
 FLUSH = 400_000
 LONG = 10_000
 
 
-def words_of(chunk: str) -> list[str]:
-    return LETTERS.findall(chunk)
-
-
 def grams(word: str, n: int) -> list[str]:
     w = f"^{word}$" if n > 1 else word
     return grams_of(w, n)
@@ -54,7 +50,7 @@ def count_words(df: DataFrame) -> DataFrame:
             out: Counter = Counter()
             for lang, c in chunks.items():
                 for chunk, n in c.items():
-                    for w in words_of(chunk):
+                    for w in letter_runs(chunk):
                         out[lang, w] += n
             chunks.clear()
             keys = list(out)
@@ -123,6 +119,7 @@ class Cached:
         self.words = {w: k for k, w in enumerate(self.word_names)}
         self.grams = {g: k for k, g in enumerate(self.gram_names)}
         self.rows = np.zeros((1024, self.word_logs.shape[1] + 1))
+        self.opens = np.zeros(1024, bool)
         self._forget()
 
     def _forget(self) -> None:
@@ -131,7 +128,7 @@ class Cached:
         self.used = self.held = 0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("words", "grams", "memo", "rows", "left", "used", "held")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "grams", "memo", "rows", "opens", "left", "used", "held")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -139,7 +136,7 @@ class Cached:
 
     def learn(self, chunks: list[str]) -> None:
         """Memo rows: each chunk's summed log frequencies and its words; ``left`` has the words that are not cached."""
-        split = [words_of(c) for c in chunks]
+        split = [letter_runs(c) for c in chunks]
         flat = list({w for ws in split for w in ws})
         index = {w: k for k, w in enumerate(flat)}
         spot = np.fromiter((self.words.get(w, -1) for w in flat), np.int64, len(flat))
@@ -156,7 +153,9 @@ class Cached:
         base = self.used
         while base + len(chunks) > len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.opens = np.concatenate((self.opens, np.zeros_like(self.opens)))
         self.rows[base : base + len(chunks)] = rows
+        self.opens[base : base + len(chunks)] = False
         self.memo.update(zip(chunks, range(base, base + len(chunks))))
         self.used += len(chunks)
         self.held += sum(map(len, chunks))
@@ -164,6 +163,7 @@ class Cached:
             for k, ws in enumerate(split):
                 if not open_.isdisjoint(ws):
                     self.left[base + k] = [w for w in ws if w in open_]
+                    self.opens[base + k] = True
 
     def partial(self, texts: list) -> dict:
         """Of each text: its words, the summed logs of the cached ones, and the others with their counts."""
@@ -176,7 +176,7 @@ class Cached:
         for cs in cut:
             at = np.fromiter(map(memo.__getitem__, cs), np.int64, len(cs))
             total = self.rows[at].sum(0)
-            more = Counter(w for k in at.tolist() if k in self.left for w in self.left[k])
+            more = Counter(w for k in at[self.opens[at]].tolist() for w in self.left[k])
             words.append(int(total[-1]))
             sums.append(total[:-1].tolist())
             left.append(list(more))

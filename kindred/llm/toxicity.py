@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, Cache, documents, map_rows, release, worker_state
+from .common import LETTERS, Cache, documents, letter_runs, map_rows, release, worker_state
 from .runs import ragged
 
 SIZES = (4, 5)
@@ -66,7 +66,7 @@ class Scorer:
             chunks = (t or "").lower().split()
             fresh = {c for c in chunks if c not in memo}
             for c in fresh:
-                ws = LETTERS.findall(c)
+                ws = letter_runs(c)
                 memo[c] = complex(sum(map(self.word, ws)), len(ws))
             total = sum(map(memo.__getitem__, chunks), 0j)
             memo.forget(fresh)

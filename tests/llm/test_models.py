@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.llm import lang_id, quality, toxicity
-from kindred.llm.common import LETTERS, fold
+from kindred.llm.common import LETTERS, fold, letter_runs
 
 ODD = [(1, None, "x"), (2, "", "x"), (3, "   \n\t ", "x"), (4, "!!! ??? 123", "x"), (5, "word " * 30_000, "x"), (5, "word " * 30_000, "x"), (6, "ä𝄞 \u0000 ﬁ", None)]
 
@@ -144,6 +144,14 @@ def test_language_odd_rows(spark, odd):
     assert lang_id.predict(odd.limit(0), model).count() == 0
 
 
+def test_letter_runs_are_the_matches():
+    rng = np.random.default_rng(2)
+    pool = list("aZ\u00e9\u0436\u6f22\u0301\u0903\u00bd\u2461_7'-.,\u02b0\u2019 \U0001d11e\u16ee")
+    for _ in range(3000):
+        chunk = "".join(rng.choice(pool, rng.integers(0, 7)))
+        assert letter_runs(chunk) == LETTERS.findall(chunk), ascii(chunk)
+
+
 def test_language_equals_a_plain_backoff(spark):
     """Word log frequencies, then the longest known n-grams' mean, from plain dictionaries."""
     rng = np.random.default_rng(8)
