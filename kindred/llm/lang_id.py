@@ -229,7 +229,7 @@ class LangModel:
         return [r["lang_pred"] for r in rows], [r["score"] for r in rows]
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 100_000, max_grams: int = 100_000) -> LangModel:
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 250_000, max_grams: int = 150_000) -> LangModel:
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     words = materialize(count_words(rows), "lang-words")
     # one row a language; a label set, not data
@@ -248,8 +248,15 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words
         return counts.select(key, "total", *[F.log((F.col(f"n{k}") + 0.5) / m).alias(f"v{k}") for k, m in enumerate(mass)])
 
     def top(table: DataFrame, key: str, most: int) -> tuple[list[str], np.ndarray]:
+        """The most frequent rows, by whole levels of frequency, as many levels as have at most ``most`` rows."""
         # long ones are left to the table, so that the cache is bounded in bytes
-        kept = table.filter(F.length(key) <= 64).orderBy(F.desc("total"), key).limit(most).drop("total").toArrow()
+        levels = table.filter(F.length(key) <= 64).withColumn("level", F.floor(16 * F.log2("total")).cast("int"))
+        # a row a level: some hundreds
+        counts = sorted(((r["level"], r["n"]) for r in levels.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True)
+        sizes = np.cumsum([n for _, n in counts])
+        fits = int(np.searchsorted(sizes, most, side="right"))
+        least = counts[fits - 1][0] if fits else 1 << 30
+        kept = levels.filter(F.col("level") >= least).drop("total", "level").toArrow()
         return kept[key].to_pylist(), np.stack([kept[f"v{k}"].to_numpy() for k in range(len(langs))], 1)
 
     by_word, by_gram = wide(words, "word"), wide(count_grams(words), "gram")
