@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audio, bpe, common, html_extract, lang_id, near_dup, packing, quality, token_counts, toxicity
+from . import ann, audio, bpe, common, html_extract, lang_id, near_dup, packing, pivot_index, quality, spelling, token_counts, toxicity, whitening
 from .common import fold, materialize, table
 
 THRESHOLD = 0.3
@@ -92,7 +92,41 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_audio_features, op3_html_extraction, op4_quality_classifier, op5_near_duplicates, op6_nearest_neighbours, op7_packing, op8_bpe, op9_toxicity, op10_language_id)}
+def op11_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_audio_features, op3_html_extraction, op4_quality_classifier, op5_near_duplicates, op6_nearest_neighbours, op7_packing, op8_bpe, op9_toxicity, op10_language_id, op11_embedding_near_dup, op12_whitening, op13_spelling_variants)}
+
+
+def _spelling_sql() -> str:
+    """Checksums by a table made in SQL; edits on words whose accented letters are written as one byte each."""
+    accented = "".join(map(chr, range(0xC0, 0x100)))
+    plain = "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c not in "'\\")[:64]
+    capitals = "".join(map(chr, range(65, 91)))
+    code = "list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384::bigint) ELSE c >> 1 END, x))"
+    bytes_ = "flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::bigint] ELSE [195::bigint, unicode(c)::bigint - 64] END))"
+    crc = f"xor(list_reduce({bytes_}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint)"
+    near = " UNION ALL ".join(f"SELECT a.word AS word, a.n AS n, b.word AS other, b.n AS m FROM v a JOIN v b ON length(b.word) = length(a.word) + ({gap}) WHERE levenshtein(a.one, b.one) = 1" for gap in (-1, 0, 1))
+    return f"""WITH RECURSIVE crc AS (SELECT {code} AS t),
+    r AS (SELECT coalesce(doc_id::varchar, '') AS doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{capitals}', '{capitals.lower()}'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+    h AS (SELECT run, n, {crc} AS h FROM r, crc),
+    w AS (SELECT CASE WHEN h % 97 = 0 THEN concat(left(run, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, n FROM h),
+    v AS (SELECT word, sum(n)::bigint AS n, translate(word, '{accented}', '{plain}') AS one FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    p AS ({near}),
+    f AS (SELECT word, count(*) AS n_near, min({{'m': -m, 'other': other}}) AS best FROM p GROUP BY word),
+    a AS (SELECT v.word, CASE WHEN -best.m >= 2 * n THEN best.other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * n THEN -best.m END AS form_n FROM v LEFT JOIN f USING (word)),
+    roots AS (SELECT word AS root, word FROM a WHERE form IS NULL UNION ALL SELECT root, a.word FROM roots JOIN a ON a.form = roots.word)
+    SELECT a.word, form, root, n, n_near, form_n FROM a JOIN roots USING (word)""".replace("\\\\", "\\")
+
 
 #: Public tokenizers, media, models and searches are beyond SQL: tests compare them with libraries and brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_spelling_variants": _spelling_sql()}
