@@ -6,13 +6,15 @@ a scan over all pairs. Token blocking and BM25 join postings."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import retrieval
+from .stored import stored
 
 
 def query_text(name: Column, *extra: Column, general: str | None = None) -> Column:
@@ -44,19 +46,19 @@ def _word_pairs(asked: DataFrame, there: DataFrame) -> DataFrame:
     return inside.select("w", "u").unionByName(around.select("w", "u")).distinct()
 
 
-def keyword_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """material_id, price_id, score >= 1 of the additive keyword rule.
+def _asked_words(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(material_id, q, words) of queries with words, and (material_id, w, times) of their words over two letters."""
+    q = queries.select(F.col("material_id").cast("string").alias("material_id"), F.lower(F.col("query")).alias("q")).withColumn("words", T.words(F.col("q"))).filter(F.size("words") > 0)
+    return q, q.select("material_id", F.explode("words").alias("w")).filter(F.length("w") > 2).groupBy("material_id", "w").agg(F.count("*").alias("times"))
 
-    queries: material_id, query. items: id, name, brand, article, description. Points: the whole query
-    in the name 10, else description 9, else brand 8, else article 8; for each query word over two
-    letters in the name's words 5, else the brand's 3, else, from four letters on, containing or contained
-    in a name word of four letters 2; for each of three letters within the article 4; and 3 if the matched
-    words (a contained one counts half) are 70 % of several.
-    """
-    q = queries.select("material_id", F.lower(F.col("query")).alias("q")).withColumn("words", T.words(F.col("q"))).filter(F.size("words") > 0)
+
+def _texts(items: DataFrame) -> DataFrame:
     low = lambda c: F.lower(T.text(F.col(c)))
-    p = items.select(F.col("id").alias("price_id"), low("name").alias("n"), low("brand").alias("b"), low("article").alias("a"), low("description").alias("d"))
-    asked = q.select("material_id", F.explode("words").alias("w")).filter(F.length("w") > 2).groupBy("material_id", "w").agg(F.count("*").alias("times"))
+    return items.select(F.col("id").cast("string").alias("price_id"), low("name").alias("n"), low("brand").alias("b"), low("article").alias("a"), low("description").alias("d"))
+
+
+def _word_hits(asked: DataFrame, p: DataFrame) -> DataFrame:
+    """w, price_id, p (points), a (1 if within the article) once for each distinct asked word and item."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), T.words(F.col(f)).alias("us")) for f in "nba"])
     posted = p.select("price_id", F.explode(fields).alias("f")).select("price_id", "f.field", F.explode(F.array_distinct("f.us")).alias("u"))
     pairs = _word_pairs(asked.select("w").distinct(), posted.select("u").distinct())
@@ -67,25 +69,67 @@ def keyword_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
         .when((F.col("field") == "n") & (w >= 4) & (u >= 4), 2)
     )
     in_article = (F.col("field") == "a") & F.contains("u", "w")
-    # once for each distinct word and item; materials only add these up
-    hits = pairs.join(posted, "u").groupBy("w", "price_id").agg(F.coalesce(F.max(points), F.lit(0)).alias("p"), F.max(in_article.cast("int")).alias("a"))
-    half = F.when(F.col("p") >= 3, 1.0).when(F.col("p") == 2, 0.5).otherwise(0.0)
-    parts = asked.join(hits, "w").select("material_id", "price_id", (F.col("times") * (F.col("p") + 4 * F.col("a"))).alias("points"), (F.col("times") * half).alias("matched"))
-    # The whole query can also stand in a field no word of which scored: look it up by its longest word.
-    longest = F.array_max(F.transform("words", lambda x: F.struct(F.length(x).alias("l"), x.alias("w"))))["w"]
-    keyed = q.select("material_id", "q", longest.alias("w"))
+    return pairs.join(posted, "u").groupBy("w", "price_id").agg(F.coalesce(F.max(points), F.lit(0)).alias("p"), F.max(in_article.cast("int")).alias("a"))
+
+
+_HALF = F.when(F.col("p") >= 3, 1.0).when(F.col("p") == 2, 0.5).otherwise(0.0)
+
+
+def _phrase_points() -> Column:
+    return F.when(F.contains("n", "q"), 10).when(F.contains("d", "q"), 9).when(F.contains("b", "q") | F.contains("a", "q"), 8).otherwise(0)
+
+
+def _whole(q: DataFrame, p: DataFrame) -> DataFrame:
+    """material_id, price_id, phrase of the items in a text of which the whole query stands: looked up by the query's
+    rarest word, as a word of the query lies within a word of that text."""
     words = p.select("price_id", F.explode(F.array_distinct(T.words(F.concat_ws(" ", "n", "d", "b", "a")))).alias("u"))
-    heads = keyed.select(F.col("w"), F.left("w", F.lit(3)).alias("g")).distinct()
-    holds = words.select("u").distinct().select("u", F.explode(_grams(F.col("u"))).alias("g")).join(heads, "g").filter(F.contains("u", "w")).select("u", "w").distinct()
-    stands = F.contains("n", "q") | F.contains("d", "q") | F.contains("b", "q") | F.contains("a", "q")
-    whole = keyed.join(holds, "w").join(words, "u").join(p, "price_id").filter(stands).select("material_id", "price_id", F.lit(0).cast("long").alias("points"), F.lit(0.0).alias("matched"))
+    often = words.groupBy("u").agg(F.count("*").alias("n"))
+    asked = q.select("material_id", F.explode(F.array_distinct("words")).alias("w"))
+    heads = asked.select("w", F.left("w", F.lit(3)).alias("g")).distinct()
+    holds = often.select("u", "n", F.explode(_grams(F.col("u"))).alias("g")).join(heads, "g").filter(F.contains("u", "w")).select("u", "n", "w").distinct()
+    rarest = asked.join(holds.groupBy("w").agg(F.sum("n").alias("n")), "w", "left").groupBy("material_id").agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w"))
+    pairs = rarest.join(holds.select("u", "w"), "w").join(words, "u").select("material_id", "price_id").distinct()
+    found = pairs.join(q, "material_id").join(p, "price_id").withColumn("phrase", _phrase_points())
+    return found.filter("phrase > 0").select("material_id", "price_id", "phrase")
+
+
+def keyword_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """material_id, price_id, score >= 1 of the additive keyword rule, all pairs.
+
+    queries: material_id, query. items: id, name, brand, article, description. Points: the whole query
+    in the name 10, else description 9, else brand 8, else article 8; for each query word over two
+    letters in the name's words 5, else the brand's 3, else, from four letters on, containing or contained
+    in a name word of four letters 2; for each of three letters within the article 4; and 3 if the matched
+    words (a contained one counts half) are 70 % of several.
+    """
+    q, asked = _asked_words(queries)
+    p = _texts(items)
+    parts = asked.join(_word_hits(asked, p), "w").select("material_id", "price_id", (F.col("times") * (F.col("p") + 4 * F.col("a"))).alias("points"), (F.col("times") * _HALF).alias("matched"))
+    whole = _whole(q, p).select("material_id", "price_id", F.col("phrase").cast("long").alias("points"), F.lit(0.0).alias("matched"))
     every = parts.unionByName(whole).groupBy("material_id", "price_id").agg(F.sum("points").alias("points"), F.sum("matched").alias("matched"))
-    phrase = F.when(F.contains("n", "q"), 10).when(F.contains("d", "q"), 9).when(F.contains("b", "q") | F.contains("a", "q"), 8).otherwise(0)
-    many = F.when((F.size("words") > 1) & (F.col("matched") >= 0.7 * F.size("words")), 3).otherwise(0)
-    scored = every.join(q, "material_id").join(p, "price_id").withColumn("score", (F.col("points") + phrase + many).cast("double"))
+    many = F.when((F.col("need") > 1) & (F.col("matched") >= 0.7 * F.col("need")), 3).otherwise(0)
+    scored = every.join(q.select("material_id", F.size("words").alias("need")), "material_id").withColumn("score", (F.col("points") + many).cast("double"))
     return scored.filter("score >= 1").select("material_id", "price_id", "score")
 
 
+def keyword_topk(queries: DataFrame, items: DataFrame, k: int, shard: int = retrieval.SHARD) -> DataFrame:
+    """material_id, price_id, score, rank of the k best by the same rule, without a row for every pair: words' lists
+    of items are added up shard by shard (``retrieval``)."""
+    q, asked = _asked_words(queries)
+    q, p = stored(q, "queries"), stored(_texts(items), "texts")
+    asked = stored(asked, "asked")
+    lists = _word_hits(asked, p).select(F.col("price_id").alias("doc"), F.lit(retrieval.WORDS).alias("field"), F.col("w").alias("term"), (F.col("p") + 4 * F.col("a")).alias("tf"), _HALF.alias("norm"))
+    whole = _whole(q, p).select(F.col("price_id").alias("doc"), F.lit(retrieval.WHOLE).alias("field"), F.col("material_id").alias("term"), F.col("phrase").alias("tf"), F.lit(0.0).alias("norm"))
+    shards = retrieval.shards_of(p.count(), shard)
+    blocks = retrieval.posting_blocks(lists.unionByName(whole), shards)
+    words = asked.groupBy("material_id").agg(F.collect_list("w").alias("terms"), F.collect_list(F.col("times").cast("double")).alias("times"))
+    need = q.select("material_id", F.size("words").cast("double").alias("need"))
+    rows = need.join(words, "material_id").select("material_id", "need", F.lit(retrieval.WORDS).alias("field"), "terms", "times")
+    rows = rows.unionByName(need.select("material_id", "need", F.lit(retrieval.WHOLE).alias("field"), F.array("material_id").alias("terms"), F.array(F.lit(1.0)).alias("times")))
+    found = retrieval.meet(blocks, rows, shards, q.count(), retrieval.keyword_kernel(k))
+    return retrieval.ranked(found.filter("score >= 1"), k)
+
+
 def top_candidates(scores: DataFrame, k: int, order: str = "score", key: str = "price_id") -> DataFrame:
     """The k best of each material, ties by ``key``; rank from 1. Spark prunes each partition to k rows a
     group before the shuffle."""
@@ -150,7 +194,7 @@ def fuzzy_terms(asked: DataFrame, vocabulary: DataFrame, prefix: int = 2) -> Dat
 @dataclass(frozen=True)
 class Clause:
     """A should-clause: ``boost`` times the best of ``fields`` (name to boost). A phrase counts where the whole
-    query stands in the field; a fuzzy clause also takes near terms, less one part in their length an edit."""
+    query stands in the field, by the times it does; a fuzzy clause also takes near terms, less one part in their length an edit."""
 
     fields: dict[str, float]
     boost: float = 1.0
@@ -166,37 +210,113 @@ PRICE_HITS, MATERIAL_HITS = 50, 10
 FULL_TEXT = ("name", "description", "category", "brand", "article")
 
 
-def clause_search(items: DataFrame, queries: DataFrame, clauses: tuple[Clause, ...], k: int) -> DataFrame:
-    """material_id, price_id, score, rank: the sum of the clauses, over 0, best first. ``raw`` is the whole name
-    as one term, without near terms; ``full_text`` all of a row's texts. Fields that ``items`` lacks are blank."""
-    analyzed = lambda c: T.analyze_russian(c, unique=False)
+# The live search: the name's phrase, its exact words, the best of five fields, name grams, all text.
+LIVE_SEARCH = (
+    Clause({"exact": 1.0}, 5.0, phrase=True), Clause({"exact": 1.0}, 4.0), Clause({"name": 3.0, "prefix": 2.0, "text": 1.0, "brand": 1.5, "article": 1.5}, 2.0, fuzzy=True),
+    Clause({"ngram": 1.0}), Clause({"text": 1.0}, 0.5, fuzzy=True),
+)
+#: Of the live search: letters that a near term shares with the word (none in the older ones), fields without stemming.
+LIVE_PREFIX, LIVE_PLAIN = 2, ("brand", "article")
+
+
+@dataclass(frozen=True)
+class Posted:
+    """What a search reads: postings (doc, field, term, tf, size, spots), the field's length and the term's positions
+    with them, and lengths (doc, field, size)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+def fields_of(items: DataFrame, wanted: Iterable[str], plain: Iterable[str] = ()) -> dict[str, Column]:
+    """Analyzed fields by name, those in ``plain`` without stemming. ``raw`` is the whole name as one term, ``full_text`` and ``text`` all of a row's
+    texts, ``exact``, ``prefix`` and ``ngram`` the name's words and their pieces; texts that ``items`` lacks are blank."""
     there = lambda f: T.text(F.col(f)) if f in items.columns else F.lit("")
-    everything = F.concat_ws(" ", *[F.nullif(there(f), F.lit("")) for f in FULL_TEXT])
-    wanted = list(dict.fromkeys(f for c in clauses for f in c.fields))
-    special = {"raw": F.array(F.trim(F.lower(there("name")))), "full_text": analyzed(everything)}
-    fields = {f: special[f] if f in special else analyzed(there(f)) for f in wanted}
-    posted = postings(items, "id", fields)
-    q = queries.filter(F.trim(T.text(F.col("query"))) != "").select("material_id", "query").withColumn("terms", analyzed(F.col("query")))
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (F.array(F.trim(F.lower("query"))) if f == "raw" else F.array_distinct("terms")).alias("ts")) for f in wanted]))
-    asked = q.select("material_id", each.alias("f")).select("material_id", "f.field", F.explode("f.ts").alias("term")).withColumn("boost", F.lit(1.0))
-    words = lambda df: df.filter(F.col("field") != "raw")
-    near = fuzzy_terms(words(asked).select(F.col("term").alias("w")), words(posted).select("term"), 0).filter("edits > 0")
-    more = words(asked).withColumnRenamed("term", "w").join(near, "w").select("material_id", "field", "term", (1 - F.col("edits") / F.least(F.length("w"), F.length("term"))).alias("boost"))
-    loose = asked.unionByName(more).groupBy("material_id", "field", "term").agg(F.max("boost").alias("boost"))
-    named = lambda df, mark: df.select("material_id", "doc", F.concat(F.lit(mark), "field").alias("f"), "score")
-    by = named(bm25(posted, asked), "e_").unionByName(named(bm25(posted, loose), "l_"))
-    by = by.groupBy("material_id", "doc").pivot("f", [m + f for f in wanted for m in ("e_", "l_")]).agg(F.first("score")).na.fill(0.0)
-    phrased = list(dict.fromkeys(f for c in clauses if c.phrase for f in c.fields))
-    spaced = lambda ts: F.concat(F.lit(" "), F.array_join(ts, " "), F.lit(" "))
-    hits = by.join(q, "material_id").join(items.select(F.col("id").alias("doc"), *[spaced(fields[f]).alias(f"t_{f}") for f in phrased]), "doc")
-
-    def value(c: Clause) -> Column:
-        of = lambda f: F.when(F.contains(f"t_{f}", spaced(F.col("terms"))), F.col(f"e_{f}")).otherwise(0.0) if c.phrase else F.col(("l_" if c.fuzzy else "e_") + f)
-        parts = [b * of(f) for f, b in c.fields.items()]
-        return c.boost * (F.greatest(*parts) if len(parts) > 1 else parts[0])
-
-    total = sum((value(c) for c in clauses), F.lit(0.0))
-    return top_candidates(hits.select("material_id", F.col("doc").alias("price_id"), F.round(total, 6).alias("score")).filter("score > 0"), k)
+    stemmed = lambda c: T.analyze_russian(c, unique=False)
+    words = lambda f: T.standard_tokens(there(f))
+    blank_free = lambda names: F.concat_ws(" ", *[F.nullif(there(f), F.lit("")) for f in names])
+    special = {
+        "raw": F.array(F.trim(F.lower(there("name")))),
+        "full_text": stemmed(blank_free(FULL_TEXT)),
+        "text": stemmed(blank_free(("name", "brand", "article", "description"))),
+        "exact": words("name"),
+        "prefix": F.flatten(F.transform(words("name"), lambda w: T.edge_ngrams(w))),
+        "ngram": F.flatten(F.transform(words("name"), lambda w: T.ngrams(w))),
+    }
+    return {f: special[f] if f in special else words(f) if f in plain else stemmed(there(f)) for f in wanted}
+
+
+def posted_of(items: DataFrame, fields: dict[str, Column], positions: Iterable[str] = (), id_col: str = "id") -> Posted:
+    """Postings and lengths of ``items``, positions only of the fields named."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), terms.alias("terms")) for name, terms in fields.items()]))
+    rows = items.select(F.col(id_col).cast("string").alias("doc"), each.alias("f")).select("doc", "f.field", "f.terms", F.size("f.terms").alias("size")).filter("size > 0")
+    spots = F.when(F.col("field").isin(*positions), F.col("at")) if positions else F.lit(None).cast("int")
+    postings_ = rows.select("doc", "field", "size", F.posexplode("terms").alias("at", "term")).groupBy("doc", "field", "term", "size").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(spots)).alias("spots"))
+    return Posted(stored(postings_, "postings"), stored(rows.select("doc", "field", "size"), "lengths"))
+
+
+def wanted_fields(clauses: tuple[Clause, ...]) -> list[str]:
+    return list(dict.fromkeys(f for c in clauses for f in c.fields))
+
+
+def phrased_fields(clauses: tuple[Clause, ...]) -> list[str]:
+    return list(dict.fromkeys(f for c in clauses if c.phrase for f in c.fields))
+
+
+#: Fields whose terms are pieces or whole texts: a query asks for its words there as they are.
+UNSTEMMED = ("exact", "prefix", "ngram")
+NOT_FUZZY = ("raw", "exact", "ngram")
+
+
+def asked_of(queries: DataFrame, fields: Iterable[str], plain: Iterable[str] = ()) -> DataFrame:
+    """material_id, field, sequence (terms in order) of the queries that aren't blank."""
+    stemmed, words = T.analyze_russian(F.col("query"), unique=False), T.standard_tokens(F.col("query"))
+    of = lambda f: F.array(F.trim(F.lower("query"))) if f == "raw" else words if f in UNSTEMMED or f in plain else stemmed
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), of(f).alias("sequence")) for f in fields]))
+    rows = queries.filter(F.trim(T.text(F.col("query"))) != "").select(F.col("material_id").cast("string").alias("material_id"), each.alias("f"))
+    return rows.select("material_id", "f.field", "f.sequence").filter(F.size("sequence") > 0)
+
+
+def weighted(posted: Posted, asked: DataFrame, fuzzy: Iterable[str], prefix: int, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """(postings with the length's norm, asked with its terms' weights): idf = ln(1 + (N - df + 0.5) / (df + 0.5)) by
+    field, ``exact`` of the query's own terms, ``loose`` also of near ones, less one part in their length an edit."""
+    about = posted.lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))  # a row a field
+    df = posted.postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    own = asked.select("material_id", "field", F.explode(F.array_distinct("sequence")).alias("term"), F.lit(1.0).alias("exact"), F.lit(1.0).alias("loose"))
+    fuzzy = list(fuzzy)
+    if fuzzy:
+        soft = own.filter(F.col("field").isin(*fuzzy))
+        near = fuzzy_terms(soft.select(F.col("term").alias("w")), df.filter(F.col("field").isin(*fuzzy)).select("term"), prefix).filter("edits > 0")
+        more = soft.withColumnRenamed("term", "w").join(near, "w").select("material_id", "field", "term", F.lit(0.0).alias("exact"), (1 - F.col("edits") / F.least(F.length("w"), F.length("term"))).alias("loose"))
+        own = own.unionByName(more).groupBy("material_id", "field", "term").agg(F.max("exact").alias("exact"), F.max("loose").alias("loose"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    own = own.join(df, ["field", "term"]).join(F.broadcast(about), "field").withColumn("idf", idf)
+    entry = F.struct("term", (F.col("exact") * F.col("idf")).alias("exact"), (F.col("loose") * F.col("idf")).alias("loose"))
+    own = own.groupBy("material_id", "field").agg(F.collect_list(entry).alias("e"))
+    own = own.join(asked, ["material_id", "field"]).select("material_id", "field", F.col("e.term").alias("terms"), F.col("e.exact").alias("exact"), F.col("e.loose").alias("loose"), "sequence")
+    norm = k1 * (1 - b + b * F.col("size") / F.col("mean"))
+    return posted.postings.join(F.broadcast(about), "field").withColumn("norm", norm), own
+
+
+def search_posted(posted: Posted, queries: DataFrame, clauses: tuple[Clause, ...], k: int, prefix: int = 0, plain: Iterable[str] = (), docs: int | None = None, shard: int = retrieval.SHARD, digits: int | None = 6, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The shards' winners (``retrieval.FOUND``) of the clauses over stored or fresh postings. A phrase clause counts
+    where the query's terms follow each other, by how often they do."""
+    fields, phrased = wanted_fields(clauses), phrased_fields(clauses)
+    fuzzy = [f for f in dict.fromkeys(f for c in clauses if c.fuzzy for f in c.fields) if f not in NOT_FUZZY]
+    rows, asked = weighted(posted, stored(asked_of(queries, fields, plain), "asked"), fuzzy, prefix, k1, b)
+    asked = stored(asked, "weights")
+    shards = retrieval.shards_of(docs if docs is not None else posted.lengths.select("doc").distinct().count(), shard)
+    number = {f: i for i, f in enumerate(fields)}
+    kind = lambda c: 2 if c.phrase else 1 if c.fuzzy else 0
+    parts = tuple(retrieval.Part(c.boost, tuple((3 * number[f] + kind(c), w) for f, w in c.fields.items())) for c in clauses)
+    kernel = retrieval.bm25_kernel(fields, parts, phrased, k, k1, digits)
+    return retrieval.meet(retrieval.posting_blocks(rows, shards, phrased), asked, shards, queries.count(), kernel)
+
+
+def clause_search(items: DataFrame, queries: DataFrame, clauses: tuple[Clause, ...], k: int, prefix: int = 0, plain: Iterable[str] = ()) -> DataFrame:
+    """material_id, price_id, score, rank: the sum of the clauses, over 0, best first."""
+    posted = posted_of(items, fields_of(items, wanted_fields(clauses), plain), phrased_fields(clauses))
+    return retrieval.ranked(search_posted(posted, queries, clauses, k, prefix, plain, items.count()), k)
 
 
 def once_a_query(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -207,37 +327,6 @@ def once_a_query(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> D
 
 
 def search(items: DataFrame, queries: DataFrame, k: int = 20, fuzzy: bool = True) -> DataFrame:
-    """Live retrieval: material_id, price_id, score, rank. Should-clauses over the name's phrase (5), its
-    exact words (4), the best of five fields with fuzzy terms (2), name grams (1) and all text (0.5)."""
-    col = F.col
-    words = lambda c: T.standard_tokens(col(c))
-    everything = F.concat_ws(" ", "name", "brand", "article", "description")
-    fields = {
-        "exact": words("name"),
-        "name": T.analyze_russian(col("name"), unique=False),
-        "prefix": F.flatten(F.transform(words("name"), lambda w: T.edge_ngrams(w))),
-        "ngram": F.flatten(F.transform(words("name"), lambda w: T.ngrams(w))),
-        "text": T.analyze_russian(everything, unique=False),
-        "brand": words("brand"),
-        "article": words("article"),
-    }
-    posted = postings(items, "id", fields)
-    q = queries.filter(F.trim(T.text(col("query"))) != "").select("material_id", "query")
-    plain, stemmed = T.standard_tokens(col("query")), T.analyze_russian(col("query"), unique=False)
-    use = {"exact": plain, "name": stemmed, "prefix": plain, "ngram": plain, "text": stemmed, "brand": plain, "article": plain}
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(t).alias("terms")) for f, t in use.items()]))
-    asked = q.select("material_id", each.alias("f")).select("material_id", "f.field", F.explode("f.terms").alias("w"))
-    loose = ["name", "prefix", "text", "brand", "article"]
-    if fuzzy:
-        near = fuzzy_terms(asked.filter(col("field").isin(*loose)), posted.filter(col("field").isin(*loose)).select("term").distinct()).filter("edits > 0")
-        more = asked.filter(col("field").isin(*loose)).join(near, "w").select("material_id", "field", "term", (1 - col("edits") / F.least(F.length("w"), F.length("term"))).alias("boost"))
-        asked = asked.select("material_id", "field", col("w").alias("term"), F.lit(1.0).alias("boost")).unionByName(more)
-    else:
-        asked = asked.select("material_id", "field", col("w").alias("term"), F.lit(1.0).alias("boost"))
-    asked = asked.groupBy("material_id", "field", "term").agg(F.max("boost").alias("boost"))
-    by = bm25(posted, asked).groupBy("material_id", "doc").pivot("field", list(fields)).agg(F.first("score")).na.fill(0.0)
-    best = F.greatest(3 * col("name"), 2 * col("prefix"), col("text"), 1.5 * col("brand"), 1.5 * col("article"))
-    hits = by.join(q, "material_id").join(items.select(col("id").alias("doc"), words("name").alias("title")), "doc")
-    phrase = F.when(F.contains(F.array_join("title", " "), F.array_join(plain, " ")), 5 * col("exact")).otherwise(0.0)
-    total = phrase + 4 * col("exact") + 2 * best + col("ngram") + 0.5 * col("text")
-    return top_candidates(hits.select("material_id", col("doc").alias("price_id"), total.alias("score")), k)
+    """Live retrieval: material_id, price_id, score, rank by LIVE_SEARCH."""
+    clauses = LIVE_SEARCH if fuzzy else tuple(replace(c, fuzzy=False) for c in LIVE_SEARCH)
+    return clause_search(items, queries, clauses, k, LIVE_PREFIX, LIVE_PLAIN)

@@ -93,7 +93,7 @@ def top_matches(scored: DataFrame, cfg: MatchConfig = MatchConfig(), retrieval:
 def keyword_match(materials: DataFrame, items: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """Keyword candidates, live scores, top-N."""
     queries = materials.select(F.col("id").alias("material_id"), candidates.live_query_text(F.col("name"), F.col("equipment_code"), F.col("manufacturer")).alias("query"))
-    found = candidates.top_candidates(candidates.keyword_scores(queries, items), cfg.candidates)
+    found = candidates.keyword_topk(queries, items, cfg.candidates)
     return top_matches(score_pairs(found, prepare_materials(materials), prepare_items(items), cfg), cfg)
 
 

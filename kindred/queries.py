@@ -496,7 +496,7 @@ def keyword_scores(spark, sf_dir):
 
 @query(f"WITH {KW_SQL} SELECT * FROM {_ranked(50)}")
 def keyword_candidates(spark, sf_dir):
-    return candidates.top_candidates(candidates.keyword_scores(live_queries(materials(spark, sf_dir)), price_list(spark, sf_dir)), 50)
+    return candidates.keyword_topk(live_queries(materials(spark, sf_dir)), price_list(spark, sf_dir), 50)
 
 
 @query(
@@ -534,42 +534,49 @@ def fuzzy_terms(spark, sf_dir):
     return candidates.fuzzy_terms(w, t)
 
 
-@query()
-def search_topk(spark, sf_dir):
-    return candidates.search(price_list(spark, sf_dir), live_queries(materials(spark, sf_dir)), 20)
-
-
-def clause_sql(items: str, names: dict[str, str], queries: str, clauses, k: int) -> str:
+def clause_sql(items: str, names: dict[str, str], queries: str, clauses, k: int, prefix: int = 0) -> str:
     """CTEs of a clause search; ``names``: field to its text in ``items``. Ends in a SELECT."""
-    wanted = list(dict.fromkeys(f for c in clauses for f in c.fields))
+    wanted, phrased = candidates.wanted_fields(clauses), candidates.phrased_fields(clauses)
+    fuzzy = ", ".join(f"'{f}'" for f in dict.fromkeys(f for c in clauses if c.fuzzy for f in c.fields) if f not in candidates.NOT_FUZZY)
     tokens = lambda x: rf"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}_]+')"
-    everything = "concat_ws(' ', " + ", ".join(f"nullif({names[f]}, '')" for f in candidates.FULL_TEXT if f in names) + ")"
-    of = lambda f: f"[trim(lower({names['name']}))]" if f == "raw" else tokens(everything if f == "full_text" else names.get(f, "''"))
-    docs = " UNION ALL ".join(f"SELECT id AS doc, '{f}' AS field, {of(f)} AS ts FROM {items}" for f in wanted)
+    joined = lambda fields: "concat_ws(' ', " + ", ".join(f"nullif({names[f]}, '')" for f in fields if f in names) + ")"
+    pieces = lambda w, size: f"list_transform(range(1, greatest(length({w}) - {size} + 2, 1)), lambda i: substr({w}, i::int, {size}))"
+    special = {
+        "raw": f"[trim(lower({names['name']}))]", "exact": tokens(names["name"]), "full_text": tokens(joined(candidates.FULL_TEXT)), "text": tokens(joined(("name", "brand", "article", "description"))),
+        "prefix": f"flatten(list_transform({tokens(names['name'])}, lambda w: list_transform(range(2, least(length(w), 15) + 1), lambda n: left(w, n::int))))",
+        "ngram": f"flatten(list_transform({tokens(names['name'])}, lambda w: list_concat({pieces('w', 3)}, {pieces('w', 4)})))",
+    }
+    docs = " UNION ALL ".join(f"SELECT id AS doc, '{f}' AS field, {special.get(f) or tokens(names.get(f, chr(39) * 2))} AS ts FROM {items}" for f in wanted)
     asked = " UNION ALL ".join(f"SELECT material_id, '{f}' AS field, {'[trim(lower(query))]' if f == 'raw' else tokens('query')} AS ts FROM cq" for f in wanted)
-
-    def value(c) -> str:
-        one = lambda f: f"CASE WHEN contains(' ' || array_to_string(t_{f}, ' ') || ' ', ' ' || array_to_string({tokens('query')}, ' ') || ' ') THEN e_{f} ELSE 0.0 END" if c.phrase else ("l_" if c.fuzzy else "e_") + f
-        return f"{c.boost} * greatest(" + ", ".join(f"{b} * {one(f)}" for f, b in c.fields.items()) + ")"
-
-    phrased = list(dict.fromkeys(f for c in clauses if c.phrase for f in c.fields))
-    bm25 = "sum(boost * ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))))"
-    return f"""cq AS ({queries}), cd AS ({docs}), ct AS (SELECT doc, field, term, count(*) AS tf FROM (SELECT doc, field, unnest(ts) AS term FROM cd) GROUP BY ALL),
+    value = lambda c: f"{c.boost} * greatest(" + ", ".join(f"{w} * {'p_' if c.phrase else 'l_' if c.fuzzy else 'e_'}{f}" for f, w in c.fields.items()) + ")"
+    idf = "ln(1 + (docs - df + 0.5) / (df + 0.5))"
+    part = lambda tf: f"({tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * size / mean)))"
+    times = "len(list_filter(range(1, len(cd.ts) - len(cx.ts) + 2), lambda i: cd.ts[i:i + len(cx.ts) - 1] = cx.ts))"
+    return f"""cq AS ({queries}), cx AS ({asked}), cd AS ({docs}), ct AS (SELECT doc, field, term, count(*) AS tf FROM (SELECT doc, field, unnest(ts) AS term FROM cd) GROUP BY ALL),
     cz AS (SELECT doc, field, sum(tf) AS size FROM ct GROUP BY ALL), ca AS (SELECT field, count(*) AS docs, avg(size) AS mean FROM cz GROUP BY ALL), cf AS (SELECT field, term, count(*) AS df FROM ct GROUP BY ALL),
-    ce AS (SELECT DISTINCT material_id, field, unnest(ts) AS term, 1.0::double AS boost FROM ({asked})),
-    cw AS (SELECT DISTINCT term AS w FROM ce WHERE field <> 'raw'), cv AS (SELECT DISTINCT term FROM ct WHERE field <> 'raw'),
-    cn AS (SELECT w, term, 1 - levenshtein(w, term)::double / least(length(w), length(term)) AS boost FROM cw, cv WHERE levenshtein(w, term) BETWEEN 1 AND CASE WHEN length(w) <= 2 THEN 0 WHEN length(w) <= 5 THEN 1 ELSE 2 END),
-    cl AS (SELECT material_id, field, term, max(boost) AS boost FROM (SELECT * FROM ce UNION ALL SELECT material_id, field, cn.term, cn.boost FROM ce JOIN cn ON ce.term = cn.w WHERE field <> 'raw') GROUP BY ALL),
-    cs AS (SELECT material_id, doc, kind || field AS f, {bm25} AS score FROM (SELECT 'e_' AS kind, * FROM ce UNION ALL SELECT 'l_', * FROM cl) JOIN cf USING (field, term) JOIN ca USING (field) JOIN ct USING (field, term) JOIN cz USING (doc, field) GROUP BY ALL),
-    cp AS (SELECT material_id, doc, {', '.join(f"coalesce(max(CASE WHEN f = '{m}{f}' THEN score END), 0.0) AS {m}{f}" for f in wanted for m in ('e_', 'l_'))} FROM cs GROUP BY ALL),
-    ch AS (SELECT material_id, doc AS price_id, round({' + '.join(map(value, clauses))}, 6) AS score FROM cp JOIN cq USING (material_id) JOIN (SELECT id AS doc, {', '.join(f'{of(f)} AS t_{f}' for f in phrased)} FROM {items}) USING (doc))
+    ce AS (SELECT DISTINCT material_id, field, unnest(ts) AS term, 1.0::double AS boost FROM cx),
+    cw AS (SELECT DISTINCT term AS w FROM ce WHERE field IN ({fuzzy})), cv AS (SELECT DISTINCT term FROM ct WHERE field IN ({fuzzy})),
+    cn AS (SELECT w, term, 1 - levenshtein(w, term)::double / least(length(w), length(term)) AS boost FROM cw, cv WHERE left(w, {prefix}) = left(term, {prefix}) AND levenshtein(w, term) BETWEEN 1 AND CASE WHEN length(w) <= 2 THEN 0 WHEN length(w) <= 5 THEN 1 ELSE 2 END),
+    cl AS (SELECT material_id, field, term, max(boost) AS boost FROM (SELECT * FROM ce UNION ALL SELECT material_id, field, cn.term, cn.boost FROM ce JOIN cn ON ce.term = cn.w WHERE field IN ({fuzzy})) GROUP BY ALL),
+    cs AS (SELECT material_id, doc, kind || field AS f, sum(boost * {idf} * {part('tf')}) AS score FROM (SELECT 'e_' AS kind, * FROM ce UNION ALL SELECT 'l_', * FROM cl) JOIN cf USING (field, term) JOIN ca USING (field) JOIN ct USING (field, term) JOIN cz USING (doc, field) GROUP BY ALL),
+    ci AS (SELECT material_id, field, sum({idf}) AS idf FROM (SELECT material_id, field, unnest(ts) AS term FROM cx) JOIN cf USING (field, term) JOIN ca USING (field) GROUP BY ALL),
+    co AS (SELECT DISTINCT material_id, doc FROM cs),
+    cg AS (SELECT co.material_id, co.doc, 'p_' || cx.field AS f, cx.field AS field, {times} AS times FROM co JOIN cx USING (material_id) JOIN cd ON cd.doc = co.doc AND cd.field = cx.field WHERE cx.field IN ({", ".join(f"'{f}'" for f in phrased) or "''"}) AND len(cx.ts) > 0),
+    cy AS (SELECT * FROM cs UNION ALL SELECT cg.material_id, cg.doc, f, ci.idf * {part('times')} FROM cg JOIN ci USING (material_id, field) JOIN cz USING (doc, field) JOIN ca USING (field) WHERE times > 0),
+    cp AS (SELECT material_id, doc, {', '.join(f"coalesce(max(CASE WHEN f = '{m}{f}' THEN score END), 0.0) AS {m}{f}" for f in wanted for m in ('e_', 'l_', 'p_'))} FROM cy GROUP BY ALL),
+    ch AS (SELECT material_id, doc AS price_id, round({' + '.join(map(value, clauses))}, 6) AS score FROM cp)
     SELECT material_id, price_id, score, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY score DESC, price_id) AS rank FROM ch WHERE score > 0) WHERE rank <= {k}"""
 
 
 PL_NAMES = {c: c for c in ("name", "description", "category", "brand", "article", "supplier")}
 ASKED_SQL = f"SELECT id AS material_id, {LEGACY_QUERY} AS query FROM mat"
-# Items ask the materials here: one in twenty, as many as there are materials.
-BACK_SQL = "SELECT id AS material_id, name AS query FROM pl WHERE id::int % 20 = 3"
+# All items ask the materials here.
+BACK_SQL = "SELECT id AS material_id, name AS query FROM pl"
+
+
+@query(f"WITH {PL_SQL}, {MAT_SQL}, " + clause_sql("pl", PL_NAMES, f"SELECT id AS material_id, {LIVE_QUERY} AS query FROM mat", candidates.LIVE_SEARCH, 20, candidates.LIVE_PREFIX))
+def search_topk(spark, sf_dir):
+    return candidates.search(price_list(spark, sf_dir), live_queries(materials(spark, sf_dir)), 20)
 
 
 def legacy_queries(spark, sf_dir):
@@ -578,7 +585,7 @@ def legacy_queries(spark, sf_dir):
 
 
 def back_queries(spark, sf_dir):
-    return price_list(spark, sf_dir).filter(F.col("id").cast("int") % 20 == 3).select(F.col("id").alias("material_id"), F.col("name").alias("query"))
+    return price_list(spark, sf_dir).select(F.col("id").alias("material_id"), F.col("name").alias("query"))
 
 
 @query(f"WITH {PL_SQL}, {MAT_SQL}, " + clause_sql("pl", PL_NAMES, ASKED_SQL, candidates.PRICE_SEARCH, candidates.PRICE_HITS))
@@ -630,7 +637,7 @@ matches AS (SELECT * REPLACE (match_rank::int AS match_rank) FROM (SELECT *, row
 
 
 def keyword_pairs(spark, sf_dir):
-    return candidates.top_candidates(candidates.keyword_scores(live_queries(materials(spark, sf_dir)), price_list(spark, sf_dir)), CFG.candidates)
+    return candidates.keyword_topk(live_queries(materials(spark, sf_dir)), price_list(spark, sf_dir), CFG.candidates)
 
 
 def matches_of(spark, sf_dir):
@@ -932,48 +939,6 @@ def record_pairs(spark, sf_dir):
     return m.join(p, "category").withColumn("id", F.concat("mi", F.lit("-"), "pi"))
 
 
-def _legacy_names(spark, sf_dir):
-    p = record_pairs(spark, sf_dir).withColumns({"x": T.legacy_normalize(F.col("mn")), "y": T.legacy_normalize(F.col("pn")), "dx": T.legacy_normalize(F.col("md")), "dy": T.legacy_normalize(F.col("pd")), "ok": extract.numeric_compatible(extract.numeric_keys(F.col("mn")), extract.numeric_keys(F.col("pn")))})
-    return p.withColumn("name", scores.legacy_text(F.col("x"), F.col("y"), F.col("ok")))
-
-
-@query()
-def legacy_score(spark, sf_dir):
-    """All fields of records; their category is the same, and they have no specifications."""
-    col, has = F.col, lambda c: F.trim(T.text(F.col(c))) != ""
-    p = _legacy_names(spark, sf_dir).withColumn("description", scores.legacy_text(col("dx"), col("dy"), F.lit(True)))
-    category = scores.category_similarity(col("category"), col("category"), F.lit(0.0))
-    total = scores.legacy_total(col("name"), col("description"), category, scores.brand_similarity(col("mb"), col("pb")), F.lit(0.0), has("md") & has("pd"), has("category"), has("mb") | has("pb"), F.lit(False), col("ok"), col("x") == col("y"))
-    return p.select("id", F.round("name", 6).alias("name"), F.round(total, 6).alias("total"))
-
-
-@query()
-def priority_score(spark, sf_dir):
-    col, has = F.col, lambda c: F.trim(T.text(F.col(c))) != ""
-    p = _legacy_names(spark, sf_dir)
-    total = scores.priority_total(col("name"), scores.code_similarity(col("mc"), col("pa")), scores.brand_similarity(col("mb"), col("pb")), has("mc") & has("pa"), has("mb") & has("pb"), col("ok"))
-    return p.select("id", F.round(total, 6).alias("total"))
-
-
-@query(
-    f"""WITH p AS (SELECT id, a, b, {multi_sql('a')} AS x, {multi_sql('b')} AS y, {multi_keys_sql('a')} AS ka, {multi_keys_sql('b')} AS kb FROM {PAIRS_SQL}), q AS (SELECT *, {sorted_sql('x')} AS x_s, {sorted_sql('y')} AS y_s FROM p),
-    n AS (SELECT id, {multi_text_sql('x', 'y')} AS name, len(ka) = 0 OR len(kb) = 0 OR len(list_intersect(ka, kb)) > 0 AS ok FROM q), t AS (SELECT *, (0.4 * name + 0.2 * name + 0.15 * 1.0 + 0.15 * 0.8 + 0.1 * 0.8)::double AS t FROM n)
-    SELECT id, round(name, 6) AS name, round(100 * CASE WHEN name >= 0.95 AND ok THEN 1.0 ELSE least(CASE WHEN NOT ok AND t > 0.5 THEN 0.7 * t ELSE t END, 1.0) END::double, 6) AS total FROM t"""
-)
-def multi_score(spark, sf_dir):
-    p = text_pairs(spark, sf_dir).withColumns({"x": T.multi_normalize(F.col("a")), "y": T.multi_normalize(F.col("b")), "ok": scores.multi_numeric_compatible(F.col("a"), F.col("b"))})
-    p = p.withColumn("name", scores.multi_text(F.col("x"), F.col("y")))
-    total = scores.multi_total(F.col("name"), F.col("name"), F.lit(1.0), F.lit(0.8), F.lit(0.8), F.col("ok"))
-    return p.select("id", F.round("name", 6).alias("name"), F.round(total, 6).alias("total"))
-
-
-def record_pairs(spark, sf_dir):
-    """Materials with the items of their category: the columns of both sides."""
-    m = materials(spark, sf_dir).select(F.col("id").alias("mi"), F.col("name").alias("mn"), "category", F.col("manufacturer").alias("mb"), F.col("equipment_code").alias("mc"), F.col("description").alias("md"))
-    p = price_list(spark, sf_dir).filter("seq % 10 = 1").select(F.col("id").alias("pi"), F.col("name").alias("pn"), "category", F.when(F.col("seq") % 30 != 1, F.col("brand")).alias("pb"), F.col("article").alias("pa"), F.col("description").alias("pd"))
-    return m.join(p, "category").withColumn("id", F.concat("mi", F.lit("-"), "pi"))
-
-
 RECORDS_SQL = """SELECT concat(m.id, '-', p.id) AS id, lower(m.name) AS x, lower(p.name) AS y, trim(lower(coalesce(m.manufacturer, ''))) AS u, trim(lower(CASE WHEN p.seq % 30 <> 1 THEN p.brand ELSE '' END)) AS v, regexp_replace(upper(coalesce(m.equipment_code, '')), '\\s+', '', 'g') AS cm, regexp_replace(upper(p.article), '\\s+', '', 'g') AS ap
     FROM mat m JOIN pl p ON p.category = m.category AND p.seq % 10 = 1"""
 _BRAND_SQL = f"CASE WHEN u = '' OR v = '' THEN 0.0 WHEN u = v THEN 100.0 WHEN contains(u, v) OR contains(v, u) THEN greatest({ratio_sql('u', 'v')}, 75) ELSE {ratio_sql('u', 'v')} END::double"
