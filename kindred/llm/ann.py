@@ -229,11 +229,13 @@ def search(df: DataFrame, is_query, k: int = 20, cfg: AnnConfig = AnnConfig(), i
             q = _vectors(asks["v"].combine_chunks())
             a, b = asks["g1"].to_pylist(), asks["g2"].to_pylist()
             take = min(k + 1, len(v))
+            # what rounding of a product of these lengths may come to: exact ties stay
+            slack = 1e-15 * v.shape[1] * np.sqrt((v * v).sum(1).max() * (q * q).sum(1))
             for lo in range(0, len(q), 512):
                 s = q[lo : lo + 512] @ v.T
                 cut = -np.partition(-s, take - 1, 1)[:, take - 1]
                 for r in range(len(s)):
-                    best = np.flatnonzero(s[r] >= cut[r] - 1e-12)
+                    best = np.flatnonzero(s[r] >= cut[r] - slack[lo + r])
                     exact = (v[best] * q[lo + r]).sum(1)
                     pairs = sorted((-e, i) for e, c in zip(exact.tolist(), best.tolist()) for i in ids[c])[: k + 1]
                     out["g1"] += [a[lo + r]] * len(pairs)

@@ -2,8 +2,9 @@
 
 Training counts words by language over every labelled document. A known word scores its smoothed
 per-language log frequency; an unknown one backs off to its character n-grams of order 5, and to 4, 3,
-2 and 1 as long as none of the longer ones is known. A document's score is the mean over its words,
-and ``score`` the posterior of the best language.
+2 and 1 as long as none of the longer ones is known; a word none of whose n-grams is known adds nothing. A
+document's log score by language is the sum over its words and the prior, and ``score`` the posterior of
+the best language. Sums of joined words may differ in their last bit between equal texts.
 
 All counted words and n-grams take part: the counts stay in tables. Only the ``max_words`` most frequent
 words and ``max_grams`` most frequent n-grams are broadcast, to score the bulk of the words in place; the

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -29,24 +30,36 @@ KEYS = ["source", "lang", "tokenizer_version"]
 SCHEMA = "source string, lang string, tokenizer_version string, docs long, tokens long"
 
 
-def word_counter(path: str) -> Callable[[pa.Array], np.ndarray]:
+@dataclass(frozen=True)
+class word_counter:  # noqa: N801  a function with a value to compare
     """Tokens of each text by a tokenizer file of the tokenizers library."""
-    return lambda: WordTokenizer(path).count
 
+    path: str
 
-def byte_counter(path: str, pattern: str) -> Callable[[pa.Array], np.ndarray]:
+    def __call__(self) -> Callable[[pa.Array], np.ndarray]:
+        return WordTokenizer(self.path).count
+
+
+@dataclass(frozen=True)
+class byte_counter:  # noqa: N801
     """Tokens of each text by a file of byte-pair ranks."""
-    return lambda: Encoder(path, pattern).count
+
+    path: str
+    pattern: str
+
+    def __call__(self) -> Callable[[pa.Array], np.ndarray]:
+        return Encoder(self.path, self.pattern).count
 
 
 def counted(docs: DataFrame, counters: dict[str, Callable], text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``tokens``, a map from tokenizer version to the text's tokens.
-    ``counters``: version to a function that makes a counter in a worker."""
+    ``counters``: version to what makes a counter in a worker; a worker keeps counters by what makes them (file and
+    pattern), not by the version's name."""
     at, names = docs.columns.index(text_col), list(counters)
     rest = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = worker_state(("counters", *names), lambda: [make() for make in counters.values()])
+        made = worker_state(("counters", *counters.items()), lambda: [make() for make in counters.values()])
         for batch in batches:
             for part in slices(batch, 4 << 20, 10_000):
                 n = np.stack([count(part.column(at)) for count in made], 1)
