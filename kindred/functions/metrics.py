@@ -60,7 +60,10 @@ def lcs_lengths(left: list[str], right: list[str]) -> np.ndarray:
 
 @F.pandas_udf(IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(lcs_lengths(a.fillna("").tolist(), b.fillna("").tolist()))
+    """Pairs that repeat in a batch, as brands do, are measured once."""
+    at: dict[tuple[str, str], int] = {}
+    spot = [at.setdefault(pair, len(at)) for pair in zip(a.fillna("").tolist(), b.fillna("").tolist())]
+    return pd.Series(lcs_lengths([x for x, _ in at], [y for _, y in at])[spot] if at else [], dtype="int32")
 
 
 @F.pandas_udf(StringType())

@@ -72,7 +72,9 @@ def _word_hits(asked: DataFrame, p: DataFrame) -> DataFrame:
     return pairs.join(posted, "u").groupBy("w", "price_id").agg(F.coalesce(F.max(points), F.lit(0)).alias("p"), F.max(in_article.cast("int")).alias("a"))
 
 
-_HALF = F.when(F.col("p") >= 3, 1.0).when(F.col("p") == 2, 0.5).otherwise(0.0)
+def _half() -> Column:
+    """How far a word counts as matched."""
+    return F.when(F.col("p") >= 3, 1.0).when(F.col("p") == 2, 0.5).otherwise(0.0)
 
 
 def _phrase_points() -> Column:
@@ -104,7 +106,7 @@ def keyword_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
     """
     q, asked = _asked_words(queries)
     p = _texts(items)
-    parts = asked.join(_word_hits(asked, p), "w").select("material_id", "price_id", (F.col("times") * (F.col("p") + 4 * F.col("a"))).alias("points"), (F.col("times") * _HALF).alias("matched"))
+    parts = asked.join(_word_hits(asked, p), "w").select("material_id", "price_id", (F.col("times") * (F.col("p") + 4 * F.col("a"))).alias("points"), (F.col("times") * _half()).alias("matched"))
     whole = _whole(q, p).select("material_id", "price_id", F.col("phrase").cast("long").alias("points"), F.lit(0.0).alias("matched"))
     every = parts.unionByName(whole).groupBy("material_id", "price_id").agg(F.sum("points").alias("points"), F.sum("matched").alias("matched"))
     many = F.when((F.col("need") > 1) & (F.col("matched") >= 0.7 * F.col("need")), 3).otherwise(0)
@@ -118,7 +120,7 @@ def keyword_topk(queries: DataFrame, items: DataFrame, k: int, shard: int = retr
     q, asked = _asked_words(queries)
     q, p = stored(q, "queries"), stored(_texts(items), "texts")
     asked = stored(asked, "asked")
-    lists = _word_hits(asked, p).select(F.col("price_id").alias("doc"), F.lit(retrieval.WORDS).alias("field"), F.col("w").alias("term"), (F.col("p") + 4 * F.col("a")).alias("tf"), _HALF.alias("norm"))
+    lists = _word_hits(asked, p).select(F.col("price_id").alias("doc"), F.lit(retrieval.WORDS).alias("field"), F.col("w").alias("term"), (F.col("p") + 4 * F.col("a")).alias("tf"), _half().alias("norm"))
     whole = _whole(q, p).select(F.col("price_id").alias("doc"), F.lit(retrieval.WHOLE).alias("field"), F.col("material_id").alias("term"), F.col("phrase").alias("tf"), F.lit(0.0).alias("norm"))
     shards = retrieval.shards_of(p.count(), shard)
     blocks = retrieval.posting_blocks(lists.unionByName(whole), shards)

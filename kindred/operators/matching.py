@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, scores
 from ..functions import text as T
-from . import candidates
+from . import candidates, similarity
 
 
 @dataclass(frozen=True)
@@ -135,7 +135,15 @@ def hybrid_strategy(materials: DataFrame, items: DataFrame, cfg: MatchConfig) ->
     return exact.unionByName(fuzzy_strategy(rest, items, cfg))
 
 
-STRATEGIES: dict[str, Strategy] = {"exact": exact_strategy, "fuzzy": fuzzy_strategy, "hybrid": hybrid_strategy}
+def similar_strategy(materials: DataFrame, items: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """Pairs whose normalized names reach the threshold by LCS ratio, all of them, with or without a shared word;
+    scored, and those at or over it kept."""
+    m, p = prepare_materials(materials), prepare_items(items)
+    pairs = similarity.similarity_join(m, p, max(1, round(cfg.threshold))).select("material_id", "price_id")
+    return score_pairs(pairs, m, p, cfg).filter(F.col("pct") >= cfg.threshold)
+
+
+STRATEGIES: dict[str, Strategy] = {"exact": exact_strategy, "fuzzy": fuzzy_strategy, "hybrid": hybrid_strategy, "similar": similar_strategy}
 
 
 def register_strategy(name: str, strategy: Strategy) -> None:

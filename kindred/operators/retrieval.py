@@ -107,7 +107,7 @@ def top_of(todo: list[tuple], extra: list[tuple], lists: Lists, acc: np.ndarray,
     to_come = np.cumsum([t[0] for t in todo][::-1])[::-1]
     closed = False
     for step, (_, r, adds) in enumerate(todo):
-        if not closed and step and step % 6 == 0:
+        if not closed and step and step % 4 == 0:
             at = np.flatnonzero(seen)
             if len(at) >= k:
                 so_far = total(acc[:, at])

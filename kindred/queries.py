@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import catalog, extract, metrics, scores
 from .functions import text as T
-from .operators import candidates, matching, reports
+from .operators import candidates, matching, reports, similarity
 
 PL_SQL = """pl AS (
   SELECT concat(p_partkey, '') AS id, concat(p_name, ' ', p_type, ' ', p_partkey % 5 + 1, 'x', p_size % 4 + 1, '.5') AS name, p_brand AS brand,
@@ -694,6 +694,12 @@ def hybrid_strategy(spark, sf_dir):
     return out.groupBy("material_id").agg(F.count("*").alias("n"), F.round(F.max("pct"), 6).alias("best"))
 
 
+@query(f"WITH {PL_SQL}, {MAT_SQL}, m AS (SELECT id, {fast_sql('name')} AS a FROM mat), p AS (SELECT id, {fast_sql('name')} AS b FROM pl) SELECT m.id AS material_id, p.id AS price_id, {ratio_sql('a', 'b')} AS ratio FROM m, p WHERE a <> '' AND b <> '' AND {ratio_sql('a', 'b')} >= 80")
+def similarity_join(spark, sf_dir):
+    m, p = (df.withColumn("norm", T.fast_normalize(F.col("name"))) for df in (materials(spark, sf_dir), price_list(spark, sf_dir)))
+    return similarity.similarity_join(m, p, 80)
+
+
 @query(f"WITH {MATCHES_SQL} SELECT * FROM (SELECT material_id, price_id, pct FROM matches ORDER BY pct DESC, material_id, price_id LIMIT 100)")
 def best_matches(spark, sf_dir):
     return reports.best_overall(matches_of(spark, sf_dir), 100).select("material_id", "price_id", "pct")
