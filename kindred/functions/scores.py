@@ -73,10 +73,22 @@ def fast_weights(n: Column, d: Column, b: Column, article: Column, w: FastWeight
     )
 
 
+# The weights of name, code and brand, and who gets how much of a missing one's weight.
+THREE_FIELDS = {"name": 0.30, "code": 0.40, "brand": 0.30}
+MISSING_SHARES = {"name": {"code": 0.6, "brand": 0.4}, "code": {"name": 0.7, "brand": 0.3}, "brand": {"name": 0.7, "code": 0.3}}
+
+
 def three_field_weights(n: Column, c: Column, b: Column) -> Column:
-    """(name, code, brand) weights of the three-field variant."""
-    lit = lambda *x: F.array(*map(F.lit, x))
-    return F.when(n & c & b, lit(0.3, 0.4, 0.3)).when(n & c, lit(0.6, 0.4, 0.0)).when(n & b, lit(0.7, 0.0, 0.3)).when(c & b, lit(0.0, 0.7, 0.3)).when(n, lit(1.0, 0.0, 0.0)).when(c, lit(0.0, 1.0, 0.0)).when(b, lit(0.0, 0.0, 1.0)).otherwise(lit(0.3, 0.4, 0.3))
+    """(name, code, brand) weights of the three-field variant: a missing field's weight is shared out to the others,
+    a field alone has all of it, and without any field all are 0."""
+    there = dict(zip(THREE_FIELDS, (n, c, b)))
+    count = sum((x.cast("int") for x in there.values()), F.lit(0))
+
+    def weight(f: str) -> Column:
+        gained = sum((F.when(there[g], 0.0).otherwise(THREE_FIELDS[g] * MISSING_SHARES[g][f]) for g in there if g != f), F.lit(THREE_FIELDS[f]))
+        return F.when(~there[f], 0.0).when(count == 1, 1.0).otherwise(gained)
+
+    return F.array(*map(weight, there))
 
 
 def text_sides(m: Callable[[str], Column], p: Callable[[str], Column]) -> dict[str, tuple[Column, Column, Column, Column]]:

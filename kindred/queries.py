@@ -438,7 +438,8 @@ def legacy_specs(spark, sf_dir):
     return scores.specs_scores(spec_pairs(spark, sf_dir), "id", "a", "b", scores.legacy_words)
 
 
-_FLAGS = "SELECT a = 1 AS art, n = 1 AS n, d = 1 AS d, b = 1 AS b FROM range(0, 2) w(a), range(0, 2) x(n), range(0, 2) y(d), range(0, 2) z(b)"
+# Fields of the price list's rows that count as filled, so that every combination stands in the table.
+_FLAGS = "SELECT p_partkey AS id, p_size % 2 = 1 AS art, p_partkey % 3 <> 0 AS n, p_partkey % 5 < 3 AS d, p_partkey % 7 < 4 AS b FROM part"
 
 
 def _weights_sql(k: int) -> str:
@@ -447,11 +448,11 @@ def _weights_sql(k: int) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN {v[k]}" for c, v in rules) + f" ELSE {w.nothing[k]} END::double"
 
 
-@query(f"WITH f AS ({_FLAGS}) SELECT art, n, d, b, " + ", ".join(f"{_weights_sql(k)} AS w_{x}" for k, x in enumerate(("name", "description", "article", "brand"))) + " FROM f")
+@query(f"WITH f AS ({_FLAGS}) SELECT id, art, n, d, b, " + ", ".join(f"{_weights_sql(k)} AS w_{x}" for k, x in enumerate(("name", "description", "article", "brand"))) + " FROM f")
 def fast_weights(spark, sf_dir):
-    f = spark.range(16).select(*[(F.shiftright("id", k) % 2 == 1).alias(c) for k, c in enumerate(("art", "n", "d", "b"))])
+    f = spark.sql(_FLAGS.replace("FROM part", "FROM {part}"), part=read(spark, sf_dir, "part"))
     w = scores.fast_weights(F.col("n"), F.col("d"), F.col("b"), F.col("art"))
-    return f.withColumn("w", w).select("art", "n", "d", "b", *[F.col("w")[k].alias(f"w_{x}") for k, x in enumerate(("name", "description", "article", "brand"))])
+    return f.withColumn("w", w).select("id", "art", "n", "d", "b", *[F.col("w")[k].alias(f"w_{x}") for k, x in enumerate(("name", "description", "article", "brand"))])
 
 
 # Candidates ----------------------------------------------------------------------------------------
@@ -694,10 +695,14 @@ def hybrid_strategy(spark, sf_dir):
     return out.groupBy("material_id").agg(F.count("*").alias("n"), F.round(F.max("pct"), 6).alias("best"))
 
 
-@query(f"WITH {PL_SQL}, {MAT_SQL}, m AS (SELECT id, {fast_sql('name')} AS a FROM mat), p AS (SELECT id, {fast_sql('name')} AS b FROM pl) SELECT m.id AS material_id, p.id AS price_id, {ratio_sql('a', 'b')} AS ratio FROM m, p WHERE a <> '' AND b <> '' AND {ratio_sql('a', 'b')} >= 80")
+@query(
+    f"""WITH {PL_SQL}, {MAT_SQL}, m AS (SELECT id, {sorted_sql(fast_sql('name'))} AS a FROM mat), p AS (SELECT id, {sorted_sql(fast_sql('name'))} AS b FROM pl)
+    SELECT m.id AS material_id, p.id AS price_id, {ratio_sql('a', 'b')} AS ratio FROM m, p WHERE a <> '' AND b <> '' AND {ratio_sql('a', 'b')} >= 85"""
+)
 def similarity_join(spark, sf_dir):
-    m, p = (df.withColumn("norm", T.fast_normalize(F.col("name"))) for df in (materials(spark, sf_dir), price_list(spark, sf_dir)))
-    return similarity.similarity_join(m, p, 80)
+    """All pairs whose sorted names are alike; no pair is left out for want of a shared word."""
+    m, p = (df.withColumn("norm", T.sorted_tokens(T.fast_normalize(F.col("name")))) for df in (materials(spark, sf_dir), price_list(spark, sf_dir)))
+    return similarity.similarity_join(m, p, 85)
 
 
 @query(f"WITH {MATCHES_SQL} SELECT * FROM (SELECT material_id, price_id, pct FROM matches ORDER BY pct DESC, material_id, price_id LIMIT 100)")
@@ -742,13 +747,14 @@ def format_nested(spark, sf_dir):
     return n.select("material_id", "material_name", F.size("matches").cast("long").alias("variants"), F.array_join(F.col("matches")["variant_id"], ",").alias("variant_ids"))
 
 
-VARIANTS = ((1, " A-1 ", "b", "c"), (2, "", "b", "c"), (3, None, "  ", "c"), (4, None, None, ""))
+# The price list with codes missing: every branch of the fallback stands in it.
+_CODES = "SELECT id, name, CASE WHEN seq % 2 = 0 THEN '  ' ELSE concat(' ', article, ' ') END AS article, CASE WHEN seq % 3 <> 0 THEN brand_code END AS brand_code, CASE WHEN seq % 5 = 0 THEN '' ELSE cli_code END AS cli_code FROM pl"
 
 
-@query(f"SELECT id, coalesce(nullif(trim(article), ''), nullif(trim(brand_code), ''), nullif(trim(cli_code), ''), 'auto_' || left(md5(id || '_x'), 16)) AS variant_id FROM {values_sql(VARIANTS, 'id, article, brand_code, cli_code')}")
+@query(f"WITH {PL_SQL}, c AS ({_CODES}) SELECT id, coalesce(nullif(trim(article), ''), nullif(trim(brand_code), ''), nullif(trim(cli_code), ''), 'auto_' || left(md5(id || '_' || name), 16)) AS variant_id FROM c")
 def variant_id_fallback(spark, sf_dir):
-    rows = spark.createDataFrame(VARIANTS, "id int, article string, brand_code string, cli_code string")
-    return rows.select("id", catalog.variant_id(F.col("article"), F.col("brand_code"), F.col("cli_code"), F.col("id").cast("string"), F.lit("x")).alias("variant_id"))
+    rows = spark.sql(_CODES.replace("FROM pl", "FROM {pl}"), pl=price_list(spark, sf_dir))
+    return rows.select("id", catalog.variant_id(F.col("article"), F.col("brand_code"), F.col("cli_code"), F.col("id"), F.col("name")).alias("variant_id"))
 
 
 @query(f"WITH {MATCHES_SQL} SELECT material_id, price_id, shown_pct FROM (SELECT material_id, price_id, round(pct, 1) AS shown_pct, row_number() OVER (PARTITION BY material_id ORDER BY round(pct, 1) DESC, match_rank) AS r FROM matches) WHERE r = 1")
@@ -773,6 +779,7 @@ _SHOWN = "CASE WHEN quoted > 0 THEN replace(format('{:,.2f}', quoted), ',', ' ')
     FROM matches LEFT JOIN q ON price_id = q.code"""
 )
 def price_refresh(spark, sf_dir):
+    """A third of the codes is unknown to the provider: their parts have no quote."""
     line = read(spark, sf_dir, "lineitem").filter("l_partkey % 3 <> 0")
     quotes = line.select(F.col("l_partkey").cast("string").alias("code"), F.when(F.col("l_linenumber") == 2, 0.0).otherwise(F.col("l_extendedprice")).alias("price"), F.struct("l_orderkey", "l_linenumber").alias("seq"))
     return reports.refresh_prices(matches_of(spark, sf_dir).select("material_id", "price_id"), F.col("price_id"), quotes)
@@ -833,24 +840,41 @@ def quality_grade(spark, sf_dir):
     return q.select("material_id", "price_id", "confidence", "quality", catalog.quality_grade(F.col("quality")).alias("grade"), ((pct >= 85) & (F.col("confidence") >= 0.8)).alias("high_confidence"), (pct >= 99).alias("perfect"))
 
 
-WORDS = ((1, " Кабель "), (2, "ПРОВОД"), (3, "лампа"), (4, "автомат"), (5, "прочее"), (6, ""), (7, "руб."), (8, "$"), (9, "€"), (10, "ЕВРО"), (11, "usd"))
+# Words of categories and currencies as price lists write them; each item has one of them.
+WORDS = (" Кабель ", "ПРОВОД", "лампа", "автомат", "прочее", "", "руб.", "$", "€", "ЕВРО", "usd")
+_WORDED = f"SELECT p_partkey AS id, ({'[' + ', '.join(chr(39) + w + chr(39) for w in WORDS) + ']'})[p_partkey % {len(WORDS)} + 1] AS s FROM part"
 
 
-@query(f"SELECT id, {map_sql(catalog.CATEGORY_WORDS, 'trim(lower(s))', chr(39) + 'general' + chr(39))} AS category FROM {values_sql(WORDS, 'id, s')}")
+def worded_items(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.get(F.array(*map(F.lit, WORDS)), (F.col("p_partkey") % len(WORDS)).cast("int")).alias("s"))
+
+
+@query(f"SELECT id, {map_sql(catalog.CATEGORY_WORDS, 'trim(lower(s))', chr(39) + 'general' + chr(39))} AS category FROM ({_WORDED})")
 def category_enum(spark, sf_dir):
-    return spark.createDataFrame(WORDS, "id int, s string").select("id", catalog.category(F.col("s")).alias("category"))
+    return worded_items(spark, sf_dir).select("id", catalog.category(F.col("s")).alias("category"))
 
 
-@query(f"SELECT id, {map_sql(catalog.CURRENCY_ALIASES, 'trim(upper(s))', chr(39) + 'RUB' + chr(39))} AS currency FROM {values_sql(WORDS, 'id, s')}")
+@query(f"SELECT id, {map_sql(catalog.CURRENCY_ALIASES, 'trim(upper(s))', chr(39) + 'RUB' + chr(39))} AS currency FROM ({_WORDED})")
 def currency_enum(spark, sf_dir):
-    return spark.createDataFrame(WORDS, "id int, s string").select("id", catalog.currency(F.col("s")).alias("currency"))
+    return worded_items(spark, sf_dir).select("id", catalog.currency(F.col("s")).alias("currency"))
+
 
+_NAMES = "[" + ", ".join(f"'{c}'" for c in catalog.CATEGORY_NAMES) + ", NULL]"
+_RELATED = f"SELECT id, ({_NAMES})[id % {len(catalog.CATEGORY_NAMES) + 1} + 1] AS a, ({_NAMES})[(id * 7 + size) % {len(catalog.CATEGORY_NAMES) + 1} + 1] AS b FROM (SELECT p_partkey AS id, p_size AS size FROM part)"
 
-@query("SELECT a, b, CASE WHEN a IS NULL AND b IS NULL THEN 0.8 WHEN a IS NULL OR b IS NULL THEN 0.6 WHEN a = b THEN 1.0 " + " ".join(f"WHEN a = '{x}' AND b = '{y}' OR a = '{y}' AND b = '{x}' THEN {v}" for (x, y), v in catalog.CATEGORY_RELATIONS.items()) + " ELSE 0.3 END::double AS s FROM (VALUES " + ", ".join(f"('{c}')" for c in catalog.CATEGORY_NAMES) + ", (NULL)) x(a), (VALUES " + ", ".join(f"('{c}')" for c in catalog.CATEGORY_NAMES) + ", (NULL)) y(b)")
+
+@query(
+    f"SELECT id, a, b, CASE WHEN a IS NULL AND b IS NULL THEN 0.8 WHEN a IS NULL OR b IS NULL THEN 0.6 WHEN a = b THEN 1.0 "
+    + " ".join(f"WHEN a = '{x}' AND b = '{y}' OR a = '{y}' AND b = '{x}' THEN {v}" for (x, y), v in catalog.CATEGORY_RELATIONS.items())
+    + f" ELSE 0.3 END::double AS s FROM ({_RELATED})"
+)
 def category_relation(spark, sf_dir):
-    names = spark.createDataFrame([(c,) for c in catalog.CATEGORY_NAMES] + [(None,)], "a string")
-    both = names.crossJoin(names.select(F.col("a").alias("b")))  # seven by seven
-    return both.select("a", "b", catalog.category_similarity(F.col("a"), F.col("b")).alias("s"))
+    """Each item's category against another's."""
+    names = F.array(*map(F.lit, catalog.CATEGORY_NAMES), F.lit(None).cast("string"))
+    at = lambda x: F.get(names, (x % (len(catalog.CATEGORY_NAMES) + 1)).cast("int"))
+    id_ = F.col("p_partkey")
+    both = read(spark, sf_dir, "part").select(id_.alias("id"), at(id_).alias("a"), at(id_ * 7 + F.col("p_size")).alias("b"))
+    return both.select("id", "a", "b", catalog.category_similarity(F.col("a"), F.col("b")).alias("s"))
 
 
 @query("SELECT s_suppkey AS id, array_to_string(list_filter([CASE WHEN trim(s_name) = '' THEN 'blank_name' END, CASE WHEN s_acctbal < 0 THEN 'negative_price' END, CASE WHEN s_suppkey % 7 = 0 THEN 'blank_supplier' END], lambda x: x IS NOT NULL), ',') AS errors FROM supplier")
@@ -885,11 +909,13 @@ def distinct_codes(spark, sf_dir):
     return reports.distinct_codes(price_list(spark, sf_dir))
 
 
-@query(f"WITH {PL_SQL} SELECT left(name, 20) AS name, left(article, 100) AS article, left(description, 30) AS description, try_cast(price AS double) AS price FROM pl WHERE price IS NOT NULL")
+@query("SELECT doc_id AS id, left(coalesce(text, ''), 500) AS name, left(coalesce(text, ''), 1000) AS description, left(coalesce(source, ''), 100) AS brand, left(coalesce(lang, ''), 10) AS currency FROM documents")
 def truncate_fast_json(spark, sf_dir):
+    """The reader's greatest lengths on texts that are longer."""
     from .sources.records import truncated
 
-    return truncated(price_list(spark, sf_dir), {"name": 20, "article": 100, "description": 30}).filter("price IS NOT NULL").select("name", "article", "description", "price")
+    d = read(spark, sf_dir, "documents")
+    return truncated(d.select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.col("text").alias("description"), F.col("source").alias("brand"), F.col("lang").alias("currency")))
 
 
 @query(
@@ -939,14 +965,14 @@ def multi_score(spark, sf_dir):
 
 
 def record_pairs(spark, sf_dir):
-    """Materials with the items of their category: the columns of both sides."""
-    m = materials(spark, sf_dir).select(F.col("id").alias("mi"), F.col("name").alias("mn"), "category", F.col("manufacturer").alias("mb"), F.col("equipment_code").alias("mc"), F.col("description").alias("md"))
-    p = price_list(spark, sf_dir).filter("seq % 10 = 1").select(F.col("id").alias("pi"), F.col("name").alias("pn"), "category", F.when(F.col("seq") % 30 != 1, F.col("brand")).alias("pb"), F.col("article").alias("pa"), F.col("description").alias("pd"))
-    return m.join(p, "category").withColumn("id", F.concat("mi", F.lit("-"), "pi"))
+    """Materials with the items of their category and kind (the noun of both names): the columns of both sides."""
+    m = materials(spark, sf_dir).select(F.split_part("name", F.lit(" "), F.lit(3)).alias("kind"), F.col("id").alias("mi"), F.col("name").alias("mn"), "category", F.col("manufacturer").alias("mb"), F.col("equipment_code").alias("mc"), F.col("description").alias("md"))
+    p = price_list(spark, sf_dir).select(F.split_part("name", F.lit(" "), F.lit(2)).alias("kind"), F.col("id").alias("pi"), F.col("name").alias("pn"), "category", F.when(F.col("seq") % 30 != 1, F.col("brand")).alias("pb"), F.col("article").alias("pa"), F.col("description").alias("pd"))
+    return m.join(p, ["category", "kind"]).withColumn("id", F.concat("mi", F.lit("-"), "pi"))
 
 
 RECORDS_SQL = """SELECT concat(m.id, '-', p.id) AS id, lower(m.name) AS x, lower(p.name) AS y, trim(lower(coalesce(m.manufacturer, ''))) AS u, trim(lower(CASE WHEN p.seq % 30 <> 1 THEN p.brand ELSE '' END)) AS v, regexp_replace(upper(coalesce(m.equipment_code, '')), '\\s+', '', 'g') AS cm, regexp_replace(upper(p.article), '\\s+', '', 'g') AS ap
-    FROM mat m JOIN pl p ON p.category = m.category AND p.seq % 10 = 1"""
+    FROM mat m JOIN pl p ON p.category = m.category AND split_part(p.name, ' ', 2) = split_part(m.name, ' ', 3)"""
 _BRAND_SQL = f"CASE WHEN u = '' OR v = '' THEN 0.0 WHEN u = v THEN 100.0 WHEN contains(u, v) OR contains(v, u) THEN greatest({ratio_sql('u', 'v')}, 75) ELSE {ratio_sql('u', 'v')} END::double"
 
 
@@ -963,9 +989,17 @@ def backup_score(spark, sf_dir):
     return r.select("id", F.round(scores.backup_total(col("name"), col("code"), col("brand"), has("mc") & has("pa"), sides == 2), 6).alias("by_priority"), F.round(by_fields, 6).alias("by_fields"))
 
 
-@query(f"WITH {PL_SQL}, {MAT_SQL}, r AS ({RECORDS_SQL}) SELECT id, (cm <> '')::int + 0 AS code_there, {_code_sql('cm', 'ap')} AS code, {_BRAND_SQL} AS brand, CASE WHEN cm <> '' AND ap <> '' AND u <> '' AND v <> '' THEN 0.3 WHEN cm <> '' AND ap <> '' THEN 0.6 WHEN u <> '' AND v <> '' THEN 0.7 ELSE 1.0 END::double AS w_name FROM r")
+@query(
+    f"""WITH {PL_SQL}, {MAT_SQL}, r AS ({RECORDS_SQL}), h AS (SELECT *, cm <> '' AND ap <> '' AS c, u <> '' AND v <> '' AS b, x <> '' AND (length(x) + length(y)) % 5 <> 0 AS n FROM r), k AS (SELECT *, n::int + c::int + b::int AS k FROM h)
+    SELECT id, {_code_sql('cm', 'ap')} AS code, {_BRAND_SQL} AS brand,
+      round(CASE WHEN NOT n THEN 0 WHEN k = 1 THEN 1 ELSE 0.30 + CASE WHEN c THEN 0 ELSE 0.40 * 0.7 END + CASE WHEN b THEN 0 ELSE 0.30 * 0.7 END END::double, 6) AS w_name,
+      round(CASE WHEN NOT c THEN 0 WHEN k = 1 THEN 1 ELSE 0.40 + CASE WHEN n THEN 0 ELSE 0.30 * 0.6 END + CASE WHEN b THEN 0 ELSE 0.30 * 0.3 END END::double, 6) AS w_code,
+      round(CASE WHEN NOT b THEN 0 WHEN k = 1 THEN 1 ELSE 0.30 + CASE WHEN n THEN 0 ELSE 0.30 * 0.4 END + CASE WHEN c THEN 0 ELSE 0.40 * 0.3 END END::double, 6) AS w_brand FROM k"""
+)
 def record_scores(spark, sf_dir):
-    """Code and brand similarity of records, and the three-field weight of the name."""
+    """Code and brand similarity of records, and the three-field weights; a fifth of the pairs count as nameless."""
     has = lambda c: F.trim(T.text(F.col(c))) != ""
-    w = scores.three_field_weights(F.lit(True), has("mc") & has("pa"), has("mb") & has("pb"))
-    return record_pairs(spark, sf_dir).select("id", has("mc").cast("int").alias("code_there"), scores.code_similarity(F.col("mc"), F.col("pa")).alias("code"), scores.brand_similarity(F.col("mb"), F.col("pb")).alias("brand"), w[0].alias("w_name"))
+    named = has("mn") & ((F.length("mn") + F.length("pn")) % 5 != 0)
+    w = scores.three_field_weights(named, has("mc") & has("pa"), has("mb") & has("pb"))
+    scored = record_pairs(spark, sf_dir).select("id", scores.code_similarity(F.col("mc"), F.col("pa")).alias("code"), scores.brand_similarity(F.col("mb"), F.col("pb")).alias("brand"), w.alias("w"))
+    return scored.select("id", "code", "brand", *[F.round(F.col("w")[k], 6).alias(f"w_{x}") for k, x in enumerate(scores.THREE_FIELDS)])
