@@ -224,10 +224,20 @@ LIVE_PREFIX, LIVE_PLAIN = 2, ("brand", "article")
 @dataclass(frozen=True)
 class Posted:
     """What a search reads: postings (doc, field, term, tf, size, spots), the field's length and the term's positions
-    with them, and lengths (doc, field, size)."""
+    with them, and lengths (doc, field, size). Their sums df (field, term, df) and about (field, docs, mean) are made
+    from them unless a stored index has them."""
 
     postings: DataFrame
     lengths: DataFrame
+    df: DataFrame | None = None
+    about: DataFrame | None = None
+
+    def sums(self) -> tuple[DataFrame, DataFrame]:
+        about = self.about if self.about is not None else self.lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
+        return self.df if self.df is not None else self.postings.groupBy("field", "term").agg(F.count("*").alias("df")), about
+
+    def posted(self, terms: DataFrame) -> Posted:
+        return self
 
 
 def fields_of(items: DataFrame, wanted: Iterable[str], plain: Iterable[str] = ()) -> dict[str, Column]:
@@ -279,11 +289,9 @@ def asked_of(queries: DataFrame, fields: Iterable[str], plain: Iterable[str] = (
     return rows.select("material_id", "f.field", "f.sequence").filter(F.size("sequence") > 0)
 
 
-def weighted(posted: Posted, asked: DataFrame, fuzzy: Iterable[str], prefix: int, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
-    """(postings with the length's norm, asked with its terms' weights): idf = ln(1 + (N - df + 0.5) / (df + 0.5)) by
+def weighted(df: DataFrame, about: DataFrame, asked: DataFrame, fuzzy: Iterable[str], prefix: int) -> DataFrame:
+    """asked with its terms' weights: idf = ln(1 + (N - df + 0.5) / (df + 0.5)) by
     field, ``exact`` of the query's own terms, ``loose`` also of near ones, less one part in their length an edit."""
-    about = posted.lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))  # a row a field
-    df = posted.postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     own = asked.select("material_id", "field", F.explode(F.array_distinct("sequence")).alias("term"), F.lit(1.0).alias("exact"), F.lit(1.0).alias("loose"))
     fuzzy = list(fuzzy)
     if fuzzy:
@@ -295,18 +303,20 @@ def weighted(posted: Posted, asked: DataFrame, fuzzy: Iterable[str], prefix: int
     own = own.join(df, ["field", "term"]).join(F.broadcast(about), "field").withColumn("idf", idf)
     entry = F.struct("term", (F.col("exact") * F.col("idf")).alias("exact"), (F.col("loose") * F.col("idf")).alias("loose"))
     own = own.groupBy("material_id", "field").agg(F.collect_list(entry).alias("e"))
-    own = own.join(asked, ["material_id", "field"]).select("material_id", "field", F.col("e.term").alias("terms"), F.col("e.exact").alias("exact"), F.col("e.loose").alias("loose"), "sequence")
-    norm = k1 * (1 - b + b * F.col("size") / F.col("mean"))
-    return posted.postings.join(F.broadcast(about), "field").withColumn("norm", norm), own
+    return own.join(asked, ["material_id", "field"]).select("material_id", "field", F.col("e.term").alias("terms"), F.col("e.exact").alias("exact"), F.col("e.loose").alias("loose"), "sequence")
 
 
-def search_posted(posted: Posted, queries: DataFrame, clauses: tuple[Clause, ...], k: int, prefix: int = 0, plain: Iterable[str] = (), docs: int | None = None, shard: int = retrieval.SHARD, digits: int | None = 6, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The shards' winners (``retrieval.FOUND``) of the clauses over stored or fresh postings. A phrase clause counts
-    where the query's terms follow each other, by how often they do."""
+def search_posted(source, queries: DataFrame, clauses: tuple[Clause, ...], k: int, prefix: int = 0, plain: Iterable[str] = (), docs: int | None = None, shard: int = retrieval.SHARD, digits: int | None = 6, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The shards' winners (``retrieval.FOUND``) of the clauses over ``source``: fresh postings (Posted) or a stored
+    index, which is asked for the postings of the query's terms only. A phrase clause counts where the query's terms
+    follow each other, by how often they do."""
     fields, phrased = wanted_fields(clauses), phrased_fields(clauses)
     fuzzy = [f for f in dict.fromkeys(f for c in clauses if c.fuzzy for f in c.fields) if f not in NOT_FUZZY]
-    rows, asked = weighted(posted, stored(asked_of(queries, fields, plain), "asked"), fuzzy, prefix, k1, b)
-    asked = stored(asked, "weights")
+    df, about = (source if isinstance(source, Posted) else source.posted()).sums()
+    asked = stored(weighted(df, about, stored(asked_of(queries, fields, plain), "asked"), fuzzy, prefix), "weights")
+    posted = source.posted(asked.select("field", F.explode("terms").alias("term")))
+    # ``about`` has a row a field
+    rows = posted.postings.join(F.broadcast(about), "field").withColumn("norm", k1 * (1 - b + b * F.col("size") / F.col("mean")))
     shards = retrieval.shards_of(docs if docs is not None else posted.lengths.select("doc").distinct().count(), shard)
     number = {f: i for i, f in enumerate(fields)}
     kind = lambda c: 2 if c.phrase else 1 if c.fuzzy else 0

@@ -5,12 +5,16 @@ Russian names and units, which have no input in the tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import catalog, extract, metrics, scores
 from .functions import text as T
 from .operators import candidates, matching, reports, similarity
+from .operators.stored import folder
+from .plans.search_index import SearchIndex
 
 PL_SQL = """pl AS (
   SELECT concat(p_partkey, '') AS id, concat(p_name, ' ', p_type, ' ', p_partkey % 5 + 1, 'x', p_size % 4 + 1, '.5') AS name, p_brand AS brand,
@@ -580,6 +584,25 @@ def search_topk(spark, sf_dir):
     return candidates.search(price_list(spark, sf_dir), live_queries(materials(spark, sf_dir)), 20)
 
 
+# The price list after an index's batches: a third renamed, a seventh deleted, some of those given back as they were.
+_INDEXED = """ix AS (SELECT id, CASE WHEN seq % 3 = 0 AND seq % 21 <> 0 THEN concat('new ', name, ' ', name) ELSE name END AS name, brand, article, description, category, supplier FROM pl WHERE seq % 7 <> 0 OR seq % 21 = 0)"""
+
+
+@query(f"WITH {PL_SQL}, {MAT_SQL}, {_INDEXED}, " + clause_sql("ix", PL_NAMES, f"SELECT id AS material_id, {LIVE_QUERY} AS query FROM mat", candidates.LIVE_SEARCH, 20, candidates.LIVE_PREFIX))
+def index_search(spark, sf_dir):
+    """Over a stored index after inserts, updates, deletes, a compaction, inserts, and a batch that is applied twice."""
+    items = price_list(spark, sf_dir)
+    index = SearchIndex(spark, f"{folder(spark)}/index-{uuid.uuid4().hex}")
+    index.apply("1", items)
+    renamed = items.filter("seq % 3 = 0").withColumn("name", F.concat(F.lit("new "), "name", F.lit(" "), "name"))
+    index.apply("2", renamed)
+    index.apply("3", deletes=items.filter("seq % 7 = 0"))
+    index.compact()
+    index.apply("4", items.filter("seq % 21 = 0"))
+    index.apply("2", renamed)
+    return index.search(live_queries(materials(spark, sf_dir)), 20)
+
+
 def legacy_queries(spark, sf_dir):
     m = materials(spark, sf_dir)
     return m.select(F.col("id").alias("material_id"), candidates.query_text(F.col("name"), F.col("manufacturer"), F.col("category"), general="Общая").alias("query"))
