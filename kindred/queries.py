@@ -15,6 +15,7 @@ from .functions import text as T
 from .operators import candidates, matching, reports, similarity
 from .operators.stored import folder
 from .plans.search_index import SearchIndex
+from .sources import json_array
 
 PL_SQL = """pl AS (
   SELECT concat(p_partkey, '') AS id, concat(p_name, ' ', p_type, ' ', p_partkey % 5 + 1, 'x', p_size % 4 + 1, '.5') AS name, p_brand AS brand,
@@ -932,6 +933,25 @@ def distinct_codes(spark, sf_dir):
     return reports.distinct_codes(price_list(spark, sf_dir))
 
 
+@query(
+    f"""WITH {PL_SQL} SELECT CASE WHEN seq % 3 = 0 THEN article ELSE id END AS id, name, price, CASE WHEN seq % 3 < 2 THEN supplier END AS supplier, CASE WHEN seq % 3 = 2 THEN brand END AS brand, CASE WHEN seq % 3 = 0 THEN brand END AS manufacturer,
+      CASE WHEN seq % 3 = 0 THEN article || '}}' WHEN seq % 3 = 2 THEN brand END AS spec FROM pl"""
+)
+def json_array_read(spark, sf_dir):
+    """The price list written as JSON arrays of records with three vocabularies, one of them nested, and read back."""
+    to = f"{folder(spark)}/json-{uuid.uuid4().hex}"
+    struct = lambda **cols: F.to_json(F.struct(*[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in cols.items()]))
+    nested = F.struct("article", F.struct(F.concat("article", F.lit("}")).alias("size {x}")).alias("more"))
+    records = F.when(F.col("seq") % 3 == 0, struct(title="name", cost="price", vendor="supplier", manufacturer="brand", details=nested)).when(
+        F.col("seq") % 3 == 1, struct(id="id", наименование="name", стоимость="price", поставщик="supplier")
+    ).otherwise(struct(id="id", name="name", price="price", **{"полный бренд": "brand"}))
+    rows = price_list(spark, sf_dir).select(records.alias("r"))
+    rows.groupBy(F.spark_partition_id().alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ",\n"), F.lit("]")).alias("value")).select("value").write.text(to)
+    read_back = json_array.price_list_from_json_array(spark, to)
+    spec = F.coalesce(F.col("specifications")["size {x}"], F.col("specifications")["полный бренд"])
+    return read_back.select("id", "name", "price", "supplier", "brand", "manufacturer", spec.alias("spec"))
+
+
 @query("SELECT doc_id AS id, left(coalesce(text, ''), 500) AS name, left(coalesce(text, ''), 1000) AS description, left(coalesce(source, ''), 100) AS brand, left(coalesce(lang, ''), 10) AS currency FROM documents")
 def truncate_fast_json(spark, sf_dir):
     """The reader's greatest lengths on texts that are longer."""
