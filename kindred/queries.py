@@ -981,7 +981,8 @@ def _legacy_names(spark, sf_dir):
 def legacy_score(spark, sf_dir):
     """All fields of records; their category is the same, and they have no specifications."""
     col, has = F.col, lambda c: F.trim(T.text(F.col(c))) != ""
-    p = _legacy_names(spark, sf_dir).withColumn("description", scores.legacy_text(col("dx"), col("dy"), F.lit(True)))
+    described = extract.numeric_compatible(extract.numeric_keys(col("md")), extract.numeric_keys(col("pd")))
+    p = _legacy_names(spark, sf_dir).withColumn("dok", described).withColumn("description", scores.legacy_text(col("dx"), col("dy"), col("dok")))
     category = scores.category_similarity(col("category"), col("category"), F.lit(0.0))
     total = scores.legacy_total(col("name"), col("description"), category, scores.brand_similarity(col("mb"), col("pb")), F.lit(0.0), has("md") & has("pd"), has("category"), has("mb") | has("pb"), F.lit(False), col("ok"), col("x") == col("y"))
     return p.select("id", F.round("name", 6).alias("name"), F.round(total, 6).alias("total"))
