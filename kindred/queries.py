@@ -16,6 +16,7 @@ from .operators import candidates, matching, reports, similarity
 from .operators.stored import folder
 from .plans.search_index import SearchIndex
 from .sources import json_array
+from .streaming import selections as selection_state
 
 PL_SQL = """pl AS (
   SELECT concat(p_partkey, '') AS id, concat(p_name, ' ', p_type, ' ', p_partkey % 5 + 1, 'x', p_size % 4 + 1, '.5') AS name, p_brand AS brand,
@@ -928,6 +929,19 @@ def point_lookup(spark, sf_dir):
     return matching.criteria_filter(price_list(spark, sf_dir), {"id": "77"}).select("id", "name", "article")
 
 
+# A log of selections from the events: users choose variants, a tenth of the events resets one, few reset all.
+_LOG = "SELECT CASE WHEN event_id % 4999 = 17 THEN NULL ELSE user_id END AS material_id, concat('v', event_id % 13) AS variant_id, CASE WHEN event_id % 10 = 7 OR event_id % 4999 = 17 THEN 'reset' ELSE 'select' END AS action, ts, event_id FROM events"
+
+
+@query(
+    f"""WITH l AS ({_LOG}), c AS (SELECT max({{'ts': ts, 'i': event_id}}) AS cleared FROM l WHERE material_id IS NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY ts DESC, event_id DESC) AS n FROM l WHERE material_id IS NOT NULL)
+    SELECT material_id, variant_id, ts AS selected_at FROM r, c WHERE n = 1 AND action = 'select' AND (cleared IS NULL OR {{'ts': ts, 'i': event_id}} > cleared)"""
+)
+def selection_log(spark, sf_dir):
+    return selection_state.selections(spark.sql(_LOG.replace("FROM events", "FROM {events}"), events=read(spark, sf_dir, "events")))
+
+
 @query(f"WITH {PL_SQL} SELECT DISTINCT article AS code FROM pl WHERE article <> ''")
 def distinct_codes(spark, sf_dir):
     return reports.distinct_codes(price_list(spark, sf_dir))
