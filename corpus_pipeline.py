@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read back
 as the next one's docs. The filters keep all columns of documents; the last stage returns pieces of
 packed sequences. No stage can be written in SQL, so there is no ORACLE_SQL.
+
+For every stage: columns that documents don't have are kept as they are, whatever their names (the last stage
+returns its own); repeated rows and equal texts get the same decision; texts of any length are read whole; an empty
+table gives an empty one; a null id is kept like any other and belongs to no label.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from kindred.llm.common import keep_rows, materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least the threshold for quality."""
+    """Documents that score at least the threshold for quality. A null text is scored as an empty one."""
     shared = spark.sparkContext.broadcast(quality.fit(docs, registry.labelled(spark, sf_dir, 5, 0)))
 
     def make():
@@ -25,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold for toxicity."""
+    """Documents that score under the threshold for toxicity. A null text is scored as an empty one."""
     get = toxicity.scorer(toxicity.fit(docs, registry.labelled(spark, sf_dir, 4, 2)), spark)
 
     def make():
@@ -36,12 +40,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that of the smallest id."""
+    """One document of each near-duplicate class: that of the smallest id (null before all), ties to the smallest hash of
+    the text. Null is the empty text; texts without words are copies only of equal texts."""
     return near_dup.one_of_each(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 4096-token sequences."""
+    """Pieces of 4096-token sequences. A null text is an empty one and still has its end token; repeated rows are packed
+    each."""
     return packing.pack(docs, registry.tokenizer_file("word_bpe_49k.json")).drop("ids")
 
 
