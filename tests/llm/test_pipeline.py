@@ -31,3 +31,29 @@ def test_stages_of_an_empty_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_stages_of_odd_rows(spark, sf_dir):
+    """Nulls, empty and very long texts, repeats and clashing columns in every stage."""
+    long = "a sentence of plain words about nothing in particular. " * 3000
+    rows = [(None, None), (None, "no id at all"), (10_001, None), (10_002, ""), (10_003, "   "), (10_004, long), (10_005, "some words here"), (10_005, "some words here"), (10_006, "some words here")]
+    docs = table(spark, sf_dir, "documents")
+    odd = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("xx").alias("lang"), F.lit("odd").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    extra = {"score": F.lit(1.0), "node": F.lit("n"), "row": F.lit(5), "kept_id": F.lit(None).cast("string")}
+    docs = docs.limit(60).unionByName(odd).withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+        if name == "near_duplicates":
+            assert sum(t == "some words here" for _, t in kept) == 1 and (10_005, "some words here") in kept and (10_004, long) in kept
+            # the null and the empty text are one class, the null id its smallest
+            assert [i for i, t in kept if not t] == [None]
+        else:
+            assert sum(t == "some words here" for _, t in kept) in (0, 3) and len({i for i, t in kept if t in (None, "") and (i is None or i > 10_000)}) in (0, 3)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    lengths = {}
+    for r in packed.filter("doc_id > 10000 OR doc_id IS NULL").collect():
+        lengths.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r["length"])
+    assert lengths[10_001, 1] == [1] and lengths[10_002, 1] == [1] and lengths[None, 1] == [1]
+    assert all(sum(v) % k[1] == 0 for k, v in lengths.items()) and sum(lengths[10_005, next(t for i, t in lengths if i == 10_005)]) == 2 * next(t for i, t in lengths if i == 10_005)
