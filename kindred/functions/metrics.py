@@ -1,5 +1,5 @@
-"""Pair metrics on strings. The LCS length is the only metric without a native expression: it runs bit-parallel
-over whole Arrow batches in numpy (one machine word a pair), and on Python integers for longer strings."""
+"""Pair metrics on strings. The LCS length and the matching blocks have no native expression: both run over whole
+Arrow batches in numpy (the LCS bit-parallel, one machine word a pair), longer strings one by one."""
 
 from __future__ import annotations
 
@@ -67,14 +67,86 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
+def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def nfc(s: Column | str) -> Column:
+    """Composed characters; ASCII texts need no Python."""
+    s = F.col(s) if isinstance(s, str) else s
+    wide = F.octet_length(s) != F.length(s)
+    return F.when(wide, _composed(F.when(wide, s))).otherwise(s)
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts in a row, and where each begins."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], ends])
+
+
+def _longest_blocks(a: np.ndarray, b: np.ndarray, areas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each area (a from, to, b from, to) the longest common block as (start in a, start in b, length): of equally
+    long ones the first in a, of these the first in b. Runs grow one character of ``a`` at a time in all areas at once."""
+    n, wa, wb = len(areas), int((areas[:, 1] - areas[:, 0]).max()), int((areas[:, 3] - areas[:, 2]).max())
+
+    def cut(codes: np.ndarray, low: np.ndarray, high: np.ndarray, width: int, none: int) -> np.ndarray:
+        at = low + np.arange(width)[:, None]
+        return np.where(at < high, codes[np.minimum(at, len(codes) - 1)], none).astype(codes.dtype)
+
+    top = np.iinfo(a.dtype).max  # no character has the two highest codes
+    x, y = cut(a, areas[:, 0], areas[:, 1], wa, top), cut(b, areas[:, 2], areas[:, 3], wb, top - 1)
+    run = np.zeros((wb + 1, n), np.uint8 if min(wa, wb) < 255 else np.int32)
+    size, i, j = np.zeros(n, run.dtype), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for k in range(wa):
+        run[1:] = (run[:-1] + 1) * (y == x[k])
+        most = run.max(axis=0)
+        longer = np.flatnonzero(most > size)
+        if len(longer):
+            size[longer], i[longer], j[longer] = most[longer], k + 1, run[:, longer].argmax(axis=0)
+    size = size.astype(np.int64)
+    return areas[:, 0] + i - size, areas[:, 2] + j - size, size
+
+
+def matched_lengths(left: list[str], right: list[str]) -> np.ndarray:
+    """Characters in the matching blocks of each pair: the longest common block, then the same left and right of it.
+    All pairs go down one level at a time. Where the second text has 200 characters or more its frequent ones count
+    as junk, which leaves so few places that the standard library is quick; such pairs, and those whose first text is
+    over 1,000 long, go to it."""
+    out = np.zeros(len(left), np.int64)
+    long = [k for k, (x, y) in enumerate(zip(left, right)) if len(y) >= 200 or len(x) > 1000]
+    for k in long:
+        out[k] = sum(m.size for m in difflib.SequenceMatcher(None, left[k], right[k]).get_matching_blocks())
+    pairs = np.setdiff1d(np.arange(len(left)), long)
+    (a, a_at), (b, b_at) = _codes([left[k] for k in pairs]), _codes([right[k] for k in pairs])
+    alphabet, small = np.unique(np.concatenate([a, b]), return_inverse=True)
+    small = small.astype(np.uint8 if len(alphabet) < 254 else np.uint32)
+    a, b = small[: len(a)], small[len(a) :]
+    areas = np.column_stack([pairs, a_at[:-1], a_at[1:], b_at[:-1], b_at[1:]])
+    while True:
+        areas = areas[(areas[:, 1] < areas[:, 2]) & (areas[:, 3] < areas[:, 4])]
+        if not len(areas):
+            return out
+        # areas of like size share a step
+        areas = areas[np.lexsort((areas[:, 2] - areas[:, 1], areas[:, 4] - areas[:, 3]))]
+        deeper = []
+        for some in np.array_split(areas, -(-len(areas) // 4096)):
+            i, j, size = _longest_blocks(a, b, some[:, 1:])
+            np.add.at(out, some[:, 0], size)
+            some, i, j, size = (v[size > 0] for v in (some, i, j, size))
+            deeper += [np.column_stack([some[:, 0], some[:, 1], i, some[:, 3], j]), np.column_stack([some[:, 0], i + size, some[:, 2], j + size, some[:, 4]])]
+        areas = np.concatenate(deeper)
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp, with the junk heuristic of the standard library; not symmetric."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+    """Ratcliff-Obershelp, with the junk heuristic of the standard library; not symmetric. Null is the empty text, two
+    empty texts are equal. Pairs that repeat in a batch are measured once."""
+    at: dict[tuple[str, str], int] = {}
+    spot = [at.setdefault(pair, len(at)) for pair in zip(a.fillna("").tolist(), b.fillna("").tolist())]
+    left, right = [x for x, _ in at], [y for _, y in at]
+    both = np.array([len(x) + len(y) for x, y in at], dtype=float)
+    ratios = np.divide(2.0 * matched_lengths(left, right), both, out=np.ones(len(at)), where=both > 0)
+    return pd.Series(ratios[spot] if at else [], dtype="float64")
 
 
 @F.pandas_udf(IntegerType())

@@ -379,7 +379,26 @@ def partial_ratio(spark, sf_dir):
     return text_pairs(spark, sf_dir).select("id", metrics.partial_ratio("a", "b").alias("r"))
 
 
-@query()
+# Runs of equal characters on each diagonal of a pair (d = place in a less place in b), cut to an area; the longest, of
+# these the first in a, then in b, is a block. The areas before and after it follow.
+_BLOCK = """least(r.s + r.n, {ah}, {bh} + r.d) - greatest(r.s, {al}, {bl} + r.d)"""
+SEQUENCE_SQL = f"""WITH RECURSIVE p AS (SELECT * FROM {PAIRS_SQL}),
+  ca AS (SELECT id, i, substr(a, i, 1) AS c FROM (SELECT id, a, unnest(range(1, length(a) + 1)) AS i FROM p)),
+  cb AS (SELECT id, j, substr(b, j, 1) AS c FROM (SELECT id, b, unnest(range(1, length(b) + 1)) AS j FROM p)),
+  r AS (SELECT id, d, min(i) AS s, count(*) AS n FROM (SELECT id, i, i - j AS d, i - row_number() OVER (PARTITION BY id, i - j ORDER BY i) AS g FROM ca JOIN cb USING (id, c)) GROUP BY id, d, g),
+  block(id, al, ah, bl, bh, i, j, size) AS (
+    SELECT id, 1, length(a) + 1, 1, length(b) + 1, r.s, r.s - r.d, r.n FROM p JOIN r USING (id)
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY r.n DESC, r.s, r.s - r.d) = 1
+    UNION ALL
+    SELECT * FROM (
+      SELECT o.id, o.al, o.ah, o.bl, o.bh, greatest(r.s, o.al, o.bl + r.d) AS i, greatest(r.s, o.al, o.bl + r.d) - r.d AS j, {_BLOCK.format(al="o.al", ah="o.ah", bl="o.bl", bh="o.bh")} AS size
+      FROM (SELECT id, al, i AS ah, bl, j AS bh FROM block UNION ALL SELECT id, i + size, ah, j + size, bh FROM block) o JOIN r USING (id))
+    WHERE size > 0 QUALIFY row_number() OVER (PARTITION BY id, al, ah, bl, bh ORDER BY size DESC, i, j) = 1)
+  SELECT p.id, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * coalesce(m, 0) / (length(a) + length(b)) END::double AS r
+  FROM p LEFT JOIN (SELECT id, sum(size) AS m FROM block GROUP BY id) USING (id)"""
+
+
+@query(SEQUENCE_SQL)
 def sequence_ratio(spark, sf_dir):
     return text_pairs(spark, sf_dir).select("id", metrics.sequence_ratio("a", "b").alias("r"))
 

@@ -27,6 +27,23 @@ def test_lcs_equals_dynamic_programming(pairs):
     assert metrics.lcs_lengths([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [lcs(a, b) for a, b in pairs]
 
 
+def blocks(a, b):
+    return sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("abcd ", max_size=40), st.text("abce ", max_size=40)), max_size=60))
+def test_matching_blocks_equal_the_standard_library(pairs):
+    assert metrics.matched_lengths([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [blocks(a, b) for a, b in pairs]
+
+
+def test_matching_blocks_of_long_and_odd_texts():
+    many = "".join(chr(0x400 + k % 300) for k in range(600))
+    pairs = [("ab" * 40, "ba" * 150), (many[:500], many[100:299]), (many, many[:50]), ("x" * 1200, "x"), ("", ""), ("", "a"), ("\0a\U0001f600", "a\U0001f600\0"), ("a" * 199, "a" * 199), ("a" * 199, "a" * 200)]
+    assert metrics.matched_lengths([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [blocks(a, b) for a, b in pairs]
+    assert metrics.matched_lengths([], []).tolist() == []
+
+
 def value(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
 
@@ -51,7 +68,12 @@ def test_partial_and_sequence(spark):
     rows = spark.createDataFrame([("кабель", "силовой кабель ввг"), ("", ""), (None, "x")], "a string, b string")
     out = rows.select(metrics.partial_ratio("a", "b"), metrics.sequence_ratio("a", "b")).collect()
     assert [r[0] for r in out] == [100, 100, 0]
-    assert out[0][1] == difflib.SequenceMatcher(None, "кабель", "силовой кабель ввг").ratio()
+    assert [r[1] for r in out] == [difflib.SequenceMatcher(None, "кабель", "силовой кабель ввг").ratio(), 1.0, 0.0]
+
+
+def test_composed_characters(spark):
+    rows = spark.createDataFrame([("\u0438\u0306",), ("plain",), ("",), (None,)], "s string")
+    assert [r[0] for r in rows.select(metrics.nfc("s")).collect()] == ["\u0439", "plain", "", None]
 
 
 def test_catalog_rules(spark):
