@@ -1,20 +1,18 @@
-"""Spreadsheets with nothing but the standard library: a reader, role detection, and a writer."""
+"""Spreadsheets as item lists: roles of columns, the two readers, and a writer."""
 
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator, Sequence
-from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .records import number, specifications
+from .records import column, number, specifications
+from .sheets import Sheet
 
 # Words that give a column its role.
 ROLES: dict[str, tuple[str, ...]] = {
@@ -30,54 +28,12 @@ ROLES: dict[str, tuple[str, ...]] = {
     "id": ("id", "код", "номер", "артикул", "sku", "№", "number", "item_id", "product_id", "код товара", "идентификатор"),
     "equipment_code": ("код обор", "код обор.", "код оборудования", "equipment_code", "equipment", "оборудование", "код оборудование"),
 }
-_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def sheet_rows(data: bytes, sheet: int = 1) -> Iterator[list[str | None]]:
-    """The rows of a workbook's sheet as texts, holes as None."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si"):
-                shared.append("".join(t.text or "" for t in si.iter(f"{_NS}t")))
-        for _, row in ElementTree.iterparse(z.open(f"xl/worksheets/sheet{sheet}.xml")):
-            if row.tag != f"{_NS}row":
-                continue
-            out: list[str | None] = []
-            for cell in row.iter(f"{_NS}c"):
-                at = 0
-                for ch in re.match(r"[A-Z]*", cell.get("r") or "")[0]:
-                    at = at * 26 + ord(ch) - 64
-                at = at - 1 if at else len(out)
-                out += [None] * (at - len(out))
-                v = cell.find(f"{_NS}v")
-                if cell.get("t") == "s":
-                    out.append(shared[int(v.text)])
-                elif cell.get("t") == "inlineStr":
-                    out.append("".join(t.text or "" for t in cell.iter(f"{_NS}t")))
-                else:
-                    out.append(None if v is None else re.sub(r"\.0$", "", v.text or ""))
-            yield out
-            row.clear()
-
-
-def read_excel(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
-    """Text columns by the header row and ``_row`` from 1. A workbook is one task; a folder of them many."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    # only the first workbook's header comes to the driver
-    header = next(sheet_rows(bytes(files.orderBy("path").select("content").first()[0]), sheet))
-    names = [h if h else f"column_{k + 1}" for k, h in enumerate(header)]
-    names = [n if n not in names[:k] else f"{n}_{k + 1}" for k, n in enumerate(names)]
-    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names) + ", `_row` long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                rows = [r for r in list(sheet_rows(content.as_py(), sheet))[1:] if any(r)]
-                cols = [pa.array([r[k] if k < len(r) else None for r in rows], pa.string()) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(range(1, len(rows) + 1), pa.int64())], names=[*names, "_row"])
-
-    return files.mapInArrow(run, schema)
+
+
+def read_excel(spark: SparkSession, path: str, sheet: str | int = 1) -> DataFrame:
+    """Text columns by the header row and ``_row`` from 1, of a workbook or a folder of them; the sheet by its name or
+    place. Cells to the right of the header are left out."""
+    return Sheet(spark, path, sheet).rows()
 
 
 def find_column(header: Sequence[str], role: str) -> str | None:
@@ -95,24 +51,23 @@ def detect_kind(header: Sequence[str]) -> str:
 
 
 def roles(header: Sequence[str]) -> dict[str, str]:
-    """Role -> column; a column may have several roles. Without a name column the first one is it."""
-    found = {r: c for r in ROLES if (c := find_column(header, r))}
-    if "name" not in found and header:
-        found["name"] = header[0]
-    return found
-
-
-def _by_role(df: DataFrame):
-    header = [c for c in df.columns if c != "_row"]
-    found = roles(header)
-    get = lambda r: F.nullif(F.trim(T.text(F.col(f"`{found[r]}`"))), F.lit("")) if r in found else F.lit(None).cast("string")
-    left = [c for c in header if c not in found.values()]
+    """Role -> column; a column may have several roles."""
+    return {r: c for r in ROLES if (c := find_column(header, r))}
+
+
+def _by_role(sheet: Sheet):
+    """Without a name column the first one with text is it, which takes a look at all cells."""
+    df, found = sheet.rows(), roles(sheet.columns)
+    if "name" not in found and sheet.columns:
+        found["name"] = sheet.text_column()
+    get = lambda r: F.nullif(F.trim(T.text(column(found[r]))), F.lit("")) if r in found else F.lit(None).cast("string")
+    left = [c for c in sheet.columns if c not in found.values()]
     rows = df.filter((T.text(get("name")) != "") & (F.lower(T.text(get("name"))) != "nan"))
     return rows, get, specifications(df, left)
 
 
-def materials_from_excel(spark: SparkSession, path: str) -> DataFrame:
-    df, get, specs = _by_role(read_excel(spark, path))
+def materials_from_excel(spark: SparkSession, path: str, sheet: str | int = 1) -> DataFrame:
+    df, get, specs = _by_role(Sheet(spark, path, sheet))
     return df.select(
         F.coalesce(get("id"), F.col("_row").cast("string")).alias("id"), get("name").alias("name"), F.lit(None).cast("string").alias("type_mark"), get("equipment_code").alias("equipment_code"), get("manufacturer").alias("manufacturer"),
         F.coalesce(get("unit"), F.lit("шт")).alias("unit"), F.lit(None).cast("double").alias("quantity"), F.coalesce(get("description"), get("name")).alias("description"), F.coalesce(get("category"), F.lit("Общая")).alias("category"),
@@ -120,8 +75,8 @@ def materials_from_excel(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def price_list_from_excel(spark: SparkSession, path: str) -> DataFrame:
-    df, get, specs = _by_role(read_excel(spark, path))
+def price_list_from_excel(spark: SparkSession, path: str, sheet: str | int = 1) -> DataFrame:
+    df, get, specs = _by_role(Sheet(spark, path, sheet))
     none = F.lit(None).cast("string")
     return df.select(
         F.coalesce(get("id"), F.col("_row").cast("string")).alias("id"), get("name").alias("name"), get("brand").alias("brand"), get("model").alias("article"), none.alias("brand_code"), none.alias("cli_code"), none.alias("material_class"), none.alias("class_code"),
@@ -134,15 +89,16 @@ def workbook(header: Sequence[str], rows: Iterator[Sequence], title: str) -> byt
     """A one-sheet workbook of inline texts."""
     sink = io.BytesIO()
     types = "http://schemas.openxmlformats.org/package/2006/"
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as z:
         part = "application/vnd.openxmlformats-officedocument.spreadsheetml."
         z.writestr("[Content_Types].xml", f'<Types xmlns="{types}content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{part}sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{part}worksheet+xml"/></Types>')
         z.writestr("_rels/.rels", f'<Relationships xmlns="{types}relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_NS[1:-1]}" xmlns:r="{office}"><sheets><sheet name="{escape(title[:31])}" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="{escape(title[:31])}" sheetId="1" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{types}relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
         with z.open("xl/worksheets/sheet1.xml", "w") as f:
-            f.write(f'<worksheet xmlns="{_NS[1:-1]}"><sheetData>'.encode())
+            f.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
             for r in (header, *rows):
                 cells = "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>' for v in r)
                 f.write(f"<row>{cells}</row>".encode())

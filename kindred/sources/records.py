@@ -54,10 +54,15 @@ def resolve_aliases(header: Sequence[str]) -> tuple[dict[str, str], list[str]]:
     return taken, [c for c in header if c.lower() not in whole]
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def first_filled(columns: Sequence[str], *names: str) -> Column:
     """The first non-null column of these, whatever their case; null if none is there."""
     low = {c.lower().strip(): c for c in columns}
-    there = [F.col(f"`{low[n]}`").cast("string") for n in names if n in low]
+    there = [column(low[n]).cast("string") for n in names if n in low]
     return F.coalesce(*there) if there else F.lit(None).cast("string")
 
 
@@ -70,7 +75,7 @@ def specifications(df: DataFrame, columns: Sequence[str]) -> Column:
     """map<string,string> of the given columns without nulls."""
     if not columns:
         return F.create_map().cast("map<string,string>")
-    pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("key"), column(c).cast("string").alias("value")) for c in columns])
     return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
 
 
