@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .functions import catalog, extract, metrics, scores
 from .functions import text as T
 from .operators import candidates, matching, reports, similarity
-from .operators.stored import folder
+from .operators.stored import folder, stored
 from .plans.search_index import SearchIndex
-from .sources import json_array
+from .sources import excel, json_array
 from .streaming import selections as selection_state
 
 PL_SQL = """pl AS (
@@ -985,6 +985,20 @@ def json_array_read(spark, sf_dir):
     return read_back.select("id", "name", "price", "supplier", "brand", "manufacturer", spec.alias("spec"))
 
 
+@query(
+    f"""WITH {PL_SQL} SELECT CASE WHEN seq % 2 = 0 THEN article ELSE id END AS id, name, brand, price, CASE WHEN seq % 2 = 0 THEN supplier ELSE 'Не указан' END AS supplier,
+      CASE WHEN seq % 2 = 0 THEN 'Общая' ELSE category END AS category, CASE WHEN seq % 2 = 0 THEN brand_code END AS spec FROM pl"""
+)
+def workbook_read(spark, sf_dir):
+    """The price list as workbooks under two headers, read back by each workbook's own."""
+    p = price_list(spark, sf_dir).withColumn("cost", F.concat(F.col("price").cast("string"), F.lit(" руб.")))
+    one = p.filter("seq % 2 = 0").selectExpr("supplier as `Поставщик`", "name as `Наименование`", "article as `Код`", "cost as `Цена`", "brand_code as `остаток`", "brand as `Бренд`")
+    two = p.filter("seq % 2 = 1").selectExpr("id", "name", "brand", "category", "price as cost")
+    books = [excel.workbooks(rows, "Прайс", 5_000).withColumn("path", F.concat(F.lit(f"{k}-"), "path")) for k, rows in enumerate((one, two))]
+    items = stored(books[0].unionByName(books[1]), "workbooks")
+    return excel.price_list_from_excel(spark, items).select("id", "name", "brand", "price", "supplier", "category", F.col("specifications")["остаток"].alias("spec"))
+
+
 @query("SELECT doc_id AS id, left(coalesce(text, ''), 500) AS name, left(coalesce(text, ''), 1000) AS description, left(coalesce(source, ''), 100) AS brand, left(coalesce(lang, ''), 10) AS currency FROM documents")
 def truncate_fast_json(spark, sf_dir):
     """The reader's greatest lengths on texts that are longer."""

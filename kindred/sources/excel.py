@@ -5,13 +5,16 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .records import column, number, specifications
+from .records import number
 from .sheets import Sheet
 
 # Words that give a column its role.
@@ -30,7 +33,7 @@ ROLES: dict[str, tuple[str, ...]] = {
 }
 
 
-def read_excel(spark: SparkSession, path: str, sheet: str | int = 1) -> DataFrame:
+def read_excel(spark: SparkSession, path: str | DataFrame, sheet: str | int = 1) -> DataFrame:
     """Text columns by the header row and ``_row`` from 1, of a workbook or a folder of them; the sheet by its name or
     place. Cells to the right of the header are left out."""
     return Sheet(spark, path, sheet).rows()
@@ -55,36 +58,46 @@ def roles(header: Sequence[str]) -> dict[str, str]:
     return {r: c for r in ROLES if (c := find_column(header, r))}
 
 
-def _by_role(sheet: Sheet):
-    """Without a name column the first one with text is it, which takes a look at all cells."""
-    df, found = sheet.rows(), roles(sheet.columns)
-    if "name" not in found and sheet.columns:
-        found["name"] = sheet.text_column()
-    get = lambda r: F.nullif(F.trim(T.text(column(found[r]))), F.lit("")) if r in found else F.lit(None).cast("string")
-    left = [c for c in sheet.columns if c not in found.values()]
-    rows = df.filter((T.text(get("name")) != "") & (F.lower(T.text(get("name"))) != "nan"))
-    return rows, get, specifications(df, left)
+def _by_role(spark: SparkSession, path: str | DataFrame, sheet: str | int):
+    """Each workbook by the roles of its own header; without a name column the first one with text is it."""
+    df = Sheet(spark, path, sheet).records(roles, tuple(ROLES), "name")
+    get = lambda r: F.nullif(F.trim(T.text(F.col(r))), F.lit(""))
+    return df.filter((T.text(get("name")) != "") & (F.lower(T.text(get("name"))) != "nan")), get
 
 
-def materials_from_excel(spark: SparkSession, path: str, sheet: str | int = 1) -> DataFrame:
-    df, get, specs = _by_role(Sheet(spark, path, sheet))
+def materials_from_excel(spark: SparkSession, path: str | DataFrame, sheet: str | int = 1) -> DataFrame:
+    df, get = _by_role(spark, path, sheet)
     return df.select(
         F.coalesce(get("id"), F.col("_row").cast("string")).alias("id"), get("name").alias("name"), F.lit(None).cast("string").alias("type_mark"), get("equipment_code").alias("equipment_code"), get("manufacturer").alias("manufacturer"),
         F.coalesce(get("unit"), F.lit("шт")).alias("unit"), F.lit(None).cast("double").alias("quantity"), F.coalesce(get("description"), get("name")).alias("description"), F.coalesce(get("category"), F.lit("Общая")).alias("category"),
-        get("brand").alias("brand"), get("model").alias("model"), specs.alias("specifications"),
+        get("brand").alias("brand"), get("model").alias("model"), "specifications",
     )
 
 
-def price_list_from_excel(spark: SparkSession, path: str, sheet: str | int = 1) -> DataFrame:
-    df, get, specs = _by_role(Sheet(spark, path, sheet))
+def price_list_from_excel(spark: SparkSession, path: str | DataFrame, sheet: str | int = 1) -> DataFrame:
+    df, get = _by_role(spark, path, sheet)
     none = F.lit(None).cast("string")
     return df.select(
         F.coalesce(get("id"), F.col("_row").cast("string")).alias("id"), get("name").alias("name"), get("brand").alias("brand"), get("model").alias("article"), none.alias("brand_code"), none.alias("cli_code"), none.alias("material_class"), none.alias("class_code"),
         number(get("price"), 0.0).alias("price"), get("name").alias("material_name"), F.coalesce(get("description"), get("name")).alias("description"), F.lit("RUB").alias("currency"), F.coalesce(get("supplier"), F.lit("Не указан")).alias("supplier"),
-        F.coalesce(get("category"), F.lit("Общая")).alias("category"), F.coalesce(get("unit"), F.lit("шт")).alias("unit"), specs.alias("specifications"),
+        F.coalesce(get("category"), F.lit("Общая")).alias("category"), F.coalesce(get("unit"), F.lit("шт")).alias("unit"), "specifications",
     )
 
 
+def workbooks(rows: DataFrame, title: str, most: int = 1_048_575) -> DataFrame:
+    """path, content: the rows as workbooks of at most ``most`` rows, each made by the task that has its rows. A path tells
+    the partition and the place in it."""
+    columns = rows.columns
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, every = TaskContext.get().partitionId(), (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for k, first in enumerate(every):
+            content = workbook(columns, chain([first], islice(every, most - 1)), title)
+            yield pa.RecordBatch.from_pydict({"path": [f"{part:08d}-{k:08d}.xlsx"], "content": [content]})
+
+    return rows.mapInArrow(make, "path string, content binary")
+
+
 def workbook(header: Sequence[str], rows: Iterator[Sequence], title: str) -> bytes:
     """A one-sheet workbook of inline texts."""
     sink = io.BytesIO()

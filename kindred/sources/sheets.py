@@ -11,7 +11,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -129,20 +129,25 @@ def names(header: Iterable[str | None]) -> list[str]:
 
 
 class Sheet:
-    """One sheet of every workbook of a path. Columns are matched by the workbooks' own headers."""
+    """One sheet of every workbook of a path, or of a table of workbooks (path, content). Columns are matched by the
+    workbooks' own headers."""
 
-    def __init__(self, spark: SparkSession, path: str, sheet: str | int = 1):
+    def __init__(self, spark: SparkSession, path: str | DataFrame, sheet: str | int = 1):
         self.spark, self.sheet = spark, sheet
-        self.books = spark.read.format("binaryFile").load(path).select("path", "content")
+        given = spark.read.format("binaryFile").load(path) if isinstance(path, str) else path
+        self.books = given.select("path", "content")
 
         def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for file, header in ((f, next(fragments(c, sheet), (0, 0, 0, []))[3]) for f, c in books(batches)):
-                yield pa.RecordBatch.from_pydict({"file": pa.array([file] * len(header), pa.string()), "at": pa.array(range(len(header)), pa.int64()), "name": pa.array(header, pa.string())})
+            for file, content in books(batches):
+                header = next(fragments(content, sheet), (0, 0, 0, []))[3]
+                yield pa.RecordBatch.from_pydict({"file": pa.array([file], pa.string()), "header": pa.array([header], pa.list_(pa.string()))})
 
-        seen = self.books.mapInArrow(heads, "file string, at long, name string").groupBy("name").agg(F.min(F.struct("file", "at")).alias("o")).orderBy("o")
-        self.columns = [r["name"] for r in seen.collect()]  # a row a column
+        seen = self.books.mapInArrow(heads, "file string, header array<string>").groupBy("header").agg(F.min("file").alias("file")).orderBy("file")
+        self.headers = [r["header"] for r in seen.collect()]  # a row a layout
+        self.columns = list(dict.fromkeys(name for header in self.headers for name in header))
 
-    def _fragments(self) -> DataFrame:
+    def _fragments(self, beside: DataFrame | None = None) -> DataFrame:
+        """In order; with the columns of a table by ``file`` beside them."""
         sheet = self.sheet
 
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +156,7 @@ class Sheet:
                     yield pa.RecordBatch.from_pylist([{"file": file, "fragment": k, "before": before, "first": first, "header": header, "xml": xml, "ids": list(texts), "texts": list(texts.values())}], schema=FRAGMENTS)
 
         cut = self.books.mapInArrow(unpack, "file string, fragment long, before long, first long, header array<string>, xml binary, ids array<int>, texts array<string>")
+        cut = cut.join(beside, "file", "left") if beside is not None else cut
         return cut.repartitionByRange(self.spark.sparkContext.defaultParallelism, "file", "fragment").sortWithinPartitions("file", "fragment")
 
     def rows(self) -> DataFrame:
@@ -160,24 +166,44 @@ class Sheet:
         schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*columns]) + (", " if columns else "") + "`_row` long"
 
         def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for one in parsed(batches):
-                header, rows = one
+            for header, rows, _ in parsed(batches):
                 at = {n: k for k, n in enumerate(header)}
                 found = [[r[at[n]][0] if n in at and at[n] < len(r) and r[at[n]] else None for _, r in rows] for n in columns]
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in found], pa.array([n for n, _ in rows], pa.int64())], names=[*columns, "_row"])
 
         return self._fragments().mapInArrow(parse, schema)
 
-    def text_column(self) -> str | None:
-        """The first column with a cell that is text, else the first one."""
+    def records(self, roles: Callable[[list[str]], dict[str, str]], wanted: Sequence[str], named: str) -> DataFrame:
+        """A text column for each role that ``roles`` finds in a workbook's header, the other cells as specifications,
+        and ``_row``. A workbook without the role ``named`` gives it to its first column with a cell that is text, else
+        to its first: such workbooks are looked at twice."""
+        beside = self._text_columns(roles, named) if any(named not in roles(h) for h in self.headers) else None
+        schema = ", ".join(f"`{r}` string" for r in wanted) + ", specifications map<string,string>, `_row` long"
+
+        def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for header, rows, text in parsed(batches):
+                found = roles(header)
+                found.setdefault(named, text or header[0])
+                at = {n: k for k, n in enumerate(header)}
+                get = lambda r, n: r[at[n]][0] if n in at and at[n] < len(r) and r[at[n]] else None
+                columns = [pa.array([get(r, found.get(role)) for _, r in rows], pa.string()) for role in wanted]
+                rest = [n for n in header if n not in found.values()]
+                specs = [[(n, v) for n in rest if (v := get(r, n)) is not None] for _, r in rows]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(specs, pa.map_(pa.string(), pa.string())), pa.array([n for n, _ in rows], pa.int64())], names=[*wanted, "specifications", "_row"])
+
+        return self._fragments(beside).mapInArrow(parse, schema)
+
+    def _text_columns(self, roles: Callable[[list[str]], dict[str, str]], named: str) -> DataFrame:
+        """file, text: the first column with a cell that is text, of workbooks without the role."""
 
         def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for header, rows in parsed(batches):
-                text = {header[k] for _, r in rows for k, c in enumerate(r[: len(header)]) if c and c[1]}
-                yield pa.RecordBatch.from_pydict({"name": pa.array(sorted(text), pa.string())})
+            for batch in batches:
+                for k, (header, rows, _) in enumerate(parsed([batch])):
+                    places = [] if named in roles(header) else [i for _, r in rows for i, c in enumerate(r[: len(header)]) if c and c[1]]
+                    if places:
+                        yield pa.RecordBatch.from_pydict({"file": [batch.column("file")[k].as_py()], "at": pa.array([min(places)], pa.int64()), "text": [header[min(places)]]})
 
-        text = {r["name"] for r in self._fragments().mapInArrow(kinds, "name string").distinct().collect()}  # a row a column
-        return next((c for c in self.columns if c in text), self.columns[0] if self.columns else None)
+        return self._fragments().mapInArrow(kinds, "file string, at long, text string").groupBy("file").agg(F.min_by("text", "at").alias("text"))
 
 
 def books(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
@@ -186,10 +212,10 @@ def books(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
             yield batch.column("path")[k].as_py(), batch.column("content")[k].as_py()
 
 
-def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[tuple[int, list]]]]:
-    """(header, rows below it that hold a value) of each fragment."""
+def parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[str], list[tuple[int, list]], str | None]]:
+    """(header, rows below it that hold a value, first text column if one was looked for) of each fragment."""
     for batch in batches:
         for k in range(batch.num_rows):
-            one = {c: batch.column(c)[k].as_py() for c in ("before", "first", "header", "xml", "ids", "texts")}
+            one = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
             rows = cells(one["xml"], dict(zip(one["ids"], one["texts"])), one["before"])
-            yield one["header"], [(n - one["first"], r) for n, r in rows if n > one["first"] and any(r)]
+            yield one["header"], [(n - one["first"], r) for n, r in rows if n > one["first"] and any(r)], one.get("text")

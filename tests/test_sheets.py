@@ -66,7 +66,7 @@ def test_a_large_sheet_is_many_tasks_in_order(spark, tmp_path):
 
 def test_workbooks_of_a_folder_by_their_own_headers(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(excel.workbook(["name", "price"], [("a", 1)], "s"))
-    (tmp_path / "b.xlsx").write_bytes(excel.workbook(["price", "name", "colour`s"], [(2, "b", "red")], "s"))
+    (tmp_path / "b.xlsx").write_bytes(excel.workbook(["cost", "товар", "colour`s"], [(2, "b", "red")], "s"))
     got = files.load(spark, str(tmp_path), file_format="xlsx")
     assert [(r["name"], r["price"], r["specifications"]) for r in got.collect()] == [("a", 1.0, {}), ("b", 2.0, {"colour`s": "red"})]
 
@@ -78,6 +78,17 @@ def test_the_first_text_column_is_the_name(spark, tmp_path):
     assert [(r["id"], r["name"], r["specifications"]) for r in got] == [("1", "кабель", {"x1": "5", "x3": "z"})]
     (tmp_path / "b.xlsx").write_bytes(book({"s": rows.replace("кабель", "").replace(">z<", "><")}))
     assert [r["name"] for r in files.load(spark, str(tmp_path / "b.xlsx"), "materials").collect()] == ["5"]
+    (tmp_path / "c.xlsx").write_bytes(excel.workbook(["colour", "name"], [("no", "c")], "s"))
+    assert [r["name"] for r in files.load(spark, str(tmp_path), "materials", "xlsx").collect()] == ["кабель", "5", "c"]
+
+
+def test_a_table_of_workbooks(spark):
+    rows = spark.range(10).selectExpr("id", "concat('n', id) as name", "id * 1.5 as price").repartition(2)
+    books = excel.workbooks(rows, "s", 3)
+    assert books.count() >= 4
+    got = excel.price_list_from_excel(spark, books)
+    assert sorted((r["id"], r["name"], r["price"]) for r in got.collect()) == [(str(k), f"n{k}", k * 1.5) for k in range(10)]
+    assert excel.price_list_from_excel(spark, books.limit(0)).count() == 0
 
 
 def test_round_trip_of_odd_texts(spark, tmp_path):
