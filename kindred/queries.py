@@ -15,7 +15,7 @@ from .functions import text as T
 from .operators import candidates, matching, reports, similarity
 from .operators.stored import folder, stored
 from .plans.search_index import SearchIndex
-from .sources import excel, json_array
+from .sources import excel, files, json_array
 from .streaming import selections as selection_state
 
 PL_SQL = """pl AS (
@@ -999,6 +999,23 @@ def workbook_read(spark, sf_dir):
     return excel.price_list_from_excel(spark, items).select("id", "name", "brand", "price", "supplier", "category", F.col("specifications")["остаток"].alias("spec"))
 
 
+@query(
+    r"""SELECT concat(doc_id, '') AS id, concat(CASE WHEN doc_id % 2 = 0 THEN 'Кабель ' ELSE '' END, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g')) AS name, lang AS brand, source AS supplier,
+      length(coalesce(text, '')) + 0.5::double AS price, 'RUB' AS currency FROM documents"""
+)
+def csv_read(spark, sf_dir):
+    """All documents as names of a price list, written as windows-1251 files and read back without being told so."""
+    to = f"{folder(spark)}/csv-{uuid.uuid4().hex}"
+    d = read(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, "Кабель ").otherwise(""), F.regexp_replace(text, "[^ -~]", ""))
+    price = F.concat(F.length(text).cast("string"), F.lit(",5 руб."))
+    files.allow_charset(spark, "windows-1251")
+    rows = d.select(F.col("doc_id").alias("id"), name.alias("name"), F.col("lang").alias("brand"), F.col("source").alias("supplier"), price.alias("price"))
+    rows.write.csv(to, header=True, sep=";", encoding="windows-1251", quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return files.price_list_from_csv(spark, to, delimiter=";").select("id", "name", "brand", "supplier", "price", "currency")
+
+
 @query("SELECT doc_id AS id, left(coalesce(text, ''), 500) AS name, left(coalesce(text, ''), 1000) AS description, left(coalesce(source, ''), 100) AS brand, left(coalesce(lang, ''), 10) AS currency FROM documents")
 def truncate_fast_json(spark, sf_dir):
     """The reader's greatest lengths on texts that are longer."""
