@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields, is_dataclass, replace
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import candidates, matching, reports
 from ..sources import files, sinks
+from .progress import with_progress
+
+R = TypeVar("R")
 
 
 @dataclass(frozen=True)
@@ -45,6 +50,10 @@ class Engine:
         run = own.get(strategy or self.config.strategy) or matching.STRATEGIES[strategy or self.config.strategy]
         return run(materials, items, self.config.match)
 
+    def with_progress(self, action: Callable[[], R], told: Callable[[int, int], None]) -> R:
+        """Run an action over matches, such as an export, and tell tasks done and tasks known as they change."""
+        return with_progress(self.spark, action, told)
+
     def search_material(self, name: str, items: DataFrame, top_n: int = 10) -> DataFrame:
         """Matches of one name; twice as many candidates as results are scored."""
         one = self.spark.createDataFrame([("query", name)], "id string, name string")
