@@ -38,9 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder for tables between steps, under the folder named by spark.checkpoint.dir.
-    Where that is unset, under the session's warehouse, which the driver and the executors share too. It is
-    deleted when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_kindred"
+    Where that is unset, under the warehouse on a local master; a cluster without a shared folder is refused. It
+    is deleted when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/_kindred"
     path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
     if path not in _OWN:
         _OWN.add(path)
