@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred import queries
-from kindred.functions import metrics
+from kindred.functions import metrics, scores
 
 
 @pytest.mark.parametrize("name", ["backup_score", "priority_score"])
@@ -27,3 +27,15 @@ def test_six_metrics_equal_each_metric(spark):
     a, b = F.col("a"), F.col("b")
     each = 0.15 * metrics.ratio(a, b) + 0.15 * metrics.partial_ratio(a, b) + 0.25 * metrics.token_sort_ratio(a, b) + 0.25 * metrics.token_set_ratio(a, b) + 5.0 * metrics.sequence_ratio(a, b) + 15.0 * metrics.semantic_similarity(a, b)
     assert rows.select(each.alias("x"), metrics.six_of(a, b).alias("y")).filter("x IS DISTINCT FROM y").count() == 0
+
+
+def test_equal_values_of_specifications_are_measured_once(spark):
+    seen = []
+
+    def words(rows):
+        seen.append(rows.count())
+        return rows.withColumn("words", F.lit(7.0))
+
+    rows = spark.range(60).select("id", F.create_map(F.lit("v"), F.concat(F.lit("a"), F.col("id") % 3)).alias("a"), F.create_map(F.lit("v"), F.lit("b")).alias("b"))
+    got = scores.specs_scores(rows, "id", "a", "b", words).collect()
+    assert seen == [3] and len(got) == 60 and {r["specs"] for r in got} == {7.0}
