@@ -124,6 +124,26 @@ def exact_strategy(materials: DataFrame, items: DataFrame, cfg: MatchConfig) ->
     return score_pairs(pairs.distinct(), m, p, cfg).filter("pct >= 95")
 
 
+def exact_counts(materials: DataFrame, items: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """material_id, n, best of ``exact_strategy`` for the materials that have a hit, without a row for each pair: rows of equal
+    name and models are one class with its size, classes meet at the least name or model that both have, and sizes are added up."""
+
+    def classes(rows: DataFrame) -> DataFrame:
+        models = F.col("models") if cfg.model_shortcut else F.array().cast("array<string>")
+        name = F.when(F.col("norm") != "", F.array(F.struct(F.lit(0).alias("kind"), F.col("norm").alias("x")))).otherwise(F.array().cast("array<struct<kind:int,x:string>>"))
+        of = F.transform(models, lambda m: F.struct(F.lit(1).alias("kind"), m.alias("x")))
+        return rows.withColumn("keys", F.array_sort(F.array_distinct(F.concat(name, of))))
+
+    m, p = classes(prepare_materials(materials)), classes(prepare_items(items))
+    sizes = p.groupBy("keys").agg(F.count("*").alias("n")).select(F.col("keys").alias("theirs"), "n", F.explode("keys").alias("key"))
+    mine = m.select("keys").distinct().withColumn("key", F.explode("keys"))
+    # the name sorts before the models, so a pair of equal names meets there
+    both = mine.join(sizes, "key").filter(F.col("key") == F.array_min(F.array_intersect("keys", "theirs")))
+    best = F.max(F.when(F.col("key.kind") == 0, 100.0).otherwise(95.0))
+    found = both.groupBy("keys").agg(F.sum("n").alias("n"), best.alias("best"))
+    return m.select(F.col("id").alias("material_id"), "keys").join(found, "keys").select("material_id", "n", "best")
+
+
 def fuzzy_strategy(materials: DataFrame, items: DataFrame, cfg: MatchConfig) -> DataFrame:
     return block_match(materials, items, cfg).drop("match_rank")
 
