@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import extract, scores
 from ..functions import text as T
 from . import candidates, similarity
+from .stored import large
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ def score_pairs(pairs: DataFrame, materials: DataFrame, items: DataFrame, cfg: M
     so the shortcuts are separated by filters before it."""
     m = materials.select(*[F.col(c).alias(f"m_{c}") for c in materials.columns])
     p = items.select(*[F.col(c).alias(f"p_{c}") for c in items.columns])
-    wide = pairs.join(m, F.col("material_id") == F.col("m_id")).join(p, F.col("price_id") == F.col("p_id"))
+    wide = pairs.join(large(m), F.col("material_id") == F.col("m_id")).join(large(p), F.col("price_id") == F.col("p_id"))
     ma, pa_ = (lambda c: F.col(f"m_{c}")), (lambda c: F.col(f"p_{c}"))
     same = scores.identical(ma, pa_)
     model = scores.same_model(ma, pa_) if cfg.model_shortcut else F.lit(False)

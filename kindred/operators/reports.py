@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog
 from ..functions import text as T
+from .stored import large
 
 
 def match_statistics(materials: DataFrame, matches: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def match_statistics(materials: DataFrame, matches: DataFrame) -> DataFrame:
 def results_summary(materials: DataFrame, matches: DataFrame) -> DataFrame:
     """The best match and the number of matches of every material; nulls and 0 where there is none."""
     best = matches.groupBy("material_id").agg(F.max_by("price_id", F.struct("pct", -F.col("match_rank"))).alias("best_price_id"), F.max("pct").alias("best_pct"), F.count("*").alias("matches"))
-    out = materials.select(F.col("id").alias("material_id"), F.coalesce("name", F.lit("Unknown")).alias("material_name")).join(best, "material_id", "left")
+    out = materials.select(F.col("id").alias("material_id"), F.coalesce("name", F.lit("Unknown")).alias("material_name")).join(large(best), "material_id", "left")
     return out.withColumns({"best_pct": F.coalesce("best_pct", F.lit(0.0)), "matches": F.coalesce("matches", F.lit(0))})
 
 
@@ -44,7 +45,7 @@ def format_rows(materials: DataFrame, items: DataFrame, matches: DataFrame, most
     kept = matches.filter(F.col("match_rank") <= most)
     p = items.select(F.col("id").alias("price_id"), F.col("name").alias("variant_name"), "article", "brand_code", "cli_code", "price", "brand")
     m = materials.select(F.col("id").alias("material_id"), F.coalesce("name", F.lit("Unknown")).alias("material_name"))
-    out = m.join(kept.join(p, "price_id"), "material_id", "left")
+    out = m.join(large(kept.join(large(p), "price_id")), "material_id", "left")
     variant = F.when(F.col("price_id").isNotNull(), catalog.variant_id(F.col("article"), F.col("brand_code"), F.col("cli_code"), F.col("price_id"), F.col("variant_name")))
     return out.select("material_id", "material_name", "price_id", "match_rank", variant.alias("variant_id"), "variant_name", F.round(F.col("pct") / 100, 4).alias("relevance"), "price")
 
@@ -115,7 +116,7 @@ def csv_rows(materials: DataFrame, items: DataFrame, matches: DataFrame) -> Data
     col = lambda c: T.text(F.col(c))
     m = materials.select(F.col("id").alias("material_id"), F.col("name").alias("material_name"), col("description").alias("material_description"), col("category").alias("material_category"), col("manufacturer").alias("material_brand"))
     p = items.select(F.col("id").alias("price_id"), F.col("name").alias("price_item_name"), col("description").alias("price_item_description"), "price", col("currency").alias("currency"), col("supplier").alias("supplier"))
-    out = matches.select("material_id", "price_id", "pct", "score").join(m, "material_id").join(p, "price_id")
+    out = matches.select("material_id", "price_id", "pct", "score").join(large(m), "material_id").join(large(p), "price_id")
     return out.select(*m.columns, F.col("price_id").alias("price_item_id"), *p.columns[1:], F.round("pct", 2).alias("similarity_percentage"), F.round("score", 4).alias("retrieval_score"))
 
 
@@ -131,5 +132,5 @@ def xlsx_rows(materials: DataFrame, items: DataFrame, matches: DataFrame) -> Dat
     m = materials.select(F.col("id").alias("material_id"), *pick(materials, XLSX_MATERIAL))
     p = items.select(F.col("id").alias("price_id"), *pick(items, XLSX_PRICE))
     shown = F.concat(F.format_string("%.1f", F.round("pct", 1)), F.lit("%")).alias("Релевантность")
-    out = matches.select("material_id", "price_id", shown, F.round("score", 4).cast("string").alias("Оценка поиска")).join(m, "material_id").join(p, "price_id")
+    out = matches.select("material_id", "price_id", shown, F.round("score", 4).cast("string").alias("Оценка поиска")).join(large(m), "material_id").join(large(p), "price_id")
     return out.select(*[f"`{c}`" for c in XLSX_COLUMNS])
