@@ -2,7 +2,8 @@
 
 Spark cuts the file into byte ranges at closing braces, wherever they stand. A first pass says for each range how it
 changes the state of a reader: whether it ends within a string, and how much deeper, either way it may have begun. From
-these (a row a range) follows the state at every range's start, and a second pass cuts the elements out. A
+these (a row a range) follows the state at every range's start, and a second pass counts the records that begin in
+each. The last pass cuts the elements out and maps them at once, in one Python worker a task and a bounded part at a time. A
 record that crosses ranges comes in pieces, which are put together by file; the rest never moves.
 
 Nested keys are flattened to their last segment. Fields are mapped record by record: whole names first, then parts of
@@ -14,7 +15,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,6 +26,10 @@ from .records import ALIASES, number, resolve_aliases
 
 _TOKEN = re.compile(r'\\.|["{\[\]]', re.S)
 RANGE = "file string, start long"
+#: What a task holds as Python objects at a time: rows, and their bytes.
+ROWS, BYTES = 1000, 1 << 20
+Records = Iterator[tuple[str, int, str]]  # file, position, text
+Batches = Iterator[pa.RecordBatch]
 
 
 def _fragments(spark: SparkSession, path: str) -> DataFrame:
@@ -31,16 +37,39 @@ def _fragments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
 
-def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str]]:
+def _rows(batches: Batches) -> Iterator[tuple]:
+    """The rows in order, made a bounded part of a batch at a time."""
     for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns))
-
-
-def _effect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        todo = [batch]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and (part.num_rows > ROWS or part.nbytes > BYTES):
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield from zip(*(c.to_pylist() for c in part.columns))
+
+
+def _packed(rows: Iterator[tuple[int, tuple]], columns: dict[str, pa.DataType]) -> Batches:
+    """Bounded batches of rows, each given behind its size."""
+    part: list[tuple] = []
+    held = 0
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part), columns.values())], names=list(columns))
+    for size, row in rows:
+        part.append(row)
+        held += size
+        if len(part) >= ROWS or held >= BYTES:
+            yield made()
+            part, held = [], 0
+    if part:
+        yield made()
+
+
+def _effect(batches: Batches) -> Batches:
     """file, start, turns (whether strings begin or end an odd number of times), outside, inside: the change of depth
     if the range begins outside or inside a string."""
     out: dict[tuple[str, int], list] = {}
-    for file, start, value in _by_range(batches):
+    for file, start, value in _rows(batches):
         one = out.setdefault((file, start), [False, 0, 0])
         for m in _TOKEN.finditer(value + "}"):
             t = m[0]
@@ -49,88 +78,97 @@ def _effect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif t in "{[]":
                 one[2 if one[0] else 1] += -1 if t == "]" else 1
         one[2 if one[0] else 1] -= 1  # the closing brace behind the fragment
-    yield pa.RecordBatch.from_pydict({"file": pa.array([k[0] for k in out], pa.string()), "start": pa.array([k[1] for k in out], pa.int64()), "turns": pa.array([v[0] for v in out.values()], pa.bool_()), "outside": pa.array([v[1] for v in out.values()], pa.int64()), "inside": pa.array([v[2] for v in out.values()], pa.int64())})
-
-
-def array_elements(spark: SparkSession, path: str) -> DataFrame:
-    """file, position (from 1), record (text) of the objects in the arrays of one file or of a folder's files."""
-    raw = _fragments(spark, path)
-    effects = raw.mapInArrow(_effect, f"{RANGE}, turns boolean, outside long, inside long").groupBy("file", "start").agg(F.first("turns").alias("turns"), F.first("outside").alias("outside"), F.first("inside").alias("inside"))
-    # one row a range of the file
-    states: dict[tuple[str, int], tuple[bool, int]] = {}
-    last = None
+    yield from _packed(((0, (*k, *v)) for k, v in out.items()), {"file": pa.string(), "start": pa.int64(), "turns": pa.bool_(), "outside": pa.int64(), "inside": pa.int64()})
+
+
+def _cut(batches: Batches, states: dict[tuple[str, int], tuple[bool, int]]) -> Iterator[tuple[str, int, int, str, str]]:
+    """file, start, at (records that began in the range before), kind, record: whole ones, and the pieces of those that
+    cross ranges: head, middle and tail."""
+    here, text = None, []
+    for file, start, value in _rows(batches):
+        if (file, start) != here:
+            if text:  # the range before ends within a record
+                yield *here, at, "middle" if kind == "tail" else "head", "".join(text)
+                text.clear()
+            here, at = (file, start), 0
+            inside, depth = states[here]
+            kind = "tail" if depth > 1 else "whole"
+        keep = 0 if depth > 1 else None  # where the open record's part of this fragment begins
+        for m in _TOKEN.finditer(value + "}"):
+            t = m[0]
+            if t == '"':
+                inside = not inside
+            elif t in "{[]" and not inside:
+                if t == "{" and depth == 1:
+                    keep = m.start()
+                depth += -1 if t == "]" else 1
+        if not inside:
+            depth -= 1
+        if keep is not None:
+            text.append(value[keep:] + "}")
+            if depth == 1 and not inside:
+                yield file, start, at, kind, "".join(text)
+                text.clear()
+                at += kind == "whole"
+                kind = "whole"
+    if text:
+        yield *here, at, "middle" if kind == "tail" else "head", "".join(text)
+
+
+def _states(effects: DataFrame) -> dict[tuple[str, int], tuple[bool, int]]:
+    """Whether a range begins within a string, and how deep; one row a range comes to the driver."""
+    states, last = {}, None
     for r in sorted(effects.collect(), key=lambda r: (r["file"], r["start"])):
         if r["file"] != last:
             last, inside, depth = r["file"], False, 0
         states[r["file"], r["start"]] = inside, depth
         depth += r["inside"] if inside else r["outside"]
         inside ^= r["turns"]
-    shared = spark.sparkContext.broadcast(states)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: dict[str, list] = {c: [] for c in ("file", "start", "at", "kind", "record")}
-        here, state = None, [False, 0]
-        text: list[str] = []
-        kind, at = "whole", 0
-
-        def add(piece: str) -> None:
-            for column, value in zip(columns.values(), (*here, at, piece, "".join(text))):
-                column.append(value)
-            text.clear()
-
-        def batch() -> pa.RecordBatch:
-            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            made = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), types)], names=list(columns))
-            for v in columns.values():
-                v.clear()
-            return made
-
-        for file, start, value in _by_range(batches):
-            if (file, start) != here:
-                if here is not None and text:  # the range before ends within a record
-                    add("middle" if kind == "tail" else "head")
-                here, state, at = (file, start), list(shared.value[file, start]), 0
-                kind = "tail" if state[1] > 1 else "whole"
-            keep = 0 if state[1] > 1 else None  # where the open record's part of this fragment begins
-            for m in _TOKEN.finditer(value + "}"):
-                t = m[0]
-                if t == '"':
-                    state[0] = not state[0]
-                elif t in "{[]" and not state[0]:
-                    if t == "{" and state[1] == 1:
-                        keep = m.start()
-                    state[1] += -1 if t == "]" else 1
-            if not state[0]:
-                state[1] -= 1
-            if keep is not None:
-                text.append(value[keep:] + "}")
-                if state[1] == 1 and not state[0]:
-                    add(kind)
-                    at += kind == "whole"
-                    kind = "whole"
-            if len(columns["at"]) >= 2000:
-                yield batch()
-        if here is not None and text:
-            add("middle" if kind == "tail" else "head")
-        yield batch()
-
-    pieces = raw.mapInArrow(cut, f"{RANGE}, at long, kind string, record string")
-    whole, parts = pieces.filter("kind = 'whole'"), pieces.filter("kind <> 'whole'")
+    return states
+
+
+def _before(begun: DataFrame) -> dict[tuple[str, int], int]:
+    """How many records of its file begin before each range in which some do; one row a range comes to the driver."""
+    before, last = {}, None
+    for r in sorted(begun.collect(), key=lambda r: (r["file"], r["start"])):
+        total = 0 if r["file"] != last else total
+        before[r["file"], r["start"]] = total
+        last, total = r["file"], total + r["n"]
+    return before
+
+
+def _each(spark: SparkSession, path: str, make: Callable[[Records], Batches], schema: str) -> DataFrame:
+    """What ``make`` makes of the objects in the arrays of one file or of a folder's files."""
+    raw = _fragments(spark, path)
+    states = spark.sparkContext.broadcast(_states(raw.mapInArrow(_effect, f"{RANGE}, turns boolean, outside long, inside long")))
+
+    def begun(batches: Batches) -> Batches:
+        n = Counter((file, start) for file, start, _, kind, _ in _cut(batches, states.value) if kind in ("whole", "head"))
+        return _packed(((0, (*k, v)) for k, v in n.items()), {"file": pa.string(), "start": pa.int64(), "n": pa.int64()})
+
+    before = spark.sparkContext.broadcast(_before(raw.mapInArrow(begun, f"{RANGE}, n long")))
+
+    def whole(batches: Batches) -> Batches:
+        return make((file, before.value[file, start] + at + 1, text) for file, start, at, kind, text in _cut(batches, states.value) if kind == "whole")
+
+    def pieces(batches: Batches) -> Batches:
+        cut = ((file, start, kind, before.value.get((file, start), 0) + at + 1, text) for file, start, at, kind, text in _cut(batches, states.value) if kind != "whole")
+        return _packed(((len(p[-1]), p) for p in cut), {"file": pa.string(), "start": pa.int64(), "kind": pa.string(), "position": pa.int64(), "record": pa.string()})
+
     # at most two pieces a range: an end and a beginning
+    parts = raw.mapInArrow(pieces, f"{RANGE}, kind string, position long, record string")
     order = F.when(F.col("kind") == "head", 1).otherwise(0)
     w = Window.partitionBy("file").orderBy("start", order)
     parts = parts.withColumn("turn", order).withColumn("one", F.sum((F.col("kind") == "head").cast("int")).over(w)).filter("one > 0")
-    joined = parts.groupBy("file", "one").agg(F.array_sort(F.collect_list(F.struct("start", "turn", "at", "record"))).alias("p"), F.max((F.col("kind") == "tail").cast("int")).alias("closed"))
-    joined = joined.filter("closed = 1").select("file", F.col("p")[0]["start"].alias("start"), F.col("p")[0]["at"].alias("at"), F.array_join(F.col("p.record"), "").alias("record"))
-    every = whole.select("file", "start", "at", "record").unionByName(joined)
-    # one row a range: how many records begin before it
-    before, total, last = [], 0, None
-    for r in sorted(every.groupBy("file", "start").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["file"], r["start"])):
-        total = 0 if r["file"] != last else total
-        before.append((r["file"], r["start"], total))
-        last, total = r["file"], total + r["n"]
-    offsets = spark.createDataFrame(before, f"{RANGE}, before long")
-    return every.join(F.broadcast(offsets), ["file", "start"]).select("file", (F.col("before") + F.col("at") + 1).alias("position"), "record")
+    joined = parts.groupBy("file", "one").agg(F.array_sort(F.collect_list(F.struct("start", "turn", "position", "record"))).alias("p"), F.max((F.col("kind") == "tail").cast("int")).alias("closed"))
+    joined = joined.filter("closed = 1").select("file", F.col("p")[0]["position"].alias("position"), F.array_join(F.col("p.record"), "").alias("record"))
+    return raw.mapInArrow(whole, schema).unionByName(joined.mapInArrow(lambda batches: make(_rows(batches)), schema))
+
+
+def array_elements(spark: SparkSession, path: str) -> DataFrame:
+    """file, position (from 1), record (text) of the objects in the arrays of one file or of a folder's files."""
+    columns = {"file": pa.string(), "position": pa.int64(), "record": pa.string()}
+    return _each(spark, path, lambda records: _packed(((len(r[2]), r) for r in records), columns), "file string, position long, record string")
 
 
 def flat(value: dict) -> dict[str, str]:
@@ -144,36 +182,38 @@ def flat(value: dict) -> dict[str, str]:
     return out
 
 
+_FIELDS = list(ALIASES)
+_MAPPED = "file string, position long, " + ", ".join(f"`{f}` string" for f in _FIELDS) + ", specifications map<string,string>"
+
+
+def _mapped(records: Records) -> Batches:
+    """Batches of the records that are valid JSON, under the standard fields."""
+    memo: dict[tuple[str, ...], tuple[dict[str, str], list[str]]] = {}
+
+    def rows() -> Iterator[tuple[int, tuple]]:
+        for file, position, text in records:
+            try:
+                record = flat(json.loads(text))
+            except ValueError:
+                continue
+            keys = tuple(record)
+            if keys not in memo:
+                if len(memo) > 10_000:
+                    memo.clear()
+                memo[keys] = resolve_aliases(keys)
+            mapping, rest = memo[keys]
+            yield len(text), (file, position, *[record.get(mapping.get(f)) if f in mapping else None for f in _FIELDS], [(k, record[k]) for k in rest])
+
+    return _packed(rows(), {"file": pa.string(), "position": pa.int64(), **{f: pa.string() for f in _FIELDS}, "specifications": pa.map_(pa.string(), pa.string())})
+
+
 def mapped_records(elements: DataFrame) -> DataFrame:
     """file, position, the standard fields as text, and specifications (map) of each element that is valid JSON."""
-    fields = list(ALIASES)
-    schema = "file string, position long, " + ", ".join(f"`{f}` string" for f in fields) + ", specifications map<string,string>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple[str, ...], tuple[dict[str, str], list[str]]] = {}
-        for batch in batches:
-            rows = []
-            for file, position, text in zip(*(c.to_pylist() for c in batch.columns)):
-                try:
-                    record = flat(json.loads(text))
-                except ValueError:
-                    continue
-                keys = tuple(record)
-                if keys not in memo:
-                    if len(memo) > 10_000:
-                        memo.clear()
-                    memo[keys] = resolve_aliases(keys)
-                mapping, rest = memo[keys]
-                rows.append((file, position, *[record.get(mapping.get(f)) if f in mapping else None for f in fields], [(k, record[k]) for k in rest]))
-            columns = list(zip(*rows)) if rows else [[]] * (len(fields) + 3)
-            types = [pa.string(), pa.int64(), *[pa.string()] * len(fields), pa.map_(pa.string(), pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["file", "position", *fields, "specifications"])
-
-    return elements.select("file", "position", "record").mapInArrow(run, schema)
+    return elements.select("file", "position", "record").mapInArrow(lambda batches: _mapped(_rows(batches)), _MAPPED)
 
 
 def price_list_from_json_array(spark: SparkSession, path: str) -> DataFrame:
     """A price list from one large array; records without a name are left out, an id that lacks is the position."""
-    rows = mapped_records(array_elements(spark, path)).filter(F.trim(F.coalesce("name", F.lit(""))) != "")
+    rows = _each(spark, path, _mapped, _MAPPED).filter(F.trim(F.coalesce("name", F.lit(""))) != "")
     known = {"id": F.coalesce("id", F.col("position").cast("string")), "price": number(F.col("price"), 0.0), "currency": F.coalesce("currency", F.lit("RUB"))}
     return rows.withColumns({k: v for k, v in known.items() if k in rows.columns}).drop("file", "position")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import excel
@@ -21,6 +21,14 @@ def write_json(rows: DataFrame, path: str) -> bool:
     return True
 
 
+def json_arrays(rows: DataFrame, record: Column, key: str, parts: int) -> DataFrame:
+    """value: the lines of a JSON array a part, to be written as text. Each holds one record, so no row grows with the table."""
+    w = Window.partitionBy("_part").orderBy(key)
+    # both ends over one window, so that rows are shuffled once
+    ends = rows.withColumn("_part", F.pmod(F.hash(key), F.lit(parts))).withColumns({"_opens": F.row_number().over(w) == 1, "_closes": F.lead(F.lit(1)).over(w).isNull()})
+    return ends.select(F.concat(F.when(F.col("_opens"), "[").otherwise(""), record, F.when(F.col("_closes"), "]").otherwise(",")).alias("value"))
+
+
 def write_xlsx(rows: DataFrame, path: str, title: str = "Результаты сопоставления", most: int = 1_048_575) -> bool:
     """One workbook; rows come to the driver a partition at a time. The format holds ``most`` rows at most,
     and more raise ValueError."""

@@ -3,9 +3,11 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from kindred.sources import json_array
+from kindred.sources import json_array, sinks
 
 
 @pytest.fixture
@@ -79,3 +81,56 @@ def test_folder_of_files(spark, tmp_path, small_ranges):
     small_ranges(20)
     got = json_array.array_elements(spark, str(tmp_path)).collect()
     assert sorted((r["position"], json.loads(r["record"])["name"]) for r in got) == sorted((j + 1, f"{k}-{j}") for k in range(3) for j in range(k + 2))
+
+
+def test_one_python_pass_a_task(spark, tmp_path):
+    """Records are cut and mapped in the same worker; a pass over the rows of another pass would double the workers."""
+    (tmp_path / "a.json").write_text('[{"name": "a"}, {"name": "b"}]')
+    plan = json_array.price_list_from_json_array(spark, str(tmp_path / "a.json"))._jdf.queryExecution().executedPlan().toString()
+    above = []  # depth and name of the operators over this line
+    for line in plan.splitlines():
+        name = line.lstrip(" :+-*()0123456789")
+        depth = len(line) - len(name)
+        above = [a for a in above if a[0] < depth]
+        if name.startswith("MapInArrow"):
+            for a in reversed(above):
+                if a[1].startswith("Exchange"):
+                    break
+                assert not a[1].startswith("MapInArrow"), plan
+        above.append((depth, name))
+    assert plan.count("MapInArrow") == 3
+
+
+@pytest.mark.parametrize("n, length, most", [(2500, 3, 1000), (40, 200_000, 6)])
+def test_a_task_holds_a_bounded_part(n, length, most):
+    """Rows come in and go out in parts bounded in rows and bytes, however many an Arrow batch holds."""
+    texts = [json.dumps({"name": "x" * length, "price": k}) for k in range(n)]
+    batch = pa.RecordBatch.from_pydict({"file": ["f"] * n, "position": list(range(n)), "record": texts})
+    taken = []
+
+    def watched():
+        for row in json_array._rows(iter([batch])):
+            taken.append(row)
+            yield row
+
+    given = 0
+    for made in json_array._mapped(watched()):
+        given += made.num_rows
+        assert made.num_rows <= most and len(taken) == given
+    assert given == n
+
+
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_arrays_are_written_record_by_record(spark, tmp_path, parts):
+    """No row holds a part of the table, and the files are arrays, one or more, that the reader reads back whole."""
+    rows = spark.range(25).withColumn("name", F.concat(F.lit("a [b] {"), "id"))
+    lines = sinks.json_arrays(rows, F.to_json(F.struct("id", "name")), "id", parts)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert lines.count() == 25 and "collect_list" not in plan and plan.count("Exchange") == 1
+    lines.write.text(str(tmp_path / "a"))
+    found = []
+    for text in spark.read.text(str(tmp_path / "a"), wholetext=True).collect():
+        for array in text["value"].strip().split("]\n["):
+            found += json.loads("[" + array.removeprefix("[").removesuffix("]") + "]")
+    assert sorted(found, key=lambda r: r["id"]) == [{"id": k, "name": f"a [b] {{{k}"} for k in range(25)]
+    assert sorted(json.loads(r["record"])["id"] for r in json_array.array_elements(spark, str(tmp_path / "a")).collect()) == list(range(25))
