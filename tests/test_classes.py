@@ -1,8 +1,10 @@
 """The keyword rule over classes of items of equal name and brand."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import candidates, classes
+from kindred import queries
+from kindred.operators import candidates, classes, matching
 
 
 def _items(spark, n):
@@ -20,3 +22,13 @@ def test_lists_hold_classes_not_items(spark, monkeypatch):
     kinds = {r["kind"]: r["count"] for r in seen[0]}
     assert kinds[classes.ITEM] == 600 and kinds[classes.CLASS] == 12 and kinds[classes.ARTICLE] == 11
     assert [r["price_id"] for r in got] == ["7", "70", "71", "72", "7", "70", "71", "72", "0", "1", "10", "100"]
+
+
+@pytest.mark.parametrize("name", ["export_selected"])
+def test_matches_are_made_once(spark, sf_dir, monkeypatch, name):
+    made = []
+    inner = matching.keyword_match
+    monkeypatch.setattr(matching, "keyword_match", lambda *a: made.append(inner(*a)) or made[-1])
+    out = queries.QUERIES[name](spark, sf_dir)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(made) == 1 and "CartesianProduct" not in plan and "ArrowEvalPython" not in plan
