@@ -24,7 +24,7 @@ def test_lists_hold_classes_not_items(spark, monkeypatch):
     assert [r["price_id"] for r in got] == ["7", "70", "71", "72", "7", "70", "71", "72", "0", "1", "10", "100"]
 
 
-@pytest.mark.parametrize("name", ["export_selected", "format_statistics"])
+@pytest.mark.parametrize("name", ["export_selected", "format_statistics", "selected_semi_join"])
 def test_matches_are_made_once(spark, sf_dir, monkeypatch, name):
     made = []
     inner = matching.keyword_match
