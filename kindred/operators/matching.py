@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import extract, scores
 from ..functions import text as T
 from . import candidates, similarity, tiles
-from .stored import large
+from .stored import large, stored
 
 
 @dataclass(frozen=True)
@@ -136,13 +136,16 @@ def exact_counts(materials: DataFrame, items: DataFrame, cfg: MatchConfig = Matc
         return rows.withColumn("keys", F.array_sort(F.array_distinct(F.concat(name, of))))
 
     m, p = classes(prepare_materials(materials)), classes(prepare_items(items))
-    sizes = p.groupBy("keys").agg(F.count("*").alias("n")).select(F.col("keys").alias("theirs"), "n", F.explode("keys").alias("key"))
-    mine = m.select("keys").distinct().withColumn("key", F.explode("keys"))
+    mine = stored(m.select("keys").distinct(), "keys").withColumn("key", F.explode("keys"))
+    # of the items' keys only those that a material has tell classes apart
+    each = p.groupBy("keys").agg(F.count("*").alias("n")).select("keys", "n", F.explode("keys").alias("key")).join(large(mine.select("key").distinct()), "key", "left_semi")
+    theirs = each.groupBy("keys").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("key")).alias("theirs"))
+    sizes = theirs.groupBy("theirs").agg(F.sum("n").alias("n")).withColumn("key", F.explode("theirs"))
     # the name sorts before the models, so a pair of equal names meets there
-    both = mine.join(sizes, "key").filter(F.col("key") == F.array_min(F.array_intersect("keys", "theirs")))
+    both = mine.join(large(sizes), "key").filter(F.col("key") == F.array_min(F.array_intersect("keys", "theirs")))
     best = F.max(F.when(F.col("key.kind") == 0, 100.0).otherwise(95.0))
     found = both.groupBy("keys").agg(F.sum("n").alias("n"), best.alias("best"))
-    return m.select(F.col("id").alias("material_id"), "keys").join(found, "keys").select("material_id", "n", "best")
+    return m.select(F.col("id").alias("material_id"), "keys").join(large(found), "keys").select("material_id", "n", "best")
 
 
 def fuzzy_strategy(materials: DataFrame, items: DataFrame, cfg: MatchConfig) -> DataFrame:

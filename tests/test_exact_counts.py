@@ -25,3 +25,11 @@ def test_counts_equal_the_pairs(spark):
 def test_no_pair_is_scored(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(matching, "score_pairs", lambda *_: (_ for _ in ()).throw(AssertionError("a row for each pair")))
     assert queries.exact_union_anti(spark, sf_dir).columns == ["material_id", "n", "best", "kind"]
+
+
+def test_no_side_is_broadcast(spark, sf_dir):
+    plan = queries.exact_union_anti(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    m, p = _rows(spark, 30), _rows(spark, 90)
+    plan = matching.exact_counts(m, p)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
